@@ -122,11 +122,11 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def text_groups(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, Words]]:
     """Slices of a batch's texts of about GROUP_BYTES, as first row, last row + 1 and their Words; nulls are empty."""
-    texts = pc.fill_null(texts, "")
-    if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type):
-        kind = np.int32 if pa.types.is_string(texts.type) else np.int64
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        texts = pc.fill_null(texts, b"")
     else:
-        texts, kind = texts.cast(pa.large_string()), np.int64
+        texts = pc.fill_null(texts.cast(pa.large_string()) if not pa.types.is_string(texts.type) else texts, "")
+    kind = np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64
     if not len(texts):
         return
     _, offsets, data = texts.buffers()
