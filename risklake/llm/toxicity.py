@@ -6,8 +6,8 @@ marginal probability; runs of words at 0.5 or more are the offending spans, and
 marginal, their sum and their noisy-or is its score.
 
 Training. Documents carry the labels, so words are labelled from them: in a toxic document, a word is toxic if one of its
-features has a log odds of SEED_ODDS or more for toxic documents in the sample, in SEED_DOCS of them at least; all
-other words are not. The sample is bounded: at most SAMPLE_TOXIC and SAMPLE_OTHER labelled rows, the first by a hash of
+features has log odds for toxic documents that stay at SEED_ODDS or more when SEED_ERRORS standard errors are taken off
+(equal texts count once); all other words are not. The sample is bounded: at most SAMPLE_TOXIC and SAMPLE_OTHER labelled rows, the first by a hash of
 doc_id, whose text has at most SAMPLE_CHARS characters. Class weights bring back the proportions of all labelled rows.
 Scoring reads whole texts and no column but text.
 
@@ -36,13 +36,18 @@ SAMPLE_CHARS = 50_000
 SENTENCE = 64
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
-SEED_ODDS = 2.5
-SEED_DOCS = 3
+#: The feature that every word has; the others are odd, or 0 for none.
+ALWAYS = 2
+SEED_ODDS = 1.0
+SEED_ERRORS = 2.0
 #: Of the sample's sentences without a seed word, one in so many is trained on.
 THIN = 8
 ROUNDS = 30
 RATE = 0.5
-RIDGE = 1e-3
+RIDGE = 1.0
+#: One document in so many is kept from the chain's training and fits the head, if it leaves HEAD_TOXIC toxic ones.
+HEAD_SHARE = 4
+HEAD_TOXIC = 5
 FOLDS = 5
 
 
@@ -70,7 +75,7 @@ def prefix_hashes(words: Words, n: int) -> np.ndarray:
 
 def own_features(words: Words, hashes: np.ndarray) -> list[np.ndarray]:
     """Numbers of each word's own features."""
-    found = [_spread(hashes, 1)]
+    found = [np.full(len(words), ALWAYS), _spread(hashes, 1)]
     for k, n in enumerate(PREFIXES):
         h = prefix_hashes(words, n)
         found.append(np.where(h > 0, _spread(h, 2 + k), 0))
@@ -199,7 +204,30 @@ def train(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> M
     """Fit on the sample. shares: weight of a row that is not toxic, and of one that is."""
     if not len(texts) or toxic.min() == toxic.max():
         return NO_MODEL
-    groups = [(first, last, words) for first, last, words in text_groups(pa.array(texts, pa.large_string()), alphanumeric_table()) if len(words)]
+    order = np.argsort(toxic, kind="stable")
+    spare = np.zeros(len(texts), bool)
+    spare[order[::HEAD_SHARE]] = True
+    if toxic[spare].sum() < HEAD_TOXIC:
+        spare[:] = False
+    chain_texts, chain_toxic = [t for t, s in zip(texts, spare.tolist(), strict=True) if not s], toxic[~spare]
+    model = Model(*_train_chain(chain_texts, chain_toxic), np.zeros(4))
+    held = spare if spare.any() else ~spare
+    own = [t for t, h in zip(texts, held.tolist(), strict=True) if h]
+    evidence = np.zeros((len(own), 3))
+    for first, last, words in _grouped(own):
+        evidence[first:last] = document_evidence(model.marginals(words), words.docs)
+    y = toxic[held]
+    model.head = _logistic(evidence, y.astype(float), np.where(y == 1, shares[1], shares[0]))
+    return model
+
+
+def _grouped(texts: list[str]) -> list[tuple[int, int, Words]]:
+    return [(first, last, words) for first, last, words in text_groups(pa.array(texts, pa.large_string()), alphanumeric_table()) if len(words)]
+
+
+def _train_chain(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features and of the moves."""
+    groups = _grouped(texts)
     seen = np.zeros((2, 1 << BITS))
     for first, _, words in groups:
         owner = words.owner()
@@ -210,9 +238,11 @@ def train(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> M
                 own = toxic[first + rows] == label
                 seen[label] += np.bincount(pairs[own] & ((1 << BITS) - 1), minlength=1 << BITS)
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], float)
+    seen = np.minimum(seen, n[:, None])
     logit = np.log((seen + 0.5) / (n[:, None] - seen + 0.5))
-    seed = (logit[1] - logit[0] >= SEED_ODDS) & (seen[1] >= SEED_DOCS)
-    seed[0] = False
+    error = np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
+    seed = (logit[1] - logit[0] - SEED_ERRORS * error >= SEED_ODDS) & (seen[1] > 0)
+    seed[[0, ALWAYS]] = False
 
     parts = []
     for first, _, words in groups:
@@ -246,12 +276,7 @@ def train(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> M
         move_squares += move_slope**2
         weights -= RATE * slope / np.sqrt(squares)
         moves -= RATE * move_slope / np.sqrt(move_squares)
-    model = Model(weights.astype(np.float32), moves, np.zeros(4))
-    evidence = np.zeros((len(texts), 3))
-    for first, last, words in groups:
-        evidence[first:last] = document_evidence(model.marginals(words), words.docs)
-    model.head = _logistic(evidence, toxic.astype(float), np.where(toxic == 1, shares[1], shares[0]))
-    return model
+    return weights.astype(np.float32), moves
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -263,10 +288,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = usable.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE_OTHER))
     # The broadcast side has at most SAMPLE_TOXIC + SAMPLE_OTHER rows of two numbers.
     texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
-    rows = sorted((row["doc_id"], row["text"], row["toxic"]) for row in texts.toLocalIterator())
-    toxic = np.array([row[2] for row in rows], np.int64)
+    rows = sorted({row["text"]: (row["text"], row["toxic"]) for row in sorted(texts.toLocalIterator(), key=lambda row: (row["doc_id"], row["text"]))}.values())
+    toxic = np.array([row[1] for row in rows], np.int64)
     held = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    return train([row[1] for row in rows], toxic, tuple(totals.get(k, 0) / held[k] for k in (0, 1)))
+    return train([row[0] for row in rows], toxic, tuple(totals.get(k, 0) / held[k] for k in (0, 1)))
 
 
 SPAN = T.StructType([T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
