@@ -1,22 +1,53 @@
-"""A corpus pipeline made of operators of risklake.llm."""
+"""A corpus pipeline of five operators of risklake.llm, each a stage over what the one before kept.
+
+Toxic documents go, one document of each near-duplicate group stays, documents with a benchmark passage go, sources are
+mixed to weights 1, 2, 3 (a document that the mix takes more than once is repeated, one that it takes in part is cut to
+those blocks), and what is left is dealt out to shards."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklake.llm import sharding
+from risklake.llm import decontaminate, mixing, sharding, simhash, toxicity
+from risklake.llm.common import settle_as_table, table
+
+N_SHARDS = 24
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
 
 
-def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs, n_shards=24)
+def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(docs, N_SHARDS)
 
 
-STAGES = [("sharding", _shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("sharding", deal_to_shards),
+]
+#: SQL can express neither the first stage nor the second.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; between two stages the rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle_as_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
