@@ -1,0 +1,120 @@
+"""The domain's tables as views over the driver's star schema, in SQL that Spark and DuckDB both run."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Time that stands for now: the last order, and the end of the month of events.
+AS_OF = "2001-08-01 00:00:00"
+AS_OF_EVENTS = "2024-01-31 00:00:00"
+
+VIEWS = {
+    "d_users": """
+        SELECT c_custkey AS id, c_name AS name,
+          CASE WHEN c_custkey % 10 = 0 THEN 'enterprise' WHEN c_custkey % 10 < 4 THEN 'creator' ELSE 'free' END AS plan,
+          CASE WHEN c_custkey % 50 = 7 THEN 5 END AS scan_limit
+        FROM {customer}""",
+    "d_scans": """
+        SELECT o_orderkey AS id, o_custkey AS user_id, concat('app-', CAST(o_orderkey % 3 AS VARCHAR(10))) AS source_input,
+          CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'completed' ELSE 'failed' END END AS status,
+          CASE WHEN o_orderkey % 11 = 5 THEN NULL ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS INT) END AS score,
+          CASE WHEN o_orderkey % 11 = 5 THEN NULL WHEN CAST(floor(o_totalprice) AS BIGINT) % 101 < 70 THEN 'do-not-launch'
+            WHEN CAST(floor(o_totalprice) AS BIGINT) % 101 < 90 THEN 'caution' ELSE 'ready' END AS launch_verdict,
+          o_orderpriority AS framework,
+          CASE o_orderkey % 5 WHEN 0 THEN 'bolt' WHEN 1 THEN 'cursor' WHEN 2 THEN 'replit' WHEN 3 THEN 'lovable' END AS vibe_tool,
+          CASE o_orderkey % 4 WHEN 0 THEN 'saas' WHEN 1 THEN 'shop' WHEN 2 THEN 'media' END AS business_type,
+          CASE WHEN o_orderkey % 13 = 0 THEN concat('PR #', CAST(o_orderkey % 50 AS VARCHAR(10)), ' check') END AS description,
+          CASE WHEN o_orderkey % 2 = 0 THEN concat('CERT-', CAST(o_orderkey AS VARCHAR(20))) END AS cert_id,
+          o_orderdate AS created_at
+        FROM {orders}""",
+    "d_issues": """
+        SELECT l_orderkey AS scan_id, l_linenumber AS k1, l_partkey AS k2, l_suppkey AS k3,
+          CASE l_suppkey % 6 WHEN 0 THEN 'Security Agent' WHEN 1 THEN 'Performance Agent' WHEN 2 THEN 'UX Agent'
+            WHEN 3 THEN 'Reliability Agent' WHEN 4 THEN 'Auth Agent' ELSE 'Secret Scanner V2' END AS agent_name,
+          CASE WHEN l_quantity < 5 THEN 'critical' WHEN l_quantity < 15 THEN 'high' WHEN l_quantity < 35 THEN 'medium' ELSE 'low' END AS severity,
+          p_name AS title, p_type AS category, CAST(50 + l_quantity AS INT) AS confidence,
+          CASE l_partkey % 7 WHEN 0 THEN 'No API keys in the bundle' WHEN 1 THEN 'User input reaches the payment query without privacy consent'
+            WHEN 2 THEN 'Stripe secret exposed in src/pay/checkoutHandler.ts line 4' WHEN 3 THEN 'Audit log misses the GDPR export of user data' END AS description,
+          concat('src/f', CAST(l_partkey % 40 AS VARCHAR(10)), '.ts') AS file_path, CAST(l_linenumber * 10 AS INT) AS line_number,
+          CASE l_returnflag WHEN 'A' THEN 'static' WHEN 'R' THEN 'ai_reasoning' ELSE 'deep_scan' END AS source_evidence,
+          l_linestatus = 'F' AS has_repro
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "d_edges": """
+        SELECT DISTINCT l_partkey % 120 AS src, (l_partkey * 31 + l_suppkey) % 120 AS dst,
+          CASE WHEN l_returnflag = 'A' THEN 'calls' WHEN l_returnflag = 'R' THEN 'data_flow' ELSE 'imports' END AS type
+        FROM {lineitem} WHERE l_linenumber = 1 AND l_quantity < 3""",
+    "d_deps": """
+        SELECT s_suppkey AS repo_id, p_brand AS name,
+          concat('^', CAST(p_size % 5 AS VARCHAR(10)), '.', CAST(p_partkey % 10 AS VARCHAR(10)), '.', CAST(p_partkey % 7 AS VARCHAR(10))) AS version_spec,
+          p_partkey AS seq
+        FROM {part} JOIN {supplier} ON p_partkey % 100 = s_suppkey % 100""",
+    "d_traffic": """
+        SELECT event_id, ts, user_id AS scan_id, event_type AS route, 'GET' AS method, value * 20 AS response_time_ms,
+          CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, props
+        FROM {events}""",
+    "d_files": """
+        SELECT doc_id AS file_id, source AS repo_id, concat('src/', source, '/', CAST(doc_id AS VARCHAR(20)), '.ts') AS path, text AS content FROM {documents}
+        UNION ALL
+        SELECT 1000000 + page_id, 'pages', concat('web/', CAST(page_id AS VARCHAR(20)), '.html'), html FROM {pages}""",
+    "d_teams": """
+        SELECT n_nationkey AS id, n_name AS name, n_regionkey AS owner FROM {nation}""",
+    "d_members": """
+        SELECT c_nationkey AS team_id, c_custkey AS user_id, CASE WHEN c_custkey % 20 = 0 THEN 'owner' ELSE 'member' END AS role FROM {customer}""",
+    "d_fixes": """
+        SELECT l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS fix_id, l_orderkey AS scan_id, p_name AS title,
+          CASE WHEN l_returnflag = 'A' THEN 'applied' WHEN l_returnflag = 'R' THEN 'pending' ELSE 'failed' END AS status, l_shipdate AS created_at
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber <= 2""",
+    "d_runs": """
+        SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
+          CAST(floor(value) AS INT) % 10 * 10 AS priority, ts AS created_at,
+          CASE WHEN event_id % 3 = 0 THEN ts END AS worker_heartbeat_at
+        FROM {events}""",
+    "d_results": """
+        SELECT event_id AS id, user_id AS scan_id, event_type AS engine_name, props AS result, CAST(floor(value) AS INT) AS duration_ms, ts AS created_at FROM {events}""",
+}
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels")
+
+
+class Domain:
+    """The views as DataFrames over one folder of tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def view(self, name: str) -> DataFrame:
+        body = VIEWS[name]
+        return self.spark.sql(body, **{t: self.table(t) for t in _TABLES if "{" + t + "}" in body})
+
+    users = cached_property(lambda self: self.view("d_users"))
+    scans = cached_property(lambda self: self.view("d_scans"))
+    issues = cached_property(lambda self: self.view("d_issues"))
+    edges = cached_property(lambda self: self.view("d_edges"))
+    deps = cached_property(lambda self: self.view("d_deps"))
+    traffic = cached_property(lambda self: self.view("d_traffic"))
+    files = cached_property(lambda self: self.view("d_files"))
+    teams = cached_property(lambda self: self.view("d_teams"))
+    members = cached_property(lambda self: self.view("d_members"))
+    fixes = cached_property(lambda self: self.view("d_fixes"))
+    runs = cached_property(lambda self: self.view("d_runs"))
+    results = cached_property(lambda self: self.view("d_results"))
+
+
+def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
+    """The SQL with the views that it names in front, for an engine that has the driver's tables."""
+    bodies = {name: body.format(**{t: t for t in _TABLES}) for name, body in VIEWS.items()} | (extra or {})
+    used = [name for name in bodies if name in sql or any(name in (extra or {}).get(e, "") for e in (extra or {}) if e in sql)]
+    if not used:
+        return sql
+    heads = ",\n".join(f"{name} AS ({bodies[name].strip()})" for name in used)
+    recursive = "RECURSIVE " if "WITH RECURSIVE" in sql else ""
+    body = sql.strip()
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(lead):
+            return f"WITH {recursive}{heads},\n{body[len(lead):]}"
+    return f"WITH {heads}\n{body}"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from risklake.plans import analytics, relational
+
+BOOKS = (relational.BOOK, analytics.BOOK)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for book in BOOKS for name, query in book.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
