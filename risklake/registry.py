@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from risklake.plans import analytics, relational
+from risklake.plans import analytics, corpus, graphs, relational
 
-BOOKS = (relational.BOOK, analytics.BOOK)
+BOOKS = (relational.BOOK, analytics.BOOK, corpus.BOOK, graphs.BOOK)
 
 
 def queries() -> dict:
