@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from risklake.plans import analytics, corpus, graphs, relational
+from risklake.plans import analytics, corpus, flows, graphs, relational
 
-BOOKS = (relational.BOOK, analytics.BOOK, corpus.BOOK, graphs.BOOK)
+BOOKS = (relational.BOOK, analytics.BOOK, corpus.BOOK, graphs.BOOK, flows.BOOK)
 
 
 def queries() -> dict:
