@@ -40,3 +40,12 @@ def settle_as_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """docs with columns of these names put aside, for a filter that adds columns so named; back_again() restores them."""
+    return docs.select(*[F.col(c).alias(f"_aside_{c}") if c in names else F.col(c) for c in docs.columns])
+
+
+def back_again(df: DataFrame, docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.col(f"_aside_{c}").alias(c) if c in names else F.col(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklake.llm.common import table
+from risklake.llm.common import aside, back_again, table
 from risklake.llm.wordhash import Words, alphanumeric_table, text_groups, window_hashes
 
 WINDOW = 10
@@ -182,12 +182,13 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """docs without the documents that have a hit (remove="documents"), or with the hit spans cut out (remove="spans")."""
-    found = annotate(docs, benchmark, window)
+    found = annotate(aside(docs, ADDED), benchmark, window)
     if remove == "documents":
-        return found.filter(F.size("spans") == 0).select(*docs.columns)
+        return back_again(found.filter(F.size("spans") == 0), docs, ADDED)
     if remove != "spans":
         raise ValueError(f"remove: {remove}")
-    return found.withColumn("text", F.when(F.size("spans") > 0, without_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    cut = F.when(F.size("spans") > 0, without_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return back_again(found.withColumn("text", cut), docs, ADDED)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,18 +128,16 @@ def mixed_documents(docs: DataFrame, weights: Column | None = None, block_tokens
     row with the words of its remaining blocks, if any; n_chars follows the text. Documents of which nothing is taken, and
     so those without words, are left out."""
     columns = docs.columns
-    mixed = mix(docs.withColumn("size", word_count(F.col("text"))), cyclic_weights() if weights is None else weights, block_tokens)
+    bare = docs.select(F.struct(*columns).alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix(bare, cyclic_weights() if weights is None else weights, block_tokens)
     covered = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, x: total + x["length"])
-    every = words(F.col("text"))
     part = F.array_join(F.flatten(F.transform("_spans", lambda x: F.slice(F.col("_words"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
     times = F.col("_passes") + F.when(covered > 0, 1).otherwise(0)
-    rows = mixed.filter(F.col("taken") > 0).withColumn("_words", every).withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
+    rows = mixed.filter(F.col("taken") > 0).withColumn("_words", words(F.col("_doc.text"))).withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
     whole = (F.col("_turn") <= F.col("_passes")) | (covered == F.col("size"))
-    text = F.when(whole, F.col("text")).otherwise(part)
-    rows = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    rows = rows.withColumn("_text", F.when(whole, F.col("_doc.text")).otherwise(part))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType if "n_chars" in columns else "long")}
+    return rows.select(*[made.get(c, F.col(f"_doc.{c}")).alias(c) for c in columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklake.llm.common import table
+from risklake.llm.common import aside, back_again, table
 from risklake.llm.wordhash import Words, alphanumeric_table, text_groups
 
 SAMPLE_TOXIC = 1500
@@ -336,7 +336,9 @@ def score(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that score `threshold` or more."""
-    return score(docs, fit(docs, labels), with_spans=False).filter(F.col("score") < threshold).select(*docs.columns)
+    names = ("score", "spans")
+    kept = score(aside(docs, names), fit(docs, labels), with_spans=False).filter(F.col("score") < threshold)
+    return back_again(kept, docs, names)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
