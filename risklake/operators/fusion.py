@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,3 +106,27 @@ def debate(findings: DataFrame) -> DataFrame:
     step = F.when(people, 0.2).otherwise(-0.1) + F.when(escalated == "critical", 0.2).otherwise(0.0)
     score = clamp(F.round(F.when(grave, 0.5 + step).otherwise(0.6), 6), 0.0, 1.0)
     return findings.withColumn("consensus", score).withColumn("escalated", escalated).withColumn("regression", F.when(escalated == "critical", 0.65).otherwise(0.25))
+
+
+def ds_udaf():
+    """The same fold as a grouped-aggregate pandas UDF: an array of v, n and u, from rows of one group in any order."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def fold(seq: pd.Series, v: pd.Series, n: pd.Series, u: pd.Series, r: pd.Series) -> list[float]:
+        rows = pd.DataFrame({"s": seq, "v": v, "n": n, "r": r}).sort_values("s")
+        r4 = lambda x: math.floor(round(x, 9) * 10_000 + 0.5) / 10_000
+        state = None
+        for _, v1, n1, r1 in rows.itertuples(index=False):
+            b = (v1 * r1, n1 * r1, max(0.02, 1 - (v1 + n1) * r1))
+            if state is None:
+                state = b
+                continue
+            left = 1 - (state[0] * b[1] + state[1] * b[0])
+            if left <= 0:
+                state = (0.0, 0.0, 1.0)
+                continue
+            state = (r4((state[0] * b[0] + state[0] * b[2] + state[2] * b[0]) / left), r4((state[1] * b[1] + state[1] * b[2] + state[2] * b[1]) / left), r4(state[2] * b[2] / left))
+        return [float(x) for x in state]
+
+    return fold

@@ -211,3 +211,71 @@ def depth_node_ratio(pairs: DataFrame) -> DataFrame:
 def reality_penalty(rows: DataFrame) -> DataFrame:
     lost = 8 * F.col("mockups") + 10 * F.col("missing") + 5 * F.col("partial") + 12 * F.col("broken") + F.least(1.5 * F.col("cleanup"), F.lit(15.0)) + 10 * F.col("blockers")
     return rows.select("repo", half_up(F.round(clamp(100 - lost, 0.0, 100.0), 6)).alias("score"))
+
+
+def unused_components(files: DataFrame, imports: DataFrame, folder: str) -> DataFrame:
+    """Files of a component folder whose base name no import of their repository mentions."""
+    base = lambda c: F.regexp_extract(c, r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
+    parts = files.filter(F.col("path").rlike(folder)).select("repo_id", "path", base(F.col("path")).alias("name"))
+    return parts.join(imports.select("repo_id", base(F.col("target")).alias("name")).distinct(), ["repo_id", "name"], "left_anti").select("repo_id", "path")
+
+
+def undocumented_env(files: DataFrame, documented: DataFrame) -> DataFrame:
+    """Environment variables that the code reads and the example file does not list; 5 points each, 30 without any example."""
+    used = files.select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(r"process\.env\.([A-Z_0-9]+)"), F.lit(1))).alias("name")).distinct()
+    missing = used.join(documented, ["repo_id", "name"], "left_anti").groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("missing"), F.count("*").alias("n"))
+    has = documented.select("repo_id", F.lit(1).alias("_has")).distinct()
+    return missing.join(has, "repo_id", "left").select("repo_id", "missing", (F.col("n") * 5 + F.when(F.col("_has").isNull(), 30).otherwise(0)).alias("penalty"))
+
+
+def missing_policy(files: DataFrame) -> DataFrame:
+    """Tables created without a row policy, and the share that has one, per repository."""
+    names = lambda pattern: files.select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("name")).distinct()
+    made, held = names(r"create table (\w+)"), names(r"create policy \w+ on (\w+)").withColumn("_held", F.lit(1))
+    joined = made.join(held, ["repo_id", "name"], "left")
+    open_tables = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_held").isNull(), F.col("name")))), ",")
+    return joined.groupBy("repo_id").agg(open_tables.alias("open_tables"), half_up(100 * F.count("_held") / F.count("*")).alias("coverage"))
+
+
+def boundary_findings(matches: DataFrame) -> DataFrame:
+    """matches(id, has_auth, validates, tainted, reaches_db, sanitized, exact, get, has_body, has_id): findings per matched pair and integrity."""
+    kinds = F.array_compact(F.array(F.when(~F.col("has_auth"), "auth_gap"), F.when(~F.col("validates"), "missing_validation"), F.when(F.col("tainted") & F.col("reaches_db"), "tainted_flow")))
+    return matches.select("id", F.array_join(kinds, ",").alias("findings"), F.greatest(F.lit(0), 100 - 8 * F.size(kinds)).alias("integrity"))
+
+
+def boundary_taint(matches: DataFrame) -> DataFrame:
+    hit = matches.filter(F.col("tainted") & F.col("reaches_db"))
+    return hit.select("id", F.when(F.col("sanitized"), 65).when(F.col("exact"), 92).otherwise(78).alias("confidence"))
+
+
+def type_mismatch(matches: DataFrame) -> DataFrame:
+    kinds = F.array_compact(F.array(F.when(F.col("has_id") & ~F.col("has_auth"), "id without auth"), F.when(F.col("get") & F.col("has_body"), "body on GET"), F.when(F.col("reaches_db") & ~F.col("has_auth"), "db without auth")))
+    return matches.select("id", F.explode(kinds).alias("mismatch"))
+
+
+def feature_truth(files: DataFrame) -> DataFrame:
+    """UI files as live, partially connected or mocked, by what they do and whether any file of the repository serves data."""
+    flag = lambda p: F.col("content").rlike(p)
+    served = F.max(flag(r"router\.").cast("int")).over(Window.partitionBy("repo_id")) == 1
+    state = F.when(flag(r"fetch\(") & served, F.struct(F.lit("live").alias("state"), F.lit(90).alias("confidence"))).when(flag(r"fetch\("), F.struct(F.lit("partial").alias("state"), F.lit(70).alias("confidence"))).when(flag("useState|<form"), F.struct(F.lit("mocked").alias("state"), F.lit(88).alias("confidence"))).otherwise(F.struct(F.lit("mocked").alias("state"), F.lit(75).alias("confidence")))
+    return files.select("repo_id", "path", state.alias("x")).select("repo_id", "path", "x.*")
+
+
+#: Ordered leak classes: name, keywords, least and largest impact; fixed.
+LEAKS = (("payment", "payment|checkout|stripe", 50_000, 500_000), ("access", "auth|login|session", 20_000, 200_000), ("speed", "slow|performance|latency", 10_000, 80_000), ("trust", "privacy|gdpr|consent", 15_000, 150_000))
+
+
+def revenue_leak(issues: DataFrame, small: Column) -> DataFrame:
+    """First leak class by title and description, with its impact; a hundredth for small companies."""
+    kind = first_rule(F.concat_ws(" ", "title", "description"), LEAKS)
+    amount = lambda k: F.create_map(*[F.lit(x) for r in LEAKS for x in (r[0], r[k])])[F.col("leak")] / F.when(small, 100).otherwise(1)
+    return issues.withColumn("leak", kind).withColumn("least", half_up(amount(2))).withColumn("most", half_up(amount(3)))
+
+
+def compliance(paths: DataFrame, rules: DataFrame, controls: DataFrame, least: float = 0.4) -> DataFrame:
+    """paths(id, repo, class, confidence), rules(rule, class, needs), controls(repo, control): a rule fires on a path of its class with
+    enough confidence unless half of its controls stand in the repository."""
+    held = controls.groupBy("repo").agg(F.collect_set("control").alias("_held"))
+    joined = paths.filter(F.col("confidence") >= least).join(F.broadcast(rules), "class").join(held, "repo", "left")
+    share = F.size(F.array_intersect("needs", F.coalesce("_held", F.array().cast("array<string>")))) / F.size("needs")
+    return joined.filter(share < 0.5).select("id", "rule", half_up(F.round(share, 9), 4).alias("covered"))

@@ -174,3 +174,17 @@ def feature_reality(files: DataFrame, features: dict[str, dict[str, str]]) -> Da
     out = wide.select("repo_id", F.explode(F.array(*rows)).alias("x")).select("repo_id", "x.*").filter("shown")
     percent = half_up(F.round(F.col("reality") * 100, 6))
     return out.select("repo_id", "feature", percent.alias("percent"), F.when(percent >= 80, "verified").when(percent >= 40, "partial").otherwise("mocked").alias("status"))
+
+
+def rule_catalog(spark) -> DataFrame:
+    """All rule lists as one table."""
+    rows = [("secrets", name, "secrets", severity, [], [pattern], [REFERENCE, PLACEHOLDER], []) for name, pattern, severity in SECRETS]
+    rows += [("lines", name, category, severity, [], [pattern], [], []) for name, pattern, severity, category, _ in LINES]
+    rows += [("pack", r.id, r.category, r.severity, list(r.cwe), list(r.patterns), list(r.exclude), list(r.context)) for r in PACK]
+    return spark.createDataFrame(rows, "pack string, id string, category string, severity string, cwe array<string>, patterns array<string>, exclude array<string>, context array<string>")
+
+
+def pack_cost(matches: DataFrame, dead: DataFrame, api_findings: DataFrame, api_limit: int = 5) -> DataFrame:
+    """Rule matches, dead functions and APIs with too many findings as one table of findings."""
+    many = api_findings.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > api_limit).select(F.lit("busy_api").alias("kind"), F.col("path").alias("subject"))
+    return matches.select(F.col("rule").alias("kind"), F.col("path").alias("subject")).unionByName(dead.select(F.lit("dead_code").alias("kind"), F.col("id").cast("string").alias("subject"))).unionByName(many)

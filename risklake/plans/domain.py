@@ -62,7 +62,7 @@ VIEWS = {
         SELECT CAST(floor(p_partkey / 50) AS INT) AS repo_id, concat('src/p', CAST(p_partkey % 50 AS VARCHAR(10)), '.ts') AS path,
           concat('import {{ a }} from "./p', CAST(p_partkey * 7 % 60 AS VARCHAR(10)), '";', chr(10), 'import x from "pkg', CAST(p_partkey % 7 AS VARCHAR(10)), '/sub";', chr(10),
             'router.get("/api/r', CAST(p_partkey % 30 AS VARCHAR(10)), '/:id", h);', chr(10), 'const r = await fetch("https://x.test/api/r', CAST(p_partkey % 45 AS VARCHAR(10)), '/5?x=1");', chr(10),
-            CASE p_partkey % 4 WHEN 0 THEN 'if (a && b) {{ eval(x) }}' WHEN 1 THEN '// eval(y)' WHEN 2 THEN 'password = "hunter2hunter"' ELSE 'const k = "Zk3mQ9xT7vLp2RwY8nBc5HdJ"' END, chr(10)) AS content
+            CASE p_partkey % 4 WHEN 0 THEN 'if (a && b) {{ eval(x) }}' WHEN 1 THEN '// eval(y)' WHEN 2 THEN 'password = "hunter2hunter"' ELSE concat('const k = "Zk3mQ9xT7vLp2RwY8nBc5HdJ" + process.env.KEY_', CAST(p_partkey % 5 AS VARCHAR(10))) END, chr(10)) AS content
         FROM {part}""",
     "d_teams": """
         SELECT n_nationkey AS id, n_name AS name, n_regionkey AS owner FROM {nation}""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from risklake.functions import scalars as fn
-from risklake.operators import aggregates, graph, insights, rules, similarity
+from risklake.operators import aggregates, fusion, graph, insights, rules, similarity
 from risklake.plans.book import Book
 from risklake.plans.corpus import CALLS, CODE_LINES, LINES, ROUTES, _code_lines, _lines
 from risklake.plans.domain import Domain
@@ -232,3 +232,80 @@ Q("udtf_literals", f"""WITH {CODE_LINES} SELECT repo_id, path, line_no, unnest(r
     lambda d: _code_lines(d).select("repo_id", "path", "line_no", F.explode(F.regexp_extract_all("line", F.lit('"([^"]+)"'), F.lit(1))).alias("literal"))
 )
 Q("udtf_cost_breakdown", f"WITH {NODES} SELECT id, unnest(['cost', 'twice']) AS metric, unnest([cost, cost * 2]) AS value FROM nodes")(lambda d: _nodes(d).withColumn("twice", F.col("cost") * 2).unpivot("id", ["cost", "twice"], "metric", "value"))
+IMPORT_SQL = "imp AS (SELECT DISTINCT repo_id, regexp_extract(content, '\\./(p[0-9]+)\"', 1) AS name FROM d_code)"
+Q("jn_unused_components", f"WITH {IMPORT_SQL} SELECT repo_id, path FROM d_code c WHERE regexp_matches(path, '^src/') AND NOT EXISTS (SELECT 1 FROM imp WHERE imp.repo_id = c.repo_id AND imp.name = regexp_extract(path, '([^/]+)\\.ts$', 1))")(
+    lambda d: insights.unused_components(d.code, code.imports(d.code), "^src/")
+)
+Q(
+    "jn_undocumented_env",
+    """WITH u AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, 'process\\.env\\.([A-Z_0-9]+)', 1)) AS name FROM d_code), m AS (SELECT repo_id, string_agg(name, ',' ORDER BY name) AS missing, count(*) AS n FROM u WHERE NOT (repo_id % 2 = 0 AND name IN ('KEY_0', 'KEY_3')) GROUP BY repo_id)
+    SELECT repo_id, missing, n * 5 + CASE WHEN repo_id % 2 = 0 THEN 0 ELSE 30 END AS penalty FROM m""",
+)(lambda d: insights.undocumented_env(d.code, d.code.filter("repo_id % 2 = 0").select("repo_id", F.explode(F.array(F.lit("KEY_0"), F.lit("KEY_3"))).alias("name")).distinct()))
+
+
+def _migrations(d: Domain):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("create table t"), (k % 9).cast("string"), F.lit(" (id int);\n"), F.when(k % 4 == 0, F.concat(F.lit("create policy p on t"), (k % 9).cast("string"))).otherwise(""))
+    return d.table("part").select((k % 40).alias("repo_id"), text.alias("content"))
+
+
+Q(
+    "jn_missing_policy",
+    """WITH m AS (SELECT DISTINCT p_partkey % 40 AS repo_id, 't' || p_partkey % 9 AS name FROM part), h AS (SELECT DISTINCT p_partkey % 40 AS repo_id, 't' || p_partkey % 9 AS name FROM part WHERE p_partkey % 4 = 0)
+    SELECT m.repo_id, coalesce(string_agg(CASE WHEN h.name IS NULL THEN m.name END, ',' ORDER BY m.name), '') AS open_tables, CAST(floor(100 * count(h.name) / count(*) + 0.5) AS BIGINT) AS coverage FROM m LEFT JOIN h ON m.repo_id = h.repo_id AND m.name = h.name GROUP BY m.repo_id""",
+)(lambda d: insights.missing_policy(_migrations(d)))
+
+
+def _pairs(d: Domain):
+    k = F.col("event_id")
+    flags = {"has_auth": k % 3 > 0, "validates": k % 4 > 0, "tainted": k % 5 == 0, "reaches_db": k % 2 == 0, "sanitized": k % 20 == 0, "exact": k % 30 == 0, "get": k % 7 == 0, "has_body": k % 6 == 0, "has_id": k % 9 == 0}
+    return d.table("events").select(k.alias("id"), *[v.alias(n) for n, v in flags.items()])
+
+
+Q(
+    "jn_boundary_findings",
+    "SELECT event_id AS id, concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'auth_gap' END, CASE WHEN event_id % 4 = 0 THEN 'missing_validation' END, CASE WHEN event_id % 10 = 0 THEN 'tainted_flow' END) AS findings, CAST(100 - 8 * ((event_id % 3 = 0)::INT + (event_id % 4 = 0)::INT + (event_id % 10 = 0)::INT) AS INT) AS integrity FROM events",
+)(lambda d: insights.boundary_findings(_pairs(d)))
+Q("jn_boundary_taint", "SELECT event_id AS id, CASE WHEN event_id % 20 = 0 THEN 65 WHEN event_id % 30 = 0 THEN 92 ELSE 78 END AS confidence FROM events WHERE event_id % 10 = 0")(lambda d: insights.boundary_taint(_pairs(d)))
+Q(
+    "jn_type_mismatch",
+    "SELECT event_id AS id, 'id without auth' AS mismatch FROM events WHERE event_id % 9 = 0 UNION ALL SELECT event_id, 'body on GET' FROM events WHERE event_id % 42 = 0 UNION ALL SELECT event_id, 'db without auth' FROM events WHERE event_id % 6 = 0",
+)(lambda d: insights.type_mismatch(_pairs(d)))
+Q(
+    "ag_feature_truth",
+    "SELECT repo_id, path, CASE WHEN contains(content, 'fetch(') AND bool_or(contains(content, 'router.')) OVER (PARTITION BY repo_id) THEN 'live' WHEN contains(content, 'fetch(') THEN 'partial' ELSE 'mocked' END AS state, CASE WHEN contains(content, 'fetch(') AND bool_or(contains(content, 'router.')) OVER (PARTITION BY repo_id) THEN 90 WHEN contains(content, 'fetch(') THEN 70 ELSE 75 END AS confidence FROM d_code",
+)(lambda d: insights.feature_truth(d.code))
+LEAK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', title, description)), '{r[1]}') THEN '{r[0]}'" for r in insights.LEAKS) + " END"
+Q(
+    "fn_revenue_leak",
+    f"WITH x AS (SELECT scan_id, k1, k2, k3, {LEAK_SQL} AS leak, CASE WHEN scan_id % 2 = 0 THEN 100 ELSE 1 END AS f FROM d_issues) SELECT scan_id, k1, k2, k3, leak, CAST(floor(CASE leak " + " ".join(f"WHEN '{r[0]}' THEN {r[2]}" for r in insights.LEAKS) + " END / f + 0.5) AS BIGINT) AS least, CAST(floor(CASE leak " + " ".join(f"WHEN '{r[0]}' THEN {r[3]}" for r in insights.LEAKS) + " END / f + 0.5) AS BIGINT) AS most FROM x",
+)(lambda d: insights.revenue_leak(d.issues, F.col("scan_id") % 2 == 0).select("scan_id", *ISSUE_ORDER, "leak", "least", "most"))
+Q(
+    "rl_pack_cost",
+    f"""WITH {CODE_LINES}, {NODES} SELECT 'R-EVAL' AS kind, path AS subject FROM lines WHERE regexp_matches(line, '(?i)\\beval\\s*\\(') AND NOT regexp_matches(line, '^\\s*//') UNION ALL SELECT 'R-FETCH', path FROM lines WHERE regexp_matches(line, '(?i)\\bfetch\\s*\\(')
+    UNION ALL SELECT 'dead_code', CAST(id AS VARCHAR) FROM nodes WHERE NOT exported AND id NOT IN (SELECT dst FROM d_edges WHERE type IN ('calls', 'imports')) UNION ALL SELECT 'busy_api', file_path FROM d_issues WHERE k1 = 1 GROUP BY file_path HAVING count(*) > 5""",
+)(lambda d: rules.pack_cost(rules.pack_scan(_code_lines(d), ["repo_id", "path"]), graph.dead_code(_nodes(d), d.edges), d.issues.filter("k1 = 1").select(F.col("file_path").alias("path"))))
+
+
+def _compliance(d: Domain):
+    paths = d.issues.filter("k1 = 1").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("scan_id", "k2", "k3")]).alias("id"), (F.col("scan_id") % 10).alias("repo"), insights.data_class(F.col("description")).alias("class"), (F.col("confidence") / 100).alias("confidence"))
+    table = d.spark.createDataFrame([("R1", "pci", ["encrypt", "log"]), ("R2", "pii", ["consent", "erase", "log"])], "rule string, class string, needs array<string>")
+    controls = d.issues.select((F.col("scan_id") % 10).alias("repo")).distinct().filter("repo % 2 = 0").select("repo", F.lit("log").alias("control"))
+    return insights.compliance(paths, table, controls, 0.6)
+
+
+Q(
+    "rl_compliance",
+    """WITH x AS (SELECT concat_ws('-', scan_id, k2, k3) AS id, scan_id % 10 AS repo, CASE WHEN regexp_matches(lower(description), 'card|cvv|iban|payment') THEN 'pci' WHEN regexp_matches(lower(description), 'patient|diagnosis|medical') THEN 'phi' WHEN regexp_matches(lower(description), 'password|secret|token|api[_-]?key') THEN 'credentials' WHEN regexp_matches(lower(description), 'email|phone|address|user') THEN 'pii' END AS class FROM d_issues WHERE k1 = 1 AND confidence >= 60)
+    SELECT id, 'R1' AS rule, 0.0::DOUBLE AS covered FROM x WHERE class = 'pci' AND repo % 2 = 1 UNION ALL SELECT id, 'R2', CASE WHEN repo % 2 = 0 THEN 0.3333::DOUBLE ELSE 0 END FROM x WHERE class = 'pii'""",
+)(_compliance)
+
+
+def _udaf(d: Domain):
+    fold = fusion.ds_udaf()
+    one = fusion.evidence_mass(d.issues.filter("k1 = 1")).select("scan_id", (F.col("k2") * 100_000 + F.col("k3")).alias("seq"), F.element_at("masses", 1).alias("m"))
+    folded = one.groupBy("scan_id").agg(fold("seq", "m.v", "m.n", "m.u", "m.r").alias("f"), F.count("*").alias("reports"))
+    return folded.select("scan_id", F.col("reports").cast("int").alias("reports"), *[fn.half_up(F.round(F.get("f", F.lit(k)), 9), 4).alias(c) for k, c in enumerate("vnu")])
+
+
+Q("udaf_ds")(_udaf)

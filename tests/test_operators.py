@@ -179,3 +179,26 @@ def test_upsert_into_partitions(spark, tmp_path):
 
 def test_hick(spark):
     assert math.isclose(one(spark, fn.hick_seconds(F.col("n")), n=7), 0.15 + 0.19 * 3)
+
+
+def test_fold_as_udaf_agrees(spark):
+    from risklake import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda name: sorted(map(tuple, registry.queries()[name](spark, sf).select("scan_id", "reports", "v", "n", "u").collect()))
+    assert rows("udaf_ds") == rows("sm_ds_group_fusion")
+
+
+def test_rule_catalog(spark):
+    catalog = rules.rule_catalog(spark)
+    assert catalog.groupBy("pack").count().count() == 3 and catalog.filter("size(patterns) = 0").count() == 0
+
+
+def test_migration_guard(spark):
+    wide = spark.createDataFrame([(1, "x"), (2, None)], "scan_id int, a string")
+    long = sinks.unpivot_results(wide, {"a": "engine"}, spark.createDataFrame([], "scan_id int, engine_name string"))
+    assert sinks.drop_wide(wide, ["a"], long).columns == ["scan_id"]
+    with pytest.raises(ValueError):
+        sinks.drop_wide(wide, ["a"], long.limit(0))
+    wide.createOrReplaceTempView("t_wide")
+    assert [tuple(r) for r in sinks.table_profile(spark, ["t_wide"]).collect()] == [("t_wide", 2)]
