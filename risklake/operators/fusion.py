@@ -109,7 +109,7 @@ def debate(findings: DataFrame) -> DataFrame:
 
 
 def ds_udaf():
-    """The same fold as a grouped-aggregate pandas UDF: an array of v, n and u, from rows of one group in any order."""
+    """The same fold as a grouped-aggregate pandas UDF: an array of v, n, u and the number of reports, from rows of one group in any order."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<double>")
@@ -127,6 +127,6 @@ def ds_udaf():
                 state = (0.0, 0.0, 1.0)
                 continue
             state = (r4((state[0] * b[0] + state[0] * b[2] + state[2] * b[0]) / left), r4((state[1] * b[1] + state[1] * b[2] + state[2] * b[1]) / left), r4(state[2] * b[2] / left))
-        return [float(x) for x in state]
+        return [*map(float, state), float(len(rows))]
 
     return fold

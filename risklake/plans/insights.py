@@ -304,8 +304,8 @@ Q(
 def _udaf(d: Domain):
     fold = fusion.ds_udaf()
     one = fusion.evidence_mass(d.issues.filter("k1 = 1")).select("scan_id", (F.col("k2") * 100_000 + F.col("k3")).alias("seq"), F.element_at("masses", 1).alias("m"))
-    folded = one.groupBy("scan_id").agg(fold("seq", "m.v", "m.n", "m.u", "m.r").alias("f"), F.count("*").alias("reports"))
-    return folded.select("scan_id", F.col("reports").cast("int").alias("reports"), *[fn.half_up(F.round(F.get("f", F.lit(k)), 9), 4).alias(c) for k, c in enumerate("vnu")])
+    folded = one.groupBy("scan_id").agg(fold("seq", "m.v", "m.n", "m.u", "m.r").alias("f"))
+    return folded.select("scan_id", F.get("f", F.lit(3)).cast("int").alias("reports"), *[fn.half_up(F.round(F.get("f", F.lit(k)), 9), 4).alias(c) for k, c in enumerate("vnu")])
 
 
 Q("udaf_ds")(_udaf)
