@@ -148,15 +148,15 @@ Q("gr_provenance")(lambda d: graph.provenance(d.edges.filter("type = 'data_flow'
 
 # Evidence
 R4 = "floor(round({0}, 9) * 10000 + 0.5) / 10000"
-EVIDENCE = f"""e0 AS (SELECT scan_id, k1, k2, k3, severity, CASE severity WHEN 'critical' THEN 0.95::DOUBLE WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.6 ELSE 0.4 END AS sev,
+EVIDENCE = f"""e0 AS (SELECT rid, scan_id, k1, k2, k3, severity, CASE severity WHEN 'critical' THEN 0.95::DOUBLE WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.6 ELSE 0.4 END AS sev,
     unnest([1, 2, 3]) AS layer, unnest([CASE WHEN source_evidence IN ('static', 'deep_scan') THEN confidence::DOUBLE ELSE confidence * 0.7::DOUBLE END, CASE WHEN has_repro THEN least(100.0::DOUBLE, confidence + 5) ELSE 20 END, confidence::DOUBLE]) AS c,
-    unnest([0.9::DOUBLE, CASE WHEN has_repro THEN 0.85::DOUBLE ELSE 0.4 END, CASE WHEN source_evidence = 'ai_reasoning' THEN 0.6::DOUBLE ELSE 0.45 END]) AS r FROM d_issues),
+    unnest([0.9::DOUBLE, CASE WHEN has_repro THEN 0.85::DOUBLE ELSE 0.4 END, CASE WHEN source_evidence = 'ai_reasoning' THEN 0.6::DOUBLE ELSE 0.45 END]) AS r FROM (SELECT *, row_number() OVER () AS rid FROM d_issues)),
   e1 AS (SELECT *, least(greatest(c, 0), 100) / 100 * r * sev * 0.2 AS v, greatest(0.01, (1 - least(greatest(c, 0), 100) / 100) * r * 0.5) AS n FROM e0),
   e2 AS (SELECT *, {R4.format('v')} AS mv, {R4.format('n')} AS mn, {R4.format('greatest(0.02, 1 - v - n)')} AS mu FROM e1)"""
 Q("sm_evidence_mass", f"WITH {EVIDENCE} SELECT scan_id, k1, k2, k3, layer - 1 AS layer, mv AS v, mn AS n, mu AS u FROM e2")(
     lambda d: fusion.evidence_mass(d.issues).select("scan_id", *ISSUE_ORDER, F.posexplode("masses").alias("layer", "m")).select("scan_id", *ISSUE_ORDER, "layer", "m.v", "m.n", "m.u")
 )
-FOLD = f"""{EVIDENCE}, w AS (SELECT scan_id, k1, k2, k3, max(severity) AS severity, {", ".join(f"max(CASE WHEN layer = {k} THEN mv * r END) AS v{k}, max(CASE WHEN layer = {k} THEN mn * r END) AS n{k}, max(CASE WHEN layer = {k} THEN greatest(0.02, 1 - (mv + mn) * r) END) AS u{k}" for k in (1, 2, 3))} FROM e2 GROUP BY scan_id, k1, k2, k3),
+FOLD = f"""{EVIDENCE}, w AS (SELECT scan_id, k1, k2, k3, max(severity) AS severity, {", ".join(f"max(CASE WHEN layer = {k} THEN mv * r END) AS v{k}, max(CASE WHEN layer = {k} THEN mn * r END) AS n{k}, max(CASE WHEN layer = {k} THEN greatest(0.02, 1 - (mv + mn) * r) END) AS u{k}" for k in (1, 2, 3))} FROM e2 GROUP BY rid, scan_id, k1, k2, k3),
   f1 AS (SELECT *, 1 - (v1 * n2 + n1 * v2) AS z FROM w), f2 AS (SELECT *, {R4.format('(v1 * v2 + v1 * u2 + u1 * v2) / z')} AS va, {R4.format('(n1 * n2 + n1 * u2 + u1 * n2) / z')} AS na, {R4.format('u1 * u2 / z')} AS ua FROM f1),
   f3 AS (SELECT *, 1 - (va * n3 + na * v3) AS y FROM f2), f4 AS (SELECT *, {R4.format('(va * v3 + va * u3 + ua * v3) / y')} AS vb, {R4.format('(na * n3 + na * u3 + ua * n3) / y')} AS nb, {R4.format('ua * u3 / y')} AS ub FROM f3),
   f5 AS (SELECT *, vb / (vb + nb + ub) AS b, ub / (vb + nb + ub) AS u, {R4.format('((v1 * n2 + n1 * v2) + (v1 * n3 + n1 * v3) + (v2 * n3 + n2 * v3)) / 3')} AS k FROM f4),
