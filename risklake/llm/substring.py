@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklake.llm.common import table
+from risklake.llm.common import settle, table
 from risklake.llm.wordhash import ascii_space_table, text_groups, window_hashes
 
 WINDOW = 20
@@ -301,7 +301,8 @@ def _marked(docs: DataFrame) -> DataFrame:
     text_key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n")]
     texts = keyed.select("doc_id", "dkey", *text_key)
     first = texts.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("times")).filter(F.col("times") > 1)
-    copies = texts.join(first, ["h1", "h2", "n"]).filter(F.struct("doc_id") > F.col("first")).select("dkey").distinct()
+    # A table of its own, so that the join's shuffles feed nothing but the join and Spark can split a key with many copies.
+    copies = texts.join(settle(first), ["h1", "h2", "n"]).filter(F.struct("doc_id") > F.col("first")).select("dkey").distinct()
 
     blocks = keyed.select("dkey", "text").mapInArrow(_block_rows, "route long, block long, dkey long, times byte")
     shared = blocks.repartition("route").sortWithinPartitions("block").mapInArrow(_shared_blocks, "dkey long, block long")
