@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Sources share all tokens by weight, no source above `max_repeats` times what it has. The targets, in equal-token blocks,
-are apportioned to sources by highest quotients target / (2k + 1), and each source's blocks to its shards the same way,
-so every shard knows an integer quota. Within a shard the documents stand in seeded order, their tokens are cut into
+are apportioned to sources by highest quotients target / (2k + 1), and each source's blocks go down a tree of its shards
+the same way, so every shard knows an integer quota. Within a shard the documents stand in seeded order, their tokens are cut into
 blocks, and a seeded permutation says which blocks are taken (all of them as often as the quota allows, then some once more).
 
 Cases. A null text has size 0 and nothing is taken of it; a source without tokens gets target 0. A null source is a
@@ -23,8 +23,8 @@ MAX_REPEATS = 3
 SEED = 20
 #: A prime beyond any shard's number of blocks: i -> i * STEP + offset permutes the blocks.
 STEP = 2_147_483_647
-#: Seats that an apportionment may lie from its exact share.
-SLACK = 4
+#: Children of a node in the tree that deals a source's blocks to its shards.
+FAN_OUT = 64
 
 NAMES = ("size", "source_size", "target", "taken")
 
@@ -54,18 +54,43 @@ def source_targets(sized: DataFrame, weights: Column, max_repeats: int = MAX_REP
 
 
 def sainte_lague(claims: DataFrame, group: list[str], share: str, seats: Column, order: str) -> DataFrame:
-    """Add quota: `seats` of each group dealt to its rows by the highest quotients share / (2k + 1); share is in seats.
-
-    Every row surely has floor(share) - SLACK seats, so only the quotients near its share compete for the rest."""
-    sure = F.greatest(F.floor(F.col(share)) - SLACK, F.lit(0))
-    rivals = claims.withColumn("_sure", sure).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2 * SLACK))))
-    part = [F.lit(1), *group]
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy((F.col(share) / (2 * (F.col("_sure") + F.col("_k")) + 1)).desc(), order, "_k"))
-    spare = seats - F.sum(F.when(F.col("_k") == 0, F.col("_sure"))).over(Window.partitionBy(*part))
+    """Add quota: `seats` of each group dealt to its rows by the highest quotients share / (2k + 1). A group's shares add up to
+    its seats (to within one seat).
+
+    Rounding every share deals out at most n / 2 + 1 seats too few or too many for n rows, and making up for them moves a
+    row by no more than its part of 1.5 n + 1 seats, plus one. So each row surely has its share less that slack, only the
+    quotients within the slack compete for the rest, and there are about 9 n of them however uneven the shares are."""
+    part = Window.partitionBy(F.lit(1), *group)
+    part_of = F.coalesce(F.try_divide(F.col(share), F.sum(share).over(part)), F.lit(0.0))
+    slack = (F.ceil((1.5 * F.count("*").over(part) + 1) * part_of) + 2).cast("long")
+    rivals = claims.withColumn("_slack", slack).withColumn("_sure", F.greatest(F.floor(F.col(share)) - F.col("_slack"), F.lit(0)))
+    rivals = rivals.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("_slack") + 1)))
+    rank = F.row_number().over(part.orderBy((F.col(share) / (2 * (F.col("_sure") + F.col("_k")) + 1)).desc(), order, "_k"))
+    spare = seats - F.sum(F.when(F.col("_k") == 0, F.col("_sure"))).over(part)
     won = rivals.withColumn("_won", F.when((rank <= spare) & (F.col(share) > 0), 1).otherwise(0))
     return won.groupBy(*claims.columns).agg((F.first("_sure") + F.sum("_won")).cast("long").alias("quota"))
 
 
+def shard_quotas(pools: DataFrame, quotas: DataFrame, n_shards: int, fan_out: int = FAN_OUT) -> DataFrame:
+    """pools(source_no, _shard, _pool), quotas(source_no, source_size, quota) -> source_no, _shard, _pool, quota.
+
+    A source's seats go down a tree of its shards, `fan_out` to a node, by the same apportionment at every node, so a task
+    holds a node's children and never all shards of a source. n_shards: the largest source's, which gives the depth."""
+    depth = 1
+    while fan_out**depth < n_shards:
+        depth += 1
+    pools = settle(pools) if depth > 1 else pools
+    dealt = quotas.select("source_no", F.lit(0).cast("long").alias("_node"), F.col("source_size").alias("_pool"), "quota")
+    for level in reversed(range(depth)):
+        above = dealt.select("source_no", F.col("_node").alias("_up"), F.col("_pool").alias("_whole"), F.col("quota").alias("_seats"))
+        node = F.floor(F.col("_shard") / fan_out**level).alias("_node")
+        nodes = pools.groupBy("source_no", node).agg(F.sum("_pool").alias("_pool")).withColumn("_up", F.floor(F.col("_node") / fan_out))
+        share = F.col("_seats") * (F.col("_pool") / F.col("_whole"))
+        claims = nodes.join(above, ["source_no", "_up"]).withColumn("_share", share)
+        dealt = sainte_lague(claims, ["source_no", "_up"], "_share", F.col("_seats"), "_node")
+    return dealt.select("source_no", F.col("_node").cast("int").alias("_shard"), "_pool", "quota")
+
+
 def mix(docs: DataFrame, weights: Column, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
     """docs(doc_id, source, size, ...) -> docs with source_size, target, taken (tokens, repeats counted), _passes (times all of
     the document is taken) and _spans (structs of start and length, in tokens: what is taken once more)."""
@@ -81,9 +106,8 @@ def mix(docs: DataFrame, weights: Column, block_tokens: int = BLOCK_TOKENS, shar
 
     pools = light.join(sources, light["source"].eqNullSafe(sources["source"])).withColumn("_shard", shard)
     pools = pools.groupBy("source_no", "_shard").agg(F.sum("size").alias("_pool")).filter(F.col("_pool") > 0)
-    pools = pools.join(quotas.select("source_no", "source_size", "quota"), "source_no")
-    pools = pools.select("source_no", "_shard", "_pool", F.col("quota").alias("_seats"), (F.col("quota") * F.col("_pool") / F.col("source_size")).alias("_share"))
-    dealt = sainte_lague(pools, ["source_no"], "_share", F.col("_seats"), "_shard")
+    widest = sources.agg(F.coalesce(F.max(n_shards), F.lit(1))).first()[0]
+    dealt = shard_quotas(pools, quotas, int(widest))
     blocks = F.ceil(F.col("_pool") / block_tokens).cast("long")
     quota = F.least(F.col("quota"), blocks * MAX_REPEATS)
     dealt = dealt.select(

@@ -45,8 +45,32 @@ def test_sainte_lague_deals_by_highest_quotients(spark):
     total, seats = sum(votes), 77
     claims = spark.createDataFrame([(k, v, v * seats / total) for k, v in enumerate(votes)], "party int, votes long, share double")
     got = {r["party"]: r["quota"] for r in mixing.sainte_lague(claims, [], "share", F.lit(seats), "party").collect()}
+    assert got == highest_quotients(votes, seats)
+
+
+def highest_quotients(votes, seats):
     quotients = sorted(((v / (2 * k + 1), -p) for p, v in enumerate(votes) for k in range(seats)), reverse=True)[:seats]
-    assert got == {p: sum(-q == p for _, q in quotients) for p in range(4)}
+    return {p: sum(-q == p for _, q in quotients) for p in range(len(votes))}
+
+
+def test_sainte_lague_far_from_rounded_shares(spark):
+    """Sixty small claims that all round up cost the large one more seats than any fixed slack."""
+    votes = [200_000] + [130] * 60
+    total, seats = sum(votes), 960
+    claims = spark.createDataFrame([(k, v * seats / total) for k, v in enumerate(votes)], "party int, share double")
+    got = {r["party"]: r["quota"] for r in mixing.sainte_lague(claims, [], "share", F.lit(seats), "party").collect()}
+    assert got == highest_quotients(votes, seats)
+
+
+def test_a_tree_of_shards_deals_all_seats(spark):
+    shards = [(s, k, 500 + (k * 7919 + s) % 900) for s in range(2) for k in range(90) if k % 5]
+    sizes = {s: sum(n for t, _, n in shards if t == s) for s in range(2)}
+    pools = spark.createDataFrame(shards, "source_no int, _shard int, _pool long")
+    quotas = spark.createDataFrame([(0, sizes[0], 1999), (1, sizes[1], 5)], "source_no int, source_size long, quota long")
+    got = mixing.shard_quotas(pools, quotas, n_shards=90, fan_out=4).collect()
+    assert sorted((r["source_no"], r["_shard"], r["_pool"]) for r in got) == sorted(shards)
+    assert [sum(r["quota"] for r in got if r["source_no"] == s) for s in range(2)] == [1999, 5]
+    assert all(abs(r["quota"] - 1999 * r["_pool"] / sizes[0]) < 3 for r in got if r["source_no"] == 0)
 
 
 def test_mixed_documents_hold_what_was_taken(spark):
