@@ -45,9 +45,53 @@ def data_class(text: Column) -> Column:
     return first_rule(text, DATA_CLASSES)
 
 
+#: Packages and their framework, the first one present decides.
+FRAMEWORKS = (
+    ("next", "nextjs"),
+    ("remix", "remix"),
+    ("@remix-run/react", "remix"),
+    ("nuxt", "nuxt"),
+    ("nuxt3", "nuxt"),
+    ("@sveltejs/kit", "sveltekit"),
+    ("svelte", "svelte"),
+    ("@angular/core", "angular"),
+    ("vue", "vue"),
+    ("gatsby", "gatsby"),
+    ("astro", "astro"),
+    ("express", "node-api"),
+    ("fastify", "node-api"),
+    ("koa", "node-api"),
+    ("hono", "node-api"),
+    ("react", "react"),
+)
+#: Builder tools in the order in which they decide, the mark in the paths, and whether the package's name counts too.
+TOOLS = (("cursor", "cursor", False), ("lovable", "lovable", True), ("bolt", "bolt", True), ("v0", "v0", False), ("windsurf", "windsurf", False), ("replit", "replit", False), ("aider", ".aider", False))
+#: Kinds of business and the words that tell them, the first hit decides.
+BUSINESS = (
+    ("ecommerce", "shop|cart|checkout|product|inventory|order|stripe|payment"),
+    ("analytics", "dashboard|analytics|metric|chart|report|kpi"),
+    ("content", "blog|article|post|cms|content|markdown"),
+    ("saas", "auth|login|register|user|account|profile|session"),
+    ("api", "api|endpoint|route|rest|graphql"),
+    ("landing", "landing|hero|cta|marketing|pricing"),
+)
+
+
 def detect_framework(manifest: Column) -> Column:
-    has = lambda p: F.map_contains_key(manifest, F.lit(p))
-    return F.when(has("next"), "nextjs").when(has("nuxt"), "nuxt").when(has("react"), "react").when(has("vue"), "vue").when(has("express"), "express").otherwise("unknown")
+    """Framework by the packages of a manifest (a map)."""
+    return F.coalesce(*[F.when(F.map_contains_key(manifest, F.lit(p)), F.lit(f)) for p, f in FRAMEWORKS], F.lit("unknown"))
+
+
+def detect_tool(name: Column, paths: Column) -> Column:
+    """Builder tool by the package's name and the paths, as one text; nulls read as empty."""
+    name, paths = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, paths))
+    said = lambda mark, named: paths.contains(mark) | name.contains(mark) if named else paths.contains(mark)
+    return F.coalesce(*[F.when(said(mark, named), F.lit(tool)) for tool, mark, named in TOOLS], F.lit("unknown"))
+
+
+def detect_business(paths: Column, content: Column) -> Column:
+    """Kind of business by the words in the paths and the content; nulls read as empty."""
+    return F.coalesce(first_rule(F.concat_ws(" ", paths, content), BUSINESS), F.lit("unknown"))
 
 
 def side(files: DataFrame) -> DataFrame:

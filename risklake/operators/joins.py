@@ -172,6 +172,28 @@ def orphan_routes(routes: DataFrame, calls: DataFrame) -> DataFrame:
     return missed.join(shorter, missed["path"] == shorter["_route"], "left_anti").withColumn("risk", F.when(F.col("path").rlike("(?i)(delete|remove|admin|drop|purge)"), "HIGH").otherwise("MEDIUM"))
 
 
+#: Routes under these are internal and never orphans.
+INTERNAL_ROUTES = ("/health", "/metrics", "/internal", "/admin", "/:id")
+
+
+def orphan_routes_links(routes: DataFrame, links: DataFrame) -> DataFrame:
+    """routes(path, ...) whose path no link(path) contains and that contains no link itself; internal routes and paths of one
+    character are left out, empty and null paths meet nothing. All pieces of the paths of one side go by an equi-join to the
+    whole paths of the other, so the work grows with the square of a path's length and never with the number of pairs."""
+    said = lambda df: df.select("path").filter(F.length("path") > 0).distinct()
+    place = F.sequence(F.lit(1), F.length("path"))
+    heads = F.transform(place, lambda a: F.transform(F.sequence(a, F.length("path")), lambda b: F.substring(F.col("path"), a, b - a + 1)))
+    pieces = lambda df: df.select("path", F.explode(F.array_distinct(F.flatten(heads))).alias("piece"))
+    internal = F.lit(False)
+    for prefix in INTERNAL_ROUTES:
+        internal |= F.col("path").startswith(prefix)
+    asked = routes.filter((F.length("path") > 1) & ~internal)
+    every, linked = said(asked), said(links)
+    within = pieces(linked).select(F.col("piece").alias("path")).distinct()
+    around = pieces(every).join(linked.withColumnRenamed("path", "piece"), "piece", "left_semi").select("path").distinct()
+    return asked.join(within, "path", "left_anti").join(around, "path", "left_anti").select(*routes.columns)
+
+
 def unused_deps(deps: DataFrame, imports: DataFrame, build_tools: str) -> DataFrame:
     used = imports.select("repo_id", F.col("package").alias("name")).distinct()
     return deps.filter(~F.col("name").startswith("@types/") & ~F.col("name").rlike(build_tools)).join(used, ["repo_id", "name"], "left_anti").select("repo_id", "name", "seq")

@@ -152,7 +152,7 @@ Q(
       - CASE WHEN license IS NULL THEN 0.1 ELSE 0 END, 0), 1), 6) * 100 + 0.5) / 100 AS maintenance FROM packages""",
 )(lambda d: ag.maintenance(_packages(d)))
 STAGES = (("landing", 0.1), ("signup", 0.25), ("checkout", 0.5), ("retention", 0.15), ("referral", 0.05))
-ROUTES = "ir AS (SELECT '/r' || k2 % 30 AS route, CASE k2 % 30 % 5 WHEN 0 THEN 'landing' WHEN 1 THEN 'signup' WHEN 2 THEN 'checkout' ELSE 'retention' END AS stage, severity FROM d_issues WHERE k2 % 3000 < 300 AND k1 = 1)"
+ROUTES = "ir AS (SELECT '/r' || k2 % 30 AS route, CASE k2 % 30 % 5 WHEN 0 THEN 'landing' WHEN 1 THEN 'signup' WHEN 2 THEN 'checkout' ELSE 'retention' END AS stage, severity FROM d_issues)"
 
 
 def _stages(d: Domain):
@@ -162,7 +162,7 @@ def _stages(d: Domain):
 def _issue_routes(d: Domain):
     place = F.col("k2") % 30
     stage = F.when(place % 5 == 0, "landing").when(place % 5 == 1, "signup").when(place % 5 == 2, "checkout").otherwise("retention")
-    return d.issues.filter("k2 % 3000 < 300 AND k1 = 1").select(F.concat(F.lit("/r"), place.cast("string")).alias("route"), stage.alias("stage"), "severity")
+    return d.issues.select(F.concat(F.lit("/r"), place.cast("string")).alias("route"), stage.alias("stage"), "severity")
 
 
 STAGE_SQL = f"stages AS (SELECT stage, weight::DOUBLE AS weight FROM (VALUES {_values(STAGES)}) v(stage, weight))"
@@ -353,7 +353,7 @@ Q(
 Q("st_distinct_integrity", "SELECT scan_id, k1, k2, k3 FROM (SELECT *, row_number() OVER (PARTITION BY category, title[:60] ORDER BY scan_id, k1, k2, k3) AS n FROM d_issues) WHERE n = 1")(
     lambda d: ranking.dedup_first(d.issues.withColumn("_cut", F.substring("title", 1, 60)), ["category", "_cut"], ["scan_id", *ISSUE_ORDER]).select("scan_id", *ISSUE_ORDER)
 )
-Q("st_intersect_titles", "SELECT title, severity FROM d_issues WHERE k1 <= 2 INTERSECT SELECT title, severity FROM d_issues WHERE k1 >= 6")(lambda d: ranking.persistent(d.issues.filter("k1 >= 6"), d.issues.filter("k1 <= 2"), ["title", "severity"]))
+Q("st_intersect_titles", "SELECT title, severity FROM d_issues WHERE k1 < 4 INTERSECT SELECT title, severity FROM d_issues WHERE k1 >= 4")(lambda d: ranking.persistent(d.issues.filter("k1 >= 4"), d.issues.filter("k1 < 4"), ["title", "severity"]))
 Q("st_except_titles", "SELECT DISTINCT scan_id, title FROM d_issues WHERE k1 >= 4 AND (scan_id, title) NOT IN (SELECT scan_id, title FROM d_issues WHERE k1 < 4)")(
     lambda d: ranking.new_keys(d.issues.filter("k1 < 4"), d.issues.filter("k1 >= 4"), ["scan_id", "title"])
 )

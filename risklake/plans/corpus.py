@@ -55,11 +55,22 @@ Q(
 )(lambda d: code.module_edges(code.imports(d.code), d.code))
 Q(
     "jn_orphan_routes",
-    f"""WITH {ROUTES}, {CALLS}, r AS (SELECT DISTINCT lower(regexp_replace(path, '/:[A-Za-z0-9_]+', '/:id', 'g')) AS path FROM routes WHERE path LIKE '/api/r2%'), c AS (SELECT DISTINCT path FROM calls WHERE path LIKE '/api/r1%')
+    f"""WITH {ROUTES}, {CALLS}, r AS (SELECT DISTINCT lower(regexp_replace(path, '/:[A-Za-z0-9_]+', '/:id', 'g')) AS path FROM routes), c AS (SELECT DISTINCT path FROM calls)
     SELECT path, 'MEDIUM' AS risk FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.path = r.path OR starts_with(c.path, r.path) OR starts_with(r.path, c.path))""",
 )(
     lambda d: joins.orphan_routes(
-        code.routes(d.code).filter("path LIKE '/api/r2%'").select(fn.normalize_route(F.col("path")).alias("path")).distinct(), code.client_calls(d.code).filter("path LIKE '/api/r1%'").select("path")
+        code.routes(d.code).select(fn.normalize_route(F.col("path")).alias("path")).distinct(), code.client_calls(d.code).select("path")
+    )
+)
+PAGE_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', '')"
+HREF = 'href="([^"]+)"'
+Q(
+    "jn_orphan_routes_links",
+    f"""WITH r AS (SELECT DISTINCT {PAGE_PATH} AS path FROM pages), l AS (SELECT DISTINCT unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages)
+    SELECT path FROM r WHERE length(path) > 1 AND NOT regexp_matches(path, '^/(health|metrics|internal|admin|:id)') AND NOT EXISTS (SELECT 1 FROM l WHERE contains(link, path) OR contains(path, link))""",
+)(
+    lambda d: joins.orphan_routes_links(
+        d.table("pages").select(F.expr(PAGE_PATH).alias("path")).distinct(), d.table("pages").select(F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("path"))
     )
 )
 
@@ -91,12 +102,12 @@ Q(
 )(lambda d: rules.line_patterns(_code_lines(d), ["repo_id", "path"]))
 Q(
     "rl_project_checks",
-    """SELECT repo_id, missing FROM (SELECT repo_id, unnest([CASE WHEN NOT bool_or(regexp_matches(content, 'rate-?limit')) THEN 'rate_limit' END, CASE WHEN NOT bool_or(regexp_matches(content, 'password')) THEN 'password' END, CASE WHEN NOT bool_or(regexp_matches(content, 'pkg6')) THEN 'pkg6' END]) AS missing FROM d_code WHERE path < 'src/p3' GROUP BY repo_id) WHERE missing IS NOT NULL""",
-)(lambda d: rules.project_checks(d.code.filter("path < 'src/p3'"), {"rate_limit": "rate-?limit", "password": "password", "pkg6": "pkg6"}))
+    """SELECT repo_id, missing FROM (SELECT repo_id, unnest([CASE WHEN NOT bool_or(regexp_matches(content, 'rate-?limit')) THEN 'rate_limit' END, CASE WHEN NOT bool_or(regexp_matches(content, 'password')) THEN 'password' END, CASE WHEN NOT bool_or(regexp_matches(content, 'pkg6')) THEN 'pkg6' END]) AS missing FROM d_code GROUP BY repo_id) WHERE missing IS NOT NULL""",
+)(lambda d: rules.project_checks(d.code, {"rate_limit": "rate-?limit", "password": "password", "pkg6": "pkg6"}))
 Q(
     "jn_missing_controls",
-    """SELECT missing AS control, count(*) AS repos FROM (SELECT repo_id, unnest([CASE WHEN NOT bool_or(regexp_matches(content, 'encrypt')) THEN 'encryption' END, CASE WHEN NOT bool_or(regexp_matches(content, 'r1[0-9]/')) THEN 'audit' END]) AS missing FROM d_code WHERE path < 'src/p2' GROUP BY repo_id) WHERE missing IS NOT NULL GROUP BY 1""",
-)(lambda d: rules.project_checks(d.code.filter("path < 'src/p2'"), {"encryption": "encrypt", "audit": "r1[0-9]/"}).groupBy(F.col("missing").alias("control")).agg(F.count("*").alias("repos")))
+    """SELECT missing AS control, count(*) AS repos FROM (SELECT repo_id, unnest([CASE WHEN NOT bool_or(regexp_matches(content, 'encrypt')) THEN 'encryption' END, CASE WHEN NOT bool_or(regexp_matches(content, 'r1[0-9]/')) THEN 'audit' END]) AS missing FROM d_code GROUP BY repo_id) WHERE missing IS NOT NULL GROUP BY 1""",
+)(lambda d: rules.project_checks(d.code, {"encryption": "encrypt", "audit": "r1[0-9]/"}).groupBy(F.col("missing").alias("control")).agg(F.count("*").alias("repos")))
 Q(
     "rl_pack_scan",
     f"""WITH {CODE_LINES}, near AS (SELECT *, bool_or(regexp_matches(line, '(?i)router\\.')) OVER (PARTITION BY repo_id, path ORDER BY line_no RANGE BETWEEN 30 PRECEDING AND 29 FOLLOWING) AS r FROM lines)
@@ -135,9 +146,9 @@ FEATURES = {"login": {"frontend": "eval", "api": "router", "auth": "password", "
 Q(
     "ag_feature_reality",
     "WITH f AS ("
-    + " UNION ALL ".join(f"SELECT repo_id, '{f}' AS feature, bool_or(regexp_matches(content, '{x['frontend']}')) AS shown, ({' + '.join(f'bool_or(regexp_matches(content, {chr(39)}{p}{chr(39)}))::INT' for p in x.values())}) / 5.0 AS r FROM d_code WHERE path < 'src/p2' GROUP BY repo_id" for f, x in FEATURES.items())
+    + " UNION ALL ".join(f"SELECT repo_id, '{f}' AS feature, bool_or(regexp_matches(content, '{x['frontend']}')) AS shown, ({' + '.join(f'bool_or(regexp_matches(content, {chr(39)}{p}{chr(39)}))::INT' for p in x.values())}) / 5.0 AS r FROM d_code GROUP BY repo_id" for f, x in FEATURES.items())
     + ") SELECT repo_id, feature, CAST(floor(r * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN r >= 0.8 THEN 'verified' WHEN r >= 0.4 THEN 'partial' ELSE 'mocked' END AS status FROM f WHERE shown",
-)(lambda d: rules.feature_reality(d.code.filter("path < 'src/p2'"), FEATURES))
+)(lambda d: rules.feature_reality(d.code, FEATURES))
 
 # Scalar functions
 ALNUM = "trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -185,12 +196,12 @@ Q("fn_hick", "SELECT event_id, round(0.15 + 0.19 * log2(event_id % 50 + 1), 6) A
 # Similarity
 def _signatures(d: Domain):
     tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return similarity.signatures(d.files.filter("file_id < 1000000").select(F.col("file_id").alias("id"), "content"), tokens)
+    return similarity.signatures(d.files.filter("repo_id <> 'pages'").select(F.col("file_id").alias("id"), "content"), tokens)
 
 
 Q(
     "sm_minhash",
-    """WITH w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files WHERE file_id < 1000000), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)
+    """WITH w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files WHERE repo_id <> 'pages'), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)
     SELECT file_id AS id, min((h * 67890 + 9876) % 4294967311) AS first, min((h * (63 * 12345 + 67890) + 63 * 54321 + 9876) % 4294967311) AS last FROM h GROUP BY file_id""",
 )(lambda d: _signatures(d).select("id", F.element_at("signature", 1).alias("first"), F.element_at("signature", -1).alias("last")))
 Q("sm_similarity_pairs")(lambda d: similarity.clone_pairs(_signatures(d), 0.7))

@@ -61,7 +61,7 @@ VIEWS = {
     "d_code": """
         SELECT CAST(floor(p_partkey / 50) AS INT) AS repo_id, concat('src/p', CAST(p_partkey % 50 AS VARCHAR(10)), '.ts') AS path,
           concat('import {{ a }} from "./p', CAST(p_partkey * 7 % 60 AS VARCHAR(10)), '";', chr(10), 'import x from "pkg', CAST(p_partkey % 7 AS VARCHAR(10)), '/sub";', chr(10),
-            'router.get("/api/r', CAST(p_partkey % 30 AS VARCHAR(10)), '/:id", h);', chr(10), 'const r = await fetch("https://x.test/api/r', CAST(p_partkey % 45 AS VARCHAR(10)), '/5?x=1");', chr(10),
+            'router.get("/api/r', CAST(p_partkey % 50 AS VARCHAR(10)), '/:id", h);', chr(10), 'const r = await fetch("https://x.test/api/r', CAST(p_partkey % 45 AS VARCHAR(10)), '/5?x=1");', chr(10),
             CASE p_partkey % 4 WHEN 0 THEN 'if (a && b) {{ eval(x) }}' WHEN 1 THEN '// eval(y)' WHEN 2 THEN 'password = "hunter2hunter"' ELSE concat('const k = "Zk3mQ9xT7vLp2RwY8nBc5HdJ" + process.env.KEY_', CAST(p_partkey % 5 AS VARCHAR(10))) END, chr(10)) AS content
         FROM {part}""",
     "d_teams": """
@@ -71,7 +71,7 @@ VIEWS = {
     "d_fixes": """
         SELECT l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS fix_id, l_orderkey AS scan_id, p_name AS title,
           CASE WHEN l_returnflag = 'A' THEN 'applied' WHEN l_returnflag = 'R' THEN 'pending' ELSE 'failed' END AS status, l_shipdate AS created_at
-        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber <= 2""",
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "d_runs": """
         SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
           CAST(floor(value) AS INT) % 10 * 10 AS priority, ts AS created_at,

@@ -27,8 +27,8 @@ def _replayed(stream, mode: str):
 
 
 Q("st_progress_latest", "SELECT scan_id, last(route ORDER BY ts, event_id) AS phase, max(ts) AS seen, count(*) AS events FROM d_traffic GROUP BY scan_id")(lambda d: _replayed(st.progress_latest(_traffic(d)), "complete"))
-Q("st_owner_feed", "SELECT event_id, ts, scan_id, name AS subscriber, route FROM d_traffic JOIN d_users ON scan_id = id WHERE id % 10 = 0")(
-    lambda d: _replayed(st.owner_feed(_traffic(d), d.users.filter("id % 10 = 0").select(F.col("id").alias("scan_id"), F.col("name").alias("subscriber"))), "append")
+Q("st_owner_feed", "SELECT event_id, ts, scan_id, name AS subscriber, route FROM d_traffic JOIN d_users ON scan_id = id")(
+    lambda d: _replayed(st.owner_feed(_traffic(d), d.users.select(F.col("id").alias("scan_id"), F.col("name").alias("subscriber"))), "append")
 )
 Q("st_rate_windows", "SELECT scan_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM d_traffic GROUP BY ALL HAVING count(*) > 3")(lambda d: _replayed(st.rate_violations(_traffic(d), 3, "12 hours"), "complete"))
 Q("st_lifecycle_counts", "SELECT route, count(*) AS n FROM d_traffic GROUP BY route")(lambda d: _replayed(st.lifecycle(_traffic(d)), "complete"))

@@ -174,8 +174,8 @@ Q(
 
 
 def _reports(d: Domain):
-    one = fusion.evidence_mass(d.issues.filter("k1 = 1")).select("scan_id", "k2", "k3", "title", F.element_at("masses", 1).alias("mass"))
-    return fusion.ds_group(one, ["scan_id"], ["k2", "k3"])
+    one = fusion.evidence_mass(d.issues).select("scan_id", *ISSUE_ORDER, "title", F.element_at("masses", 1).alias("mass"))
+    return fusion.ds_group(one, ["scan_id"], ISSUE_ORDER)
 
 
 Q("sm_ds_group_fusion")(_reports)
@@ -190,7 +190,7 @@ def _counts(d: Domain):
     return aggregates.issue_counts(d.issues).withColumn("total", F.col("critical") + F.col("high") + F.col("medium") + F.col("low"))
 
 
-Q("sm_monte_carlo")(lambda d: risk.loss_simulation(_counts(d).filter("scan_id < 1500 OR critical > 2"), paths=1000))
+Q("sm_monte_carlo")(lambda d: risk.loss_simulation(_counts(d), paths=1000))
 Q(
     "fn_forecasts",
     f"""WITH {COUNTS}, s AS (SELECT scan_id, greatest(0, 100 - least(critical * 12, 55) - least(high * 5, 28) - least(medium * 2, 12) - least(low, 5)) AS s, critical AS c, high AS h, medium AS m FROM counts),

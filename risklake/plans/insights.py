@@ -28,25 +28,25 @@ Q("prj_file_hint", "SELECT DISTINCT file_path, '/src/' || stem || '.ts' AS hint
 KIND = "CASE k3 % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END"
 Q(
     "prj_issue_normalise",
-    f"""SELECT scan_id, k1, k2, k3, 'graph' AS source, {KIND} AS severity, CASE k3 % 3 WHEN 0 THEN 95 WHEN 1 THEN 85 ELSE 70 END AS confidence, CASE k3 % 3 WHEN 0 THEN 'Verified Exploit' WHEN 1 THEN 'Verified Code Risk' ELSE 'Likely Risk' END AS evidence_level FROM d_issues WHERE k1 = 1
-    UNION ALL SELECT scan_id, k1, k2, k3, 'static', severity, confidence, CASE WHEN confidence >= 95 THEN 'Verified Exploit' WHEN confidence >= 85 THEN 'Verified Code Risk' WHEN confidence >= 70 THEN 'Likely Risk' ELSE 'Advisory' END FROM d_issues WHERE k1 = 2""",
+    f"""SELECT scan_id, k1, k2, k3, 'graph' AS source, {KIND} AS severity, CASE k3 % 3 WHEN 0 THEN 95 WHEN 1 THEN 85 ELSE 70 END AS confidence, CASE k3 % 3 WHEN 0 THEN 'Verified Exploit' WHEN 1 THEN 'Verified Code Risk' ELSE 'Likely Risk' END AS evidence_level FROM d_issues WHERE k1 < 4
+    UNION ALL SELECT scan_id, k1, k2, k3, 'static', severity, confidence, CASE WHEN confidence >= 95 THEN 'Verified Exploit' WHEN confidence >= 85 THEN 'Verified Code Risk' WHEN confidence >= 70 THEN 'Likely Risk' ELSE 'Advisory' END FROM d_issues WHERE k1 >= 4""",
 )(
-    lambda d: d.issues.filter("k1 = 1")
+    lambda d: d.issues.filter("k1 < 4")
     .withColumn("severity", F.when(F.col("k3") % 3 == 0, "critical").when(F.col("k3") % 3 == 1, "high").otherwise("medium"))
     .withColumn("confidence", F.when(F.col("severity") == "critical", 95).when(F.col("severity") == "high", 85).otherwise(70))
     .withColumn("source", F.lit("graph"))
-    .unionByName(d.issues.filter("k1 = 2").withColumn("source", F.lit("static")))
+    .unionByName(d.issues.filter("k1 >= 4").withColumn("source", F.lit("static")))
     .select("scan_id", *ISSUE_ORDER, "source", "severity", "confidence", fn.evidence_level(F.col("confidence")).alias("evidence_level"))
 )
 Q(
     "jn_boundary_match",
-    f"""WITH {ROUTES}, {CALLS}, c AS (SELECT DISTINCT repo_id, path FROM calls), p AS (SELECT c.repo_id, c.path AS call, r.path AS route, string_split(ltrim(lower(c.path), '/'), '/') AS a, string_split(ltrim(lower(r.path), '/'), '/') AS b FROM c JOIN routes r ON r.repo_id = c.repo_id AND r.path < '/api/r2'),
+    f"""WITH {ROUTES}, {CALLS}, c AS (SELECT DISTINCT repo_id, path FROM calls), p AS (SELECT c.repo_id, c.path AS call, r.path AS route, string_split(ltrim(lower(c.path), '/'), '/') AS a, string_split(ltrim(lower(r.path), '/'), '/') AS b FROM c JOIN routes r ON r.repo_id = c.repo_id),
     s AS (SELECT repo_id, call, route, CASE WHEN a = b THEN 100 WHEN regexp_matches(lower(call), '^' || regexp_replace(lower(route), ':[a-z0-9_]+', '([^/]+)', 'g') || '$') THEN 90 WHEN (2 + (a[2] = b[2])::INT) / 3 > 0.6 THEN floor((2 + (a[2] = b[2])::INT) / 3 * 80 + 0.5) WHEN (a[1] = b[1])::INT + (a[2] = b[2])::INT >= 2 THEN 50 ELSE 0 END AS score FROM p)
     SELECT repo_id || ':' || call AS call_id, first(repo_id || ':' || route ORDER BY score DESC, route) AS route_id, CAST(max(score) AS INT) AS score FROM s WHERE score >= 30 GROUP BY 1""",
 )(
     lambda d: insights.boundary_match(
         code.client_calls(d.code).select(F.concat_ws(":", F.col("repo_id").cast("string"), "path").alias("call_id"), "repo_id", F.lit("GET").alias("method"), "path"),
-        code.routes(d.code).filter("path < '/api/r2'").select(F.concat_ws(":", F.col("repo_id").cast("string"), "path").alias("route_id"), "repo_id", "method", "path"),
+        code.routes(d.code).select(F.concat_ws(":", F.col("repo_id").cast("string"), "path").alias("route_id"), "repo_id", "method", "path"),
     )
 )
 Q("jn_issue_routes", "SELECT route, severity, count(*) AS n FROM d_issues JOIN (SELECT 'src/f' || i || '.ts' AS f, '/r' || i % 7 AS route FROM (SELECT unnest(range(40)) AS i)) ON file_path = f GROUP BY ALL")(
@@ -54,8 +54,8 @@ Q("jn_issue_routes", "SELECT route, severity, count(*) AS n FROM d_issues JOIN (
     .groupBy("route", "severity")
     .agg(F.count("*").alias("n"))
 )
-Q("jn_fingerprint_patterns", "SELECT p_partkey AS id, s_suppkey AS pattern, p_retailprice AS match_score FROM part JOIN supplier ON p_size = s_nationkey WHERE p_partkey % 50 = 0 ORDER BY 3 DESC")(
-    lambda d: d.table("part").filter("p_partkey % 50 = 0").join(d.table("supplier"), F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("id"), F.col("s_suppkey").alias("pattern"), F.col("p_retailprice").alias("match_score")).orderBy(F.col("match_score").desc())
+Q("jn_fingerprint_patterns", "SELECT p_partkey AS id, s_suppkey AS pattern, p_retailprice AS match_score FROM part JOIN supplier ON p_size = s_nationkey ORDER BY 3 DESC")(
+    lambda d: d.table("part").join(d.table("supplier"), F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("id"), F.col("s_suppkey").alias("pattern"), F.col("p_retailprice").alias("match_score")).orderBy(F.col("match_score").desc())
 )
 Q("jn_ltl_violations", "SELECT r.id, s.id AS scan_id, duration_ms AS violating FROM d_results r JOIN d_scans s ON r.scan_id = s.id WHERE engine_name = 'error' AND duration_ms > 50 ORDER BY duration_ms DESC, r.id LIMIT 50")(
     lambda d: d.results.filter("engine_name = 'error' AND duration_ms > 50").join(d.scans.select(F.col("id").alias("scan_id")), "scan_id").orderBy(F.col("duration_ms").desc(), "id").limit(50).select("id", "scan_id", F.col("duration_ms").alias("violating"))
@@ -95,8 +95,8 @@ Q(
 Q("ag_state_coverage", "SELECT repo_id, count(*) AS components, count(*) FILTER (contains(content, 'if (')) AS loading, floor(avg((contains(content, 'if (')::INT + contains(content, 'password')::INT) / 2) * 10000 + 0.5) / 10000 AS coverage FROM d_code GROUP BY repo_id")(
     lambda d: d.code.select("repo_id", F.col("content").contains("if (").alias("a"), F.col("content").contains("password").alias("b")).groupBy("repo_id").agg(F.count("*").alias("components"), F.count_if("a").alias("loading"), fn.half_up(F.avg((F.col("a").cast("int") + F.col("b").cast("int")) / 2), 4).alias("coverage"))
 )
-Q("ag_deep_summary", "SELECT severity, count(*) AS n FROM (SELECT severity FROM d_issues WHERE k1 = 1 UNION ALL SELECT severity FROM d_issues WHERE k1 = 2 UNION ALL SELECT 'info' FROM d_results WHERE duration_ms > 50) GROUP BY severity")(
-    lambda d: d.issues.filter("k1 = 1").select("severity").unionByName(d.issues.filter("k1 = 2").select("severity")).unionByName(d.results.filter("duration_ms > 50").select(F.lit("info").alias("severity"))).groupBy("severity").agg(F.count("*").alias("n"))
+Q("ag_deep_summary", "SELECT severity, count(*) AS n FROM (SELECT severity FROM d_issues WHERE k1 < 4 UNION ALL SELECT severity FROM d_issues WHERE k1 >= 4 UNION ALL SELECT 'info' FROM d_results WHERE duration_ms > 50) GROUP BY severity")(
+    lambda d: d.issues.filter("k1 < 4").select("severity").unionByName(d.issues.filter("k1 >= 4").select("severity")).unionByName(d.results.filter("duration_ms > 50").select(F.lit("info").alias("severity"))).groupBy("severity").agg(F.count("*").alias("n"))
 )
 Q("ag_json_fusion", "SELECT id, scan_id, CAST(json_extract_string(result, '$.k') AS INT) AS belief FROM d_results ORDER BY created_at DESC, id DESC LIMIT 20")(
     lambda d: d.results.withColumn("result", F.concat(F.lit('{"aggregate":{"overallBelief":'), F.get_json_object("result", "$.k"), F.lit("}}"))).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(20).select("id", "scan_id", F.expr("try_variant_get(parse_json(result), '$.aggregate.overallBelief', 'int')").alias("belief"))
@@ -116,6 +116,16 @@ Q("fn_data_class", "SELECT scan_id, k1, k2, k3, CASE " + " ".join(f"WHEN regexp_
 Q("fn_detect_framework", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'nextjs' WHEN s_suppkey % 3 = 0 THEN 'react' ELSE 'unknown' END AS framework FROM supplier")(
     lambda d: d.table("supplier").select(F.col("s_suppkey").alias("id"), insights.detect_framework(F.map_filter(F.create_map(F.lit("next"), F.col("s_suppkey") % 4, F.lit("react"), F.col("s_suppkey") % 3), lambda k, v: v == 0)).alias("framework"))
 )
+Q(
+    "fn_detect_tool",
+    "WITH x AS (SELECT id, lower(coalesce(business_type, '') || '-' || framework) AS name, 'src/' || coalesce(vibe_tool, '') || '/main.ts' AS paths FROM d_scans) SELECT id, CASE "
+    + " ".join(f"WHEN contains(paths, '{mark}')" + (f" OR contains(name, '{mark}')" if named else "") + f" THEN '{tool}'" for tool, mark, named in insights.TOOLS)
+    + " ELSE 'unknown' END AS tool FROM x",
+)(lambda d: d.scans.select("id", insights.detect_tool(F.concat_ws("-", F.coalesce("business_type", F.lit("")), "framework"), F.concat(F.lit("src/"), F.coalesce("vibe_tool", F.lit("")), F.lit("/main.ts"))).alias("tool")))
+Q(
+    "fn_detect_business",
+    "WITH x AS (SELECT scan_id, k1, k2, k3, lower(concat_ws(' ', file_path, description)) AS t FROM d_issues) SELECT scan_id, k1, k2, k3, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in insights.BUSINESS) + " ELSE 'unknown' END AS business FROM x",
+)(lambda d: d.issues.select("scan_id", *ISSUE_ORDER, insights.detect_business(F.col("file_path"), F.col("description")).alias("business")))
 Q(
     "fn_side_classify",
     """WITH x AS (SELECT file_id, regexp_matches(content, 'router\\.')::INT + regexp_matches(content, 'app\\.listen')::INT + regexp_matches(content, '\\brequire\\(')::INT + regexp_matches(content, 'process\\.env')::INT + CASE WHEN regexp_matches(path, '/(api|server|routes)/') THEN 2 ELSE 0 END AS b,
@@ -130,9 +140,9 @@ Q(
         d.table("events").select(F.col("event_id").alias("id"), F.array(F.when(F.col("event_type") == "error", "mock data").when(F.col("event_type") == "view", "docs only").when(F.col("event_type") == "click", "duplicate of x").otherwise("other")).alias("reasons"), (F.col("value") > 50).alias("alive"))
     )
 )
-Q("fn_line_diff", "SELECT l_orderkey * 1000000 + k AS id, '-old ' || k || chr(10) || '+new ' || k AS diff FROM (SELECT DISTINCT l_orderkey, l_partkey AS k FROM lineitem WHERE l_linenumber = 1)")(
+Q("fn_line_diff", "SELECT l_orderkey * 1000000 + k AS id, '-old ' || k || chr(10) || '+new ' || k AS diff FROM (SELECT DISTINCT l_orderkey, l_partkey AS k FROM lineitem)")(
     lambda d: insights.line_diff(
-        d.table("lineitem").filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("k")).distinct().select((F.col("l_orderkey") * 1000000 + F.col("k")).alias("id"), F.concat(F.lit("same\nold "), F.col("k").cast("string")).alias("before"), F.concat(F.lit("same\nnew "), F.col("k").cast("string")).alias("after"))
+        d.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("k")).distinct().select((F.col("l_orderkey") * 1000000 + F.col("k")).alias("id"), F.concat(F.lit("same\nold "), F.col("k").cast("string")).alias("before"), F.concat(F.lit("same\nnew "), F.col("k").cast("string")).alias("after"))
     )
 )
 Q(
@@ -283,12 +293,12 @@ Q(
 Q(
     "rl_pack_cost",
     f"""WITH {CODE_LINES}, {NODES} SELECT 'R-EVAL' AS kind, path AS subject FROM lines WHERE regexp_matches(line, '(?i)\\beval\\s*\\(') AND NOT regexp_matches(line, '^\\s*//') UNION ALL SELECT 'R-FETCH', path FROM lines WHERE regexp_matches(line, '(?i)\\bfetch\\s*\\(')
-    UNION ALL SELECT 'dead_code', CAST(id AS VARCHAR) FROM nodes WHERE NOT exported AND id NOT IN (SELECT dst FROM d_edges WHERE type IN ('calls', 'imports')) UNION ALL SELECT 'busy_api', file_path FROM d_issues WHERE k1 = 1 GROUP BY file_path HAVING count(*) > 5""",
-)(lambda d: rules.pack_cost(rules.pack_scan(_code_lines(d), ["repo_id", "path"]), graph.dead_code(_nodes(d), d.edges), d.issues.filter("k1 = 1").select(F.col("file_path").alias("path"))))
+    UNION ALL SELECT 'dead_code', CAST(id AS VARCHAR) FROM nodes WHERE NOT exported AND id NOT IN (SELECT dst FROM d_edges WHERE type IN ('calls', 'imports')) UNION ALL SELECT 'busy_api', file_path FROM d_issues GROUP BY file_path HAVING count(*) > 5""",
+)(lambda d: rules.pack_cost(rules.pack_scan(_code_lines(d), ["repo_id", "path"]), graph.dead_code(_nodes(d), d.edges), d.issues.select(F.col("file_path").alias("path"))))
 
 
 def _compliance(d: Domain):
-    paths = d.issues.filter("k1 = 1").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("scan_id", "k2", "k3")]).alias("id"), (F.col("scan_id") % 10).alias("repo"), insights.data_class(F.col("description")).alias("class"), (F.col("confidence") / 100).alias("confidence"))
+    paths = d.issues.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("scan_id", *ISSUE_ORDER)]).alias("id"), (F.col("scan_id") % 10).alias("repo"), insights.data_class(F.col("description")).alias("class"), (F.col("confidence") / 100).alias("confidence"))
     table = d.spark.createDataFrame([("R1", "pci", ["encrypt", "log"]), ("R2", "pii", ["consent", "erase", "log"])], "rule string, class string, needs array<string>")
     controls = d.issues.select((F.col("scan_id") % 10).alias("repo")).distinct().filter("repo % 2 = 0").select("repo", F.lit("log").alias("control"))
     return insights.compliance(paths, table, controls, 0.6)
@@ -296,14 +306,14 @@ def _compliance(d: Domain):
 
 Q(
     "rl_compliance",
-    """WITH x AS (SELECT concat_ws('-', scan_id, k2, k3) AS id, scan_id % 10 AS repo, CASE WHEN regexp_matches(lower(description), 'card|cvv|iban|payment') THEN 'pci' WHEN regexp_matches(lower(description), 'patient|diagnosis|medical') THEN 'phi' WHEN regexp_matches(lower(description), 'password|secret|token|api[_-]?key') THEN 'credentials' WHEN regexp_matches(lower(description), 'email|phone|address|user') THEN 'pii' END AS class FROM d_issues WHERE k1 = 1 AND confidence >= 60)
+    """WITH x AS (SELECT concat_ws('-', scan_id, k1, k2, k3) AS id, scan_id % 10 AS repo, CASE WHEN regexp_matches(lower(description), 'card|cvv|iban|payment') THEN 'pci' WHEN regexp_matches(lower(description), 'patient|diagnosis|medical') THEN 'phi' WHEN regexp_matches(lower(description), 'password|secret|token|api[_-]?key') THEN 'credentials' WHEN regexp_matches(lower(description), 'email|phone|address|user') THEN 'pii' END AS class FROM d_issues WHERE confidence >= 60)
     SELECT id, 'R1' AS rule, 0.0::DOUBLE AS covered FROM x WHERE class = 'pci' AND repo % 2 = 1 UNION ALL SELECT id, 'R2', CASE WHEN repo % 2 = 0 THEN 0.3333::DOUBLE ELSE 0 END FROM x WHERE class = 'pii'""",
 )(_compliance)
 
 
 def _udaf(d: Domain):
     fold = fusion.ds_udaf()
-    one = fusion.evidence_mass(d.issues.filter("k1 = 1")).select("scan_id", (F.col("k2") * 100_000 + F.col("k3")).alias("seq"), F.element_at("masses", 1).alias("m"))
+    one = fusion.evidence_mass(d.issues).select("scan_id", (F.col("k1") * 10_000_000_000 + F.col("k2") * 100_000 + F.col("k3")).alias("seq"), F.element_at("masses", 1).alias("m"))
     folded = one.groupBy("scan_id").agg(fold("seq", "m.v", "m.n", "m.u", "m.r").alias("f"))
     return folded.select("scan_id", F.get("f", F.lit(3)).cast("int").alias("reports"), *[fn.half_up(F.round(F.get("f", F.lit(k)), 9), 4).alias(c) for k, c in enumerate("vnu")])
 
