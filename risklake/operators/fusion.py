@@ -114,10 +114,11 @@ def ds_udaf():
 
     @pandas_udf("array<double>")
     def fold(seq: pd.Series, v: pd.Series, n: pd.Series, u: pd.Series, r: pd.Series) -> list[float]:
-        rows = pd.DataFrame({"s": seq, "v": v, "n": n, "r": r}).sort_values("s")
+        order = seq.to_numpy().argsort(kind="stable")
+        rows = zip(*(c.to_numpy()[order].tolist() for c in (v, n, r)), strict=True)
         r4 = lambda x: math.floor(round(x, 9) * 10_000 + 0.5) / 10_000
         state = None
-        for _, v1, n1, r1 in rows.itertuples(index=False):
+        for v1, n1, r1 in rows:
             b = (v1 * r1, n1 * r1, max(0.02, 1 - (v1 + n1) * r1))
             if state is None:
                 state = b
@@ -127,6 +128,6 @@ def ds_udaf():
                 state = (0.0, 0.0, 1.0)
                 continue
             state = (r4((state[0] * b[0] + state[0] * b[2] + state[2] * b[0]) / left), r4((state[1] * b[1] + state[1] * b[2] + state[2] * b[1]) / left), r4(state[2] * b[2] / left))
-        return [*map(float, state), float(len(rows))]
+        return [*map(float, state), float(len(seq))]
 
     return fold
