@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklake.llm.common import table
+from risklake.llm.common import settle, table
 
 N_SLOTS = 4096
 ROW_OVERHEAD = 8
+#: Parts of a virtual slot for which a record's position is found on its own.
+LANES = 16
 
 
 def record_size(text: Column) -> Column:
@@ -27,9 +29,9 @@ def virtual_slot(*keys: str, n_slots: int = N_SLOTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n_slots)).cast("int")
 
 
-def slot_stats(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """records(virtual_slot, size) -> one row for every slot: bytes and rows, zero where a slot is empty."""
-    held = records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+def slot_stats(records: DataFrame, n_slots: int = N_SLOTS, rows: Column | None = None) -> DataFrame:
+    """records(virtual_slot, size) -> one row for every slot: bytes and rows, zero where a slot is empty. rows: how to count them."""
+    held = records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), (F.count("*") if rows is None else rows).alias("rows"))
     every = records.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("virtual_slot"))
     return every.join(held, "virtual_slot", "left").na.fill(0, ["bytes", "rows"])
 
@@ -86,16 +88,17 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.filter(F.col("version") == version)
 
 
-def place(records: DataFrame, stats: DataFrame, shards: DataFrame, order: list) -> DataFrame:
-    """Add shard and slot, the record's position in its shard, gapless from 0.
+def place(records: DataFrame, lanes: DataFrame, shards: DataFrame, order: list) -> DataFrame:
+    """records and lanes(virtual_slot, _lane, rows) -> records with shard and slot, the record's position in its shard, gapless from 0.
 
-    Positions come from a rank within each virtual slot and the slot's offset within its shard, so no task ever holds a
-    whole shard. The broadcast table has one row per virtual slot, a constant number."""
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.join(stats, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*order))
-    placed = records.withColumn("_rank", rank).join(F.broadcast(offsets), "virtual_slot")
-    return placed.withColumn("slot", (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_offset", "_rank")
+    Positions come from a rank within each lane of a virtual slot and the lane's offset within its shard, so no task ever
+    sorts a whole slot. The broadcast table has one row per lane, a constant number."""
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "_lane").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("rows").over(before), F.lit(0))
+    offsets = lanes.join(shards, "virtual_slot").select("virtual_slot", "_lane", "shard", offset.alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "_lane").orderBy(*order))
+    placed = records.withColumn("_rank", rank).join(F.broadcast(offsets), ["virtual_slot", "_lane"])
+    return placed.withColumn("slot", (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_offset", "_rank", "_lane")
 
 
 def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, payload: list[str] | None = None) -> DataFrame:
@@ -106,9 +109,11 @@ def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, payl
         record_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         virtual_slot("doc_id", "text", n_slots=n_slots).alias("virtual_slot"),
+        F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 48), F.lit(LANES)).cast("int").alias("_lane"),
     )
-    stats = slot_stats(records.select("virtual_slot", "size"), n_slots)
-    return place(records, stats, shard_map(stats, n_shards), ["doc_id", "text_crc32", "size"])
+    lanes = settle(records.groupBy("virtual_slot", "_lane").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    shards = shard_map(slot_stats(lanes, n_slots, F.sum("rows")), n_shards)
+    return place(records, lanes, shards, ["doc_id", "text_crc32", "size"])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
