@@ -1,23 +1,24 @@
 """Line deduplication by pairwise patience alignment.
 
-1. Lines with a word are hashed. For each line the first document that has it (smallest doc_id) and the number of documents
-   are found by a grouped aggregate.
-2. A later document is paired with the first documents of its lines, so the number of pairs follows the input however
-   many documents share a line. Lines that their first document repeats pair nothing: they are not unique there, so they
-   are no anchors, and all their places for all pairs would be a product. A pair overlaps if they share a rare line (in at most `rare_docs` documents) or a run of
-   `min_block` lines in a row in both, rare or not: frequent passages are not lost.
-3. Each pair is aligned with patience diff over its shared lines: the lines unique in both are anchors, the longest
-   increasing sequence of anchors is kept, and each anchor grows up and down over equal neighbours.
-4. Aligned blocks of `min_block` lines, or of `min_chars` characters, are deleted from the later document. A line's first
+1. Exact copies of a text are settled first, by its hash: the first document (smallest doc_id) keeps it, all lines of the others go.
+2. Lines with a word, and runs of `min_block` of them, are hashed to keys. For each key a grouped aggregate finds its first
+   document, the first document that has it only once, and the number of documents.
+3. A later document is paired with the first document that has a key only once, so the number of pairs follows the input
+   however many documents share a key; and whatever block a later document shares with any earlier one, each of its runs has a
+   first holder that has the whole run. A pair overlaps if they share a rare line (in at most `rare_docs` documents) or a run.
+4. Each pair is aligned with patience diff over its keys: those unique in both are anchors, the longest increasing sequence of
+   anchors is kept, and each grows up and down over equal neighbours.
+5. Aligned blocks of `min_block` lines, or of `min_chars` characters, are deleted from the later document. A line's first
    document never loses that line.
+6. Lines that the earlier document repeats are no anchors, but they fill: where shared lines are left beside a block, both
+   documents are compared line by line from the block on.
 
-Skew. A frequent line's rows are reduced before they are shuffled (partial aggregates), and the join that brings each
-line its first document is one that Spark splits where a key is skewed. Pairs are streamed, sorted, through the tasks;
-one pair's shared lines are held at a time.
+Skew. A frequent key's rows are reduced before they are shuffled (partial aggregates), and the join that brings each
+key its documents is one that Spark splits where a key is skewed. One later document's keys are held at a time.
 
 Cases. A null or empty text has no lines with words and is never changed. Lines without a word are never compared nor
 deleted on their own. Documents are told apart by doc_id and text; rows that repeat whole are one document and get the
-same result; a null doc_id comes first. An empty table gives no rows. Lines are compared by their 64-bit hashes.
+same result; a null doc_id comes first. An empty table gives no rows. Lines, runs and texts are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,26 +28,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklake.llm.common import settle, table
+from risklake.llm.common import settle, settle_as_table, table
+from risklake.llm.wordhash import mix
 
 RARE_DOCS = 50
 MIN_BLOCK = 2
 MIN_CHARS = 80
+#: Lines that a task turns to keys at a time, and an odd number to chain the hashes of a run's lines.
+GROUP_LINES = 200_000
+CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, dkey, place (of the line in the text, from 0), rank (among its lines with a word), line (hash), chars."""
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), F.split("text", "\n", -1).alias("lines"))
-    placed = F.filter(
-        F.transform("lines", lambda line, k: F.struct(k.alias("place"), F.xxhash64(line).alias("line"), F.length(line).alias("chars"), line.rlike(r"[^\x20\x09-\x0D]").alias("said"))),
-        lambda x: x["said"],
-    )
-    rows = keyed.select("doc_id", "dkey", F.posexplode(placed).alias("rank", "x"))
-    return rows.select("doc_id", "dkey", "x.place", "rank", "x.line", "x.chars")
+def said_lines() -> Column:
+    """Array of the text's lines with a word: place (from 0), line (hash), chars."""
+    placed = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct(k.alias("place"), F.xxhash64(line).alias("line"), F.length(line).alias("chars"), line.rlike(r"[^\x20\x09-\x0D]").alias("said")))
+    return F.transform(F.filter(placed, lambda x: x["said"]), lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["chars"].alias("chars")))
+
+
+def _keys(min_block: int, names: list[str]):
+    """Rows doc_id, dkey, weight, lines -> a row per line (kind 0) and per run of min_block lines (kind 1): its key, how often its
+    document has it (times) and, at its first line, rank, place and chars. A document's shares of a key add up to its weight."""
+
+    def group(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        flat = batch.column("lines").flatten()
+        hashes = pc.struct_field(flat, "line").to_numpy(zero_copy_only=False).view(np.uint64)
+        place, chars = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(np.int32) for c in ("place", "chars"))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        weight = batch.column("weight").to_numpy(zero_copy_only=False)
+        for kind, width in enumerate([1, min_block] if min_block > 1 else [1]):
+            at = np.flatnonzero(rank + width <= sizes[owner])
+            if not len(at):
+                continue
+            key = hashes[at]
+            for k in range(1, width):
+                key = mix(key * CHAIN + hashes[at + k])
+            order = np.lexsort((key, owner[at]))
+            new = np.ones(len(at), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (owner[at][order][1:] != owner[at][order][:-1])
+            times = np.empty(len(at), np.int32)
+            times[order] = np.diff([*np.flatnonzero(new), len(at)])[np.cumsum(new) - 1]
+            rows = pa.array(owner[at])
+            made = [pa.array(key.view(np.int64)), pa.array(np.full(len(at), kind, np.int8)), batch.column("doc_id").take(rows), batch.column("dkey").take(rows)]
+            made += [pa.array(weight[owner[at]] / times), pa.array(times), pa.array(rank[at].astype(np.int32)), pa.array(place[at]), pa.array(chars[at])]
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("lines")).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                upto = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + GROUP_LINES, side="right")))
+                yield from group(batch.slice(first, upto - first), sizes[first:upto])
+                first = upto
+
+    return run
 
 
 def _anchors(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -71,64 +112,116 @@ def _anchors(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list
     return path[::-1]
 
 
-def aligned_blocks(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Aligned common blocks as [first, last] indices into b, the later document's shared lines. Neighbours must have neighbouring
-    ranks in both documents; blocks grow from the anchors and never cross the next one."""
-    path = _anchors(a, b, x, y)
-    blocks: list[tuple[int, int]] = []
-    done_a = done_b = -1
-    for k, (i, j) in enumerate(path):
-        if j <= done_b:
-            continue
-        limit = path[k + 1] if k + 1 < len(path) else (len(a), len(b))
-        up = 0
-        while i - up - 1 > done_a and j - up - 1 > done_b and a[i - up - 1] == b[j - up - 1] and x[i - up] - x[i - up - 1] == 1 and y[j - up] - y[j - up - 1] == 1:
-            up += 1
-        down = 0
-        while i + down + 1 < len(a) and j + down + 1 < len(b) and a[i + down + 1] == b[j + down + 1] and x[i + down + 1] - x[i + down] == 1 and y[j + down + 1] - y[j + down] == 1:
-            down += 1
-            if (i + down, j + down) == limit and k + 1 < len(path):
-                k += 1
-                limit = path[k + 1] if k + 1 < len(path) else (len(a), len(b))
-        blocks.append((j - up, j + down))
-        done_a, done_b = i + down, j + down
+def aligned_blocks(keys: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int]]:
+    """Aligned common blocks of a pair: rank in the first document, rank in the later one, lines. Each of keys stands for size lines,
+    once in the first document (at x) and in the later one at y. Blocks grow from the anchors and never cross the next one."""
+    by_x, by_y = np.lexsort((size, x)), np.lexsort((size, y))
+    by_x = by_x[np.sort(np.unique(keys[by_x], return_index=True)[1])]
+    path = [by_y[j] for _, j in _anchors(keys[by_x], keys[by_y], x[by_x], y[by_y])]
+    points = {(p + k, q + k) for p, q, n in zip(x.tolist(), y.tolist(), size.tolist(), strict=True) for k in range(n)}
+    seeds: list[tuple[int, int, int]] = []
+    for p, q, n in zip(x[path].tolist(), y[path].tolist(), size[path].tolist(), strict=True):
+        skip = 0
+        if seeds:
+            u, v, m = seeds[-1]
+            if p - q == u - v and q <= v + m:
+                seeds[-1] = (u, v, max(m, q + n - v))
+                continue
+            skip = max(0, u + m - p, v + m - q)
+        if skip < n:
+            seeds.append((p + skip, q + skip, n - skip))
+    blocks: list[tuple[int, int, int]] = []
+    for k, (p, q, n) in enumerate(seeds):
+        u, v, m = blocks[-1] if blocks else (0, 0, 0)
+        while p > u + m and q > v + m and (p - 1, q - 1) in points:
+            p, q, n = p - 1, q - 1, n + 1
+        end_p, end_q = seeds[k + 1][:2] if k + 1 < len(seeds) else (np.inf, np.inf)
+        while p + n < end_p and q + n < end_q and (p + n, q + n) in points:
+            n += 1
+        if blocks and p - q == u - v and q == v + m:
+            blocks[-1] = (u, v, m + n)
+        else:
+            blocks.append((p, q, n))
     return blocks
 
 
+GONE = T.StructType(
+    [
+        T.StructField("later", T.LongType()),
+        T.StructField("first", T.LongType()),
+        T.StructField("x", T.IntegerType()),
+        T.StructField("step", T.IntegerType()),
+        T.StructField("lines", T.ArrayType(T.LongType())),
+        T.StructField("places", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
 def _align(min_block: int, min_chars: int, rare_docs: int):
-    """Rows sorted by later, first, side and rank -> later, place of the lines to delete. side 0: the first document's, 1: the later's."""
+    """Rows sorted by later -> GONE. Without first: places of the lines to delete. With first: lines left beside a block, from it
+    away, with their places; they go as far as they equal those of first from rank x on, in direction step."""
 
-    def pair(rows: dict[str, np.ndarray]) -> np.ndarray:
-        later = rows["side"] == 1
-        a, b, x, y = rows["line"][~later], rows["line"][later], rows["rank"][~later], rows["rank"][later]
-        place, chars, docs = rows["place"][later], rows["chars"][later], rows["docs"][later]
-        kept = aligned_blocks(a, b, x, y)
-        overlap = (docs <= rare_docs).any() or any(j - i + 1 >= min_block for i, j in kept)
-        gone = [place[i : j + 1] for i, j in kept if overlap and (j - i + 1 >= min_block or chars[i : j + 1].sum() >= min_chars)]
-        return np.concatenate(gone) if gone else np.empty(0, np.int32)
+    def document(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
+        order = np.lexsort((rows["kind"], rows["rank"]))
+        kind, rank = rows["kind"][order], rows["rank"][order]
+        once = np.ones(len(order), bool)
+        once[1:] = (kind[1:] != kind[:-1]) | (rank[1:] != rank[:-1])
+        rows = {c: v[order][once] for c, v in rows.items()}
+        single = rows["kind"] == 0
+        rank, line, place, chars, docs = (rows[c][single] for c in ("rank", "key", "place", "chars", "docs"))
+        gone = np.zeros(len(rank), bool)
+        meets = np.flatnonzero(rows["met"])
+        meets = meets[np.argsort(rows["first"][meets], kind="stable")]
+        first = rows["first"][meets]
+        cuts = [*np.flatnonzero(np.diff(first, prepend=first[:1] - 1)).tolist(), len(meets)] if len(meets) else [0]
+        kept = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own = meets[i:j]
+            size = np.where(rows["kind"][own] == 0, 1, min_block)
+            blocks = aligned_blocks(rows["key"][own], rows["x"][own], rows["rank"][own], size) if len(own) > 1 else [(int(rows["x"][own[0]]), int(rows["rank"][own[0]]), int(size[0]))]
+            rare = (docs[np.searchsorted(rank, rows["rank"][own])] <= rare_docs).any()
+            overlap = rare or any(n >= min_block for _, _, n in blocks)
+            for _, q, n in blocks:
+                at = int(np.searchsorted(rank, q))
+                if overlap and (n >= min_block or chars[at : at + n].sum() >= min_chars):
+                    gone[at : at + n] = True
+            kept.append((int(first[i]), blocks))
+        yield None, 0, 0, line[:0], place[gone]
+        if gone.all():
+            return
+        for one, blocks in kept:
+            for k, (p, q, n) in enumerate(blocks):
+                if n < min_block:
+                    continue
+                at = int(np.searchsorted(rank, q))
+                up, down = at, at + n
+                while down < len(rank) and not gone[down] and rank[down] == q + down - at and (k + 1 == len(blocks) or p + down - at < blocks[k + 1][0]):
+                    down += 1
+                while up > 0 and not gone[up - 1] and rank[up - 1] == q + up - 1 - at and p + up - 1 - at >= (blocks[k - 1][0] + blocks[k - 1][2] if k else 0):
+                    up -= 1
+                if down > at + n:
+                    yield one, p + n, 1, line[at + n : down], place[at + n : down]
+                if up < at:
+                    yield one, p - 1, -1, line[up:at][::-1], place[up:at][::-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def work(rows: pa.Table) -> pa.RecordBatch:
-            columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
-            new = np.ones(rows.num_rows, bool)
-            new[1:] = (columns["later"][1:] != columns["later"][:-1]) | (columns["first"][1:] != columns["first"][:-1])
-            cuts = [*np.flatnonzero(new).tolist(), rows.num_rows]
-            later, places = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                gone = pair({c: v[i:j] for c, v in columns.items()})
-                later.append(np.full(len(gone), columns["later"][i]))
-                places.append(gone.astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(later)), pa.array(np.concatenate(places))], names=["later", "place"])
+            met = rows.column("first").is_valid().to_numpy()
+            columns = {c: rows.column(c).fill_null(0).to_numpy() for c in rows.column_names} | {"met": met}
+            later = columns.pop("later")
+            cuts = [*np.flatnonzero(np.diff(later, prepend=later[:1] - 1)).tolist(), rows.num_rows]
+            made = [(later[i], *found) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for found in document({c: v[i:j] for c, v in columns.items()})]
+            return pa.RecordBatch.from_arrays([pa.array([row[k] for row in made], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())])], names=GONE.names)
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([held, rows]) if held is not None else rows
-            later, first = rows.column("later").to_numpy(), rows.column("first").to_numpy()
-            if not len(later):
-                continue
-            last = np.flatnonzero((later != later[-1]) | (first != first[-1]))
+            later = rows.column("later").to_numpy()
+            last = np.flatnonzero(later != later[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             held = rows.slice(cut)
             if cut:
@@ -140,23 +233,40 @@ def _align(min_block: int, min_chars: int, rare_docs: int):
 
 
 def deletions(docs: DataFrame, min_block: int = MIN_BLOCK, min_chars: int = MIN_CHARS, rare_docs: int = RARE_DOCS) -> DataFrame:
-    """docs(doc_id, text) -> dkey, places (of the lines to delete)."""
-    lines = document_lines(docs)
-    once = lines.groupBy("line", "doc_id", "dkey").agg(F.count("*").alias("times"))
-    shared = once.groupBy("line").agg(F.min(F.struct("doc_id", "dkey", "times")).alias("owner"), F.count("*").alias("docs"))
-    shared = shared.filter((F.col("docs") > 1) & (F.col("owner.times") == 1))
-    # A table of its own, so that the join's shuffles feed nothing but the join and Spark can split a frequent line.
-    shared = settle(shared.select("line", F.col("owner.dkey").alias("first"), "docs"))
-    met = lines.select("dkey", "place", "rank", "line", "chars").join(shared, "line")
-    theirs = met.filter(F.col("dkey") != F.col("first")).select(F.col("dkey").alias("later"), "first", F.lit(1).cast("byte").alias("side"), "rank", "place", "line", "chars", F.col("docs").cast("long"))
-    # The first document's places of the lines that each pair shares: from the line, to the pairs that have it.
-    owned = met.filter(F.col("dkey") == F.col("first")).select("line", "rank", "place", "chars", F.col("docs").cast("long"))
-    wanted = theirs.select("later", "first", "line").distinct()
-    ours = wanted.join(owned, "line").select("later", "first", F.lit(0).cast("byte").alias("side"), "rank", "place", "line", "chars", "docs")
-    pairs = theirs.unionByName(ours).repartition("later").sortWithinPartitions("later", "first", "side", "rank")
-    schema = T.StructType([T.StructField("later", T.LongType()), T.StructField("place", T.IntegerType())])
-    gone = pairs.mapInArrow(_align(min_block, min_chars, rare_docs), schema)
-    return gone.groupBy(F.col("later").alias("dkey")).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    """docs(doc_id, text) -> dkey, places (of the lines to delete; null for an exact copy, whose lines go all)."""
+    keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), F.xxhash64("text").alias("tkey"), "text")
+    once = settle(keyed.groupBy("tkey", "doc_id", "dkey").agg(F.count("*").alias("times")))
+    kept = once.groupBy("tkey").agg(F.min(F.struct("doc_id", "dkey", "times")).alias("keeper"), F.count("*").alias("docs"))
+    # Repeated rows of a keeper and its copies count as one document each.
+    kept = settle(kept.select(F.col("keeper.dkey").alias("dkey"), (F.col("docs") / F.col("keeper.times")).alias("weight")))
+    texts = keyed.select("doc_id", "dkey", said_lines().alias("lines")).filter(F.size("lines") > 0)
+    texts = settle_as_table(texts.join(kept.hint("shuffle_hash"), "dkey").select("doc_id", "dkey", "weight", "lines"), "lines")
+
+    names = ["key", "kind", "doc_id", "dkey", "share", "times", "rank", "place", "chars"]
+    types = [T.LongType(), T.ByteType(), docs.schema["doc_id"].dataType, T.LongType(), T.DoubleType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.IntegerType()]
+    rows = texts.mapInArrow(_keys(min_block, names), T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
+    sole = F.min(F.when(F.col("times") == 1, F.struct("doc_id", "dkey", "rank")))
+    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "dkey")).alias("holder"), sole.alias("sole"), F.round(F.sum("share")).cast("long").alias("docs"), (F.min("dkey") != F.max("dkey")).alias("met"))
+    # A table of its own, so that the join's shuffles feed nothing but the join and Spark can split a frequent key.
+    shared = settle(shared.filter("met").drop("met"))
+    me = F.struct("doc_id", "dkey")
+    earlier = F.struct(F.col("sole.doc_id").alias("doc_id"), F.col("sole.dkey").alias("dkey")) < me
+    met = rows.select("key", "kind", "doc_id", "dkey", "rank", "place", "chars").join(shared, "key").filter(F.col("holder") < me)
+    met = met.withColumn("first", F.when(F.col("sole").isNotNull() & earlier, F.col("sole.dkey"))).filter(F.col("first").isNotNull() | (F.col("kind") == 0))
+    pairs = met.select(F.col("dkey").alias("later"), "first", F.col("sole.rank").alias("x"), "kind", "rank", "key", "place", "chars", "docs").repartition("later").sortWithinPartitions("later")
+    found = settle_as_table(pairs.mapInArrow(_align(min_block, min_chars, rare_docs), GONE), "blocks")
+
+    gone = found.filter(F.col("first").isNull() & (F.size("places") > 0)).select("later", "places")
+    beside = found.filter(F.col("first").isNotNull())
+    if not beside.isEmpty():
+        theirs = texts.select(F.col("dkey").alias("first"), F.col("lines.line").alias("_theirs"))
+        same = F.transform("lines", lambda line, k: F.get("_theirs", F.col("x") + F.col("step") * k).eqNullSafe(line))
+        until = F.array_position(same, False).cast("int")
+        fills = beside.join(theirs, "first").select("later", "places", F.when(until == 0, F.size("places")).otherwise(until - 1).alias("n"))
+        gone = gone.unionByName(fills.filter("n > 0").select("later", F.slice("places", 1, F.col("n")).alias("places")))
+    gone = gone.groupBy(F.col("later").alias("dkey")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    copies = once.join(kept, "dkey", "left_anti").select("dkey", F.lit(None).cast("array<int>").alias("places"))
+    return gone.unionByName(copies)
 
 
 def deduplicate_lines(docs: DataFrame, **options: int) -> DataFrame:
@@ -165,11 +275,15 @@ def deduplicate_lines(docs: DataFrame, **options: int) -> DataFrame:
     gone = deletions(docs, **options).withColumnRenamed("dkey", "_dkey").hint("shuffle_hash")
     joined = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_key")).join(gone, F.col("_key") == F.col("_dkey"), "left")
     lines = F.split("text", "\n", -1)
-    at = F.coalesce("places", F.array().cast("array<int>"))
+    # An exact copy is one block of all its lines.
+    block = F.when(F.col("_dkey").isNotNull() & F.col("places").isNull(), said_lines())
+    total = F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    whole = F.when((F.size(block) >= options.get("min_block", MIN_BLOCK)) | (total >= options.get("min_chars", MIN_CHARS)), block["place"])
+    at = F.col("_at")
     # Places are sorted and walked along with the lines: between two deleted places a slice of lines stays.
     edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: F.slice(F.col("_lines"), F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)))
-    with_lines = joined.withColumn("_lines", lines)
+    with_lines = joined.withColumn("_lines", lines).withColumn("_at", F.coalesce("places", whole, F.array().cast("array<int>")))
     text = F.when(F.size(at) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     others = [c for c in columns if c != "text"]
     made = with_lines.select(*others, text.alias("text"), F.coalesce(F.when(F.size("_lines") >= 0, F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_deleted"))

@@ -43,3 +43,18 @@ def test_messy_rows_and_empty(spark):
     assert by_id[5]["n_deleted"] == 400 and by_id[5]["text"] == "" and by_id[4]["n_deleted"] == 0 and by_id[9]["n_deleted"] == 6 and by_id[1]["text"] is None
     assert [r["n_deleted"] for r in out if r["doc_id"] == 6] == [0, 0]
     assert lines.deduplicate_lines(empty(spark)).count() == 0
+
+
+def test_an_exact_copy_behind_partial_sources_ends_empty(spark):
+    said = [f"line {k} of the copied text" for k in range(8)]
+    text = "\n".join(said)
+    rows = [(1, "own one\n" + "\n".join(said[::2])), (2, "own two\n" + "\n".join(said[1::2])), (3, text), (4, text), (5, "own five\n" + text + "\nown end")]
+    got = kept(spark, rows, min_chars=10**6)
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: text, 4: "", 5: "own five\nown end"}
+
+
+def test_repeated_lines_fill_the_blocks_around_them(spark):
+    text = "\n".join(["start of it", "x x", "x x", "x x", "y y", "x x", "y y", "x x", "y y", "x x", "x x", "the middle", "x x", "y y", "x x", "y y"])
+    rows = [(1, text), (2, text), (3, f"own three\n{text}\nown end"), (4, "x x\nx x"), (5, "x x\nx x")]
+    got = kept(spark, rows, min_chars=10**6)
+    assert got == {1: text, 2: "", 3: "own three\nown end", 4: "x x\nx x", 5: ""}
