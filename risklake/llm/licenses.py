@@ -1,20 +1,21 @@
 """License scans over a positional index of rare template words.
 
 Templates are tokenised into an index from word to (template, position) postings. A first pass counts, over all documents,
-in how many each template word occurs. In the second pass every document looks up its highest-IDF template words (those in
-at most `max_share` of the documents), each occurrence votes for the relative positions document place - template place,
-and the best place of each template is verified: its mandatory key phrases must stand there, and the share of template
-words that match, weighted by IDF, must reach `min_score`. Base phrases are found at all places, rare or not.
+in how many each template word occurs. Each template keeps postings of its rarest words only: as many as weigh, by IDF, more
+than the 1 - MIN_SCORE that a place may miss. So every place that can reach MIN_SCORE has one of them, however common the
+template is. In the second pass each occurrence of such a word proposes the relative place document place - template place,
+and all proposed places are verified: the template's mandatory key phrases must stand there, and the share of template
+words that match, weighted by IDF, must reach MIN_SCORE. Base phrases are found at all places, rare or not.
 
 Bounds. Index and counts have one entry per template word; templates beyond MAX_TEMPLATE_WORDS words are refused.
 
 Cases. A null or empty text has no words, no labels and score 0. Rows that repeat whole are scanned each. An empty table
-gives no rows. Equal votes go to the earlier place. Columns of the documents that bear one of the output's names are replaced.
+gives no rows. Columns of the documents that bear one of the output's names are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +30,9 @@ from risklake.llm.decontaminate import Index
 from risklake.llm.wordhash import Words, alphanumeric_table, text_groups
 
 MAX_TEMPLATE_WORDS = 200_000
-TOP_WORDS = 16
-MAX_SHARE = 0.05
 MIN_SCORE = 0.6
+#: Words compared at a time when a template's places are verified.
+COMPARED = 1_000_000
 #: A base phrase without a verified template.
 BASE_SCORE = 0.5
 
@@ -93,7 +94,7 @@ TEMPLATES = (
 
 
 class Lexicon:
-    """The templates' words with their hashes, sorted by hash, and each word's postings."""
+    """The templates' words with their hashes, sorted by hash, and each template as a sequence of them."""
 
     def __init__(self, templates: tuple[Template, ...]):
         self.templates = templates
@@ -107,10 +108,6 @@ class Lexicon:
         self.hashes, self.vocabulary = hashes[order], [vocabulary[k] for k in order]
         number = {w: k for k, w in enumerate(self.vocabulary)}
         self.sequences = [np.array([number[w] for w in words]) for words in self.words]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.sequences):
-            for q, w in enumerate(words.tolist()):
-                self.postings[w].append((t, q))
 
     def find(self, words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the chosen vocabulary words (sorted numbers) in a group of documents."""
@@ -163,34 +160,50 @@ class Matcher:
     def __init__(self, lexicon: Lexicon, n_docs: int, frequencies: np.ndarray):
         self.lexicon = lexicon
         self.idf = np.log((n_docs + 1) / (frequencies + 1)) + 1e-9
-        self.rare = np.flatnonzero(frequencies <= max(1.0, MAX_SHARE * n_docs))
+        #: For each template, positions of its rarest words: without all of them no place reaches MIN_SCORE.
+        self.rare = []
+        for words in lexicon.sequences:
+            weights = self.idf[words]
+            order = np.argsort(-weights, kind="stable")
+            missed = np.cumsum(weights[order]) / weights.sum()
+            self.rare.append(order[: int(np.searchsorted(missed, 1 - MIN_SCORE + 1e-6, side="right")) + 1])
         self.base = Index([(label, phrase) for phrase, label in BASE], 10)
         keys = sorted({k for t in lexicon.templates for k in t.keys})
         self.keys = Index([(k, k) for k in keys], 10)
 
     def document(self, places: np.ndarray, numbers: np.ndarray, keys: list[tuple[int, int, str]], words: Words, first: int, last: int) -> list[tuple[str, float]]:
-        """Labels and scores of one document, its words first to last - 1, from its rare words' places and its key phrases' places."""
-        best = sorted(set(numbers.tolist()), key=lambda w: (-self.idf[w], w))[:TOP_WORDS]
-        votes: Counter = Counter()
-        for place, number in zip(places.tolist(), numbers.tolist(), strict=True):
-            if number in best:
-                for t, q in self.lexicon.postings[number]:
-                    votes[t, place - q] += self.idf[number]
-        at: dict[int, tuple[float, int]] = {}
-        for (t, offset), weight in votes.items():
-            at[t] = max(at.get(t, (0.0, 0)), (weight, -offset))
+        """Labels and scores of one document, its words first to last - 1, from its template words' places and its key phrases' places."""
+        stands: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for a, b, phrase in sorted(keys):
+            stands[phrase].append((a, b))
+        at = np.full(last - first, -1, np.int64)
+        at[places - first] = numbers
         found = []
-        for t, (_, minus) in at.items():
-            template, offset = self.lexicon.templates[t], -minus
-            said, length = self.lexicon.words[t], len(self.lexicon.words[t])
-            stands = {phrase for a, b, phrase in keys if a >= offset - length and b <= offset + 2 * length}
-            if not stands.issuperset(template.keys):
+        for template, said, sequence, rare in zip(self.lexicon.templates, self.lexicon.words, self.lexicon.sequences, self.rare, strict=True):
+            if not all(phrase in stands for phrase in template.keys):
                 continue
-            weights = self.idf[self.lexicon.sequences[t]]
-            same = np.array([first <= offset + q < last and words.word(offset + q) == w for q, w in enumerate(said)])
-            score = float(weights[same].sum() / weights.sum())
-            if score >= MIN_SCORE:
-                found.append((template.label, score))
+            length = len(sequence)
+            offsets = np.unique(np.concatenate([places[numbers == sequence[q]] - q for q in rare]))
+            for phrase in template.keys:
+                starts, ends = np.array(stands[phrase]).T
+                next_one = np.minimum(np.searchsorted(starts, offsets - length), len(starts) - 1)
+                offsets = offsets[(starts[next_one] >= offsets - length) & (ends[next_one] <= offsets + 2 * length)]
+            weights = self.idf[sequence]
+            scores = [np.empty(0)]
+            for k in range(0, len(offsets), max(1, COMPARED // length)):
+                here = offsets[k : k + max(1, COMPARED // length), None] + np.arange(length) - first
+                same = (here >= 0) & (here < len(at)) & (at[np.clip(here, 0, len(at) - 1)] == sequence)
+                scores.append((same * weights).sum(axis=1) / weights.sum())
+            scores = np.concatenate(scores)
+            for k in np.argsort(-scores, kind="stable").tolist():
+                if scores[k] < MIN_SCORE - 1e-6:
+                    break
+                offset = int(offsets[k])
+                same = np.array([first <= offset + q < last and words.word(offset + q) == w for q, w in enumerate(said)])
+                score = float(weights[same].sum() / weights.sum())
+                if score >= MIN_SCORE:
+                    found.append((template.label, score))
+                    break
         return found
 
 
@@ -221,7 +234,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
                 keys = defaultdict(list)
                 for row, a, b, item in zip((np.searchsorted(words.docs, starts, side="right") - 1).tolist(), starts.tolist(), (starts + sizes).tolist(), named, strict=True):
                     keys[row].append((a, b, match.keys.items[item]))
-                places, numbers = match.lexicon.find(words, match.rare)
+                places, numbers = match.lexicon.find(words, np.arange(len(match.lexicon.vocabulary)))
                 rows = np.searchsorted(words.docs, places, side="right") - 1
                 for row in sorted(keys):  # a document without any key phrase has no template to verify
                     own = slice(*np.searchsorted(rows, [row, row + 1]))

@@ -36,5 +36,22 @@ def test_templates_are_found_at_their_place_and_verified(spark):
     assert got[103] == ("cc-by", licenses.BASE_SCORE)
 
 
+def test_common_licences_keep_their_labels(spark):
+    notices = {t.label: t.text for t in licenses.TEMPLATES if t.label in ("mit", "gpl-3.0", "bsd", "apache-2.0")}
+    rows = [(k, f"own words {k} {notices[label]}" if k % 3 == 0 else f"plain words number {k}", label) for k in range(90) for label in [sorted(notices)[k // 3 % 2]]]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    assert all(got[k]["label"] in got[k]["labels"].split(",") and got[k]["score"] == 1 for k in range(0, 90, 3))
+    assert all(got[k]["labels"] == "" for k in range(90) if k % 3)
+
+
+def test_a_document_with_four_licences_has_four_labels(spark):
+    wanted = ["mit", "bsd", "apache-2.0", "mpl-2.0"]
+    apache = "licensed under the apache license version 2 0"
+    notices = [apache if label == "apache-2.0" else max((t.text for t in licenses.TEMPLATES if t.label == label), key=len) for label in wanted]
+    rows = [(k, f"plain words number {k} {apache if k < 12 else ''}") for k in range(500)] + [(500, " and then more text follows ".join(notices))]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(wanted) <= set(got[500].split(","))
+
+
 def test_empty(spark):
     assert licenses.scan(empty(spark)).count() == 0
