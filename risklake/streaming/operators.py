@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from risklake.functions.scalars import half_up
+from risklake.sources.lineage import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -22,13 +23,26 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet")
 
 
 def replay(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote, for tests and batch comparison."""
+    """Run a stream over all that is there and return what it wrote, for tests and batch comparison. Rows, state and offsets go to a
+    fresh folder in the shared one; no row reaches the driver. In complete mode the last batch has all rows."""
     spark = stream.sparkSession
-    name = f"replay_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    done: list[str] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        # A batch that is run again replaces its own rows.
+        rows.write.mode("overwrite").parquet(f"{at}/batch-{batch}")
+        done.append(f"{at}/batch-{batch}")
+
+    if mode == "append":
+        spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows")
+        writer.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    writer.foreachBatch(write).start().awaitTermination()
+    kept = sorted(set(done)) if mode == "update" else done[-1:]
+    return spark.read.schema(stream.schema).parquet(*kept) if kept else spark.createDataFrame([], stream.schema)
 
 
 def progress_latest(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
