@@ -36,20 +36,23 @@ def clone_pairs(sigs: DataFrame, threshold: float = 0.7, rows: int = 2) -> DataF
     return near.unionByName(copies).withColumn("kind", kind)
 
 
-def clone_groups(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Connected groups of pairs: every id with the smallest one it can reach."""
-    edges = pairs.select("id", "other")
-    both = cut(edges.unionByName(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
-    label = cut(both.select("id").distinct().withColumn("root", F.col("id")))
+def clone_groups(pairs: DataFrame) -> DataFrame:
+    """Connected groups of pairs: every id with the smallest one it can reach. Alternating star contractions until nothing changes;
+    rounds grow with the logarithm of the longest chain."""
+    edges = cut(pairs.filter("id <> other").select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("root")).distinct())
     total = None
-    for _ in range(max_rounds):
-        passed = both.join(label.withColumnRenamed("id", "other"), "other").select("id", "root")
-        label = cut(label.unionByName(passed).groupBy("id").agg(F.min("root").alias("root")))
-        now = label.agg(F.sum("root")).first()[0]
+    while True:
+        both = edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root")))
+        least = both.groupBy("id").agg(F.least(F.min("root"), F.min("id")).alias("_least"))
+        large = both.join(least, "id").filter("root > id").select(F.col("root").alias("id"), F.col("_least").alias("root")).distinct()
+        least = large.groupBy("id").agg(F.min("root").alias("_least"))
+        small = large.join(least, "id").filter("root <> _least").select(F.col("root").alias("id"), F.col("_least").alias("root"))
+        edges = cut(small.unionByName(least.select("id", F.col("_least").alias("root"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first()
         if now == total:
             break
         total = now
-    return label
+    return edges.unionByName(edges.select(F.col("root").alias("id"), "root").distinct())
 
 
 def merkle_roots(lines: DataFrame, max_levels: int = 60) -> DataFrame:

@@ -194,18 +194,23 @@ Q("fn_hick", "SELECT event_id, round(0.15 + 0.19 * log2(event_id % 50 + 1), 6) A
 )
 
 # Similarity
-def _signatures(d: Domain):
+def _signatures(files):
     tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return similarity.signatures(d.files.filter("repo_id <> 'pages'").select(F.col("file_id").alias("id"), "content"), tokens)
+    return similarity.signatures(files.select(F.col("file_id").alias("id"), "content"), tokens)
+
+
+def _told_apart(d: Domain):
+    """All files; pages, whose ids start at 1000000 and meet documents' ids there, count down from -1."""
+    return d.files.withColumn("file_id", F.when(F.col("repo_id") == "pages", 999_999 - F.col("file_id")).otherwise(F.col("file_id")))
 
 
 Q(
     "sm_minhash",
     """WITH w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files WHERE repo_id <> 'pages'), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)
     SELECT file_id AS id, min((h * 67890 + 9876) % 4294967311) AS first, min((h * (63 * 12345 + 67890) + 63 * 54321 + 9876) % 4294967311) AS last FROM h GROUP BY file_id""",
-)(lambda d: _signatures(d).select("id", F.element_at("signature", 1).alias("first"), F.element_at("signature", -1).alias("last")))
-Q("sm_similarity_pairs")(lambda d: similarity.clone_pairs(_signatures(d), 0.7))
-Q("sm_clone_groups")(lambda d: similarity.clone_groups(similarity.clone_pairs(_signatures(d), 0.7)))
+)(lambda d: _signatures(d.files.filter("repo_id <> 'pages'")).select("id", F.element_at("signature", 1).alias("first"), F.element_at("signature", -1).alias("last")))
+Q("sm_similarity_pairs")(lambda d: similarity.clone_pairs(_signatures(_told_apart(d)), 0.7))
+Q("sm_clone_groups")(lambda d: similarity.clone_groups(similarity.clone_pairs(_signatures(_told_apart(d)), 0.7)))
 Q("sm_merkle")(lambda d: similarity.merkle_roots(_code_lines(d)))
 Q(
     "sm_shape_hash",
