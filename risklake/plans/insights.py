@@ -197,7 +197,9 @@ Q(
 
 def _pattern_sigs(d: Domain):
     tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return similarity.signatures(d.files.filter("file_id < 1000000").select(F.col("file_id").alias("id"), "content"), tokens)
+    # Pages, whose ids start at 1000000 and meet documents' ids there, count down from -1.
+    apart = F.when(F.col("repo_id") == "pages", 999_999 - F.col("file_id")).otherwise(F.col("file_id"))
+    return similarity.signatures(d.files.select(apart.alias("id"), "content"), tokens)
 
 
 def _matched(d: Domain):

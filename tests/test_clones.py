@@ -3,7 +3,7 @@
 from types import SimpleNamespace
 
 from risklake.operators import similarity
-from risklake.plans import corpus
+from risklake.plans import corpus, insights
 
 
 def test_a_long_chain_is_one_group(spark):
@@ -19,3 +19,8 @@ def test_pages_are_compared_and_do_not_clash_with_documents(spark):
     files = spark.createDataFrame([(1, "a", text), (1000000, "b", "quite other tokens stand here alone"), (1000000, "pages", text)], "file_id long, repo_id string, content string")
     made = corpus._signatures(corpus._told_apart(SimpleNamespace(files=files)))
     assert {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(made).collect()} == {frozenset((1, -1))}
+
+
+def test_patterns_are_matched_on_all_files(spark):
+    files = spark.createDataFrame([(1, "a", "words of one"), (1000000, "b", "words of another"), (1000000, "pages", "words of a page")], "file_id long, repo_id string, content string")
+    assert sorted(r["id"] for r in insights._pattern_sigs(SimpleNamespace(files=files)).collect()) == [-1, 1, 1000000]
