@@ -22,10 +22,13 @@ def words(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's own, or spark.checkpoint.dir, or (in tests) a new temporary one."""
+    """The shared folder for cut lineage: the session's own, or spark.checkpoint.dir; a temporary one only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="risklake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="risklake-"))
     return sc.getCheckpointDir()
 
 
@@ -42,10 +45,52 @@ def settle_as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores in front until no frame has a column so called (names are told apart regardless of case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Copies of a row that stay together when they are dealt out.
+TOGETHER = 1024
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """_a and _b, 128 bits over all columns. Nulls count (Spark's hash skips them), maps are hashed as JSON."""
+    parts = []
+    for field in docs.schema.fields:
+        value = F.col(f"`{field.name}`")
+        parts += [value.isNull(), F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value]
+    return [F.xxhash64(*parts).alias("_a"), F.xxhash64(F.lit(1), *parts).alias("_b")]
+
+
+def copies(counted: DataFrame) -> DataFrame:
+    """counted(..., _rows) -> a row for each of the _rows that repeat whole, numbered by _copy from 0, in lots of TOGETHER (_lot).
+    Lots are dealt out before they are unfolded, so that no task makes all copies of a row."""
+    lots = counted.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / TOGETHER))))
+    last = F.least(F.col("_rows") - 1, (F.col("_lot") + 1) * TOGETHER - 1)
+    keys = [c for c in counted.columns if c != "_rows"]
+    return lots.repartition(*keys, "_lot").withColumn("_copy", F.explode(F.sequence(F.col("_lot") * TOGETHER, last))).drop("_rows")
+
+
+def copy_hash(base: Column) -> Column:
+    """base for the first of rows that repeat whole, another hash for each other one."""
+    return F.when(F.col("_copy") == 0, base).otherwise(F.xxhash64(base, "_copy"))
+
+
+def whole_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs -> _a, _b, _lot, _doc: each distinct row's columns as a struct, once for each lot of its copies."""
+    once = docs.select(*row_key(docs), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc")).groupBy("_a", "_b").agg(F.first("_doc").alias("_doc"), F.count("*").alias("_rows"))
+    lots = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / TOGETHER)))
+    return once.withColumn("_lot", lots).drop("_rows").repartition("_a", "_b", "_lot")
+
+
 def aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """docs with columns of these names put aside, for a filter that adds columns so named; back_again() restores them."""
-    return docs.select(*[F.col(c).alias(f"_aside_{c}") if c in names else F.col(c) for c in docs.columns])
+    return docs.select(*[F.col(f"`{c}`").alias(fresh(f"_aside_{c}", docs)) if c in names else F.col(f"`{c}`") for c in docs.columns])
 
 
 def back_again(df: DataFrame, docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return df.select(*[F.col(f"_aside_{c}").alias(c) if c in names else F.col(c) for c in docs.columns])
+    return df.select(*[F.col(f"`{fresh(f'_aside_{c}', docs)}`").alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns])

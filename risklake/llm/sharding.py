@@ -3,8 +3,11 @@
 Records are hashed into a few thousand fixed slots. Bytes are summed per slot, and a versioned table says which shard
 holds which slot; rebalancing edits that table and moves whole slots, so a record's slot never changes.
 
-Cases. A null text has zero bytes. A null id is hashed like any value. Rows that repeat whole share a slot and get
-positions of their own. An empty table gives a full map of empty slots and no rows. Columns of the input that bear one
+A slot is a hash of doc_id and text. Rows that repeat whole are counted first, and each copy but the first is hashed with its
+number too, so that copies spread over slots like other rows, however many there are; a rerun numbers them alike.
+
+Cases. A null text has zero bytes. A null id is hashed like any value. Rows that repeat whole get slots and positions of
+their own. An empty table gives a full map of empty slots and no rows. Columns of the input that bear one
 of the output's names are replaced.
 """
 
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklake.llm.common import settle, table
+from risklake.llm.common import copies, copy_hash, row_key, settle, table, whole_rows
 
 N_SLOTS = 4096
 ROW_OVERHEAD = 8
@@ -102,18 +105,27 @@ def place(records: DataFrame, lanes: DataFrame, shards: DataFrame, order: list)
 
 
 def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, payload: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> payload columns, size, text_crc32, virtual_slot, shard, slot. payload: the columns to carry (default: all)."""
-    kept = [c for c in (docs.columns if payload is None else payload) if c not in {"size", "text_crc32", "virtual_slot", "shard", "slot"}]
-    records = docs.select(
-        *kept,
+    """docs(doc_id, text, ...) -> payload columns, size, text_crc32, virtual_slot, shard, slot. payload: the columns to carry (default:
+    all). Light rows are placed; whole rows, texts included, meet them by a hash of all columns only when all are asked for."""
+    made = ["size", "text_crc32", "virtual_slot", "shard", "slot"]
+    kept = [c for c in (docs.columns if payload is None else payload) if c not in made]
+    keys = ["_a", "_b"] if payload is None else ["_doc"]
+    light = docs.select(
+        *(row_key(docs) if payload is None else [F.struct(*kept).alias("_doc")]),
         record_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        virtual_slot("doc_id", "text", n_slots=n_slots).alias("virtual_slot"),
-        F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 48), F.lit(LANES)).cast("int").alias("_lane"),
+        F.xxhash64("doc_id", "text").alias("_record"),
     )
+    counted = light.groupBy(*light.columns).agg(F.count("*").alias("_rows"))
+    records = settle(copies(counted).withColumn("_record", copy_hash(F.col("_record"))))
+    records = records.withColumn("virtual_slot", F.pmod("_record", F.lit(n_slots)).cast("int"))
+    records = records.withColumn("_lane", F.pmod(F.shiftrightunsigned("_record", 48), F.lit(LANES)).cast("int"))
     lanes = settle(records.groupBy("virtual_slot", "_lane").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
     shards = shard_map(slot_stats(lanes, n_slots, F.sum("rows")), n_shards)
-    return place(records, lanes, shards, ["doc_id", "text_crc32", "size"])
+    placed = place(records, lanes, shards, ["text_crc32", "size", "_record", *keys, "_copy"])
+    if payload is None:
+        placed = placed.join(whole_rows(docs, kept), ["_a", "_b", "_lot"])
+    return placed.select("_doc.*", *made)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 import random
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names of output columns, and names that the operators use within.
 CLASHES = ["size", "shard", "slot", "virtual_slot", "text_crc32", "score", "spans", "labels", "n_words", "taken", "target", "source_size", "n_lines", "n_deleted", "failures", "items", "_x"]
+CLASHES += ["_a", "_b", "_at", "_aside_score", "_aside_spans", "_copy", "_dkey", "_doc", "_end", "_hash", "_items", "_key", "_lane", "_lines", "_lot", "_no", "_offset", "_passes", "_rank"]
+CLASHES += ["_record", "_rows", "_shard", "_source", "_spans", "_spans_0", "_start", "_text_hash", "at", "blocks", "copies", "dkey", "doc", "found", "fp", "h1", "kept_text", "lines", "places", "root", "text_hash", "z"]
 
 
 def sentence(rng, n):

@@ -24,6 +24,38 @@ def test_bytes_are_near_equal(spark):
     assert len(loads) == 24 and max(loads) < 1.01 * min(loads)
 
 
+def test_rows_that_repeat_whole_spread_over_shards(spark):
+    """A third of the bytes in copies of one row: no slot, lane or shard holds them alone, with whole rows or light ones."""
+    light = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    docs = light.unionByName(spark.range(3000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("y" * 90).alias("text")))
+    for payload in (["doc_id"], None):
+        out = sharding.shard_documents(docs, 6, payload=payload)
+        loads = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+        assert out.count() == 9000 and len(loads) == 6 and max(loads) < 1.01 * min(loads)
+        slots = out.filter("doc_id = -1").select("virtual_slot").distinct().count()
+        assert slots > 1500
+        assert out.select("shard", "slot").distinct().count() == 9000
+
+
+def brute_deal(weights, n_shards):
+    """Slots by bytes, largest first, each to the shard with the least so far."""
+    loads, dealt = [0] * n_shards, {}
+    for slot, size in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        least = loads.index(min(loads))
+        loads[least] += size
+        dealt[slot] = least
+    return dealt
+
+
+def test_dealing_matches_brute_force(spark):
+    out = sharding.shard_documents(documents(spark), 5, n_slots=64).collect()
+    weights = dict.fromkeys(range(64), 0)
+    for r in out:
+        weights[r["virtual_slot"]] += r["size"]
+    dealt = brute_deal(weights, 5)
+    assert all(r["shard"] == dealt[r["virtual_slot"]] for r in out)
+
+
 def test_rebalancing_moves_only_what_it_must(spark, tmp_path):
     records = spark.range(5000).select(sharding.virtual_slot("id", n_slots=512).alias("virtual_slot"), (F.col("id") % 90 + 8).alias("size"))
     stats = sharding.slot_stats(records, 512)
