@@ -4,10 +4,15 @@ Sources share all tokens by weight, no source above `max_repeats` times what it
 are apportioned to sources by highest quotients target / (2k + 1), and each source's blocks go down a tree of its shards
 the same way, so every shard knows an integer quota. Within a shard the documents stand in seeded order, their tokens are cut into
 blocks, and a seeded permutation says which blocks are taken (all of them as often as the quota allows, then some once more).
+All sources are apportioned in blocks of one size: `block_tokens`, or less if the smallest target has not UNITS of them. Blocks
+that are that small are selected in groups, so that texts are not scattered word by word.
+
+Bounds. The sources, a small row each, are apportioned in one task.
 
 Cases. A null text has size 0 and nothing is taken of it; a source without tokens gets target 0. A null source is a
-source of its own, last in order. Rows that repeat whole are documents of their own. An empty table gives no rows.
-Columns of the input that bear one of the output's names are replaced.
+source of its own, last in order. Rows that repeat whole are documents of their own: they are counted, numbered and dealt to
+shards by a hash with their number. An empty table gives no rows. Columns of the input that bear one of the output's
+names are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklake.llm.common import settle, table, words
+from risklake.llm.common import copies, copy_hash, row_key, settle, table, whole_rows, words
 
 BLOCK_TOKENS = 64
 SHARD_TOKENS = 65_536
@@ -25,6 +30,9 @@ SEED = 20
 STEP = 2_147_483_647
 #: Children of a node in the tree that deals a source's blocks to its shards.
 FAN_OUT = 64
+#: Blocks that the smallest target has at least, and groups of blocks that a shard has at least if its blocks are grouped.
+UNITS = 64
+GROUPS = 256
 
 NAMES = ("size", "source_size", "target", "taken")
 
@@ -91,55 +99,73 @@ def shard_quotas(pools: DataFrame, quotas: DataFrame, n_shards: int, fan_out: in
     return dealt.select("source_no", F.col("_node").cast("int").alias("_shard"), "_pool", "quota")
 
 
-def mix(docs: DataFrame, weights: Column, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, source, size, ...) -> docs with source_size, target, taken (tokens, repeats counted), _passes (times all of
-    the document is taken) and _spans (structs of start and length, in tokens: what is taken once more)."""
-    keyed = docs.select(*[c for c in docs.columns if c not in NAMES[1:]], F.xxhash64(F.lit(seed), "doc_id", "source", "size").alias("_key"))
-    light = settle(keyed.select("source", "size", "_key"))
-    sources = settle(source_targets(light, weights))
+def _mixed(light: DataFrame, weights: Column, block_tokens: int, shard_tokens: int, seed: int) -> DataFrame:
+    """light(doc_id, source, size, ...) -> a row for each row of light: its columns, _lot, _copy, source_size, target, taken, _passes and _spans."""
+    counted = light.groupBy(*light.columns).agg(F.count("*").alias("_rows"))
+    keyed = settle(copies(counted).withColumn("_key", copy_hash(F.xxhash64(F.lit(seed), "doc_id", "source", "size"))))
+    sources = settle(source_targets(keyed, weights))
     n_shards = F.greatest(F.ceil(F.col("source_size") / shard_tokens), F.lit(1))
     shard = F.pmod(F.shiftright("_key", 20), n_shards).cast("int")
+    widest, least = sources.agg(F.coalesce(F.max(n_shards), F.lit(1)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    unit = max(1, min(block_tokens, int((least or 0) // UNITS)))
 
-    total = F.round(F.sum(F.col("target")).over(Window.partitionBy(F.lit(1))) / block_tokens)
-    shares = sources.withColumn("_share", F.col("target") / block_tokens).withColumn("_total", total)
+    total = F.round(F.sum(F.col("target")).over(Window.partitionBy(F.lit(1))) / unit)
+    shares = sources.withColumn("_share", F.col("target") / unit).withColumn("_total", total)
     quotas = sainte_lague(shares, [], "_share", F.col("_total"), "source_no").select("source", "source_no", "source_size", "target", "quota")
 
-    pools = light.join(sources, light["source"].eqNullSafe(sources["source"])).withColumn("_shard", shard)
-    pools = pools.groupBy("source_no", "_shard").agg(F.sum("size").alias("_pool")).filter(F.col("_pool") > 0)
-    widest = sources.agg(F.coalesce(F.max(n_shards), F.lit(1))).first()[0]
+    named = sources.withColumnRenamed("source", "_source")
+    stream = keyed.join(named, keyed["source"].eqNullSafe(named["_source"])).drop("_source").withColumn("_shard", shard)
+    pools = stream.groupBy("source_no", "_shard").agg(F.sum("size").alias("_pool")).filter(F.col("_pool") > 0)
     dealt = shard_quotas(pools, quotas, int(widest))
-    blocks = F.ceil(F.col("_pool") / block_tokens).cast("long")
+    blocks = F.ceil(F.col("_pool") / unit).cast("long")
     quota = F.least(F.col("quota"), blocks * MAX_REPEATS)
+    group = F.greatest(F.lit(1).cast("long"), F.least(F.lit(block_tokens // unit).cast("long"), F.floor(blocks / GROUPS)))
+    extra, groups = quota % blocks, F.ceil(blocks / group).cast("long")
     dealt = dealt.select(
         F.col("source_no").alias("_no"),
         F.col("_shard").alias("_at"),
-        blocks.alias("_blocks"),
         F.floor(quota / blocks).cast("int").alias("_passes"),
-        (quota % blocks).alias("_extra"),
-        F.pmod(F.xxhash64(F.lit(seed), "source_no", "_shard"), blocks).alias("_offset"),
+        group.alias("_group"),
+        groups.alias("_groups"),
+        F.floor(extra / group).alias("_full"),
+        (extra % group).alias("_rest"),
+        F.pmod(F.xxhash64(F.lit(seed), "source_no", "_shard"), groups).alias("_offset"),
     )
 
-    named = sources.withColumnRenamed("source", "_source")
-    stream = keyed.join(named, keyed["source"].eqNullSafe(named["_source"])).drop("_source").withColumn("_shard", shard)
-    upto = F.sum("size").over(Window.partitionBy("source_no", "_shard").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("size").over(Window.partitionBy("source_no", "_shard").orderBy("_key", "doc_id", "size", "_copy").rowsBetween(Window.unboundedPreceding, 0))
     stream = stream.withColumn("_end", upto).withColumn("_start", upto - F.col("size"))
     met = stream.join(dealt, (F.col("source_no") == F.col("_no")) & (F.col("_shard") == F.col("_at")), "left")
-    number = F.sequence(F.floor(F.col("_start") / block_tokens), F.floor((F.col("_end") - 1) / block_tokens))
-    chosen = F.filter(number, lambda b: F.pmod(b * STEP + F.col("_offset"), F.col("_blocks")) < F.col("_extra"))
-    first = lambda b: F.greatest(b * block_tokens, F.col("_start"))
-    span = lambda b: F.struct(
-        (first(b) - F.col("_start")).alias("start"), (F.least((b + 1) * block_tokens, F.col("_end")) - first(b)).alias("length")
+    wide = F.col("_group") * unit
+    place = lambda g: F.pmod(g * STEP + F.col("_offset"), F.col("_groups"))
+    held = lambda g: F.when(place(g) < F.col("_full"), wide).when(place(g) == F.col("_full"), F.col("_rest") * unit).otherwise(F.lit(0))
+    first = lambda g: F.greatest(g * wide, F.col("_start"))
+    span = lambda g: F.struct(
+        (first(g) - F.col("_start")).alias("start"), (F.least(g * wide + held(g), F.col("_end")) - first(g)).alias("length")
     )
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    spans = F.when((F.col("size") > 0) & (F.col("_extra") > 0), F.transform(chosen, span)).otherwise(none)
+    number = F.sequence(F.floor(F.col("_start") / wide), F.floor((F.col("_end") - 1) / wide))
+    some = (F.col("size") > 0) & (F.col("_full") + F.col("_rest") > 0)
+    spans = F.when(some, F.filter(F.transform(number, span), lambda x: x["length"] > 0)).otherwise(none)
     once_more = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, x: total + x["length"])
     met = met.withColumn("_passes", F.coalesce("_passes", F.lit(0))).withColumn("_spans", F.coalesce(spans, none))
     met = met.withColumn("taken", F.col("size") * F.col("_passes") + once_more)
-    return met.select(*docs_columns(docs), "source_size", "target", "taken", "_passes", "_spans")
+    return met.select(*light.columns, "_lot", "_copy", "source_size", "target", "taken", "_passes", "_spans")
+
+
+def _whole(docs: DataFrame, size: Column, weights: Column, block_tokens: int, shard_tokens: int, seed: int) -> DataFrame:
+    """The mix of docs, with each row's columns as the struct _doc: light rows are mixed and meet the whole ones by a hash of all columns."""
+    light = docs.select(*row_key(docs), "doc_id", "source", size.alias("size"))
+    mixed = _mixed(light, weights, block_tokens, shard_tokens, seed)
+    return mixed.join(whole_rows(docs, docs.columns), ["_a", "_b", "_lot"])
 
 
-def docs_columns(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c not in NAMES[1:]]
+def mix(docs: DataFrame, weights: Column, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
+    """docs(doc_id, source, size, ...) -> docs with source_size, target, taken (tokens, repeats counted), _passes (times all of
+    the document is taken) and _spans (structs of start and length, in tokens: what is taken once more)."""
+    added = ("source_size", "target", "taken", "_passes", "_spans")
+    columns = [c for c in docs.columns if c not in added]
+    found = _whole(docs, F.col("size"), weights, block_tokens, shard_tokens, seed)
+    return found.select(*[F.col("_doc")[c].alias(c) for c in columns], *added)
 
 
 def cyclic_weights() -> Column:
@@ -152,18 +178,18 @@ def mixed_documents(docs: DataFrame, weights: Column | None = None, block_tokens
     row with the words of its remaining blocks, if any; n_chars follows the text. Documents of which nothing is taken, and
     so those without words, are left out."""
     columns = docs.columns
-    bare = docs.select(F.struct(*columns).alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix(bare, cyclic_weights() if weights is None else weights, block_tokens)
+    mixed = _whole(docs, word_count(F.col("text")), cyclic_weights() if weights is None else weights, block_tokens, SHARD_TOKENS, SEED)
     covered = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, x: total + x["length"])
     part = F.array_join(F.flatten(F.transform("_spans", lambda x: F.slice(F.col("_words"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
     times = F.col("_passes") + F.when(covered > 0, 1).otherwise(0)
-    rows = mixed.filter(F.col("taken") > 0).withColumn("_words", words(F.col("_doc.text"))).withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
+    rows = mixed.filter(F.col("taken") > 0).withColumn("_words", words(F.col("_doc")["text"])).withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
     whole = (F.col("_turn") <= F.col("_passes")) | (covered == F.col("size"))
-    rows = rows.withColumn("_text", F.when(whole, F.col("_doc.text")).otherwise(part))
+    rows = rows.withColumn("_text", F.when(whole, F.col("_doc")["text"]).otherwise(part))
     made = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType if "n_chars" in columns else "long")}
-    return rows.select(*[made.get(c, F.col(f"_doc.{c}")).alias(c) for c in columns])
+    return rows.select(*[made.get(c, F.col("_doc")[c]).alias(c) for c in columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(docs, cyclic_weights()).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = _mixed(docs, cyclic_weights(), BLOCK_TOKENS, SHARD_TOKENS, SEED)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

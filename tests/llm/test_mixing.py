@@ -87,10 +87,28 @@ def test_mixed_documents_hold_what_was_taken(spark):
     assert dict(got) == {k: n for k, n in words.items() if n}
 
 
+def test_small_sources_reach_their_targets(spark):
+    rows = [(1, "a", 20), (2, "b", 900), (3, "b", 400)] + [(10 + k, "c", 5) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix(docs, mixing.cyclic_weights()).collect()
+    for s in "abc":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.03 * own[0]["target"] + 1
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(7, "a", 40)] * 3000 + [(k, "b", 40) for k in range(3000)], "doc_id long, source string, size long")
+    out = mixing.mix(docs, mixing.cyclic_weights(), shard_tokens=10_000).collect()
+    assert len(out) == 6000
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.02 * own[0]["target"] and all(r["taken"] <= 120 for r in own)
+
+
 def test_messy_rows_and_empty(spark):
     docs = documents(spark, clash=True).withColumn("size", mixing.word_count(F.col("text")))
     out = mixing.mix(docs, mixing.cyclic_weights())
-    assert out.count() == docs.count() and set(CLASHES) - {"size", "source_size", "target", "taken"} <= set(out.columns)
+    assert out.count() == docs.count() and set(CLASHES) <= set(out.columns)
     assert mixing.mixed_documents(empty(spark)).count() == 0
     nothing = empty(spark).select("doc_id", "source", F.lit(0).cast("long").alias("size"))
     assert mixing.mix(nothing, mixing.cyclic_weights()).count() == 0
