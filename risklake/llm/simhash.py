@@ -6,9 +6,11 @@ fingerprints link at 4 or fewer differing bits.
 Candidates. The fingerprint is cut into three segments (22, 21, 21 bits). With 4 errors or fewer, either some segment has
 none, and the two share that segment, or two segments have exactly one error each. A segment, padded to the 23 bits of
 the perfect Golay code, is decoded to the codewords within distance 4: one (its nearest) or six. If two segments differ
-in one bit, the nearest codeword of each is among those of the other. So each fingerprint gets the keys (codewords of
-one segment, nearest of the other) and (nearest, codewords), for each pair of segments: about 32 keys in all, and any
-linked pair meets at one of them.
+in one bit, the nearest codeword of each is among those of the other. So a fingerprint gets the pairs (codewords of
+one segment, nearest of the other) and (nearest, codewords), for each two segments.
+Pigeonholes make the keys selective: beside a segment without errors the other 42 or 43 bits have at most 4, so one of five
+pieces of them is equal; beside two segments with one error each, the third has at most 2, so one of three pieces is. A key is
+a segment or a pair of codewords, and such a piece: about 110 keys of 29 to 32 bits, and any linked pair meets at one of them.
 
 Equal fingerprints are grouped before; only distinct ones get keys. Rows with one key stand together after a shuffle and
 sort, and a task finds the linked groups of each key's fingerprints by comparing them in blocks: it emits a link from
@@ -106,22 +108,40 @@ def codewords(segment: np.ndarray) -> np.ndarray:
     return np.where(found >= 0, (segment[:, None] ^ found) >> 11, -1)
 
 
+def _bits(u: np.ndarray, at: int, width: int) -> np.ndarray:
+    return ((u >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _pieces(value: np.ndarray, width: int, n: int) -> list[np.ndarray]:
+    """value, of width bits, cut into n pieces."""
+    cuts = [width * k // n for k in range(n + 1)]
+    return [_bits(value.view(np.uint64), a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys, and the fingerprint of each."""
     u = fps.view(np.uint64)
-    parts = [((u >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
-    keys, owners = [], []
+    parts = [_bits(u, at, width) for at, width in SEGMENTS]
+    widths = [width for _, width in SEGMENTS]
+    keys, owners, kind = [], [], 0
     for k, part in enumerate(parts):
-        keys.append(part | (k << 24))
-        owners.append(fps)
+        i, j = (x for x in range(3) if x != k)
+        for piece in _pieces(parts[i] | parts[j] << widths[i], widths[i] + widths[j], MAX_BITS + 1):
+            keys.append(kind << 40 | piece << 24 | part)
+            owners.append(fps)
+            kind += 1
     coded = [codewords(part) for part in parts]
-    for k, (a, b) in enumerate(combinations(range(3), 2), start=3):
+    for a, b in combinations(range(3), 2):
+        third = 3 - a - b
+        pieces = _pieces(parts[third], widths[third], MAX_BITS - 1)
         for one in range(6):
             sides = [(coded[a][:, one], coded[b][:, 0])] + [(coded[a][:, 0], coded[b][:, one])] * (one > 0)
             for x, y in sides:
                 real = (x >= 0) & (y >= 0)
-                keys.append((x[real] << 12 | y[real]) | (k << 24))
-                owners.append(fps[real])
+                for n, piece in enumerate(pieces):
+                    keys.append((kind + n) << 40 | piece[real] << 24 | x[real] << 12 | y[real])
+                    owners.append(fps[real])
+        kind += len(pieces)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -229,7 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least)).select(F.col("node").alias("fp"), "root")
     classes = settle(least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that the join's shuffles feed nothing but the join and Spark can split a root of many fingerprints.
+    ids = settle(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     named = classes.select("fp", "root").join(ids, "root")
     return own.join(named, "fp")
 
@@ -237,10 +258,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each group: the one whose doc_id is the group's smallest stays."""
     found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_text_hash"] == stay["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    stay = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash").distinct()
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    same = keyed["doc_id"].eqNullSafe(stay["doc_id"]) & (keyed["text_hash"] == stay["text_hash"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
