@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklake.llm.common import aside, back_again, table
+from risklake.llm.common import aside, back_again, fresh, table
 from risklake.llm.wordhash import Words, alphanumeric_table, text_groups, window_hashes
 
 WINDOW = 10
@@ -98,13 +98,10 @@ def _spans(words: Words, doc: int, starts: np.ndarray, sizes: np.ndarray) -> lis
     ]
 
 
-def _scan(docs: DataFrame, part, suffix: str) -> DataFrame:
-    """Add n_words, and the part's spans and items to each row."""
-    added = [
-        T.StructField(f"_n_words{suffix}", T.LongType()),
-        T.StructField(f"_spans{suffix}", T.ArrayType(SPAN)),
-        T.StructField(f"_items{suffix}", T.ArrayType(T.StringType())),
-    ]
+def _scan(docs: DataFrame, part) -> tuple[DataFrame, list[str]]:
+    """docs with three more columns, and their names: number of words, and the part's spans and items."""
+    names = [fresh(name, docs) for name in ("_n_words", "_spans", "_items")]
+    added = [T.StructField(name, kind) for name, kind in zip(names, (T.LongType(), T.ArrayType(SPAN), T.ArrayType(T.StringType())), strict=True)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, tokens = part.value, alphanumeric_table()
@@ -122,9 +119,9 @@ def _scan(docs: DataFrame, part, suffix: str) -> DataFrame:
                     spans[first + doc] = _spans(words, doc, starts[own], sizes[own])
                     items[first + doc] = sorted({index.items[named[k]] for k in own.tolist()})
             columns = [pa.array(n_words), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f.name for f in added)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *added])), names
 
 
 def benchmark_parts(benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> list:
@@ -145,16 +142,17 @@ def benchmark_parts(benchmark: DataFrame, window: int = WINDOW, part_bytes: int
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs(text, ...) -> docs with n_words, spans (hit words; spans of different parts may overlap) and items (distinct)."""
     scanned = docs.drop(*ADDED)
-    columns = scanned.columns
-    parts = benchmark_parts(benchmark, window, part_bytes)
-    for k, part in enumerate(parts):
-        scanned = _scan(scanned, part, f"_{k}")
-    numbers = range(len(parts))
+    columns = [F.col(f"`{c}`") for c in scanned.columns]
+    found = []
+    for part in benchmark_parts(benchmark, window, part_bytes):
+        scanned, names = _scan(scanned, part)
+        found.append(names)
+    n_words, spans, items = zip(*found, strict=True)
     return scanned.select(
         *columns,
-        F.col("_n_words_0").alias("n_words"),
-        F.sort_array(F.flatten(F.array(*(f"_spans_{k}" for k in numbers)))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.array(*(f"_items_{k}" for k in numbers))))).alias("items"),
+        F.col(n_words[0]).alias("n_words"),
+        F.sort_array(F.flatten(F.array(*spans))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.array(*items)))).alias("items"),
     )
 
 

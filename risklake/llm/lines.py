@@ -272,22 +272,22 @@ def deletions(docs: DataFrame, min_block: int = MIN_BLOCK, min_chars: int = MIN_
 def deduplicate_lines(docs: DataFrame, **options: int) -> DataFrame:
     """docs(doc_id, text, ...) -> docs with the deleted lines cut out of text, and n_lines and n_deleted."""
     columns = [c for c in docs.columns if c not in {"n_lines", "n_deleted"}]
-    gone = deletions(docs, **options).withColumnRenamed("dkey", "_dkey").hint("shuffle_hash")
-    joined = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_key")).join(gone, F.col("_key") == F.col("_dkey"), "left")
-    lines = F.split("text", "\n", -1)
+    gone = deletions(docs.select("doc_id", "text"), **options).withColumn("found", F.lit(True)).hint("shuffle_hash")
+    others = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"])
+    joined = docs.select(others.alias("doc"), "text", F.xxhash64("doc_id", "text").alias("dkey")).join(gone, "dkey", "left")
     # An exact copy is one block of all its lines.
-    block = F.when(F.col("_dkey").isNotNull() & F.col("places").isNull(), said_lines())
+    block = F.when(F.col("found") & F.col("places").isNull(), said_lines())
     total = F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
     whole = F.when((F.size(block) >= options.get("min_block", MIN_BLOCK)) | (total >= options.get("min_chars", MIN_CHARS)), block["place"])
-    at = F.col("_at")
+    at = F.col("at")
     # Places are sorted and walked along with the lines: between two deleted places a slice of lines stays.
-    edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size(lines)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: F.slice(F.col("_lines"), F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)))
-    with_lines = joined.withColumn("_lines", lines).withColumn("_at", F.coalesce("places", whole, F.array().cast("array<int>")))
+    edges = F.concat(F.array(F.lit(-1)), at, F.array(F.size("lines")))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: F.slice(F.col("lines"), F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)))
+    with_lines = joined.withColumn("lines", F.split("text", "\n", -1)).withColumn("at", F.coalesce("places", whole, F.array().cast("array<int>")))
     text = F.when(F.size(at) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    others = [c for c in columns if c != "text"]
-    made = with_lines.select(*others, text.alias("text"), F.coalesce(F.when(F.size("_lines") >= 0, F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_deleted"))
-    return made.select(*columns, "n_lines", "n_deleted")
+    n_lines = F.coalesce(F.when(F.size("lines") >= 0, F.size("lines")), F.lit(0)).cast("long")
+    made = [text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in columns]
+    return with_lines.select(*made, n_lines.alias("n_lines"), F.size(at).cast("long").alias("n_deleted"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
