@@ -17,6 +17,9 @@ CHUNK_BYTES = 2_000_000
 GROUP_BYTES = 4_000_000
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
+#: Bases of a second hash, for equality by 128 bits.
+BYTE_BASE_2 = 0xA0761D6478BD642F
+WORD_BASE_2 = 0xE7037ED1A0B428DB
 
 
 def ascii_space_table() -> np.ndarray:
@@ -83,13 +86,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
         out = np.empty(len(self), np.uint64)
         at = 0
         while at < len(self):
             upto = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + CHUNK_BYTES, side="right")))
             first, last = self.starts[at], self.ends[upto - 1]
-            up, down = _powers(BYTE_BASE, _room(last - first))
+            up, down = _powers(base, _room(last - first))
             total = np.zeros(last - first + 1, np.uint64)
             np.cumsum(self.data[first:last].astype(np.uint64) * up[: last - first], dtype=np.uint64, out=total[1:])
             a, b = self.starts[at:upto] - first, self.ends[at:upto] - first
@@ -109,11 +112,11 @@ class Words:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.docs))
 
 
-def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarray:
     """Hash of the n words from each place on; len(hashes) - n + 1 of them, or none."""
     if len(hashes) < n:
         return np.empty(0, np.uint64)
-    up, down = _powers(WORD_BASE, _room(len(hashes) + 1))
+    up, down = _powers(base, _room(len(hashes) + 1))
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64, out=total[1:])
     last = len(hashes) - n + 1

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from risklake.llm import substring
 from tests.llm.data import documents, empty, sentence
@@ -58,6 +59,33 @@ def test_small_batches_and_partitions(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_factors_point_to_equal_earlier_words(spark):
+    rng = random.Random(11)
+    passages = [sentence(rng, rng.randrange(25, 300)) for _ in range(6)]
+    rows = [(k, " ".join([sentence(rng, rng.randrange(1, 30)), *rng.sample(passages, 2), sentence(rng, 9)])) for k in range(40)]
+    rows += [(50, passages[0]), (51, " ".join(passages[2].split()[5:24] + passages[3].split()[:40]))]
+    docs = spark.createDataFrame(rows, DOC)
+    by_key = {r["k"]: (r["doc_id"], r["text"].split()) for r in docs.select("*", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    found = substring.factors(docs).collect()
+    covered = {}
+    for r in found:
+        (own, words), (other, theirs) = by_key[r["dkey"]], by_key[r["ref"]]
+        assert other < own and r["length"] >= 20
+        assert words[r["start"] : r["start"] + r["length"]] == theirs[r["ref_start"] : r["ref_start"] + r["length"]]
+        covered.setdefault(own, set()).update(range(r["start"], r["start"] + r["length"]))
+    assert max(r["length"] for r in found) > 150
+    assert {i: len(covered.get(i, ())) for i, _ in rows} == {int(i): n for i, _, n, _ in brute(rows)}
+
+
+def test_a_passage_over_several_references(spark):
+    """Windows over a boundary between references that only a third document has whole, and a block with other words around it."""
+    rng = random.Random(2)
+    a, b, c = (sentence(rng, 90).split() for _ in range(3))
+    rows = [(1, a), (2, b), (3, a[30:60] + b[10:50]), (4, c + a[30:60] + b[10:50]), (5, b[:45] + a[40:]), (6, a[:8] + c[5:30] + a[8:])]
+    rows = [(k, " ".join(w)) for k, w in rows] + [(7, " ".join(c[40:] + a[52:60] + b[10:24] + c[:9])), (8, " ".join((a[:25] + ["x"]) * 3))]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_repeated_rows_are_one_document(spark):
     text = sentence(random.Random(3), 40)
     got = run(spark, [(6, text), (6, text), (7, text)])
