@@ -233,7 +233,11 @@ def _factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((block, row))
         block, has_ref, ref, ref_start = block[order], has_ref[order], ref[order], ref_start[order]
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        chunks = by_name["chunks"].to_pylist()
+        chunks = by_name["chunks"]
+        sent = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy())])
+        chunks = chunks.flatten()
+        chunk_ref, chunk_no = (pc.struct_field(chunks, c).to_numpy() for c in ("ref", "chunk"))
+        chunk_words = pc.struct_field(chunks, "words")
         factors: list[tuple[int, int, int, int, int]] = []
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
         for first, words, hashes, pieces, blocks in _hashed(pa.array(texts, pa.large_binary())):
@@ -246,14 +250,15 @@ def _factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 known = block[own]
                 free = np.ones(b - a - WINDOW + 1, bool)
-                if chunks[first + k]:
+                x, y = int(sent[first + k]), int(sent[first + k + 1])
+                if x < y:
                     here = pieces[a : b - BLOCK + 1]
                     at = np.minimum(np.searchsorted(known, here), len(known) - 1)
                     places = np.flatnonzero((known[at] == here) & has_ref[own][at])
                     at = at[places]
                     said: dict[int, dict[int, list[bytes]]] = defaultdict(dict)
-                    for x in chunks[first + k]:
-                        said[x["ref"]][x["chunk"]] = x["words"].split(b" ")
+                    for r, c, z in zip(chunk_ref[x:y].tolist(), chunk_no[x:y].tolist(), chunk_words[x:y].to_pylist(), strict=True):
+                        said[r][c] = z.split(b" ")
                     anchors = list(zip(places.tolist(), ref[own][at].tolist(), ref_start[own][at].tolist(), strict=True))
                     for start, length, *where in greedy_factors(texts[first + k].split(b" "), anchors, said):
                         factors.append((first + k, start, length, *where))
