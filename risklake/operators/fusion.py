@@ -16,7 +16,8 @@ WEIGHT = {"critical": 4.0, "high": 2.0, "medium": 1.0, "low": 0.5}
 
 
 def _r4(x: Column) -> Column:
-    return half_up(F.round(x, 9), 4)
+    """4 decimals, halves up. The 9 decimals before are plain arithmetic: F.round goes through big decimals."""
+    return half_up(F.rint(x * 1e9) / 1e9, 4)
 
 
 def mass(confidence: Column, reliability: Column, count: Column, severity: Column) -> Column:
@@ -54,24 +55,43 @@ def fuse(masses: Column) -> Column:
     return F.aggregate(F.slice(weighed, F.lit(2), F.size(weighed)), F.element_at(weighed, 1), combine)
 
 
-def _conflict(masses: Column) -> Column:
-    """Mean conflict of all pairs of an array of three discounted masses."""
-    pair = lambda i, j: masses[i]["v"] * masses[i]["r"] * masses[j]["n"] * masses[j]["r"] + masses[i]["n"] * masses[i]["r"] * masses[j]["v"] * masses[j]["r"]
-    return _r4((pair(0, 1) + pair(0, 2) + pair(1, 2)) / 3)
+def _fused(issues: DataFrame) -> DataFrame:
+    """Adds _v, _n, _u, the fold of three masses in their order, and _k, the mean conflict of all pairs. The fold is written out
+    in columns, a step of it a projection, so it runs in generated code; fuse() is the same for any number of masses."""
+    names = [f"_{c}{k}" for k in (1, 2, 3) for c in "vnu"]
+    weighed = []
+    for k in range(3):
+        m = F.col("masses")[k]
+        weighed += [m["v"] * m["r"], m["n"] * m["r"], F.greatest(F.lit(0.02), 1 - (m["v"] + m["n"]) * m["r"])]
+    steps = issues.select("*", *[x.alias(n) for n, x in zip(names, weighed, strict=True)])
+    product = lambda a, b: F.col(a) * F.col(b)
+
+    def step(df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], out: tuple[str, str, str]) -> DataFrame:
+        (av, an, au), (bv, bn, bu) = a, b
+        df = df.withColumn("_left", 1 - (product(av, bn) + product(an, bv)))
+        share = lambda x, none: F.when(F.col("_left") > 0, _r4(x / F.col("_left"))).otherwise(F.lit(none))
+        both = [product(av, bv) + product(av, bu) + product(au, bv), product(an, bn) + product(an, bu) + product(au, bn), product(au, bu)]
+        return df.withColumns({n: share(x, none) for n, x, none in zip(out, both, (0.0, 0.0, 1.0), strict=True)}).drop("_left")
+
+    one, two, three = (tuple(names[k : k + 3]) for k in (0, 3, 6))
+    steps = step(step(steps, one, two, ("_v", "_n", "_u")), ("_v", "_n", "_u"), three, ("_fv", "_fn", "_fu"))
+    clash = lambda a, b: product(a[0], b[1]) + product(a[1], b[0])
+    steps = steps.withColumn("_k", _r4((clash(one, two) + clash(one, three) + clash(two, three)) / 3))
+    return steps.select(*issues.columns, F.col("_fv").alias("_v"), F.col("_fn").alias("_n"), F.col("_fu").alias("_u"), "_k")
 
 
 def ds_fusion(issues: DataFrame) -> DataFrame:
-    """issues with masses -> belief, plausibility, conflict, uncertainty, confidence, verdict."""
-    fused = issues.withColumn("_f", fuse(F.col("masses"))).withColumn("_k", _conflict(F.col("masses")))
-    total = F.col("_f.v") + F.col("_f.n") + F.col("_f.u")
-    fused = fused.withColumn("_b", F.when(total > 0, F.col("_f.v") / total).otherwise(0.0)).withColumn("_u", F.when(total > 0, F.col("_f.u") / total).otherwise(0.0))
-    belief, plausibility = F.col("_b"), F.col("_b") + F.col("_u")
+    """issues with three masses -> belief, plausibility, conflict, uncertainty, confidence, verdict."""
+    fused = _fused(issues)
+    total = F.col("_v") + F.col("_n") + F.col("_u")
+    fused = fused.withColumns({"_b": F.when(total > 0, F.col("_v") / total).otherwise(0.0), "_w": F.when(total > 0, F.col("_u") / total).otherwise(0.0)})
+    belief, plausibility = F.col("_b"), F.col("_b") + F.col("_w")
     verdict = (
         F.when(F.col("_k") > 0.95, "inconclusive").when(belief >= 0.90, "vulnerable").when(belief >= 0.70, "likely_vulnerable").when(plausibility < 0.15, "safe").when(plausibility < 0.35, "likely_safe").otherwise("inconclusive")
     )
-    confidence = clamp(half_up(F.round(belief * (1 - F.col("_u") * 0.5) * 100, 6)), 0, 100)
+    confidence = clamp(half_up(F.rint(belief * (1 - F.col("_w") * 0.5) * 100 * 1e6) / 1e6), 0, 100)
     return fused.select(
-        *[c for c in issues.columns if c != "masses"], _r4(belief).alias("belief"), _r4(plausibility).alias("plausibility"), F.col("_k").alias("conflict"), _r4(F.col("_u")).alias("uncertainty"), confidence.cast("long").alias("fused_confidence"), verdict.alias("verdict")
+        *[c for c in issues.columns if c != "masses"], _r4(belief).alias("belief"), _r4(plausibility).alias("plausibility"), F.col("_k").alias("conflict"), _r4(F.col("_w")).alias("uncertainty"), confidence.cast("long").alias("fused_confidence"), verdict.alias("verdict")
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from risklake.functions.scalars import half_up
 from risklake.sources.lineage import cut
 
+#: Walks stop where nothing is new; no graph has a path as long.
+LONGEST = 1 << 60
+
 
 def degree(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
@@ -38,11 +41,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, types: list[str
     return seen
 
 
-def closure(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """All (key, src, dst) with a path of one edge or more within each key's small graph, by doubling."""
+def closure(edges: DataFrame) -> DataFrame:
+    """All (key, src, dst) with a path of one edge or more within each key's small graph, by doubling until nothing is new."""
     found = cut(edges.select("key", "src", "dst").distinct())
     count = found.count()
-    for _ in range(max_rounds):
+    while True:
         longer = found.join(found.select("key", F.col("src").alias("dst"), F.col("dst").alias("_end")), ["key", "dst"]).select("key", "src", F.col("_end").alias("dst"))
         found = cut(found.unionByName(longer).distinct())
         now = found.count()
@@ -52,33 +55,33 @@ def closure(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     return found
 
 
-def paths(edges: DataFrame, start: int, end: int, max_depth: int = 8) -> DataFrame:
-    """Simple paths from start to end. Only nodes that still reach the end within the hops left are walked on."""
-    spark = edges.sparkSession
+def paths(edges: DataFrame, ends: DataFrame, max_depth: int = 8) -> DataFrame:
+    """ends(start, goal): simple paths from each start to its goal. Only nodes that still reach the goal within the hops left are walked on."""
     pairs = edges.select("src", "dst").distinct()
-    back = bfs(pairs, spark.createDataFrame([(end, end)], "root long, node long"), max_depth, backward=True).select(F.col("node").alias("dst"), F.col("depth").alias("_left"))
+    goals = ends.select(F.col("goal").alias("root"), F.col("goal").alias("node"))
+    back = bfs(pairs, goals, max_depth, backward=True).select(F.col("root").alias("goal"), F.col("node").alias("dst"), F.col("depth").alias("_left"))
     steps = cut(pairs.join(back, "dst"))
-    walks = spark.createDataFrame([(start, [start])], "src long, path array<long>")
+    walks = ends.select("goal", F.col("start").alias("src"), F.array("start").alias("path")).distinct()
     done = None
     for depth in range(1, max_depth + 1):
-        grown = walks.join(steps, "src").filter(~F.array_contains("path", F.col("dst")) & (F.col("_left") <= max_depth - depth))
-        grown = cut(grown.select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
-        hit = grown.filter(F.col("src") == end).select("path")
+        grown = walks.join(steps, ["goal", "src"]).filter(~F.array_contains("path", F.col("dst")) & (F.col("_left") <= max_depth - depth))
+        grown = cut(grown.select("goal", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
+        hit = grown.filter(F.col("src") == F.col("goal")).select("path")
         done = hit if done is None else done.unionByName(hit)
-        walks = grown.filter(F.col("src") != end)
+        walks = grown.filter(F.col("src") != F.col("goal"))
         if walks.isEmpty():
             break
     return done
 
 
-def scc(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, each named by its largest node.
 
     A round colours every node with the largest node that reaches it; the nodes that reach their colour back are that
     colour's component. They leave the graph, and the rest goes round again."""
     left = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     out = None
-    for _ in range(max_rounds):
+    while True:
         while True:  # nodes without a way in or out are in no component
             inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             before, left = left.count(), cut(inner.select("src", "dst"))
@@ -97,10 +100,11 @@ def scc(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
                 break
             total = now
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b")
-        found = bfs(same.select("src", "dst"), colour.filter("node = colour").select(F.col("colour").alias("root"), "node"), max_depth=10_000, backward=True).select(F.col("root").alias("component"), "node")
-        found = cut(found.join(found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"), "component").select("component", "node", "size"))
+        tops = colour.filter("node = colour").select(F.col("colour").alias("root"), "node")
+        reached = bfs(same.select("src", "dst"), tops, max_depth=LONGEST, backward=True).select(F.col("root").alias("component"), "node")
+        found = cut(reached.join(reached.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"), "component").select("component", "node", "size"))
         out = found if out is None else out.unionByName(found)
-        gone = cut(bfs(same.select("src", "dst"), colour.filter("node = colour").select(F.col("colour").alias("root"), "node"), max_depth=10_000, backward=True).select("node").distinct())
+        gone = reached.select("node").distinct()
         left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     return out if out is not None else edges.sparkSession.createDataFrame([], "component long, node long, size long")
 
@@ -124,7 +128,7 @@ def hubs(edges: DataFrame, first: int = 50, k: int = 10) -> DataFrame:
     pairs = edges.select("src", "dst").distinct()
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     roots = nodes.orderBy("node").limit(first).select(F.col("node").alias("root"), "node")
-    reached = bfs(pairs, roots, max_depth=1000).filter("root <> node").groupBy("node").agg(F.count("*").alias("reach_count"))
+    reached = bfs(pairs, roots, max_depth=LONGEST).filter("root <> node").groupBy("node").agg(F.count("*").alias("reach_count"))
     joined = degree(pairs).withColumnRenamed("id", "node").join(reached, "node", "left").na.fill(0, ["reach_count"])
     return joined.filter("reach_count >= 3 OR degree >= 5").orderBy(F.col("reach_count").desc(), F.col("degree").desc(), "node").limit(k).select("node", "reach_count", "degree")
 
@@ -175,10 +179,19 @@ def dep_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def path_cost(entries: DataFrame, nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
     """Per entry point: nodes in reach and the sum of their costs."""
-    reach = bfs(edges, entries.select(F.col("id").alias("root"), F.col("id").alias("node")), max_depth=1000, types=types)
+    reach = bfs(edges, entries.select(F.col("id").alias("root"), F.col("id").alias("node")), max_depth=LONGEST, types=types)
     return reach.join(nodes, reach["node"] == nodes["id"]).groupBy("root").agg(F.count("*").alias("reached"), F.sum("cost").alias("cost"))
 
 
+def branch_depth(branches: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """branches(id, complexity): per branch the other nodes in reach, whether it has no successor, and whether it is more complex than `most`."""
+    pairs = edges.select("src", "dst").distinct()
+    reach = bfs(pairs, branches.select(F.col("id").alias("root"), F.col("id").alias("node")), max_depth=LONGEST).groupBy("root").agg(F.count_if(F.col("root") != F.col("node")).alias("reachable"))
+    leads = pairs.select(F.col("src").alias("id"), F.lit(False).alias("dead_end")).distinct()
+    joined = branches.join(reach, branches["id"] == reach["root"]).drop("root").join(leads, "id", "left")
+    return joined.select(F.col("id").alias("branch"), "reachable", F.coalesce("dead_end", F.lit(True)).alias("dead_end"), (F.col("complexity") > most).alias("complex"))
+
+
 def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Functions that are not exported and that nothing calls, imports or renders."""
     used = edges.filter(F.col("type").isin("calls", "imports", "renders")).select(F.col("dst").alias("id")).distinct()
@@ -208,7 +221,7 @@ def fsm_report(states: DataFrame, events: DataFrame) -> DataFrame:
     pair = lambda *c: F.struct(*c)
     edges = events.select(pair("model", F.col("src").alias("state")).alias("src"), pair("model", F.col("dst").alias("state")).alias("dst"))
     roots = states.filter("initial").select(pair("model", "state").alias("root"), pair("model", "state").alias("node"))
-    reached = bfs(edges, roots, max_depth=1000).select(F.col("node.model").alias("model"), F.col("node.state").alias("state")).distinct()
+    reached = bfs(edges, roots, max_depth=LONGEST).select(F.col("node.model").alias("model"), F.col("node.state").alias("state")).distinct()
     unreachable = states.join(reached, ["model", "state"], "left_anti").groupBy("model").agg(F.count("*").alias("unreachable"))
     leaving = events.select("model", F.col("src").alias("state")).distinct()
     dead = states.filter("NOT accepting").join(leaving, ["model", "state"], "left_anti").groupBy("model").agg(F.count("*").alias("deadlocks"))

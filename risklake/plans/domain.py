@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF = "2001-08-01 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 
+#: d_edges and d_nodes hold a graph per repository (a supplier's lines of one number), all told apart by id: repository * 1000 + node.
 VIEWS = {
     "d_users": """
         SELECT c_custkey AS id, c_name AS name,
@@ -42,9 +43,13 @@ VIEWS = {
           l_linestatus = 'F' AS has_repro
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "d_edges": """
-        SELECT DISTINCT l_partkey % 120 AS src, (l_partkey * 31 + l_suppkey) % 120 AS dst,
+        SELECT DISTINCT (l_suppkey * 10 + l_linenumber) * 1000 + l_partkey % 40 AS src, (l_suppkey * 10 + l_linenumber) * 1000 + (l_partkey * 31 + l_orderkey) % 40 AS dst,
           CASE WHEN l_returnflag = 'A' THEN 'calls' WHEN l_returnflag = 'R' THEN 'data_flow' ELSE 'imports' END AS type
-        FROM {lineitem} WHERE l_linenumber = 1 AND l_quantity < 3""",
+        FROM {lineitem}""",
+    "d_nodes": """
+        SELECT id, id * 37 % 11 + 1 AS cost, id % 3 = 0 AS exported
+        FROM (SELECT (l_suppkey * 10 + l_linenumber) * 1000 + l_partkey % 40 AS id FROM {lineitem} UNION
+          SELECT (l_suppkey * 10 + l_linenumber) * 1000 + (l_partkey * 31 + l_orderkey) % 40 FROM {lineitem} UNION SELECT s_suppkey * 10000 + 999 FROM {supplier})""",
     "d_deps": """
         SELECT s_suppkey AS repo_id, p_brand AS name,
           concat('^', CAST(p_size % 5 AS VARCHAR(10)), '.', CAST(p_partkey % 10 AS VARCHAR(10)), '.', CAST(p_partkey % 7 AS VARCHAR(10))) AS version_spec,
@@ -101,6 +106,7 @@ class Domain:
     scans = cached_property(lambda self: self.view("d_scans"))
     issues = cached_property(lambda self: self.view("d_issues"))
     edges = cached_property(lambda self: self.view("d_edges"))
+    nodes = cached_property(lambda self: self.view("d_nodes"))
     deps = cached_property(lambda self: self.view("d_deps"))
     traffic = cached_property(lambda self: self.view("d_traffic"))
     files = cached_property(lambda self: self.view("d_files"))

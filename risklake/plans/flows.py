@@ -80,8 +80,12 @@ Q(
 )(lambda d: sinks.sarif_results(_findings(d)).select("repo", "seq.*", "rule", "rule_index", "level", "precision", "fingerprint"))
 Q(
     "sink_report_json",
-    """SELECT s.id AS scan_id, (SELECT count(*) FROM d_issues i WHERE i.scan_id = s.id) AS n_issues, coalesce((SELECT string_agg(DISTINCT engine_name, ',' ORDER BY engine_name) FROM d_results r WHERE r.scan_id = s.id), '') AS engines FROM d_scans s WHERE s.id < 3000""",
-)(lambda d: sinks.export_scan(d.scans.filter("id < 3000"), d.issues, d.results).select("scan_id", "n_issues", "engines"))
+    """WITH i AS (SELECT scan_id, count(*) AS n, string_agg('{"k1":' || k1 || ',"k2":' || k2 || ',"k3":' || k3 || ',"title":' || to_json(title) || ',"severity":"' || severity || '"}', ',' ORDER BY k1, k2, k3, title) AS said,
+      string_agg('{"title":' || to_json(title) || ',"severity":"' || severity || '"}', ',' ORDER BY k1, k2, k3, title) FILTER (has_repro) AS proofs FROM d_issues GROUP BY scan_id),
+    r AS (SELECT scan_id, engine_name, max_by(result, id) AS result FROM d_results GROUP BY ALL), e AS (SELECT scan_id, string_agg(to_json(engine_name) || ':' || to_json(result), ',' ORDER BY engine_name) AS engines FROM r GROUP BY scan_id)
+    SELECT s.id AS scan_id, coalesce(n, 0) AS n_issues, md5('{"scan_id":' || s.id || coalesce(',"score":' || score, '') || coalesce(',"status":"' || status || '"', '') || coalesce(',"issues":[' || said || ']', '') || coalesce(',"proofs":[' || proofs || ']', '') || coalesce(',"engines":{' || engines || '}', '') || '}') AS document_md5
+    FROM d_scans s LEFT JOIN i ON i.scan_id = s.id LEFT JOIN e ON e.scan_id = s.id""",
+)(lambda d: sinks.export_scan(d.scans, d.issues, d.results, d.issues.filter("has_repro")).select("scan_id", "n_issues", F.md5("document").alias("document_md5")))
 Q(
     "sink_metrics_text",
     """SELECT 'http_requests_total{method="' || method || '",status="' || status_code || '"} ' || count(*) AS line FROM d_traffic GROUP BY method, status_code UNION ALL SELECT 'http_request_duration_ms_avg ' || printf('%.2f', round(avg(response_time_ms), 4)) FROM d_traffic""",

@@ -16,12 +16,13 @@ PAIRS = "p AS (SELECT DISTINCT src, dst FROM d_edges)"
 DEGREE = "deg AS (SELECT id, sum(i) AS in_degree, sum(o) AS out_degree, count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM p UNION ALL SELECT dst, 1, 0 FROM p) GROUP BY id)"
 
 
-def _roots(d: Domain, *nodes: int):
-    return d.spark.createDataFrame([(n, n) for n in nodes], "root long, node long")
+def _at(d: Domain, *places: int):
+    """The nodes at these places of every repository's graph."""
+    return d.nodes.filter((F.col("id") % 1000).isin(*places)).select("id")
 
 
-def _nodes(d: Domain):
-    return d.spark.range(120).select("id", (F.col("id") * 37 % 11 + 1).alias("cost"), (F.col("id") % 3 == 0).alias("exported"))
+def _roots(d: Domain, *places: int):
+    return _at(d, *places).select(F.col("id").alias("root"), F.col("id").alias("node"))
 
 
 Q("gr_degree", f"WITH {PAIRS}, {DEGREE} SELECT id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, degree FROM deg")(lambda d: graph.degree(d.edges.select("src", "dst").distinct()))
@@ -32,19 +33,19 @@ Q(
 )(lambda d: graph.instability(d.edges))
 Q(
     "gr_bfs",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ('calls', 'imports')), r AS (SELECT unnest([1, 5]) AS root, unnest([1, 5]) AS node, 0 AS depth UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 10)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ('calls', 'imports')), r AS (SELECT id AS root, id AS node, 0 AS depth FROM d_nodes WHERE id % 1000 IN (1, 5) UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 10)
     SELECT CAST(root AS BIGINT) AS root, CAST(node AS BIGINT) AS node, min(depth) AS depth FROM r GROUP BY ALL""",
 )(lambda d: graph.bfs(d.edges, _roots(d, 1, 5), 10, ["calls", "imports"]))
 Q(
     "gr_bfs_backward",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), r AS (SELECT 7 AS root, 7 AS node, 0 AS depth UNION SELECT root, src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 4)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), r AS (SELECT id AS root, id AS node, 0 AS depth FROM d_nodes WHERE id % 1000 = 7 UNION SELECT root, src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 4)
     SELECT CAST(root AS BIGINT) AS root, CAST(node AS BIGINT) AS node, min(depth) AS depth FROM r GROUP BY ALL""",
 )(lambda d: graph.bfs(d.edges, _roots(d, 7), 4, backward=True))
 Q(
     "gr_paths",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), r AS (SELECT 1 AS node, [1] AS path UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN s ON node = src WHERE node <> 109 AND len(path) < 6 AND NOT list_contains(path, dst))
-    SELECT array_to_string(path, '-') AS path FROM r WHERE node = 109 AND len(path) > 1""",
-)(lambda d: graph.paths(d.edges, 1, 109, 5).select(F.array_join("path", "-").alias("path")))
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), r AS (SELECT id AS node, [id] AS path FROM d_nodes WHERE id % 1000 = 1 UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN s ON node = src WHERE node % 1000 <> 9 AND len(path) < 6 AND NOT list_contains(path, dst))
+    SELECT array_to_string(path, '-') AS path FROM r WHERE node % 1000 = 9 AND len(path) > 1""",
+)(lambda d: graph.paths(d.edges, _at(d, 1).select(F.col("id").alias("start"), (F.col("id") + 8).alias("goal")), 5).select(F.array_join("path", "-").alias("path")))
 Q(
     "gr_scc",
     """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE src <> dst), r AS (SELECT src, dst FROM s UNION SELECT r.src, s.dst FROM r JOIN s ON r.dst = s.src),
@@ -64,11 +65,11 @@ Q(
 )(lambda d: graph.hubs(d.edges))
 Q(
     "gr_resilience",
-    f"""WITH {PAIRS}, {DEGREE}, n AS (SELECT count(*) AS nodes, count(*) FILTER (degree IS NULL) AS isolated, count(*) FILTER (degree >= 5) AS hubs FROM (SELECT unnest(range(120)) AS i) LEFT JOIN deg ON i = id),
+    f"""WITH {PAIRS}, {DEGREE}, n AS (SELECT count(*) AS nodes, count(*) FILTER (degree IS NULL) AS isolated, count(*) FILTER (degree >= 5) AS hubs FROM (SELECT id AS i FROM d_nodes) LEFT JOIN deg ON i = id),
     e AS (SELECT count(*) AS edges, count(*) FILTER (a.degree = 1 OR b.degree = 1) AS spof FROM p JOIN deg a ON src = a.id JOIN deg b ON dst = b.id),
     s AS (SELECT *, CAST(floor(round(greatest(0, 100 - 40 * isolated / nodes - 30 * least(spof, 15) / greatest(edges, 1) - 20 * least(hubs, 10) / nodes), 6) + 0.5) AS BIGINT) AS score FROM n, e)
     SELECT nodes, edges, isolated, spof, hubs, score, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'weak' ELSE 'fragile' END AS band FROM s""",
-)(lambda d: graph.resilience(_nodes(d), d.edges))
+)(lambda d: graph.resilience(d.nodes, d.edges))
 Q(
     "gr_entropy",
     f"WITH {PAIRS}, {DEGREE}, t AS (SELECT degree / sum(degree) OVER () AS p FROM deg) SELECT count(*) AS n, floor(round(-sum(p * log2(p)) / log2(count(*)), 9) * 10000 + 0.5) / 10000 AS entropy FROM t",
@@ -81,49 +82,54 @@ def _weighed(d: Domain):
 
 Q(
     "gr_taint_paths",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst, round(0.5 + (src + dst) % 5 / 10, 1) AS c FROM d_edges WHERE src <> dst), r AS (SELECT n AS start, n AS node, [n] AS path, 1.0::DOUBLE AS p FROM (SELECT unnest(range(0, 120, 10)) AS n)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst, round(0.5 + (src + dst) % 5 / 10, 1) AS c FROM d_edges WHERE src <> dst), r AS (SELECT n AS start, n AS node, [n] AS path, 1.0::DOUBLE AS p FROM (SELECT id AS n FROM d_nodes WHERE id % 10 = 0)
       UNION ALL SELECT start, dst, list_append(path, dst), p * c FROM r JOIN s ON node = src WHERE p * c >= 0.3 AND NOT list_contains(path, dst) AND len(path) < 20)
     SELECT start, node AS sink, array_to_string(path, '-') AS path, floor(round(p * 0.95, 9) * 10000 + 0.5) / 10000 AS confidence FROM r WHERE node % 10 = 5 AND len(path) > 1""",
-)(lambda d: graph.taint_paths(_weighed(d), d.spark.range(0, 120, 10).select(F.col("id").alias("node")), d.spark.range(5, 120, 10).select(F.col("id").alias("node"))))
+)(lambda d: graph.taint_paths(_weighed(d), d.nodes.filter("id % 10 = 0").select(F.col("id").alias("node")), d.nodes.filter("id % 10 = 5").select(F.col("id").alias("node"))))
 Q(
     "gr_implicit_flow",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'imports'), r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT unnest([5, 15, 25]) AS n) UNION SELECT root, src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 10)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'imports'), r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT id AS n FROM d_nodes WHERE id % 1000 IN (5, 15, 25)) UNION SELECT root, src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 10)
     SELECT CAST(root AS BIGINT) AS sink, CAST(node AS BIGINT) AS source, min(depth) AS depth FROM r WHERE node % 10 = 0 GROUP BY ALL""",
 )(lambda d: graph.bfs(d.edges, _roots(d, 5, 15, 25), 10, ["imports"], backward=True).filter("node % 10 = 0").select(F.col("root").alias("sink"), F.col("node").alias("source"), "depth"))
-NODES = "nodes AS (SELECT i AS id, i * 37 % 11 + 1 AS cost, i % 3 = 0 AS exported FROM (SELECT unnest(range(120)) AS i))"
+NODES = "nodes AS (SELECT * FROM d_nodes)"
 Q(
     "gr_dep_cost",
     f"WITH {NODES}, s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ('calls', 'imports')), b AS (SELECT src, sum(cost) AS c FROM s JOIN nodes ON dst = id GROUP BY src) SELECT id, CAST(cost + coalesce(c, 0) AS BIGINT) AS total_cost FROM nodes LEFT JOIN b ON id = src",
-)(lambda d: graph.dep_cost(_nodes(d), d.edges))
-for _name, _roots_of, _types in (("gr_path_cost", (0, 3, 6), ("calls",)), ("gr_bundle_impact", (1, 2, 4), ("imports",)), ("gr_branch_depth", (8, 9), ("calls", "imports", "data_flow"))):
+)(lambda d: graph.dep_cost(d.nodes, d.edges))
+for _name, _roots_of, _types in (("gr_path_cost", (0, 3, 6), ("calls",)), ("gr_bundle_impact", (1, 2, 4), ("imports",))):
     _t = ", ".join(f"'{t}'" for t in _types)
     Q(
         _name,
-        f"""WITH RECURSIVE {NODES}, s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ({_t})), r AS (SELECT n AS root, n AS node FROM (SELECT unnest([{', '.join(map(str, _roots_of))}]) AS n) UNION SELECT root, dst FROM r JOIN s ON node = src)
+        f"""WITH RECURSIVE {NODES}, s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ({_t})), r AS (SELECT n AS root, n AS node FROM (SELECT id AS n FROM d_nodes WHERE id % 1000 IN ({', '.join(map(str, _roots_of))})) UNION SELECT root, dst FROM r JOIN s ON node = src)
         SELECT CAST(root AS BIGINT) AS root, count(*) AS reached, CAST(sum(cost) AS BIGINT) AS cost FROM r JOIN nodes ON node = id GROUP BY root""",
-    )(lambda d, roots=_roots_of, types=_types: graph.path_cost(d.spark.createDataFrame([(n,) for n in roots], "id long"), _nodes(d), d.edges, list(types)))
-Q("gr_cost_totals", f"WITH {NODES} SELECT exported, count(*) AS n, CAST(sum(cost) AS BIGINT) AS cost FROM nodes GROUP BY exported")(lambda d: _nodes(d).groupBy("exported").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")))
-Q("gr_dead_code", f"WITH {NODES} SELECT id FROM nodes WHERE NOT exported AND id NOT IN (SELECT dst FROM d_edges WHERE type IN ('calls', 'imports', 'renders'))")(lambda d: graph.dead_code(_nodes(d), d.edges))
+    )(lambda d, roots=_roots_of, types=_types: graph.path_cost(_at(d, *roots), d.nodes, d.edges, list(types)))
+Q(
+    "gr_branch_depth",
+    f"""WITH RECURSIVE {PAIRS}, b AS (SELECT id, cost * 3 AS complexity FROM d_nodes WHERE id % 1000 IN (8, 9)), r AS (SELECT id AS root, id AS node FROM b UNION SELECT root, dst FROM r JOIN p ON node = src)
+    SELECT id AS branch, count(*) FILTER (node <> id) AS reachable, id NOT IN (SELECT src FROM p) AS dead_end, complexity > 20 AS complex FROM b JOIN r ON root = id GROUP BY id, complexity""",
+)(lambda d: graph.branch_depth(d.nodes.filter("id % 1000 IN (8, 9)").select("id", (F.col("cost") * 3).alias("complexity")), d.edges))
+Q("gr_cost_totals", f"WITH {NODES} SELECT exported, count(*) AS n, CAST(sum(cost) AS BIGINT) AS cost FROM nodes GROUP BY exported")(lambda d: d.nodes.groupBy("exported").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")))
+Q("gr_dead_code", f"WITH {NODES} SELECT id FROM nodes WHERE NOT exported AND id NOT IN (SELECT dst FROM d_edges WHERE type IN ('calls', 'imports', 'renders'))")(lambda d: graph.dead_code(d.nodes, d.edges))
 Q(
     "gr_failure_propagation",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), r AS (SELECT n AS node, 0 AS depth FROM (SELECT unnest([3, 50]) AS n) UNION SELECT src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 5), m AS (SELECT node, min(depth) AS k FROM r GROUP BY node), n AS (SELECT DISTINCT unnest([src, dst]) AS id FROM s)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), r AS (SELECT n AS node, 0 AS depth FROM (SELECT id AS n FROM d_nodes WHERE id % 1000 IN (3, 30)) UNION SELECT src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 5), m AS (SELECT node, min(depth) AS k FROM r GROUP BY node), n AS (SELECT DISTINCT unnest([src, dst]) AS id FROM s)
     SELECT id, round(greatest(0.05, coalesce(0.8::DOUBLE * pow(0.7::DOUBLE, k), 0)), 6) AS probability FROM n LEFT JOIN m ON id = node""",
-)(lambda d: graph.failure_prob(d.edges, d.spark.createDataFrame([(3,), (50,)], "id long")))
+)(lambda d: graph.failure_prob(d.edges, _at(d, 3, 30)))
 Q(
     "gr_markov_blanket",
-    f"""WITH {PAIRS}, t AS (SELECT unnest([2, 40]) AS target), c AS (SELECT target, dst AS node FROM t JOIN p ON src = target), m AS (SELECT target, src AS node FROM t JOIN p ON dst = target UNION SELECT * FROM c UNION SELECT target, p.src FROM c JOIN p ON p.dst = c.node)
+    f"""WITH {PAIRS}, t AS (SELECT id AS target FROM d_nodes WHERE id % 1000 IN (2, 30)), c AS (SELECT target, dst AS node FROM t JOIN p ON src = target), m AS (SELECT target, src AS node FROM t JOIN p ON dst = target UNION SELECT * FROM c UNION SELECT target, p.src FROM c JOIN p ON p.dst = c.node)
     SELECT DISTINCT CAST(target AS BIGINT) AS target, node FROM m WHERE node <> target""",
-)(lambda d: graph.markov_blanket(d.edges, d.spark.createDataFrame([(2,), (40,)], "id long")))
-MODELS = """ev AS (SELECT DISTINCT src % 5 AS model, 's' || src AS src, 's' || (dst - dst % 5 + src % 5) AS dst, type AS label FROM d_edges), st AS (SELECT DISTINCT model, state, state = (CASE model WHEN 0 THEN 's0' ELSE 's' || model END) AS initial, CAST(state[2:] AS INT) % 2 = 0 AS accepting
-  FROM (SELECT model, src AS state FROM ev UNION SELECT model, dst FROM ev UNION SELECT unnest(range(5)), 's' || unnest(range(5))))"""
+)(lambda d: graph.markov_blanket(d.edges, _at(d, 2, 30)))
+MODELS = """ev AS (SELECT DISTINCT src // 1000 AS model, 's' || src % 1000 AS src, 's' || dst % 1000 AS dst, type AS label FROM d_edges), st AS (SELECT DISTINCT model, state, state = 's0' AS initial, CAST(state[2:] AS INT) % 2 = 0 AS accepting
+  FROM (SELECT model, src AS state FROM ev UNION SELECT model, dst FROM ev UNION SELECT model, 's0' FROM ev))"""
 
 
 def _models(d: Domain):
-    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    events = d.edges.select((F.col("src") % 5).alias("model"), name(F.col("src")).alias("src"), name(F.col("dst") - F.col("dst") % 5 + F.col("src") % 5).alias("dst"), F.col("type").alias("label")).distinct()
-    five = d.spark.range(5).select(F.col("id").alias("model"), name(F.col("id")).alias("state"))
-    states = events.select("model", F.explode(F.array("src", "dst")).alias("state")).unionByName(five).distinct()
-    return states.withColumn("initial", F.col("state") == name(F.col("model"))).withColumn("accepting", F.substring("state", 2, 10).cast("int") % 2 == 0), events
+    """A state machine per repository."""
+    name = lambda c: F.concat(F.lit("s"), (F.col(c) % 1000).cast("string"))
+    events = d.edges.select(F.floor(F.col("src") / 1000).alias("model"), name("src").alias("src"), name("dst").alias("dst"), F.col("type").alias("label")).distinct()
+    states = events.select("model", F.explode(F.array("src", "dst", F.lit("s0"))).alias("state")).distinct()
+    return states.withColumn("initial", F.col("state") == "s0").withColumn("accepting", F.substring("state", 2, 10).cast("int") % 2 == 0), events
 
 
 Q(
@@ -144,7 +150,7 @@ Q(
     v AS (SELECT DISTINCT r.model, r.src FROM r JOIN bad ON bad.model = r.model AND bad.state = r.dst)
     SELECT s.model, count(v.src) AS violating, count(*) - count(v.src) AS verified, count(v.src) = 0 AS holds FROM st s LEFT JOIN v ON s.model = v.model AND s.state = v.src GROUP BY s.model""",
 )(lambda d: graph.response_property(*_models(d), "1", "9"))
-Q("gr_provenance")(lambda d: graph.provenance(d.edges.filter("type = 'data_flow'"), d.spark.range(0, 120, 7), d.spark.range(120).select("id", (F.col("id") * 13 % 7).alias("score"))))
+Q("gr_provenance")(lambda d: graph.provenance(d.edges.filter("type = 'data_flow'"), d.nodes.filter("id % 7 = 0").select("id"), d.nodes.select("id", (F.col("id") * 13 % 7).alias("score"))))
 
 # Evidence
 R4 = "floor(round({0}, 9) * 10000 + 0.5) / 10000"
@@ -190,7 +196,7 @@ def _counts(d: Domain):
     return aggregates.issue_counts(d.issues).withColumn("total", F.col("critical") + F.col("high") + F.col("medium") + F.col("low"))
 
 
-Q("sm_monte_carlo")(lambda d: risk.loss_simulation(_counts(d), paths=1000))
+Q("sm_monte_carlo")(lambda d: risk.loss_simulation(_counts(d)))
 Q(
     "fn_forecasts",
     f"""WITH {COUNTS}, s AS (SELECT scan_id, greatest(0, 100 - least(critical * 12, 55) - least(high * 5, 28) - least(medium * 2, 12) - least(low, 5)) AS s, critical AS c, high AS h, medium AS m FROM counts),

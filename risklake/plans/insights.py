@@ -9,7 +9,7 @@ from risklake.operators import aggregates, fusion, graph, insights, rules, simil
 from risklake.plans.book import Book
 from risklake.plans.corpus import CALLS, CODE_LINES, LINES, ROUTES, _code_lines, _lines
 from risklake.plans.domain import Domain
-from risklake.plans.graphs import NODES, PAIRS, _nodes
+from risklake.plans.graphs import NODES, PAIRS
 from risklake.plans.relational import COUNTS, ISSUE_ORDER, LICENSES, _values, licenses
 from risklake.sources import code
 
@@ -60,8 +60,8 @@ Q("jn_fingerprint_patterns", "SELECT p_partkey AS id, s_suppkey AS pattern, p_re
 Q("jn_ltl_violations", "SELECT r.id, s.id AS scan_id, duration_ms AS violating FROM d_results r JOIN d_scans s ON r.scan_id = s.id WHERE engine_name = 'error' AND duration_ms > 50 ORDER BY duration_ms DESC, r.id LIMIT 50")(
     lambda d: d.results.filter("engine_name = 'error' AND duration_ms > 50").join(d.scans.select(F.col("id").alias("scan_id")), "scan_id").orderBy(F.col("duration_ms").desc(), "id").limit(50).select("id", "scan_id", F.col("duration_ms").alias("violating"))
 )
-Q("jn_deadlocks", "SELECT s.id, len(x) AS deadlocks FROM (SELECT scan_id, list(k2) AS x FROM d_issues WHERE severity = 'critical' GROUP BY scan_id) i JOIN d_scans s ON s.id = i.scan_id ORDER BY 2 DESC, 1 LIMIT 100")(
-    lambda d: d.issues.filter("severity = 'critical'").groupBy("scan_id").agg(F.collect_list("k2").alias("x")).join(d.scans.select(F.col("id").alias("scan_id")), "scan_id").select(F.col("scan_id").alias("id"), F.size("x").alias("deadlocks")).orderBy(F.col("deadlocks").desc(), "id").limit(100)
+Q("jn_deadlocks", "SELECT s.id, deadlocks FROM (SELECT scan_id, count(*) AS deadlocks FROM d_issues WHERE severity = 'critical' GROUP BY scan_id) i JOIN d_scans s ON s.id = i.scan_id ORDER BY 2 DESC, 1 LIMIT 100")(
+    lambda d: d.issues.filter("severity = 'critical'").groupBy("scan_id").agg(F.count("*").alias("deadlocks")).join(d.scans.select(F.col("id").alias("scan_id")), "scan_id").select(F.col("scan_id").alias("id"), "deadlocks").orderBy(F.col("deadlocks").desc(), "id").limit(100)
 )
 Q(
     "ag_sbom",
@@ -170,11 +170,11 @@ Q(
 
 
 def _reach(d: Domain, types: list[str]):
-    roots = d.spark.range(0, 120, 15).select(F.col("id").alias("root"), F.col("id").alias("node"))
+    roots = d.nodes.filter("id % 1000 % 15 = 0").select(F.col("id").alias("root"), F.col("id").alias("node"))
     return graph.bfs(d.edges, roots, 10, types)
 
 
-REACH = """r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT unnest(range(0, 120, 15)) AS n) UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 10)"""
+REACH = """r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT id AS n FROM d_nodes WHERE id % 1000 % 15 = 0) UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 10)"""
 Q(
     "gr_fat_handlers",
     f"""WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ('calls', 'data_flow')), {REACH} SELECT CAST(root AS BIGINT) AS root, count(DISTINCT node % 5) AS kinds FROM r WHERE node % 5 < 4 GROUP BY root HAVING count(DISTINCT node % 5) >= 3""",
@@ -184,14 +184,14 @@ Q(
     f"""WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), {REACH} SELECT CAST(root AS BIGINT) AS source, count(DISTINCT node) FILTER (node % 10 = 5) AS sinks, count(DISTINCT node) FILTER (node % 20 = 5) AS sanitized FROM r GROUP BY root""",
 )(lambda d: _reach(d, ["calls", "data_flow", "imports"]).groupBy(F.col("root").alias("source")).agg(F.count_if(F.col("node") % 10 == 5).alias("sinks"), F.count_if(F.col("node") % 20 == 5).alias("sanitized")))
 Q("gr_complexity_score", f"WITH {NODES} SELECT id, CAST(least(100, floor((0.4 * cost + 0.4 * (id % 13) + 0.2 * (id % 5)) * 5 + 0.5)) AS BIGINT) AS score FROM nodes")(
-    lambda d: _nodes(d).select("id", F.least(F.lit(100), fn.half_up(F.round((0.4 * F.col("cost") + 0.4 * (F.col("id") % 13) + 0.2 * (F.col("id") % 5)) * 5, 6))).cast("long").alias("score"))
+    lambda d: d.nodes.select("id", F.least(F.lit(100), fn.half_up(F.round((0.4 * F.col("cost") + 0.4 * (F.col("id") % 13) + 0.2 * (F.col("id") % 5)) * 5, 6))).cast("long").alias("score"))
 )
 Q(
     "gr_async_chains",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'calls' AND src % 2 = 0 AND dst % 2 = 0 AND src <> dst), r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT unnest(range(0, 120, 2)) AS n) UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 6)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'calls' AND src % 2 = 0 AND dst % 2 = 0 AND src <> dst), r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT id AS n FROM d_nodes WHERE id % 2 = 0) UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 6)
     SELECT CAST(root AS BIGINT) AS root, max(d) AS chain FROM (SELECT root, node, min(depth) AS d FROM r GROUP BY ALL) GROUP BY root HAVING max(d) > 0""",
 )(
-    lambda d: graph.bfs(d.edges.filter("type = 'calls' AND src % 2 = 0 AND dst % 2 = 0 AND src <> dst"), d.spark.range(0, 120, 2).select(F.col("id").alias("root"), F.col("id").alias("node")), 6).groupBy("root").agg(F.max("depth").alias("chain")).filter("chain > 0")
+    lambda d: graph.bfs(d.edges.filter("type = 'calls' AND src % 2 = 0 AND dst % 2 = 0 AND src <> dst"), d.nodes.filter("id % 2 = 0").select(F.col("id").alias("root"), F.col("id").alias("node")), 6).groupBy("root").agg(F.max("depth").alias("chain")).filter("chain > 0")
 )
 
 
@@ -243,7 +243,7 @@ Q(
 Q("udtf_literals", f"""WITH {CODE_LINES} SELECT repo_id, path, line_no, unnest(regexp_extract_all(line, '"([^"]+)"', 1)) AS literal FROM lines""")(
     lambda d: _code_lines(d).select("repo_id", "path", "line_no", F.explode(F.regexp_extract_all("line", F.lit('"([^"]+)"'), F.lit(1))).alias("literal"))
 )
-Q("udtf_cost_breakdown", f"WITH {NODES} SELECT id, unnest(['cost', 'twice']) AS metric, unnest([cost, cost * 2]) AS value FROM nodes")(lambda d: _nodes(d).withColumn("twice", F.col("cost") * 2).unpivot("id", ["cost", "twice"], "metric", "value"))
+Q("udtf_cost_breakdown", f"WITH {NODES} SELECT id, unnest(['cost', 'twice']) AS metric, unnest([cost, cost * 2]) AS value FROM nodes")(lambda d: d.nodes.withColumn("twice", F.col("cost") * 2).unpivot("id", ["cost", "twice"], "metric", "value"))
 IMPORT_SQL = "imp AS (SELECT DISTINCT repo_id, regexp_extract(content, '\\./(p[0-9]+)\"', 1) AS name FROM d_code)"
 Q("jn_unused_components", f"WITH {IMPORT_SQL} SELECT repo_id, path FROM d_code c WHERE regexp_matches(path, '^src/') AND NOT EXISTS (SELECT 1 FROM imp WHERE imp.repo_id = c.repo_id AND imp.name = regexp_extract(path, '([^/]+)\\.ts$', 1))")(
     lambda d: insights.unused_components(d.code, code.imports(d.code), "^src/")
@@ -296,7 +296,7 @@ Q(
     "rl_pack_cost",
     f"""WITH {CODE_LINES}, {NODES} SELECT 'R-EVAL' AS kind, path AS subject FROM lines WHERE regexp_matches(line, '(?i)\\beval\\s*\\(') AND NOT regexp_matches(line, '^\\s*//') UNION ALL SELECT 'R-FETCH', path FROM lines WHERE regexp_matches(line, '(?i)\\bfetch\\s*\\(')
     UNION ALL SELECT 'dead_code', CAST(id AS VARCHAR) FROM nodes WHERE NOT exported AND id NOT IN (SELECT dst FROM d_edges WHERE type IN ('calls', 'imports')) UNION ALL SELECT 'busy_api', file_path FROM d_issues GROUP BY file_path HAVING count(*) > 5""",
-)(lambda d: rules.pack_cost(rules.pack_scan(_code_lines(d), ["repo_id", "path"]), graph.dead_code(_nodes(d), d.edges), d.issues.select(F.col("file_path").alias("path"))))
+)(lambda d: rules.pack_cost(rules.pack_scan(_code_lines(d), ["repo_id", "path"]), graph.dead_code(d.nodes, d.edges), d.issues.select(F.col("file_path").alias("path"))))
 
 
 def _compliance(d: Domain):

@@ -151,8 +151,8 @@ BOOK.add(
 )(_masked_results)
 BOOK.add(
     "prj_secret_redact",
-    """SELECT file_id, regexp_replace(content[:500], '([=:\\s"''`])([a-zA-Z0-9_\\-+/]{6})[a-zA-Z0-9_\\-+/]{6,}([a-zA-Z0-9_\\-+/]{4})', '\\1\\2●●●●●●\\3', 'g') AS redacted FROM d_files""",
-)(lambda d: d.files.select("file_id", redact(F.substring("content", 1, 500)).alias("redacted")))
+    """SELECT file_id, regexp_replace(content, '([=:\\s"''`])([a-zA-Z0-9_\\-+/]{6})[a-zA-Z0-9_\\-+/]{6,}([a-zA-Z0-9_\\-+/]{4})', '\\1\\2●●●●●●\\3', 'g') AS redacted FROM d_files""",
+)(lambda d: d.files.select("file_id", redact(F.col("content")).alias("redacted")))
 BOOK.add(
     "prj_category_agent",
     """SELECT id, CASE kind WHEN 'secrets' THEN 'IDOR & Access Control Agent' WHEN 'auth' THEN 'Auth & Session Agent' WHEN 'injection' THEN 'Input & Validation Agent' WHEN 'config' THEN 'Reliability & Observability Agent'

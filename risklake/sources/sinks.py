@@ -72,13 +72,18 @@ def to_sarif(findings: DataFrame) -> DataFrame:
     return rules.join(rows, "repo").select("repo", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
-def export_scan(scans: DataFrame, issues: DataFrame, results: DataFrame) -> DataFrame:
-    """Each scan with its issues and its newest result per engine as one JSON document."""
-    own = issues.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "title", "severity"))).alias("issues"))
+def export_scan(scans: DataFrame, issues: DataFrame, results: DataFrame, proofs: DataFrame) -> DataFrame:
+    """Each scan with its issues, its proofs and its newest result per engine as one JSON document. A scan's own rows make its document."""
+    listed = lambda df, *c: df.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "title", "severity"))).alias(c[0]))
+    own = listed(issues, "issues")
+    shown = listed(proofs, "proofs").withColumn("proofs", F.transform("proofs", lambda x: F.struct(x["title"].alias("title"), x["severity"].alias("severity"))))
     newest = results.groupBy("scan_id", "engine_name").agg(F.max_by("result", "id").alias("result"))
     engines = newest.groupBy("scan_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine_name", "result")))).alias("engines"))
-    joined = scans.select(F.col("id").alias("scan_id"), "score", "status").join(own, "scan_id", "left").join(engines, "scan_id", "left")
-    return joined.select("scan_id", F.to_json(F.struct("scan_id", "score", "status", "issues", "engines")).alias("document"), F.coalesce(F.size("issues"), F.lit(0)).alias("n_issues"), F.coalesce(F.array_join(F.map_keys("engines"), ","), F.lit("")).alias("engines"))
+    joined = scans.select(F.col("id").alias("scan_id"), "score", "status")
+    for part in (own, shown, engines):
+        joined = joined.join(part, "scan_id", "left")
+    document = F.to_json(F.struct("scan_id", "score", "status", "issues", "proofs", "engines"))
+    return joined.select("scan_id", document.alias("document"), F.coalesce(F.when(F.col("issues").isNotNull(), F.size("issues")), F.lit(0)).cast("long").alias("n_issues"), F.coalesce(F.array_join(F.map_keys("engines"), ","), F.lit("")).alias("engines"))
 
 
 def metrics_text(events: DataFrame) -> DataFrame:

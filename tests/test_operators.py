@@ -112,7 +112,7 @@ def test_graph(spark):
     reach = graph.bfs(edges, spark.createDataFrame([(1, 1)], "root long, node long"), 2)
     assert {r["node"]: r["depth"] for r in reach.collect()} == {1: 0, 2: 1, 3: 2}
     assert sorted(r["members"] for r in graph.cycles(edges, 3).collect()) == ["1-2-3", "4-5"]
-    assert [r["path"] for r in graph.paths(edges, 1, 5, 8).collect()] == [[1, 2, 3, 4, 5]]
+    assert [r["path"] for r in graph.paths(edges, spark.createDataFrame([(1, 5)], "start long, goal long"), 8).collect()] == [[1, 2, 3, 4, 5]]
 
 
 def test_response_property(spark):
@@ -168,6 +168,31 @@ def test_simulation_reruns_agree(spark):
     assert a == b and a[1]["p99"] == 0 and a[1]["rating"] == "AAA" and a[0]["p50"] <= a[0]["p95"] <= a[0]["p99"]
 
 
+def test_simulation_matches_brute_force(spark):
+    """Every path in plain Python, at the production number of paths."""
+    rows = [(1, 3, 4, 20), (2, 1, 0, 5), (77, 0, 2, 9)]
+    got = {r["scan_id"]: r for r in risk.loss_simulation(spark.createDataFrame(rows, "scan_id long, critical long, high long, total long")).collect()}
+
+    def draw(scan, path, kind):
+        x = (scan * 48_271 + path * 69_621 + kind * 1_299_709 + 12_345) % risk.MODULUS
+        for c in (7_919, 104_729, 15_485_863):
+            x = (x * x + c * (kind + 1)) % risk.MODULUS
+        return x / risk.MODULUS
+
+    for scan, critical, high, _ in rows:
+        p = min(0.99, 0.15 * critical + 0.05 * high)
+        losses = sorted(1000 * (0.8 + draw(scan, k, 0) * 2.2) * 164 * math.exp(draw(scan, k, 2) * 2) if draw(scan, k, 1) < p else 0.0 for k in range(10_000))
+        assert abs(sum(x > 0 for x in losses) / 10_000 - p) < 0.02
+        for name, at in (("p50", 5000), ("p90", 9000), ("p95", 9500), ("p99", 9900)):
+            assert abs(got[scan][name] - losses[at]) <= 0.51
+
+
+def test_branches(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "src long, dst long")
+    got = graph.branch_depth(spark.createDataFrame([(1, 30), (4, 20), (9, 1)], "id long, complexity long"), edges).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, False, True), (4, 0, False, False), (9, 0, True, False)]
+
+
 def test_upsert_into_partitions(spark, tmp_path):
     path = str(tmp_path / "results")
     rows = lambda *r: spark.createDataFrame(list(r), "id long, scan_id long, engine_name string, result string, day int")
