@@ -139,11 +139,6 @@ def sbom(deps: DataFrame, licenses: DataFrame) -> DataFrame:
     return joined.select("repo_id", "seq", purl(F.col("name"), F.col("version_spec")).alias("purl"), bom_ref(F.col("name"), F.col("version_spec")).alias("bom_ref"), F.coalesce("license", F.lit("NOASSERTION")).alias("license"))
 
 
-def capped_scores(findings: DataFrame, caps: dict[str, tuple[int, int]]) -> DataFrame:
-    """findings(repo, kind): 100 less each kind's capped penalty (each, most), per repository."""
-    lost = sum((F.least(F.count_if(F.col("kind") == k) * each, F.lit(most)) for k, (each, most) in caps.items()), F.lit(0))
-    return findings.groupBy("repo").agg(F.greatest(F.lit(0), 100 - lost).alias("score"))
-
 
 def traffic_light(scans: DataFrame, counts: DataFrame) -> DataFrame:
     joined = scans.join(counts, scans["id"] == counts["scan_id"], "left").na.fill(0, ["critical", "high"])
@@ -152,11 +147,6 @@ def traffic_light(scans: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.select("id", light.alias("light"), F.array_join(blockers, ", ").alias("blockers"))
 
 
-def presence_score(flags: DataFrame, weights: dict[str, int]) -> DataFrame:
-    """Sum of the weights of what is present, 100 at most."""
-    total = sum((F.when(F.col(k), w).otherwise(0) for k, w in weights.items()), F.lit(0))
-    return flags.select("repo_id", F.least(total, F.lit(100)).alias("score"))
-
 
 def weighted_mix(rows: DataFrame, weights: dict[str, float]) -> Column:
     return half_up(F.round(sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)), 6))
@@ -297,13 +287,6 @@ def type_mismatch(matches: DataFrame) -> DataFrame:
     return matches.select("id", F.explode(kinds).alias("mismatch"))
 
 
-def feature_truth(files: DataFrame) -> DataFrame:
-    """UI files as live, partially connected or mocked, by what they do and whether any file of the repository serves data."""
-    flag = lambda p: F.col("content").rlike(p)
-    served = F.max(flag(r"router\.").cast("int")).over(Window.partitionBy("repo_id")) == 1
-    state = F.when(flag(r"fetch\(") & served, F.struct(F.lit("live").alias("state"), F.lit(90).alias("confidence"))).when(flag(r"fetch\("), F.struct(F.lit("partial").alias("state"), F.lit(70).alias("confidence"))).when(flag("useState|<form"), F.struct(F.lit("mocked").alias("state"), F.lit(88).alias("confidence"))).otherwise(F.struct(F.lit("mocked").alias("state"), F.lit(75).alias("confidence")))
-    return files.select("repo_id", "path", state.alias("x")).select("repo_id", "path", "x.*")
-
 
 #: Ordered leak classes: name, keywords, least and largest impact; fixed.
 LEAKS = (("payment", "payment|checkout|stripe", 50_000, 500_000), ("access", "auth|login|session", 20_000, 200_000), ("speed", "slow|performance|latency", 10_000, 80_000), ("trust", "privacy|gdpr|consent", 15_000, 150_000))

@@ -89,17 +89,6 @@ Q(
     "jn_dep_reachability",
     f"""WITH {IMPORTS} SELECT repo_id, package AS name, count(DISTINCT path) AS files FROM imports WHERE package IS NOT NULL GROUP BY ALL""",
 )(lambda d: code.imports(d.code).filter("package IS NOT NULL").groupBy("repo_id", F.col("package").alias("name")).agg(F.count_distinct("path").alias("files")))
-SECRET_SQL = " UNION ALL ".join(
-    f"SELECT repo_id, path, '{name}' AS rule, '{sev}' AS severity, min(line_no) AS line_no FROM safe WHERE regexp_matches(line, '{p.replace(chr(39), chr(39) * 2).replace('(?![' + chr(92) + 'w-])', '(?:[^' + chr(92) + 'w-]|$)')}') GROUP BY repo_id, path" for name, p, sev in rules.SECRETS
-)
-Q(
-    "rl_secret_scan",
-    f"""WITH {CODE_LINES}, safe AS (SELECT * FROM lines WHERE NOT regexp_matches(line, 'process\\.env\\.|import\\.meta\\.env\\.|getenv\\(') AND NOT regexp_matches(line, '(?i)YOUR_|<[A-Z_]+>|example|placeholder|changeme|your-')) {SECRET_SQL}""",
-)(lambda d: rules.secret_scan(_code_lines(d), ["repo_id", "path"]).select("repo_id", "path", "rule", "severity", "line_no"))
-Q(
-    "rl_line_patterns",
-    f"""WITH {CODE_LINES} SELECT repo_id, path, 'Eval Usage' AS rule, min(line_no) AS line_no, 'critical' AS severity, 'injection' AS category, 99 AS confidence FROM lines WHERE regexp_matches(line, '\\beval\\s*\\(') GROUP BY ALL""",
-)(lambda d: rules.line_patterns(_code_lines(d), ["repo_id", "path"]))
 Q(
     "rl_project_checks",
     """SELECT repo_id, missing FROM (SELECT repo_id, unnest([CASE WHEN NOT bool_or(regexp_matches(content, 'rate-?limit')) THEN 'rate_limit' END, CASE WHEN NOT bool_or(regexp_matches(content, 'password')) THEN 'password' END, CASE WHEN NOT bool_or(regexp_matches(content, 'pkg6')) THEN 'pkg6' END]) AS missing FROM d_code GROUP BY repo_id) WHERE missing IS NOT NULL""",
@@ -134,14 +123,6 @@ Q(
     SELECT repo_id, count(*) AS files, floor(round(avg(cc), 9) * 100 + 0.5) / 100 AS mean, CAST(max(cc) AS INT) AS max, count(*) FILTER (god) AS gods, count(*) FILTER (n > 300) AS large,
       CASE WHEN avg(god::INT) > 0.3 THEN 'critical' WHEN avg(god::INT) > 0.2 THEN 'high' WHEN avg(god::INT) > 0.1 THEN 'moderate' ELSE 'low' END AS risk FROM s GROUP BY repo_id""",
 )(lambda d: rules.complexity_report(rules.complexity_snapshot(d.files)))
-COUNTED = {"ag_memory_ops": {"alloc": r"\bnew\b|\[\]", "free": r"\bdelete\b|= null"}, "ag_crypto_score": {"weak": r"(?i)md5|sha1\b", "modern": r"(?i)sha256|aes"}, "ag_pq_inventory": {"shor": r"(?i)\brsa\b|ecdsa", "grover": r"(?i)aes-?128"}, "ag_reward_score": {"hacks": r"(?i)\bhack\b|reward", "words": r"\bthe\b"}}
-for _name, _patterns in COUNTED.items():
-    Q(_name, f"WITH {LINES} SELECT repo_id, " + ", ".join(f"CAST(sum(len(regexp_extract_all(line, '{p}'))) AS BIGINT) AS {n}" for n, p in _patterns.items()) + " FROM lines GROUP BY repo_id")(
-        lambda d, patterns=_patterns: rules.pattern_counts(_lines(d), "repo_id", patterns)
-    )
-GATES = {"docker": "(?i)docker", "ci": "(?i)pipeline", "links": "<a href", "secrets": "(?i)password"}
-for _name in ("ag_readiness", "ag_deploy_checks"):
-    Q(_name, "SELECT repo_id, " + ", ".join(f"bool_or(regexp_matches(content, '{p}')) AS {n}" for n, p in GATES.items()) + " FROM d_files GROUP BY repo_id")(lambda d: rules.any_file(d.files, GATES))
 FEATURES = {"login": {"frontend": "eval", "api": "router", "auth": "password", "data": "pkg3", "test": "expect"}, "shop": {"frontend": "fetch", "api": "router", "auth": "pkg", "data": "api/r4", "test": "import"}}
 Q(
     "ag_feature_reality",

@@ -67,11 +67,6 @@ Q(
     "ag_sbom",
     f"""WITH l AS (SELECT * FROM (VALUES {_values(sorted(LICENSES.items()))}) v(package, license)) SELECT repo_id, seq, 'pkg:npm/' || name || '@' || version_spec AS purl, regexp_replace(name, '[^A-Za-z0-9]', '-', 'g') || '-' || version_spec AS bom_ref, coalesce(license, 'NOASSERTION') AS license FROM d_deps LEFT JOIN l ON name = package""",
 )(lambda d: insights.sbom(d.deps, licenses(d)))
-CAPS = {"critical": (10, 40), "high": (4, 30), "medium": (1, 15)}
-for _name, _caps in (("ag_perf_scores", CAPS), ("ag_llm_guard", {"critical": (40, 100), "high": (20, 100), "medium": (10, 100), "low": (5, 100)}), ("ag_deploy_score", {"critical": (25, 50), "high": (10, 30)})):
-    Q(_name, "SELECT scan_id AS repo, greatest(0, 100 - " + " - ".join(f"least(count(*) FILTER (severity = '{k}') * {a}, {b})" for k, (a, b) in _caps.items()) + ") AS score FROM d_issues GROUP BY scan_id")(
-        lambda d, caps=_caps: insights.capped_scores(d.issues.select(F.col("scan_id").alias("repo"), F.col("severity").alias("kind")), caps)
-    )
 Q("ag_mockup_score", f"WITH {LINES} SELECT repo_id, count(*) FILTER (regexp_matches(line, '(?i)mock|lorem|dummy')) AS mocks, CAST(floor(100 * avg((NOT regexp_matches(line, '(?i)mock|lorem|dummy'))::INT) + 0.5) AS BIGINT) AS score FROM lines GROUP BY repo_id")(
     lambda d: _lines(d).withColumn("_m", F.col("line").rlike("(?i)mock|lorem|dummy")).groupBy("repo_id").agg(F.count_if("_m").alias("mocks"), fn.half_up(100 * F.count_if(~F.col("_m")) / F.count("*")).alias("score"))
 )
@@ -80,10 +75,6 @@ Q(
     f"""WITH {COUNTS}, j AS (SELECT id, coalesce(score, 0) AS s, coalesce(critical, 0) AS c, coalesce(high, 0) AS h FROM d_scans LEFT JOIN counts ON id = scan_id)
     SELECT id, CASE WHEN c > 0 OR s < 40 THEN 'red' WHEN h > 2 OR s < 70 THEN 'yellow' ELSE 'green' END AS light, concat_ws(', ', CASE WHEN c > 0 THEN 'critical issues' END, CASE WHEN s < 40 THEN 'low score' END) AS blockers FROM j""",
 )(lambda d: insights.traffic_light(d.scans, aggregates.issue_counts(d.issues)))
-WEIGHTS = {"retry": ("the", 40), "timeout": ("fetch", 35), "breaker": ("article", 45)}
-Q("ag_resilience_patterns", "SELECT repo_id, least(" + " + ".join(f"CASE WHEN bool_or(regexp_matches(content, '{p}')) THEN {w} ELSE 0 END" for p, w in WEIGHTS.values()) + ", 100) AS score FROM d_files GROUP BY repo_id")(
-    lambda d: insights.presence_score(rules.any_file(d.files, {k: p for k, (p, _) in WEIGHTS.items()}), {k: w for k, (_, w) in WEIGHTS.items()})
-)
 Q(
     "ag_reality_penalty",
     f"""WITH {COUNTS} SELECT scan_id AS repo, CAST(floor(round(least(greatest(100 - (8 * critical + 10 * high + 5 * medium + 12 * (low % 2) + least(1.5 * low, 15) + 10 * (critical // 3)), 0), 100), 6) + 0.5) AS BIGINT) AS score FROM counts""",
@@ -92,9 +83,6 @@ Q(
         aggregates.issue_counts(d.issues).select(F.col("scan_id").alias("repo"), F.col("critical").alias("mockups"), F.col("high").alias("missing"), F.col("medium").alias("partial"), (F.col("low") % 2).alias("broken"), F.col("low").alias("cleanup"), F.floor(F.col("critical") / 3).alias("blockers"))
     )
 )
-Q("ag_state_coverage", "SELECT repo_id, count(*) AS components, count(*) FILTER (contains(content, 'if (')) AS loading, floor(avg((contains(content, 'if (')::INT + contains(content, 'password')::INT) / 2) * 10000 + 0.5) / 10000 AS coverage FROM d_code GROUP BY repo_id")(
-    lambda d: d.code.select("repo_id", F.col("content").contains("if (").alias("a"), F.col("content").contains("password").alias("b")).groupBy("repo_id").agg(F.count("*").alias("components"), F.count_if("a").alias("loading"), fn.half_up(F.avg((F.col("a").cast("int") + F.col("b").cast("int")) / 2), 4).alias("coverage"))
-)
 Q("ag_deep_summary", "SELECT severity, count(*) AS n FROM (SELECT severity FROM d_issues WHERE k1 < 4 UNION ALL SELECT severity FROM d_issues WHERE k1 >= 4 UNION ALL SELECT 'info' FROM d_results WHERE duration_ms > 50) GROUP BY severity")(
     lambda d: d.issues.filter("k1 < 4").select("severity").unionByName(d.issues.filter("k1 >= 4").select("severity")).unionByName(d.results.filter("duration_ms > 50").select(F.lit("info").alias("severity"))).groupBy("severity").agg(F.count("*").alias("n"))
 )
@@ -283,10 +271,6 @@ Q(
     "jn_type_mismatch",
     "SELECT event_id AS id, 'id without auth' AS mismatch FROM events WHERE event_id % 9 = 0 UNION ALL SELECT event_id, 'body on GET' FROM events WHERE event_id % 42 = 0 UNION ALL SELECT event_id, 'db without auth' FROM events WHERE event_id % 6 = 0",
 )(lambda d: insights.type_mismatch(_pairs(d)))
-Q(
-    "ag_feature_truth",
-    "SELECT repo_id, path, CASE WHEN contains(content, 'fetch(') AND bool_or(contains(content, 'router.')) OVER (PARTITION BY repo_id) THEN 'live' WHEN contains(content, 'fetch(') THEN 'partial' ELSE 'mocked' END AS state, CASE WHEN contains(content, 'fetch(') AND bool_or(contains(content, 'router.')) OVER (PARTITION BY repo_id) THEN 90 WHEN contains(content, 'fetch(') THEN 70 ELSE 75 END AS confidence FROM d_code",
-)(lambda d: insights.feature_truth(d.code))
 LEAK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', title, description)), '{r[1]}') THEN '{r[0]}'" for r in insights.LEAKS) + " END"
 Q(
     "fn_revenue_leak",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from risklake.plans import analytics, corpus, flows, graphs, insights, relational
+from risklake.plans import analysers, analytics, corpus, flows, graphs, insights, relational
 
-BOOKS = (relational.BOOK, analytics.BOOK, corpus.BOOK, graphs.BOOK, flows.BOOK, insights.BOOK)
+BOOKS = (relational.BOOK, analytics.BOOK, corpus.BOOK, graphs.BOOK, flows.BOOK, insights.BOOK, analysers.BOOK)
 
 
 def queries() -> dict:
