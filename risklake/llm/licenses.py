@@ -4,8 +4,9 @@ Templates are tokenised into an index from word to (template, position) postings
 in how many each template word occurs. Each template keeps postings of its rarest words only: as many as weigh, by IDF, more
 than the 1 - MIN_SCORE that a place may miss. So every place that can reach MIN_SCORE has one of them, however common the
 template is. In the second pass each occurrence of such a word proposes the relative place document place - template place,
-and all proposed places are verified: the template's mandatory key phrases must stand there, and the share of template
-words that match, weighted by IDF, must reach MIN_SCORE. Base phrases are found at all places, rare or not.
+and all proposed places are verified: each of the template's mandatory key phrases must stand where the template has it, give
+or take a few words, and the share of template words that match, weighted by IDF, must reach MIN_SCORE. Base phrases are
+found at all places, rare or not.
 
 Bounds. Index and counts have one entry per template word; templates beyond MAX_TEMPLATE_WORDS words are refused.
 
@@ -15,6 +16,7 @@ gives no rows. Columns of the documents that bear one of the output's names are
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,6 +59,22 @@ class Template:
 TEMPLATES = (
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template(
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.""",
+        ("gnu general public license", "free software foundation", "version 3"),
+    ),
+    Template(
+        "gpl-2.0",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.""",
+        ("gnu general public license", "free software foundation", "version 2"),
+    ),
     Template(
         "gpl-3.0",
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
@@ -68,37 +86,85 @@ TEMPLATES = (
         ("gnu lesser general public license",),
     ),
     Template("agpl-3.0", "licensed under the gnu affero general public license version 3", ("gnu affero general public license", "version 3")),
+    Template(
+        "agpl-3.0",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu affero general public license", "version 3"),
+    ),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
     Template(
         "apache-2.0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
         ("apache license", "version 2 0", "in compliance with the license"),
     ),
+    Template(
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain
+        a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+        ("apache license", "version 2 0", "in compliance with the license"),
+    ),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     Template("mit", "released under the mit license", ("mit license",)),
     Template(
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         ("permission is hereby granted free of charge",),
     ),
+    Template(
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+        conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+        ("permission is hereby granted free of charge", "to deal in the software without restriction"),
+    ),
     Template(
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         ("redistribution and use in source and binary forms",),
     ),
+    Template(
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution.""",
+        ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("with or without fee is hereby granted",),
+    ),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
 
+def template_words(text: str) -> list[bytes]:
+    """Words as documents have them, of a template in ASCII."""
+    return [w.encode() for w in re.findall("[0-9a-z]+", text.lower())]
+
+
+def _places_of(words: list[bytes], key: list[bytes]) -> list[int]:
+    return [k for k in range(len(words) - len(key) + 1) if words[k : k + len(key)] == key]
+
+
 class Lexicon:
     """The templates' words with their hashes, sorted by hash, and each template as a sequence of them."""
 
     def __init__(self, templates: tuple[Template, ...]):
         self.templates = templates
-        self.words = [t.text.encode().split() for t in templates]
+        self.words = [template_words(t.text) for t in templates]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words in all")
         vocabulary = sorted({w for words in self.words for w in words})
@@ -108,6 +174,12 @@ class Lexicon:
         self.hashes, self.vocabulary = hashes[order], [vocabulary[k] for k in order]
         number = {w: k for k, w in enumerate(self.vocabulary)}
         self.sequences = [np.array([number[w] for w in words]) for words in self.words]
+        #: Of each template the places of each key phrase, and how far from them a phrase may stand.
+        self.key_places = [{key: _places_of(words, template_words(key)) for key in t.keys} for t, words in zip(templates, self.words, strict=True)]
+        self.slack = [max(1, len(words) // 10) for words in self.words]
+        for t, places in zip(templates, self.key_places, strict=True):
+            if not all(places.values()):
+                raise ValueError(f"a key phrase is not in its template: {t.label}")
 
     def find(self, words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the chosen vocabulary words (sorted numbers) in a group of documents."""
@@ -173,21 +245,24 @@ class Matcher:
 
     def document(self, places: np.ndarray, numbers: np.ndarray, keys: list[tuple[int, int, str]], words: Words, first: int, last: int) -> list[tuple[str, float]]:
         """Labels and scores of one document, its words first to last - 1, from its template words' places and its key phrases' places."""
-        stands: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for a, b, phrase in sorted(keys):
-            stands[phrase].append((a, b))
+        stands: dict[str, list[int]] = defaultdict(list)
+        for a, _, phrase in sorted(keys):
+            stands[phrase].append(a)
         at = np.full(last - first, -1, np.int64)
         at[places - first] = numbers
         found = []
-        for template, said, sequence, rare in zip(self.lexicon.templates, self.lexicon.words, self.lexicon.sequences, self.rare, strict=True):
+        for template, said, sequence, rare, key_places, slack in zip(self.lexicon.templates, self.lexicon.words, self.lexicon.sequences, self.rare, self.lexicon.key_places, self.lexicon.slack, strict=True):
             if not all(phrase in stands for phrase in template.keys):
                 continue
             length = len(sequence)
             offsets = np.unique(np.concatenate([places[numbers == sequence[q]] - q for q in rare]))
-            for phrase in template.keys:
-                starts, ends = np.array(stands[phrase]).T
-                next_one = np.minimum(np.searchsorted(starts, offsets - length), len(starts) - 1)
-                offsets = offsets[(starts[next_one] >= offsets - length) & (ends[next_one] <= offsets + 2 * length)]
+            for phrase, where in key_places.items():
+                starts = np.array(stands[phrase])
+                near = np.zeros(len(offsets), bool)
+                for q in where:
+                    next_one = np.minimum(np.searchsorted(starts, offsets + q - slack), len(starts) - 1)
+                    near |= np.abs(starts[next_one] - offsets - q) <= slack
+                offsets = offsets[near]
             weights = self.idf[sequence]
             scores = [np.empty(0)]
             for k in range(0, len(offsets), max(1, COMPARED // length)):

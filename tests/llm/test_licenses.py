@@ -1,5 +1,9 @@
+import math
+import random
 import re
 
+import pytest
+
 from risklake.llm import licenses
 from tests.llm.data import documents, empty
 
@@ -53,5 +57,65 @@ def test_a_document_with_four_licences_has_four_labels(spark):
     assert set(wanted) <= set(got[500].split(","))
 
 
+def brute_labels(rows):
+    """Every offset of every template, in plain Python: label and best score of those that reach MIN_SCORE with their key phrases in place."""
+    said = {k: tokens(t) for k, t in rows}
+    sequences = [[w.decode() for w in licenses.template_words(t.text)] for t in licenses.TEMPLATES]
+    every = {w for s in sequences for w in s}
+    docs = {w: sum(w in set(words) for words in said.values()) for w in every}
+    idf = {w: math.log((len(rows) + 1) / (docs[w] + 1)) + 1e-9 for w in every}
+    out = {}
+    for k, words in said.items():
+        labels = {}
+        for t, sequence in zip(licenses.TEMPLATES, sequences, strict=True):
+            n, total, slack = len(sequence), sum(idf[w] for w in sequence), max(1, len(sequence) // 10)
+            for offset in range(1 - n, len(words)):
+                score = sum(idf[w] for q, w in enumerate(sequence) if 0 <= offset + q < len(words) and words[offset + q] == w) / total
+                if score < licenses.MIN_SCORE:
+                    continue
+                placed = True
+                for key in t.keys:
+                    own = key.split()
+                    places = [q for q in range(n) if sequence[q : q + len(own)] == own]
+                    stands = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+                    placed &= any(abs(i - offset - q) <= slack for i in stands for q in places)
+                if placed:
+                    labels[t.label] = max(score, labels.get(t.label, 0))
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(words)} "}
+        out[k] = (",".join(sorted(base | set(labels))), round(max([licenses.BASE_SCORE * bool(base), *labels.values()]), 6))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_labels_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(60):
+        words = [rng.choice("plain words of the license and more text version 2 0 software under".split()) for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(0, 3)):
+            notice = licenses.template_words(rng.choice(licenses.TEMPLATES).text)
+            notice = [rng.choice(["x", w.decode()]) if rng.random() < 0.3 else w.decode() for w in notice]
+            words += notice[rng.randrange(0, 4) : len(notice) - rng.randrange(0, 4)] + ["then"] * rng.randrange(0, 3)
+        rows.append((k, " ".join(words)))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_labels(rows) and sum(bool(labels) for labels, _ in got.values()) >= 15
+
+
+@pytest.mark.parametrize("every", [1, 10, 40])
+def test_a_notice_is_labelled_however_many_rows_carry_it(spark, every):
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    rows = [(k, f"row {k} text. {notice}." if k % every == 0 else f"row {k} has plain text") for k in range(200)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: "bsd" if k % every == 0 else "" for k in range(200)}
+
+
+def test_a_decoy_does_not_hide_a_notice(spark):
+    notice = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    decoy = "in binary forms with or without modification are permitted provided that the following conditions are met"
+    rows = [(1, f"{decoy} and then {notice}"), (2, decoy), (3, f"{notice} {decoy}")] + [(k, f"plain row {k}") for k in range(10, 40)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1], got[2], got[3]) == ("bsd", "", "bsd")
+
+
 def test_empty(spark):
     assert licenses.scan(empty(spark)).count() == 0
