@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 
 from risklake.llm import lines
 from tests.llm.data import documents, empty
@@ -45,6 +48,44 @@ def test_messy_rows_and_empty(spark):
     assert lines.deduplicate_lines(empty(spark)).count() == 0
 
 
+def test_overlaps_are_found_whoever_has_the_lines_first(spark):
+    a, b, c = (f"line {x} with several words in it to be long enough" for x in "abc")
+    rows = [(1, f"own one\n{a}"), (2, f"{b}\nown two"), (3, f"own\n{c}\nthree"), (5, f"five\n{a}\n{b}\n{c}"), (9, f"{a}\n{b}\n{c}\nnine")]
+    assert kept(spark, rows, min_chars=10**6) == {**dict(rows), 9: "nine"}
+    five = "\n".join(f"long line number {k} of the five that are shared here" for k in range(5))
+    rows = [(1, f"one\n{five}\nbetween\n{five}"), (5, f"five\n{five}"), (9, f"{five}\nnine")]
+    assert kept(spark, rows, min_chars=10**6)[9] == "nine"
+
+
+def brute_deletions(rows, min_block, min_chars):
+    """Places of a document's lines in a run of min_block lines, or in a line of min_chars, that an earlier document has."""
+    out, before_runs, before_lines = {}, set(), set()
+    for k, text in sorted(rows):
+        said = text.split("\n")
+        runs = [tuple(said[i : i + min_block]) for i in range(len(said) - min_block + 1)]
+        gone = {i + j for i, run in enumerate(runs) if run in before_runs for j in range(min_block)}
+        gone |= {i for i, line in enumerate(said) if len(line) >= min_chars and line in before_lines}
+        out[k] = "\n".join(line for i, line in enumerate(said) if i not in gone)
+        before_runs |= set(runs)
+        before_lines |= set(said)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deletions_match_brute_force(spark, seed):
+    """Documents of whole blocks and parts of blocks in one order: no lines are missed and none are lost that no earlier document has."""
+    rng = random.Random(seed)
+    pool = [[f"block {b} line {i} says something " + "x" * rng.choice([0, 5, 70]) for i in range(rng.randrange(2, 7))] for b in range(12)]
+    rows = []
+    for k in range(70):
+        said = [f"own line {k}"]
+        for b in sorted(rng.sample(range(12), rng.randrange(0, 5))):
+            first = rng.randrange(0, 2) if rng.random() < 0.4 else 0
+            said += pool[b][first : len(pool[b]) - (rng.randrange(0, 2) if rng.random() < 0.4 else 0)] + [f"own {k} after {b}"] * rng.randrange(0, 2)
+        rows.append((k, "\n".join(said)))
+    assert kept(spark, rows, min_block=2, min_chars=80, rare_docs=1000) == brute_deletions(rows, 2, 80)
+
+
 def test_an_exact_copy_behind_partial_sources_ends_empty(spark):
     said = [f"line {k} of the copied text" for k in range(8)]
     text = "\n".join(said)
