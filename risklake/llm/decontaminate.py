@@ -3,7 +3,9 @@
 The benchmark's word windows are hashed into sets, which every task has; tasks roll the same hashes over the whole
 training texts, look them up and compare the words of each hit, so a hash collision is no hit. The benchmark is cut into
 parts of at most `part_bytes` of text: each part is a broadcast of proven size and a pass of its own over the rows in
-the same tasks, without a shuffle, so a benchmark of any size can be used.
+the same tasks, without a shuffle. A benchmark of more than `broadcast_bytes` in all is not broadcast: its windows meet the
+documents' windows in a join by hash, behind a bitmap of fixed size, and the words of each hit are compared as well.
+Both ways give the same rows. The benchmark's size, its parts or the bitmap are computed when the plan is made.
 
 Cases. A null or empty text has no words and no hits; an item without words has no windows. An item of fewer than 10
 words is one window. Items that share a window all count; an item_id given more than once counts once. A null item_id is
@@ -22,12 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklake.llm.common import aside, back_again, fresh, table
+from risklake.llm.common import aside, back_again, fresh, settle_as_table, table
 from risklake.llm.wordhash import Words, alphanumeric_table, text_groups, window_hashes
 
 WINDOW = 10
 PART_BYTES = 4_000_000
 FILTER_BITS = 22
+#: All parts together; beyond it the windows are joined.
+BROADCAST_BYTES = 64_000_000
+#: Words of 64 bits in the bitmap of a joined benchmark's hashes.
+BITMAP_WORDS = 1 << 20
 
 SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word", "start_char", "end_char")])
 ADDED = ("n_words", "spans", "items")
@@ -139,9 +145,11 @@ def benchmark_parts(benchmark: DataFrame, window: int = WINDOW, part_bytes: int
     return parts
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs(text, ...) -> docs with n_words, spans (hit words; spans of different parts may overlap) and items (distinct)."""
     scanned = docs.drop(*ADDED)
+    if (benchmark.agg(F.sum(F.length("text").cast("long") * 4)).first()[0] or 0) > broadcast_bytes:
+        return _annotate_joined(scanned, benchmark, window)
     columns = [F.col(f"`{c}`") for c in scanned.columns]
     found = []
     for part in benchmark_parts(benchmark, window, part_bytes):
@@ -156,6 +164,84 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_b
     )
 
 
+def _item_windows(window: int):
+    """(item, text) -> n, hash, said, item: the items' windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            rows: list[tuple] = []
+            for first, _, words in text_groups(batch.column(1), alphanumeric_table()):
+                hashes = words.hashes()
+                for k in range(len(words.docs) - 1):
+                    a, b = int(words.docs[k]), int(words.docs[k + 1])
+                    n = min(window, b - a)
+                    found = window_hashes(hashes[a:b], n).view(np.int64).tolist() if n else []
+                    rows += [(n, h, words.joined(a + at, a + at + n), names[first + k]) for at, h in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.string()])], names=["n", "hash", "said", "item"])
+
+    return run
+
+
+def _text_windows(bitmap, lengths: list[int]):
+    """(t1, t2, text) -> n, hash, t1, t2, start: the texts' windows whose hash is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in (0, 1)]
+            for first, _, words in text_groups(batch.column(2), alphanumeric_table()):
+                hashes, owner = words.hashes(), words.owner()
+                for n in lengths:
+                    rolled = window_hashes(hashes, n)
+                    near = bits[(rolled >> np.uint64(44)).astype(np.int64)] >> ((rolled >> np.uint64(38)) & np.uint64(63)) & np.uint64(1)
+                    at = np.flatnonzero(near)
+                    at = at[owner[at] == owner[at + n - 1]]
+                    row = owner[at]
+                    made = [np.full(len(at), n, np.int32), rolled[at].view(np.int64), keys[0][first + row], keys[1][first + row], (at - words.docs[row]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, made)), names=["n", "hash", "t1", "t2", "start"])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, text, hits) -> t1, t2, spans, items: what is left of the hits when their words are compared."""
+    kind = pa.list_(pa.struct([(f.name, pa.int32()) for f in SPAN.fields]))
+    for batch in batches:
+        spans, items = [], []
+        for k in range(batch.num_rows):
+            _, _, words = next(text_groups(batch.column(2).slice(k, 1), alphanumeric_table()))
+            real = [h for h in batch.column(3)[k].as_py() if words.joined(h["start"], h["start"] + h["n"]) == h["said"]]
+            spans.append(_spans(words, 0, np.array([h["start"] for h in real], np.int64), np.array([h["n"] for h in real], np.int64)))
+            items.append(sorted({h["item"] for h in real}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["t1", "t2", "spans", "items"])
+
+
+def _annotate_joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The same for a benchmark of any size: windows of distinct texts and of items are joined by hash, and words compared."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    windows = settle_as_table(items.mapInArrow(_item_windows(window), "n int, hash long, said binary, item string").distinct(), "windows")
+    # At most `window` lengths, and at most BITMAP_WORDS rows of two numbers.
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().toLocalIterator())
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(hash, 38) & 63 AS INT))")
+    words = windows.groupBy(F.shiftrightunsigned("hash", 44).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
+    for row in words.toLocalIterator():
+        bitmap[row["word"]] = np.uint64(row["bits"] & (2**64 - 1))
+    key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    texts = settle_as_table(docs.filter(F.col("text").isNotNull()).select(*key, "text").dropDuplicates(["t1", "t2"]), "texts")
+    places = texts.mapInArrow(_text_windows(spark.sparkContext.broadcast(bitmap), lengths), "n int, hash long, t1 long, t2 long, start int")
+    hits = places.join(windows, ["n", "hash"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "said", "item")).alias("hits"))
+    added = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
+    found = texts.join(hits, ["t1", "t2"]).select("t1", "t2", "text", "hits").mapInArrow(_verified, added)
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n_words = F.regexp_count(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key, n_words)
+    joined = whole.join(found, ["t1", "t2"], "left")
+    return joined.select("doc.*", "n_words", F.coalesce("spans", F.array().cast(T.ArrayType(SPAN))).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def hit_words(spans: Column) -> Column:
     """Words under the spans, which are sorted and may overlap."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -30,10 +31,19 @@ def items(spark):
     return [(1, texts[0]), (2, texts[1].upper()), (2, texts[1]), (3, "MIT license!"), (4, None), (5, "..."), (None, texts[2]), (6, "one, TWO three")]
 
 
+def test_a_joined_benchmark_gives_the_same_spans(spark):
+    rng = random.Random(3)
+    passages = [sentence(rng, 14) for _ in range(12)]
+    rows = [(k, " ".join([sentence(rng, rng.randrange(0, 9)), rng.choice(passages), sentence(rng, 5), passages[0]])) for k in range(60)] + [(k, passages[k % 3] * 2) for k in range(60, 90)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(passages)), ITEM)
+    both = [sorted(map(repr, dc.annotate(docs, bench, **way).collect())) for way in ({}, {"broadcast_bytes": 0})]
+    assert both[0] == both[1] and len(both[0]) == 90
+
+
 def test_matches_brute_force_in_one_part_and_in_many(spark):
     docs, bench = documents(spark, clash=True), items(spark)
-    for part_bytes in (4_000_000, 100):
-        found = dc.annotate(docs, spark.createDataFrame(bench, ITEM), part_bytes=part_bytes)
+    for way in ({"part_bytes": 4_000_000}, {"part_bytes": 100}, {"broadcast_bytes": 0}):
+        found = dc.annotate(docs, spark.createDataFrame(bench, ITEM), **way)
         got = sorted((str(r["doc_id"]), r["n_words"], r["n"], r["items"]) for r in found.select("*", dc.hit_words(F.col("spans")).alias("n")).collect())
         assert got == sorted((str(r["doc_id"]), *brute(r["text"], bench)) for r in docs.collect())
 
