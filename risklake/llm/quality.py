@@ -104,6 +104,21 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("failures", failures)
 
 
+def save_ledger(entries: DataFrame, path: str) -> None:
+    """Store a ledger; later policies and ablations read it and no text."""
+    entries.write.mode("overwrite").parquet(path)
+
+
+def load_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def verdicts(entries: DataFrame, policies: dict[int, Policy] | None = None) -> DataFrame:
+    """entries -> doc_id and a row per policy version with its verdict."""
+    judged = [F.struct(F.lit(version).alias("version"), passes(policy).alias("kept")) for version, policy in (policies or POLICIES).items()]
+    return entries.select("doc_id", F.explode(F.array(*judged)).alias("x")).select("doc_id", "x.*")
+
+
 def passes(policy: Policy, failures: str = "failures") -> Column:
     met = F.col(failures).bitwiseAND(F.lit(policy.fatal).cast("long")) == 0
     if policy.counted:

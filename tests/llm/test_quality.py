@@ -34,6 +34,19 @@ def test_policies_and_ablation(spark):
     assert quality.mask("few_words", "symbols") == 5
 
 
+def test_a_stored_ledger_serves_every_policy(spark, tmp_path):
+    entries = quality.ledger(documents(spark))
+    quality.save_ledger(entries, str(tmp_path / "ledger"))
+    stored = quality.load_ledger(spark, str(tmp_path / "ledger"))
+    assert "text" not in stored.columns
+    later = {**quality.POLICIES, 3: quality.Policy(3, fatal=quality.mask("few_words"), counted=quality.mask("symbols", "repeated_words"), tolerated=1)}
+    kept = {v: sorted((str(r["doc_id"]), r["kept"]) for r in quality.verdicts(stored, later).filter(f"version = {v}").collect()) for v in later}
+    for version, policy in later.items():
+        by_hand = [(str(r["doc_id"]), r["failures"] & policy.fatal == 0 and (not policy.counted or bin(r["failures"] & policy.counted).count("1") <= policy.tolerated)) for r in entries.collect()]
+        assert kept[version] == sorted(by_hand)
+    assert sorted(map(tuple, quality.ablation(stored, later[3]).collect())) == sorted(map(tuple, quality.ablation(entries, later[3]).collect()))
+
+
 def test_empty(spark):
     assert quality.ledger(empty(spark)).count() == 0
     assert all(r["failing"] == 0 for r in quality.ablation(quality.ledger(empty(spark)), quality.POLICIES[1]).collect())
