@@ -244,26 +244,24 @@ def _train_chain(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.nd
     seed = (logit[1] - logit[0] - SEED_ERRORS * error >= SEED_ODDS) & (seen[1] > 0)
     seed[[0, ALWAYS]] = False
 
-    parts = []
-    for first, _, words in groups:
+    weights, moves = np.zeros(1 << BITS), np.zeros((2, 2))
+    squares, move_squares = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
+    trained = []
+    for first, _, words in groups:  # only the kept sentences' words stay in memory
         found = chains(words)
         hinted = np.logical_or.reduce([seed[f] for f in found.features[:-2]])
         label = hinted & (toxic[first + words.owner()] == 1)
         some = np.array([h.any() for h in np.split(hinted, np.sort(found.starts)[1:])])[np.argsort(np.argsort(found.starts))]
         keep = some | (np.arange(len(some)) % THIN == 0)
-        parts.append((Chains(found.starts[keep], found.lengths[keep], found.features), label, keep))
-    weights, moves = np.zeros(1 << BITS), np.zeros((2, 2))
-    squares, move_squares = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
-    trained = []
-    for found, label, _ in parts:  # only the kept sentences' words
-        at = np.concatenate([np.arange(a, a + k) for a, k in zip(found.starts.tolist(), found.lengths.tolist(), strict=True)]) if len(found.starts) else np.empty(0, np.int64)
-        starts = np.concatenate([[0], np.cumsum(found.lengths)[:-1]]).astype(np.int64)
+        firsts, lengths = found.starts[keep], found.lengths[keep]
+        at = np.concatenate([np.arange(a, a + k) for a, k in zip(firsts.tolist(), lengths.tolist(), strict=True)]) if len(firsts) else np.empty(0, np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         y = label[at].astype(np.int64)
         real = np.zeros((2, 2))
         inner = np.ones(len(at), bool)
         inner[starts] = False
         np.add.at(real, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
-        trained.append((Chains(starts, found.lengths, [f[at] for f in found.features]), y, real))
+        trained.append((Chains(starts, lengths, [f[at].astype(np.int32) for f in found.features]), y, real))
     for _ in range(ROUNDS):
         slope, move_slope = RIDGE * weights, RIDGE * moves
         for found, y, real in trained:
