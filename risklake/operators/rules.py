@@ -99,7 +99,57 @@ PACK = (
     Rule("R-EVAL", "injection", "critical", (r"\beval\s*\(", r"new\s+Function\s*\("), (r"^\s*//",), (), ("CWE-95",)),
     Rule("R-FETCH", "network", "medium", (r"\bfetch\s*\(", r"axios\.\w+\s*\("), (), (r"router\.",), ("CWE-918",)),
     Rule("R-SCRIPT", "exposure", "high", (r"<script\b[^>]*>",), (), (r"<html",), ("CWE-79",)),
+    Rule("R-HTML", "injection", "high", (r"dangerouslySetInnerHTML", r"\.innerHTML\s*="), (r"sanitize",), (), ("CWE-79",)),
+    Rule("R-SQL", "injection", "critical", (r"\b(execute|query|raw)\s*\(\s*`[^`]*\$\{",), (), (), ("CWE-89",)),
+    Rule("R-SHELL", "injection", "critical", (r"child_process", r"\bexec(Sync)?\s*\(\s*`"), (), (), ("CWE-78",)),
+    Rule("R-PATH", "injection", "high", (r"\bfs\.\w+\s*\(\s*req\.",), (), (), ("CWE-22",)),
+    Rule("R-REDIRECT", "auth", "medium", (r"\.redirect\s*\(\s*req\.",), (), (), ("CWE-601",)),
+    Rule("R-ADMIN", "auth", "high", (r"\.(get|post|use)\s*\(\s*[\"'`]/(admin|debug)\b",), (r"requireAuth",), (), ("CWE-306",)),
+    Rule("R-HASH", "crypto", "high", (r"createHash\s*\(\s*[\"'](md5|sha1)[\"']", r"\b(md5|sha1)\s*\("), (), (), ("CWE-328",)),
+    Rule("R-CIPHER", "crypto", "high", (r"createCipher\s*\(", r"\b(DES|RC4)\b"), (), (), ("CWE-327",)),
+    Rule("R-RANDOM", "crypto", "medium", (r"Math\.random\s*\(\)",), (r"color|jitter",), (), ("CWE-338",)),
+    Rule("R-TLS", "config", "critical", (r"rejectUnauthorized\s*:\s*false",), (), (), ("CWE-295",)),
+    Rule("R-CORS", "config", "high", (r"origin\s*:\s*[\"'`]\*",), (), (), ("CWE-942",)),
+    Rule("R-LOCAL", "config", "low", (r"https?://(localhost|127\.0\.0\.1)\b",), (r"\btest\b",), (), ()),
+    Rule("R-LOG", "exposure", "medium", (r"(console\.\w+|logger\.\w+)\s*\([^)]*(password|token|secret)",), (), (), ("CWE-532",)),
+    Rule("R-STORE", "exposure", "medium", (r"localStorage\.setItem\s*\(",), (), (), ("CWE-922",)),
+    Rule("R-KEY", "secrets", "critical", (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"\bAKIA[0-9A-Z]{16}\b"), (), (), ("CWE-798",)),
+    Rule("R-SWALLOW", "reliability", "medium", (r"catch\s*\(\w*\)\s*\{\s*\}",), (), (), ("CWE-390",)),
+    Rule("R-TODO", "quality", "low", (r"//\s*(TODO|FIXME|HACK)\b",), (), (), ()),
 )
+#: A catalogue is compiled to one expression per rule in every task's code.
+MAX_RULES = 10_000
+
+
+def load_rules(catalog: DataFrame, pack: str | None = None) -> tuple[Rule, ...]:
+    """Rules from rows (id, category, severity, patterns, exclude, context, cwe; pack, if asked for), as Parquet or JSON hold them.
+    A catalogue is a small table; one of more than MAX_RULES rows is refused."""
+    wanted = catalog if pack is None else catalog.filter(F.col("pack") == pack)
+    rows = wanted.orderBy("id").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a catalogue of more than {MAX_RULES} rules")
+    return tuple(Rule(r["id"], r["category"], r["severity"], *(tuple(r[c] or ()) for c in ("patterns", "exclude", "context", "cwe"))) for r in rows)
+
+
+#: Domain packs: what a repository's files should have, by domain and check.
+DOMAINS = {
+    "headers": {"csp": r"Content-Security-Policy", "cors": r"(?i)cors\(|Access-Control-Allow-Origin", "hsts": r"(?i)https|Strict-Transport-Security"},
+    "injection": {"validation": r"z\.object|joi|safeParse", "sanitize": r"(?i)sanitize", "placeholders": r"\$\d|\?\s*\)"},
+    "identity": {"auth": r"requireAuth|verifyToken", "roles": r"(?i)\brole\b|rbac", "hashing": r"bcrypt|argon2|scrypt"},
+    "limits": {"rate": r"(?i)rateLimit|throttle", "timeout": r"setTimeout|AbortController", "bounds": r"(?i)\b(max|limit)\b"},
+    "observability": {"logging": r"logger|winston|pino", "health": r"/health", "boundary": r"ErrorBoundary"},
+}
+
+
+def domain_packs(files: DataFrame, domains: dict[str, dict[str, str]] = DOMAINS) -> DataFrame:
+    """files(repo_id, content): for each domain the checks that no file meets, and the share of those that some file does."""
+    flags = any_file(files, {f"{d}__{c}": p for d, checks in domains.items() for c, p in checks.items()})
+    rows = []
+    for d, checks in domains.items():
+        met = sum((F.col(f"{d}__{c}").cast("int") for c in checks), F.lit(0))
+        missing = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"{d}__{c}"), F.lit(c)) for c in checks])), ",")
+        rows.append(F.struct(F.lit(d).alias("domain"), missing.alias("missing"), half_up(F.round(met / len(checks), 9), 4).alias("score")))
+    return flags.select("repo_id", F.explode(F.array(*rows)).alias("x")).select("repo_id", "x.*")
 
 
 def first_match(lines: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:

@@ -20,12 +20,16 @@ def signatures(docs: DataFrame, tokens: Column) -> DataFrame:
     return hashed.groupBy("id").agg(*each).select("id", F.array(*(f"_{i}" for i in range(PERMUTATIONS))).alias("signature"))
 
 
-def clone_pairs(sigs: DataFrame, threshold: float = 0.7, rows: int = 2) -> DataFrame:
-    """Pairs of distinct signatures with at least `threshold` equal places, found by bands of `rows` places; above 1 - 1/rows a pair
-    surely shares a band. Equal signatures are one node: they pair through their first id, not with each other."""
+def clone_pairs(sigs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Pairs of distinct signatures with at least `threshold` equal places. A pair may differ in as many places as the rest, so one
+    of that many bands and one more is equal in both: the fewest and widest bands that miss no pair. Equal signatures
+    are one node: they pair through their first id, not with each other."""
     sigs = cut(sigs)
     distinct = sigs.groupBy("signature").agg(F.min("id").alias("id"))
-    bands = distinct.select("id", "signature", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // rows - 1)), lambda b: F.xxhash64(F.slice(F.col("signature"), b * rows + 1, F.lit(rows))))).alias("band", "key"))
+    n = int(round(PERMUTATIONS * (1 - threshold), 6)) + 1
+    ends = [PERMUTATIONS * k // n for k in range(n + 1)]
+    keys = [F.xxhash64(F.slice("signature", a + 1, b - a)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    bands = distinct.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
     keyed = bands.select("id", F.xxhash64("band", "key").alias("key"))
     met = keyed.join(keyed.select(F.col("id").alias("other"), "key"), "key").filter("id < other").select("id", "other").distinct()
     joined = met.join(distinct.withColumnRenamed("signature", "_a"), "id").join(distinct.select(F.col("id").alias("other"), F.col("signature").alias("_b")), "other")

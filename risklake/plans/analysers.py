@@ -158,3 +158,34 @@ Q("rl_secret_scan", f"WITH {LINES}, safe AS (SELECT * FROM lines WHERE NOT {met(
 )
 _patterns = " UNION ALL ".join(f"SELECT repo_id, path, {quoted(n)} AS rule, min(line_no) AS line_no, '{s}' AS severity, '{c}' AS category, {k} AS confidence FROM lines WHERE {condition(n, p)} GROUP BY repo_id, path" for n, p, s, c, k in rules.LINES)
 Q("rl_line_patterns", f"WITH {LINES} {_patterns}")(lambda d: rules.line_patterns(_lines(d), ["repo_id", "path"]))
+
+
+def _rule_sql(rule: rules.Rule) -> str:
+    """A pack rule over the lines; the window says whether a context pattern stands near."""
+    no = "".join(f" AND NOT {met('line', '(?i)' + x)}" for x in rule.exclude)
+    near = f" AND bool_or({met('line', '(?i)' + '|'.join(rule.context))}) OVER (PARTITION BY repo_id, path ORDER BY line_no RANGE BETWEEN 30 PRECEDING AND 29 FOLLOWING)" if rule.context else ""
+    long = f"CASE WHEN length(regexp_extract(line, {quoted(rule.regex)})) > 30 THEN 0.05 ELSE 0 END"
+    confidence = f"floor(round(least(1.0::DOUBLE, 0.95{' + 0.05' if rule.severity == 'critical' else ''} - {long}), 6) * 100 + 0.5) / 100"
+    return f"SELECT repo_id, path, line_no, '{rule.id}' AS rule, '{rule.category}' AS category, '{rule.severity}' AS severity, {confidence} AS confidence, ({met('line', rule.regex)}{no}{near}) AS hit FROM lines"
+
+
+Q("rl_pack_scan", f"WITH {LINES}, h AS ({' UNION ALL '.join(map(_rule_sql, rules.PACK))}) SELECT * EXCLUDE (hit) FROM h WHERE hit")(lambda d: rules.pack_scan(_lines(d), ["repo_id", "path"]).drop("cwe"))
+_domain_rows = []
+for _d, _checks in rules.DOMAINS.items():
+    _missing = ", ".join(f"CASE WHEN NOT bool_or({met('content', p)}) THEN '{c}' END" for c, p in _checks.items())
+    _share = " + ".join(f"bool_or({met('content', p)})::INT" for p in _checks.values())
+    _domain_rows.append(f"SELECT repo_id, '{_d}' AS domain, concat_ws(',', {_missing}) AS missing, floor(round(({_share}) / {len(_checks)}, 9) * 10000 + 0.5) / 10000 AS score FROM d_source GROUP BY repo_id")
+Q("rl_domain_packs", " UNION ALL ".join(_domain_rows))(lambda d: rules.domain_packs(d.source))
+#: Edges of a repository's graph: type, kind of node led to, pattern with the node's name as its group.
+EDGES = (
+    ("imports", "dependency", r'from "(pkg[0-9]+)'),
+    ("imports", "module", r'from "[.]/(p[0-9]+)"'),
+    ("defines", "route", r'router[.]get[(]"([^"]+)"'),
+    ("calls", "endpoint", r'fetch[(]"https?://[^/"]+([^"?]+)'),
+    ("reads", "env", r"process[.]env[.]([A-Z_0-9]+)"),
+    ("contains", "branch", r"\b(if|for|while) [(]"),
+)
+_file = "'file:' || repo_id || '/' || path"
+Q("gr_build", " UNION ".join(f"SELECT {_file} AS src, '{kind}:' || unnest(regexp_extract_all(content, {quoted(p)}, 1)) AS dst, '{label}' AS label FROM d_code" for label, kind, p in EDGES))(
+    lambda d: code.graph_edges(d.code.withColumn("file", F.concat(F.lit("file:"), F.col("repo_id").cast("string"), F.lit("/"), "path")), EDGES)
+)

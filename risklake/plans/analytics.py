@@ -324,8 +324,8 @@ Q("tk_top_cost_nodes", "SELECT id FROM (SELECT event_id AS id, response_time_ms
 )
 Q(
     "tk_top_coupled",
-    """WITH g AS (SELECT scan_id % 100 AS repo, k2 AS id, count(*) AS degree FROM d_issues GROUP BY ALL HAVING count(*) > 5), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY degree DESC, id) AS n FROM g) SELECT repo, id, degree, round(least(0.99, degree * 0.05 * 0.4::DOUBLE), 4) AS probability FROM r WHERE n <= 3""",
-)(lambda d: ranking.top_coupled(d.issues.groupBy((F.col("scan_id") % 100).alias("repo"), F.col("k2").alias("id")).agg(F.count("*").alias("degree")), 0.4))
+    """WITH g AS (SELECT scan_id % 100 AS repo, k3 AS id, count(*) AS degree FROM d_issues GROUP BY ALL HAVING count(*) > 5), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY degree DESC, id) AS n FROM g) SELECT repo, id, degree, round(least(0.99, degree * 0.05 * 0.4::DOUBLE), 4) AS probability FROM r WHERE n <= 3""",
+)(lambda d: ranking.top_coupled(d.issues.groupBy((F.col("scan_id") % 100).alias("repo"), F.col("k3").alias("id")).agg(F.count("*").alias("degree")), 0.4))
 AGENT_WORDS = (("security", "src3"), ("security", "src"), ("ux", "web"), ("ux", "html"), ("data", "src7"), ("data", "ts"))
 Q(
     "tk_relevant_files",

@@ -97,12 +97,6 @@ Q(
     "jn_missing_controls",
     """SELECT missing AS control, count(*) AS repos FROM (SELECT repo_id, unnest([CASE WHEN NOT bool_or(regexp_matches(content, 'encrypt')) THEN 'encryption' END, CASE WHEN NOT bool_or(regexp_matches(content, 'r1[0-9]/')) THEN 'audit' END]) AS missing FROM d_code GROUP BY repo_id) WHERE missing IS NOT NULL GROUP BY 1""",
 )(lambda d: rules.project_checks(d.code, {"encryption": "encrypt", "audit": "r1[0-9]/"}).groupBy(F.col("missing").alias("control")).agg(F.count("*").alias("repos")))
-Q(
-    "rl_pack_scan",
-    f"""WITH {CODE_LINES}, near AS (SELECT *, bool_or(regexp_matches(line, '(?i)router\\.')) OVER (PARTITION BY repo_id, path ORDER BY line_no RANGE BETWEEN 30 PRECEDING AND 29 FOLLOWING) AS r FROM lines)
-    SELECT repo_id, path, line_no, 'R-EVAL' AS rule, 'injection' AS category, 'critical' AS severity, 1.0::DOUBLE AS confidence FROM near WHERE regexp_matches(line, '(?i)\\beval\\s*\\(|new\\s+Function\\s*\\(') AND NOT regexp_matches(line, '^\\s*//')
-    UNION ALL SELECT repo_id, path, line_no, 'R-FETCH', 'network', 'medium', 0.95 FROM near WHERE regexp_matches(line, '(?i)\\bfetch\\s*\\(') AND r""",
-)(lambda d: rules.pack_scan(_code_lines(d), ["repo_id", "path"]).drop("cwe"))
 Q(
     "wn_context_window",
     f"""WITH {LINES}, near AS (SELECT *, bool_or(contains(line, '<article')) OVER (PARTITION BY file_id ORDER BY line_no RANGE BETWEEN 30 PRECEDING AND 29 FOLLOWING) AS r FROM lines) SELECT file_id, line_no FROM near WHERE contains(line, '<footer') AND r""",
@@ -180,18 +174,14 @@ def _signatures(files):
     return similarity.signatures(files.select(F.col("file_id").alias("id"), "content"), tokens)
 
 
-def _told_apart(d: Domain):
-    """All files; pages, whose ids start at 1000000 and meet documents' ids there, count down from -1."""
-    return d.files.withColumn("file_id", F.when(F.col("repo_id") == "pages", 999_999 - F.col("file_id")).otherwise(F.col("file_id")))
-
-
+_slots = [f"min((h * {k * 12345 + 67890} + {k * 54321 + 9876}) % 4294967311)" for k in range(64)]
 Q(
     "sm_minhash",
-    """WITH w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files WHERE repo_id <> 'pages'), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)
-    SELECT file_id AS id, min((h * 67890 + 9876) % 4294967311) AS first, min((h * (63 * 12345 + 67890) + 63 * 54321 + 9876) % 4294967311) AS last FROM h GROUP BY file_id""",
-)(lambda d: _signatures(d.files.filter("repo_id <> 'pages'")).select("id", F.element_at("signature", 1).alias("first"), F.element_at("signature", -1).alias("last")))
-Q("sm_similarity_pairs")(lambda d: similarity.clone_pairs(_signatures(_told_apart(d)), 0.7))
-Q("sm_clone_groups")(lambda d: similarity.clone_groups(similarity.clone_pairs(_signatures(_told_apart(d)), 0.7)))
+    f"""WITH w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)
+    SELECT file_id AS id, md5(concat_ws(',', {', '.join(_slots)})) AS signature FROM h GROUP BY file_id""",
+)(lambda d: _signatures(d.files).select("id", F.md5(F.array_join("signature", ",")).alias("signature")))
+Q("sm_similarity_pairs")(lambda d: similarity.clone_pairs(_signatures(d.files), 0.7))
+Q("sm_clone_groups")(lambda d: similarity.clone_groups(similarity.clone_pairs(_signatures(d.files), 0.7)))
 Q("sm_merkle")(lambda d: similarity.merkle_roots(_code_lines(d)))
 Q(
     "sm_shape_hash",

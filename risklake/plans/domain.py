@@ -89,7 +89,7 @@ VIEWS = {
     "d_files": """
         SELECT doc_id AS file_id, source AS repo_id, concat('src/', source, '/', CAST(doc_id AS VARCHAR(20)), '.ts') AS path, text AS content FROM {documents}
         UNION ALL
-        SELECT 1000000 + page_id, 'pages', concat('web/', CAST(page_id AS VARCHAR(20)), '.html'), html FROM {pages}""",
+        SELECT -1 - page_id, 'pages', concat('web/', CAST(page_id AS VARCHAR(20)), '.html'), html FROM {pages}""",
     "d_code": """
         SELECT CAST(floor(p_partkey / 50) AS INT) AS repo_id, concat('src/p', CAST(p_partkey % 50 AS VARCHAR(10)), '.ts') AS path,
           concat('import {{ a }} from "./p', CAST(p_partkey * 7 % 60 AS VARCHAR(10)), '";', chr(10), 'import x from "pkg', CAST(p_partkey % 7 AS VARCHAR(10)), '/sub";', chr(10),

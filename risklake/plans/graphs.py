@@ -150,7 +150,12 @@ Q(
     v AS (SELECT DISTINCT r.model, r.src FROM r JOIN bad ON bad.model = r.model AND bad.state = r.dst)
     SELECT s.model, count(v.src) AS violating, count(*) - count(v.src) AS verified, count(v.src) = 0 AS holds FROM st s LEFT JOIN v ON s.model = v.model AND s.state = v.src GROUP BY s.model""",
 )(lambda d: graph.response_property(*_models(d), "1", "9"))
-Q("gr_provenance")(lambda d: graph.provenance(d.edges.filter("type = 'data_flow'"), d.nodes.filter("id % 7 = 0").select("id"), d.nodes.select("id", (F.col("id") * 13 % 7).alias("score"))))
+Q(
+    "gr_provenance",
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'data_flow'), w AS (SELECT id AS sink, id AS here, [id] AS path, 0 AS hops FROM d_nodes WHERE id % 7 = 0
+      UNION ALL SELECT sink, src, list_append(path, src), hops + 1 FROM (SELECT sink, path, hops, src, row_number() OVER (PARTITION BY sink ORDER BY src * 13 % 7 DESC, src) AS k FROM w JOIN s ON here = dst WHERE hops < 15 AND NOT list_contains(path, src)) WHERE k = 1)
+    SELECT sink, array_to_string(list_reverse(path), '-') AS path, hops FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY hops DESC) AS k FROM w) WHERE k = 1""",
+)(lambda d: graph.provenance(d.edges.filter("type = 'data_flow'"), d.nodes.filter("id % 7 = 0").select("id"), d.nodes.select("id", (F.col("id") * 13 % 7).alias("score"))))
 
 # Evidence
 R4 = "floor(round({0}, 9) * 10000 + 0.5) / 10000"
@@ -184,7 +189,11 @@ def _reports(d: Domain):
     return fusion.ds_group(one, ["scan_id"], ISSUE_ORDER)
 
 
-Q("sm_ds_group_fusion")(_reports)
+_join = lambda x: f"CASE WHEN 1 - (a.v * b.n + a.n * b.v) > 0 THEN {R4.format(f'({x}) / (1 - (a.v * b.n + a.n * b.v))')}"
+GROUP_FOLD = f"""{EVIDENCE}, m AS (SELECT scan_id, k1, k2, k3, {{{{'v': mv * r, 'n': mn * r, 'u': greatest(0.02, 1 - (mv + mn) * r)}}}} AS m FROM e2 WHERE layer = 1), g AS (SELECT scan_id, list(m ORDER BY k1, k2, k3) AS ms FROM m GROUP BY scan_id),
+  f AS (SELECT scan_id, len(ms) AS reports, list_reduce(ms, lambda a, b: {{{{'v': {_join('a.v * b.v + a.v * b.u + a.u * b.v')} ELSE 0 END, 'n': {_join('a.n * b.n + a.n * b.u + a.u * b.n')} ELSE 0 END, 'u': {_join('a.u * b.u')} ELSE 1 END}}}}) AS s FROM g),
+  folded AS (SELECT scan_id, reports, {R4.format('s.v')} AS v, {R4.format('s.n')} AS n, {R4.format('s.u')} AS u FROM f)""".replace("{{", "{").replace("}}", "}")
+Q("sm_ds_group_fusion", f"WITH {GROUP_FOLD} SELECT scan_id, CAST(reports AS INT) AS reports, v, n, u FROM folded")(_reports)
 Q(
     "sm_agent_consensus",
     """WITH x AS (SELECT scan_id, k1, k2, k3, severity, category IN ('PROMO', 'ECONOMY') AS g, coalesce(regexp_matches(lower(description), 'user|payment'), false) AS p FROM d_issues), y AS (SELECT *, CASE WHEN g AND p THEN 'critical' ELSE severity END AS escalated FROM x)

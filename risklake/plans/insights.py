@@ -9,7 +9,7 @@ from risklake.operators import aggregates, fusion, graph, insights, rules, simil
 from risklake.plans.book import Book
 from risklake.plans.corpus import CALLS, CODE_LINES, LINES, ROUTES, _code_lines, _lines
 from risklake.plans.domain import Domain
-from risklake.plans.graphs import NODES, PAIRS
+from risklake.plans.graphs import GROUP_FOLD, NODES, PAIRS
 from risklake.plans.relational import COUNTS, ISSUE_ORDER, LICENSES, _values, licenses
 from risklake.sources import code
 
@@ -138,17 +138,14 @@ Q(
     f"""WITH {CODE_LINES} SELECT repo_id || path || line_no AS id, CASE WHEN regexp_matches(line, '\\beval\\s*\\(') THEN regexp_replace(line, '\\beval\\s*\\(', 'safeEval(', 'g') WHEN regexp_matches(line, 'password = "[^"]*"') THEN regexp_replace(line, 'password = "[^"]*"', 'password = process.env.PASSWORD', 'g') END AS patched FROM lines""",
 )(lambda d: insights.rewrite(_code_lines(d).select(F.concat(F.col("repo_id").cast("string"), "path", F.col("line_no").cast("string")).alias("id"), F.lit("ts").alias("lang"), "line"), [("py", "eval", "x"), ("ts", r"\beval\s*\(", "safeEval("), ("ts", 'password = "[^"]*"', "password = process.env.PASSWORD")]))
 Q("fn_json_map_counts", "SELECT scan_id, '{' || string_agg('\"' || engine_name || '\":' || n, ',' ORDER BY engine_name) || '}' AS counts FROM (SELECT scan_id, engine_name, count(*) AS n FROM d_results GROUP BY ALL) GROUP BY scan_id")(lambda d: insights.json_counts(d.results, "scan_id", "engine_name"))
-Q("fn_option_value", "SELECT id, d1 > 0 AS in_money FROM (SELECT o_orderkey AS id, ln(o_totalprice / 200000) + (0.05 + 0.08) * 0.25 AS d1 FROM orders)")(
-    lambda d: d.table("orders").select(F.col("o_orderkey").alias("id"), (fn.option_value(F.col("o_totalprice"), F.lit(200000.0), 0.25, 0.05, 0.4) > fn.option_value(F.lit(200000.0) * F.exp(F.lit(-0.0325)), F.lit(200000.0), 0.25, 0.05, 0.4)).alias("in_money"))
-)
-HEADERS = {"csp": "<meta", "frame": "<footer", "hsts": "<nav"}
-Q("rl_domain_packs", "SELECT repo_id, floor((" + " + ".join(f"bool_or(regexp_matches(content, '{p}'))::INT" for p in HEADERS.values()) + ") / 3 * 10000 + 0.5) / 10000 AS score FROM d_files GROUP BY repo_id")(
-    lambda d: rules.any_file(d.files, HEADERS).select("repo_id", fn.half_up(sum((F.col(h).cast("int") for h in HEADERS), F.lit(0)) / 3, 4).alias("score"))
-)
+_t = "(1 / (1 + 0.2316419::DOUBLE * abs({0})))"
+_tail = f"0.3989423 * exp(-{{0}} * {{0}} / 2) * {_t} * (0.3193815 + {_t} * (-0.3565638 + {_t} * (1.781478 + {_t} * (-1.821256 + {_t} * 1.330274))))"
+_ncdf = lambda x: f"CASE WHEN {x} > 0 THEN 1 - {_tail.format(x)} ELSE {_tail.format(x)} END"
 Q(
-    "gr_build",
-    f"""WITH {ROUTES}, e AS (SELECT 'file:' || repo_id || '/' || path AS src, 'dependency:pkg' || regexp_extract(content, 'pkg([0-9]+)', 1) AS dst, 'imports' AS label FROM d_code) SELECT DISTINCT * FROM e""",
-)(lambda d: code.imports(d.code).filter("package IS NOT NULL").select(F.concat(F.lit("file:"), F.col("repo_id").cast("string"), F.lit("/"), "path").alias("src"), F.concat(F.lit("dependency:"), "package").alias("dst"), F.lit("imports").alias("label")).distinct())
+    "fn_option_value",
+    f"""WITH x AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS p, (ln(o_totalprice / 200000.0::DOUBLE) + (0.05 + 0.4 * 0.4 / 2) * 0.25) / (0.4 * sqrt(0.25)) AS d1 FROM orders), y AS (SELECT *, d1 - 0.4 * sqrt(0.25) AS d2 FROM x)
+    SELECT id, round(p * ({_ncdf('d1')}) - 200000 * exp(-0.05 * 0.25::DOUBLE) * ({_ncdf('d2')}), 3) AS value FROM y""",
+)(lambda d: d.table("orders").select(F.col("o_orderkey").alias("id"), F.round(fn.option_value(F.col("o_totalprice").cast("double"), F.lit(200000.0), 0.25, 0.05, 0.4), 3).alias("value")))
 Q(
     "gr_genome",
     f"""WITH {PAIRS}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM p UNION ALL SELECT dst FROM p) GROUP BY id), t AS (SELECT degree / sum(degree) OVER () AS q FROM deg), h AS (SELECT floor(round(-sum(q * log2(q)) / log2(count(*)), 9) * 10000 + 0.5) / 10000 AS e FROM t),
@@ -185,9 +182,7 @@ Q(
 
 def _pattern_sigs(d: Domain):
     tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    # Pages, whose ids start at 1000000 and meet documents' ids there, count down from -1.
-    apart = F.when(F.col("repo_id") == "pages", 999_999 - F.col("file_id")).otherwise(F.col("file_id"))
-    return similarity.signatures(d.files.select(apart.alias("id"), "content"), tokens)
+    return similarity.signatures(d.files.select(F.col("file_id").alias("id"), "content"), tokens)
 
 
 def _matched(d: Domain):
@@ -304,4 +299,4 @@ def _udaf(d: Domain):
     return folded.select("scan_id", F.get("f", F.lit(3)).cast("int").alias("reports"), *[fn.half_up(F.round(F.get("f", F.lit(k)), 9), 4).alias(c) for k, c in enumerate("vnu")])
 
 
-Q("udaf_ds")(_udaf)
+Q("udaf_ds", f"WITH {GROUP_FOLD} SELECT scan_id, CAST(reports AS INT) AS reports, v, n, u FROM folded")(_udaf)

@@ -76,3 +76,9 @@ def module_edges(found: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("repo_id", F.col("path").alias("dst")).distinct()
     hits = tries.withColumn("dst", F.concat("base", "suffix")).join(known, ["repo_id", "dst"])
     return hits.groupBy("repo_id", "src", "base").agg(F.min_by("dst", "order").alias("dst")).select("repo_id", "src", "dst").distinct()
+
+
+def graph_edges(files: DataFrame, edges: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """files(file, content), edges (label, kind, pattern): an edge from each file to each node that a pattern's group names in it."""
+    found = [F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("dst"), F.lit(label).alias("label"))) for label, kind, p in edges]
+    return files.select(F.col("file").alias("src"), F.explode(F.concat(*found)).alias("x")).select("src", "x.*").distinct()

@@ -1,9 +1,10 @@
 """Clone groups of long chains, and files of all kinds in similarity."""
 
-from types import SimpleNamespace
+import random
 
 from risklake.operators import similarity
 from risklake.plans import corpus, insights
+from risklake.plans.domain import Domain
 
 
 def test_a_long_chain_is_one_group(spark):
@@ -14,13 +15,33 @@ def test_a_long_chain_is_one_group(spark):
     assert similarity.clone_groups(pairs.limit(0)).count() == 0
 
 
-def test_pages_are_compared_and_do_not_clash_with_documents(spark):
-    text = "several words of a text that a page repeats whole"
-    files = spark.createDataFrame([(1, "a", text), (1000000, "b", "quite other tokens stand here alone"), (1000000, "pages", text)], "file_id long, repo_id string, content string")
-    made = corpus._signatures(corpus._told_apart(SimpleNamespace(files=files)))
-    assert {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(made).collect()} == {frozenset((1, -1))}
+def stored(spark, folder, documents, pages):
+    spark.createDataFrame(documents, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    return Domain(spark, str(folder))
 
 
-def test_patterns_are_matched_on_all_files(spark):
-    files = spark.createDataFrame([(1, "a", "words of one"), (1000000, "b", "words of another"), (1000000, "pages", "words of a page")], "file_id long, repo_id string, content string")
-    assert sorted(r["id"] for r in insights._pattern_sigs(SimpleNamespace(files=files)).collect()) == [-1, 1, 1000000]
+def test_pages_are_compared_and_do_not_clash_with_documents(spark, tmp_path):
+    text = "several words of a text that a page repeats whole"
+    d = stored(spark, tmp_path, [(1, text, "a"), (1000000, "quite other tokens stand here alone", "b"), (0, None, "a")], [(0, text)])
+    assert sorted(r["file_id"] for r in d.files.collect()) == [-1, 0, 1, 1000000]
+    assert {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(corpus._signatures(d.files)).collect()} == {frozenset((1, -1))}
+
+
+def test_patterns_are_matched_on_all_files(spark, tmp_path):
+    d = stored(spark, tmp_path, [(1, "words of one", "a"), (1000000, "words of another", "b")], [(0, "words of a page")])
+    assert sorted(r["id"] for r in insights._pattern_sigs(d).collect()) == [-1, 1, 1000000]
+
+
+def test_no_pair_above_the_threshold_is_missed(spark):
+    rng = random.Random(4)
+    base = [rng.randrange(10**6) for _ in range(64)]
+    rows = [(0, base)]
+    for k in range(1, 200):
+        own = list(rng.choice(rows)[1])
+        for at in rng.sample(range(64), rng.randrange(0, 26)):
+            own[at] = rng.randrange(10**6)
+        rows.append((k, own))
+    got = {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(spark.createDataFrame(rows, "id long, signature array<long>"), 0.7).collect() if r["similarity"] < 1}
+    near = {frozenset((a, b)) for a, x in rows for b, y in rows if a < b and x != y and sum(p == q for p, q in zip(x, y, strict=True)) >= 0.7 * 64}
+    assert got == near and len(near) > 100

@@ -187,6 +187,15 @@ def test_simulation_matches_brute_force(spark):
             assert abs(got[scan][name] - losses[at]) <= 0.51
 
 
+def test_rules_are_loaded_from_rows(spark, tmp_path):
+    rules.rule_catalog(spark).write.json(str(tmp_path / "rules"))
+    kind = "pack string, id string, category string, severity string, cwe array<string>, patterns array<string>, exclude array<string>, context array<string>"
+    loaded = rules.load_rules(spark.read.schema(kind).json(str(tmp_path / "rules")), "pack")
+    assert sorted(loaded, key=lambda r: r.id) == sorted(rules.PACK, key=lambda r: r.id)
+    lines = spark.createDataFrame([("a.ts", 1, "eval(x)"), ("a.ts", 2, "const c = createCipher(k)")], "path string, line_no int, line string")
+    assert sorted(r["rule"] for r in rules.pack_scan(lines, ["path"], loaded).collect()) == ["R-CIPHER", "R-EVAL"]
+
+
 def test_branches(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "src long, dst long")
     got = graph.branch_depth(spark.createDataFrame([(1, 30), (4, 20), (9, 1)], "id long, complexity long"), edges).collect()
