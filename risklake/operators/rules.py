@@ -113,7 +113,7 @@ PACK = (
     Rule("R-LOCAL", "config", "low", (r"https?://(localhost|127\.0\.0\.1)\b",), (r"\btest\b",), (), ()),
     Rule("R-LOG", "exposure", "medium", (r"(console\.\w+|logger\.\w+)\s*\([^)]*(password|token|secret)",), (), (), ("CWE-532",)),
     Rule("R-STORE", "exposure", "medium", (r"localStorage\.setItem\s*\(",), (), (), ("CWE-922",)),
-    Rule("R-KEY", "secrets", "critical", (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"\bAKIA[0-9A-Z]{16}\b"), (), (), ("CWE-798",)),
+    Rule("R-KEY", "secrets", "critical", (r"-----BEGIN [A-Z ]*PRIVATE KEY-----",), (), (), ("CWE-798",)),
     Rule("R-SWALLOW", "reliability", "medium", (r"catch\s*\(\w*\)\s*\{\s*\}",), (), (), ("CWE-390",)),
     Rule("R-TODO", "quality", "low", (r"//\s*(TODO|FIXME|HACK)\b",), (), (), ()),
 )
