@@ -18,22 +18,25 @@ COST_PER_RECORD = 164
 RATE, VOLATILITY, YEARS = 0.05, 0.4, 0.25
 
 
-#: Modulus of the draws' arithmetic, a prime below 2 ** 31, so that products fit 64 bits.
-MODULUS = 2_147_483_629
 PERCENTILES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
+#: A mixing function for counters: odd step, and shifts and odd factors of its rounds.
+STEP = 0x9E3779B97F4A7C15
+ROUNDS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+WORD = (1 << 64) - 1
 
 
 def draws(scan_id: int, paths: np.ndarray, kind: int) -> np.ndarray:
-    """Numbers in [0, 1) for a scan's paths that depend on scan, path and kind alone: squares modulo a prime, three times."""
-    x = (scan_id % MODULUS * 48_271 + paths * 69_621 + kind * 1_299_709 + 12_345) % MODULUS
-    for c in (7_919, 104_729, 15_485_863):
-        x = (x * x + c * (kind + 1)) % MODULUS
-    return x / MODULUS
+    """Numbers in [0, 1) for a scan's paths (unsigned numbers) that depend on scan, path and kind alone: mixed counters."""
+    x = paths * np.uint64(STEP) + np.uint64((scan_id * 3 + kind + 1) * 0xD6E8FEB86659FD93 & WORD)
+    for shift, factor in ROUNDS:
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return (x >> np.uint64(11)) * 2.0**-53
 
 
 def order_statistics(scan_id: int, p: float, paths: int, users: int) -> list[float]:
     """The simulated losses at PERCENTILES. Only paths with a loss are drawn out; the others are zeros in front of them."""
-    every = np.arange(paths, dtype=np.int64)
+    every = np.arange(paths, dtype=np.uint64)
     hit = every[draws(scan_id, every, 1) < p]
     losses = users * (0.8 + draws(scan_id, hit, 0) * 2.2) * COST_PER_RECORD * np.exp(draws(scan_id, hit, 2) * 2)
     ranks = [int(paths * q) - (paths - len(hit)) for _, q in PERCENTILES]
@@ -54,6 +57,8 @@ def loss_simulation(counts: DataFrame, paths: int = 10_000, users: int = 1000) -
 
     p = F.least(F.lit(0.99), 0.15 * F.col("critical") + 0.05 * F.col("high"))
     light = counts.select("scan_id", "critical", "high", "total", p.cast("double").alias("_p"))
+    # Few bytes but much work a row: a fixed number of partitions, which adaptive execution does not join to one.
+    light = light.repartition(4 * counts.sparkSession.sparkContext.defaultParallelism, "scan_id")
     ran = light.mapInArrow(simulate, T.StructType([*light.schema.fields, *(T.StructField(f"_{n}", T.DoubleType()) for n, _ in PERCENTILES)]))
     cost = (12 * F.col("critical") + 6 * F.col("high") + F.col("total")) * HOURLY_RATE
     expected = users * COST_PER_RECORD * F.col("_p")

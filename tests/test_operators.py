@@ -174,10 +174,10 @@ def test_simulation_matches_brute_force(spark):
     got = {r["scan_id"]: r for r in risk.loss_simulation(spark.createDataFrame(rows, "scan_id long, critical long, high long, total long")).collect()}
 
     def draw(scan, path, kind):
-        x = (scan * 48_271 + path * 69_621 + kind * 1_299_709 + 12_345) % risk.MODULUS
-        for c in (7_919, 104_729, 15_485_863):
-            x = (x * x + c * (kind + 1)) % risk.MODULUS
-        return x / risk.MODULUS
+        x = (path * risk.STEP + (scan * 3 + kind + 1) * 0xD6E8FEB86659FD93) & risk.WORD
+        for shift, factor in risk.ROUNDS:
+            x = (x ^ (x >> shift)) * factor & risk.WORD
+        return (x >> 11) / 2**53
 
     for scan, critical, high, _ in rows:
         p = min(0.99, 0.15 * critical + 0.05 * high)
