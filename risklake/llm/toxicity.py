@@ -18,6 +18,7 @@ Rows that repeat whole are scored each. An empty table gives no rows. Columns th
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -286,12 +287,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     usable = usable.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = settle(usable.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE_OTHER)))
-    # The broadcast side has at most SAMPLE_TOXIC + SAMPLE_OTHER rows of two numbers, and the driver gets one text for each.
+    # The broadcast side has at most SAMPLE_TOXIC + SAMPLE_OTHER rows of two numbers, and one task gets one text for each: the
+    # bounded sample, and not the driver, which gets the model.
     texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted({row["text"]: (row["text"], row["toxic"]) for row in sorted(texts.toLocalIterator(), key=lambda row: (row["doc_id"], row["text"]))}.values())
-    toxic = np.array([row[1] for row in rows], np.int64)
-    held = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    return train([row[0] for row in rows], toxic, tuple(totals.get(k, 0) / held[k] for k in (0, 1)))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = sorted((row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)), key=lambda row: (row[0], row[2]))
+        rows = sorted({text: (text, mark) for _, mark, text in told}.values())
+        toxic = np.array([row[1] for row in rows], np.int64)
+        held = [max(1, int((toxic == k).sum())) for k in (0, 1)]
+        model = train([row[0] for row in rows], toxic, tuple(totals.get(k, 0) / held[k] for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    fitted = texts.select("doc_id", "toxic", "text").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else NO_MODEL
 
 
 SPAN = T.StructType([T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
