@@ -273,13 +273,64 @@ def clone_hash_groups(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.groupBy("structural_hash").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string"))).alias("members")).filter(F.col("n") > 1)
 
 
-def json_top(results: DataFrame, path: str, descending: bool = True, limit: int = 20) -> DataFrame:
-    """Rows of a JSON result with a number at path, the top ones (ties by id)."""
-    value = F.get_json_object("result", path).try_cast("double")
-    order = F.col("value").desc() if descending else F.col("value").asc()
-    return results.withColumn("value", value).filter(F.col("value").isNotNull()).orderBy(order, "id").limit(limit).select("id", "scan_id", "value")
+def json_numbers(results: DataFrame, engine: str, paths: dict[str, str]) -> DataFrame:
+    """An engine's results with a double per path (name -> path); null where the path is missing or no number."""
+    own = results.filter(F.col("engine_name") == engine)
+    return own.withColumns({name: F.get_json_object("result", path).try_cast("double") for name, path in paths.items()})
 
 
-def json_rows(results: DataFrame, field: str, schema: str) -> DataFrame:
-    """One row per element of a JSON array of structs."""
-    return results.select("id", "scan_id", "created_at", F.explode(F.from_json(F.get_json_object("result", f"$.{field}"), f"array<{schema}>")).alias("x")).select("id", "scan_id", "created_at", "x.*")
+def json_rows(results: DataFrame, engine: str, field: str, schema: str) -> DataFrame:
+    """One row per element of an engine's JSON array of structs; a missing or empty array gives none."""
+    listed = F.explode(F.from_json(F.get_json_object("result", f"$.{field}"), f"array<{schema}>")).alias("x")
+    return results.filter(F.col("engine_name") == engine).select("id", "scan_id", "created_at", listed).select("id", "scan_id", "created_at", "x.*")
+
+
+def json_length(path: str) -> Column:
+    """Elements of the JSON array at path; 0 where there is none."""
+    return F.coalesce(F.json_array_length(F.get_json_object("result", path)), F.lit(0))
+
+
+def json_entropy(results: DataFrame, limit: int = 20) -> DataFrame:
+    """Entropy results with leaks, by average entropy (ties by id)."""
+    rows = json_numbers(results, "entropy", {"avg_entropy": "$.avgEntropy"}).withColumn("leaks", json_length("$.entropyLeaks")).filter("leaks > 0")
+    return rows.orderBy(F.col("avg_entropy").desc(), "id").limit(limit).select("id", "scan_id", "avg_entropy", "leaks")
+
+
+def json_leaks(results: DataFrame, limit: int = 50) -> DataFrame:
+    """The leaks of highest entropy (ties by id and file)."""
+    leaks = json_rows(results, "entropy", "entropyLeaks", "struct<file:string,entropy:double,patternType:string>")
+    return leaks.orderBy(F.col("entropy").desc(), "id", "file").limit(limit).select("id", "scan_id", "file", "entropy", F.col("patternType").alias("type"))
+
+
+def json_bypasses(results: DataFrame) -> DataFrame:
+    return json_rows(results, "bypass", "constraintBypasses", "struct<file:string,constraint:string,conditionType:string,bypassType:string>")
+
+
+def json_newest_bypasses(results: DataFrame, limit: int = 50) -> DataFrame:
+    return json_bypasses(results).orderBy(F.col("id").desc(), "file").limit(limit).select("id", "scan_id", "file", "constraint", F.col("conditionType").alias("condition"), F.col("bypassType").alias("bypass"))
+
+
+def json_bypass_summary(results: DataFrame) -> DataFrame:
+    """Bypasses and their scans by condition and kind."""
+    return json_bypasses(results).groupBy(F.col("conditionType").alias("condition"), F.col("bypassType").alias("bypass")).agg(F.count("*").alias("n"), F.count_distinct("scan_id").alias("scans"))
+
+
+def json_leaks_and_bypasses(results: DataFrame, limit: int = 20) -> DataFrame:
+    """Scans with leaks and bypasses both, most bypasses first (ties by scan). One aggregate by scan, without a join."""
+    leaks = F.sum(F.when(F.col("engine_name") == "entropy", json_length("$.entropyLeaks")))
+    bypasses = F.sum(F.when(F.col("engine_name") == "bypass", F.get_json_object("result", "$.totalBypasses").try_cast("long")))
+    told = results.filter(F.col("engine_name").isin("entropy", "bypass")).groupBy("scan_id").agg(leaks.alias("leaks"), bypasses.alias("bypasses"))
+    return told.filter("leaks > 0 AND bypasses > 0").orderBy(F.col("bypasses").desc(), "scan_id").limit(limit)
+
+
+def json_reality(results: DataFrame, limit: int = 20) -> DataFrame:
+    """Reality results by score, the lowest first (ties by id)."""
+    rows = json_numbers(results, "reality", {"score": "$.score", "mock_data": "$.mockDataCount", "fake_endpoints": "$.fakeEndpointCount", "dummy_auth": "$.dummyAuthCount"})
+    return rows.filter("score IS NOT NULL").orderBy("score", "id").limit(limit).select("id", "scan_id", "score", "mock_data", "fake_endpoints", "dummy_auth")
+
+
+def json_fusion(results: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest fused results: confidence, belief, plausibility, conflict and verdict from a nested object."""
+    newest = results.filter(F.col("engine_name") == "fusion").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    at = lambda name, kind="double": F.expr(f"try_variant_get(parse_json(result), '$.aggregate.{name}', '{kind}')")
+    return newest.select("id", "scan_id", at("overallConfidence").alias("confidence"), at("overallBelief").alias("belief"), at("overallPlausibility").alias("plausibility"), at("overallConflict").alias("conflict"), at("verdict", "string").alias("verdict"))

@@ -207,25 +207,25 @@ Q(
 Q("ag_clone_hash_groups", "SELECT md5(content) AS structural_hash, count(*) AS n, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id) AS members FROM d_files GROUP BY 1 HAVING count(*) > 1")(
     lambda d: ag.clone_hash_groups(d.files.select(F.col("file_id").alias("id"), F.md5("content").alias("structural_hash")))
 )
-Q("ag_json_entropy_leaks", "SELECT id, scan_id, CAST(json_extract_string(result, '$.k') AS DOUBLE) AS value FROM d_results ORDER BY value DESC, id LIMIT 20")(lambda d: ag.json_top(d.results, "$.k"))
-Q("ag_json_reality", "SELECT id, scan_id, CAST(json_extract_string(result, '$.k') AS DOUBLE) AS value FROM d_results ORDER BY value, id LIMIT 20")(lambda d: ag.json_top(d.results, "$.k", descending=False))
-
-
-def _leaky(d: Domain):
-    """Results that hold an array: two leaks made of each row's number."""
-    k = F.get_json_object("result", "$.k").cast("int")
-    leak = lambda n: F.concat(F.lit('{"type":"t'), (k % 3).cast("string"), F.lit('","entropy":'), (k + n).cast("string"), F.lit("}"))
-    return d.results.withColumn("result", F.concat(F.lit('{"leaks":['), leak(0), F.lit(","), leak(1), F.lit("]}")))
-
-
-Q(
-    "ag_json_leak_rows",
-    """SELECT id, scan_id, 't' || k % 3 AS type, CAST(k + n AS DOUBLE) AS entropy FROM (SELECT *, CAST(json_extract_string(result, '$.k') AS INT) AS k FROM d_results), (SELECT unnest([0, 1]) AS n) ORDER BY entropy DESC, id LIMIT 50""",
-)(lambda d: ag.json_rows(_leaky(d), "leaks", "struct<type:string,entropy:double>").orderBy(F.col("entropy").desc(), "id").limit(50).select("id", "scan_id", "type", "entropy"))
+Q("ag_json_entropy_leaks", "SELECT id, scan_id, CAST(json_extract_string(result, '$.avgEntropy') AS DOUBLE) AS avg_entropy, json_array_length(result, '$.entropyLeaks') AS leaks FROM d_reports WHERE engine_name = 'entropy' AND json_array_length(result, '$.entropyLeaks') > 0 ORDER BY avg_entropy DESC, id LIMIT 20")(
+    lambda d: ag.json_entropy(d.reports)
+)
+REALITY = {"score": "score", "mock_data": "mockDataCount", "fake_endpoints": "fakeEndpointCount", "dummy_auth": "dummyAuthCount"}
+Q("ag_json_reality", f"SELECT id, scan_id, {', '.join(f"CAST(json_extract_string(result, '$.{path}') AS DOUBLE) AS {name}" for name, path in REALITY.items())} FROM d_reports WHERE engine_name = 'reality' ORDER BY score, id LIMIT 20")(
+    lambda d: ag.json_reality(d.reports)
+)
+LEAKS = "leaks AS (SELECT id, scan_id, unnest(json_extract(result, '$.entropyLeaks[*]')) AS x FROM d_reports WHERE engine_name = 'entropy')"
+BYPASSES = "bypasses AS (SELECT id, scan_id, unnest(json_extract(result, '$.constraintBypasses[*]')) AS x FROM d_reports WHERE engine_name = 'bypass')"
+Q("ag_json_leak_rows", f"WITH {LEAKS} SELECT id, scan_id, x->>'file' AS file, CAST(x->>'entropy' AS DOUBLE) AS entropy, x->>'patternType' AS type FROM leaks ORDER BY entropy DESC, id, file LIMIT 50")(lambda d: ag.json_leaks(d.reports))
+Q("ag_json_bypass_rows", f"""WITH {BYPASSES} SELECT id, scan_id, x->>'file' AS file, x->>'constraint' AS "constraint", x->>'conditionType' AS condition, x->>'bypassType' AS bypass FROM bypasses ORDER BY id DESC, file LIMIT 50""")(
+    lambda d: ag.json_newest_bypasses(d.reports)
+)
+Q("ag_json_bypass_summary", f"WITH {BYPASSES} SELECT x->>'conditionType' AS condition, x->>'bypassType' AS bypass, count(*) AS n, count(DISTINCT scan_id) AS scans FROM bypasses GROUP BY 1, 2")(lambda d: ag.json_bypass_summary(d.reports))
 Q(
-    "ag_json_bypass_rows",
-    """SELECT 't' || k % 3 AS type, 2 * count(*) AS n, count(DISTINCT scan_id) AS scans FROM (SELECT *, CAST(json_extract_string(result, '$.k') AS INT) AS k FROM d_results) GROUP BY 1""",
-)(lambda d: ag.json_rows(_leaky(d), "leaks", "struct<type:string,entropy:double>").groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("scan_id").alias("scans")))
+    "ag_json_leaks_and_bypasses",
+    """SELECT scan_id, CAST(sum(json_array_length(result, '$.entropyLeaks')) FILTER (engine_name = 'entropy') AS BIGINT) AS leaks, CAST(sum(CAST(json_extract_string(result, '$.totalBypasses') AS BIGINT)) FILTER (engine_name = 'bypass') AS BIGINT) AS bypasses
+    FROM d_reports GROUP BY scan_id HAVING leaks > 0 AND bypasses > 0 ORDER BY bypasses DESC, scan_id LIMIT 20""",
+)(lambda d: ag.json_leaks_and_bypasses(d.reports))
 
 # Windows
 Q(

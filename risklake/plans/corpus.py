@@ -175,14 +175,30 @@ def _signatures(files):
 
 
 _slots = [f"min((h * {k * 12345 + 67890} + {k * 54321 + 9876}) % 4294967311)" for k in range(64)]
-Q(
-    "sm_minhash",
-    f"""WITH w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)
-    SELECT file_id AS id, md5(concat_ws(',', {', '.join(_slots)})) AS signature FROM h GROUP BY file_id""",
-)(lambda d: _signatures(d.files).select("id", F.md5(F.array_join("signature", ",")).alias("signature")))
-Q("sm_similarity_pairs")(lambda d: similarity.clone_pairs(_signatures(d.files), 0.7))
-Q("sm_clone_groups")(lambda d: similarity.clone_groups(similarity.clone_pairs(_signatures(d.files), 0.7)))
-Q("sm_merkle")(lambda d: similarity.merkle_roots(_code_lines(d)))
+HASHED = """w AS (SELECT DISTINCT file_id, unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS w FROM d_files), h AS (SELECT file_id, CAST('0x' || md5(w)[:8] AS BIGINT) AS h FROM w WHERE length(w) > 2)"""
+#: A column s0 to s63 per slot.
+SIGNED = f"{HASHED}, sigs AS MATERIALIZED (SELECT file_id AS id, {', '.join(f'{x} AS s{k}' for k, x in enumerate(_slots))} FROM h GROUP BY file_id)"
+SAME = "(" + " + ".join(f"(a.s{k} = b.s{k})::INT" for k in range(64)) + ") / 64"
+#: All signatures against all: no bands. Equal signatures pair through their first id.
+CLONES = f"""{SIGNED}, firsts AS MATERIALIZED (SELECT *, min(id) OVER (PARTITION BY {', '.join(f's{k}' for k in range(64))}) AS lead FROM sigs),
+    clones AS MATERIALIZED (SELECT id, other, similarity FROM (SELECT a.id, b.id AS other, {SAME} AS similarity FROM firsts a JOIN firsts b ON a.id < b.id WHERE a.id = a.lead AND b.id = b.lead) WHERE similarity >= 0.7 UNION ALL SELECT lead, id, 1 FROM firsts WHERE id <> lead)"""
+Q("sm_minhash", f"WITH {HASHED} SELECT file_id AS id, md5(concat_ws(',', {', '.join(_slots)})) AS signature FROM h GROUP BY file_id")(lambda d: _signatures(d.files).select("id", F.md5(F.array_join("signature", ",")).alias("signature")))
+Q(
+    "sm_similarity_pairs",
+    f"WITH {CLONES} SELECT id, other, similarity, CASE WHEN similarity >= 0.95 THEN 'identical' WHEN similarity >= 0.85 THEN 'near-clone' WHEN similarity >= 0.65 THEN 'type-3' ELSE 'type-4' END AS kind FROM clones",
+)(lambda d: similarity.clone_pairs(_signatures(d.files), 0.7))
+Q(
+    "sm_clone_groups",
+    f"""WITH RECURSIVE {CLONES}, e AS MATERIALIZED (SELECT id, other FROM clones UNION SELECT other, id FROM clones), r AS (SELECT id, id AS node FROM e UNION SELECT r.id, e.other FROM r JOIN e ON r.node = e.id)
+    SELECT id, min(node) AS root FROM r GROUP BY id""",
+)(lambda d: similarity.clone_groups(similarity.clone_pairs(_signatures(d.files), 0.7)))
+Q(
+    "sm_merkle",
+    f"""WITH RECURSIVE {CODE_LINES}, bare AS (SELECT repo_id, path, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM lines),
+    leaf AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY path, line_no) - 1 AS pos, sha256(path || ':' || line_no || ':' || line) AS hash FROM bare WHERE line <> ''),
+    up AS (SELECT 0 AS level, repo_id, pos, hash FROM leaf UNION ALL SELECT level + 1, repo_id, pos // 2, sha256(min_by(hash, pos) || max_by(hash, pos)) FROM (SELECT *, max(pos) OVER (PARTITION BY repo_id) AS last FROM up) WHERE last > 0 GROUP BY level, repo_id, pos // 2)
+    SELECT repo_id, max_by(hash, level) AS root, count(*) FILTER (level = 0) AS leaves FROM up GROUP BY repo_id""",
+)(lambda d: similarity.merkle_roots(_code_lines(d)))
 Q(
     "sm_shape_hash",
     "SELECT scan_id % 100 AS repo, sha256(string_agg(agent_name || ':' || confidence, '|' ORDER BY agent_name || ':' || confidence))[:16] AS shape FROM d_issues GROUP BY 1",

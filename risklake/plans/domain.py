@@ -117,6 +117,16 @@ VIEWS = {
         FROM {events}""",
     "d_results": """
         SELECT event_id AS id, user_id AS scan_id, event_type AS engine_name, props AS result, CAST(floor(value) AS INT) AS duration_ms, ts AS created_at FROM {events}""",
+    "d_reports": """
+        SELECT event_id AS id, user_id AS scan_id, ts AS created_at,
+          CASE event_id % 4 WHEN 0 THEN 'entropy' WHEN 1 THEN 'bypass' WHEN 2 THEN 'reality' ELSE 'fusion' END AS engine_name,
+          CASE event_id % 4 WHEN 0 THEN concat('{{"avgEntropy":4.', a, ',"entropyLeaks":[', CASE WHEN event_id % 3 > 0 THEN concat('{{"file":"src/f', b, '.ts","entropy":4.', a, ',"patternType":"p', b, '"}}') ELSE '' END,
+              CASE WHEN event_id % 3 = 2 THEN concat(',{{"file":"src/g', b, '.ts","entropy":5.', b, ',"patternType":"q', b, '"}}') ELSE '' END, ']}}')
+            WHEN 1 THEN concat('{{"totalBypasses":', CAST(event_id % 3 AS VARCHAR(10)), ',"constraintBypasses":[', CASE WHEN event_id % 3 > 0 THEN concat('{{"file":"src/f', b, '.ts","constraint":"x > ', a, '","conditionType":"c', b, '","bypassType":"t1"}}') ELSE '' END,
+              CASE WHEN event_id % 3 = 2 THEN concat(',{{"file":"src/g', b, '.ts","constraint":"y = ', b, '","conditionType":"d', b, '","bypassType":"t2"}}') ELSE '' END, ']}}')
+            WHEN 2 THEN concat('{{"score":', a, ',"mockDataCount":', b, ',"fakeEndpointCount":', CAST(event_id % 3 AS VARCHAR(10)), ',"dummyAuthCount":', CAST(event_id % 2 AS VARCHAR(10)), '}}')
+            WHEN 3 THEN concat('{{"aggregate":{{"overallConfidence":', a, ',"overallBelief":0.', a, ',"overallPlausibility":0.', CAST(89 + event_id % 11 AS VARCHAR(10)), ',"overallConflict":0.0', b, ',"verdict":"v', b, '"}}}}') END AS result
+        FROM (SELECT *, CAST(10 + CAST(floor(value * 7) AS BIGINT) % 80 AS VARCHAR(10)) AS a, CAST(CAST(floor(value * 3) AS BIGINT) % 9 AS VARCHAR(10)) AS b FROM {events})""",
 }
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels")
@@ -150,6 +160,7 @@ class Domain:
     fixes = cached_property(lambda self: self.view("d_fixes"))
     runs = cached_property(lambda self: self.view("d_runs"))
     results = cached_property(lambda self: self.view("d_results"))
+    reports = cached_property(lambda self: self.view("d_reports"))
 
 
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:

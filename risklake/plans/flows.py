@@ -50,7 +50,10 @@ Q(
     "st_latency_ring",
     """WITH x AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY route) AS seen FROM d_traffic) SELECT route, max(seen) AS seen, round(avg(response_time_ms), 3) AS mean_ms FROM x WHERE n <= 1000 GROUP BY route""",
 )(lambda d: _replayed(st.traffic_alarm(_traffic(d), 1000, 1), "update").select("route", "seen", "mean_ms"))
-Q("st_heartbeat_timeout")(lambda d: _replayed(st.stuck(_traffic(d)), "append"))
+Q(
+    "st_heartbeat_timeout",
+    "SELECT scan_id, epoch_us(max(ts)) // 1000 AS last_seen FROM d_traffic GROUP BY scan_id HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM d_traffic) - INTERVAL 1 MINUTE",
+)(lambda d: _replayed(st.stuck(_traffic(d)), "append"))
 
 # Sinks and migrations
 Q(

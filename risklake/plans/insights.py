@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from risklake.functions import scalars as fn
 from risklake.operators import aggregates, fusion, graph, insights, rules, similarity
 from risklake.plans.book import Book
-from risklake.plans.corpus import CALLS, CODE_LINES, LINES, ROUTES, _code_lines, _lines
+from risklake.plans.corpus import CALLS, CODE_LINES, LINES, ROUTES, SAME, SIGNED, _code_lines, _lines
 from risklake.plans.domain import Domain
 from risklake.plans.graphs import GROUP_FOLD, NODES, PAIRS
 from risklake.plans.relational import COUNTS, ISSUE_ORDER, LICENSES, _values, licenses
@@ -86,8 +86,9 @@ Q(
 Q("ag_deep_summary", "SELECT severity, count(*) AS n FROM (SELECT severity FROM d_issues WHERE k1 < 4 UNION ALL SELECT severity FROM d_issues WHERE k1 >= 4 UNION ALL SELECT 'info' FROM d_results WHERE duration_ms > 50) GROUP BY severity")(
     lambda d: d.issues.filter("k1 < 4").select("severity").unionByName(d.issues.filter("k1 >= 4").select("severity")).unionByName(d.results.filter("duration_ms > 50").select(F.lit("info").alias("severity"))).groupBy("severity").agg(F.count("*").alias("n"))
 )
-Q("ag_json_fusion", "SELECT id, scan_id, CAST(json_extract_string(result, '$.k') AS INT) AS belief FROM d_results ORDER BY created_at DESC, id DESC LIMIT 20")(
-    lambda d: d.results.withColumn("result", F.concat(F.lit('{"aggregate":{"overallBelief":'), F.get_json_object("result", "$.k"), F.lit("}}"))).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(20).select("id", "scan_id", F.expr("try_variant_get(parse_json(result), '$.aggregate.overallBelief', 'int')").alias("belief"))
+FUSED = {"confidence": "overallConfidence", "belief": "overallBelief", "plausibility": "overallPlausibility", "conflict": "overallConflict"}
+Q("ag_json_fusion", f"SELECT id, scan_id, {', '.join(f"CAST(json_extract_string(result, '$.aggregate.{path}') AS DOUBLE) AS {name}" for name, path in FUSED.items())}, json_extract_string(result, '$.aggregate.verdict') AS verdict FROM d_reports WHERE engine_name = 'fusion' ORDER BY created_at DESC, id DESC LIMIT 20")(
+    lambda d: aggregates.json_fusion(d.reports)
 )
 BR = "len(regexp_extract_all(line, '\\b(?:if|for|while|catch|switch)\\b'))"
 Q(
@@ -191,7 +192,12 @@ def _matched(d: Domain):
     return insights.pattern_match(sigs, refs)
 
 
-Q("sm_pattern_match")(_matched)
+_near = lambda k: f"CASE WHEN b.id = {k} THEN {SAME} END"
+Q(
+    "sm_pattern_match",
+    f"""WITH {SIGNED}, near AS (SELECT a.id, greatest(max({_near(3)}), max({_near(4)})) AS bad, max({_near(10)}) AS clean FROM sigs a, sigs b WHERE b.id IN (3, 4, 10) GROUP BY a.id)
+    SELECT id, floor(bad * 10000 + 0.5) / 10000 AS bad, floor(clean * 10000 + 0.5) / 10000 AS clean, CASE WHEN bad >= 0.7 AND coalesce(bad, 0) > coalesce(clean, 0) THEN 'vulnerable' WHEN coalesce(bad, 0) < coalesce(clean, 0) THEN 'clean' ELSE 'unknown' END AS verdict FROM near""",
+)(_matched)
 Q(
     "sm_depth_node_ratio",
     "SELECT a.id, b.id AS other, floor(round(least(a.n, b.n) / greatest(a.n, b.n), 9) * 10000 + 0.5) / 10000 AS depth_ratio, floor(round(least(a.m, b.m) / greatest(a.m, b.m), 9) * 10000 + 0.5) / 10000 AS node_ratio FROM (SELECT p_partkey AS id, p_size + 1 AS n, p_retailprice AS m FROM part) a JOIN (SELECT p_partkey AS id, p_size + 1 AS n, p_retailprice AS m FROM part) b ON b.id = a.id + 1",

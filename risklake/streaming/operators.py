@@ -121,7 +121,7 @@ class Heartbeat(StatefulProcessor):
         self.last = handle.getValueState("last", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(batch["ts"].max().timestamp() * 1000) for batch in rows)
+        latest = max(batch["ts"].max().value // 1_000_000 for batch in rows)
         if self.last.exists():
             latest = max(latest, self.last.get()[0])
         for timer in list(self.handle.listTimers()):
