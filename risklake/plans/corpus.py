@@ -109,7 +109,23 @@ Q(
     .near_lines(_code_lines(d).withColumn("file_id", F.struct("repo_id", "path")), F.col("line").contains("fetch("), F.col("line").contains("password"))
     .select("repo_id", "path", "line_no")
 )
-Q("rl_entropy_scan")(lambda d: rules.entropy_scan(_code_lines(d), ["repo_id", "path"]))
+LITERAL_SQL = rules.LITERAL.replace("'", "''")
+#: Back references as blocks that repeat: four times or more, or digits three times or more.
+AGAIN = "len(list_filter(range(1, n // 3 + 1), lambda p: n % p = 0 AND repeat(literal[:p], n // p) = literal AND (n >= 4 * p OR (p > 1 AND regexp_matches(literal, '^[0-9]+$'))))) > 0"
+_class = lambda pattern: f"(len(regexp_extract_all(literal, '{pattern}')) / n >= 0.02)::INT"
+SPECIAL_SQL = r"""[!@#$%^&*()_+\-=\[\]{};'':"\\|,.<>/?`~]"""
+#: Literals of 16 characters and more hold no run of a keyboard, which has 10 at most.
+LEAK_SQL = f"""chars AS (SELECT literal, unnest(string_split(literal, '')) AS ch FROM literals), shares AS (SELECT literal, ch, count(*) / sum(count(*)) OVER (PARTITION BY literal) AS p FROM chars WHERE ch <> '' GROUP BY literal, ch),
+    told AS (SELECT literal, length(literal) AS n, count(*) AS kinds, floor(-sum(p * log2(p)) * 10000 + 0.5) / 10000 AS entropy FROM shares GROUP BY literal),
+    judged AS (SELECT literal, entropy, n BETWEEN 16 AND 256 AND NOT regexp_matches(literal, '\\s') AND NOT ({AGAIN}) AND NOT regexp_matches(literal, '{rules.DATES}') AND NOT regexp_matches(lower(literal), '{rules.BOILERPLATE}')
+      AND {_class('[A-Z]')} + {_class('[a-z]')} + {_class('[0-9]')} + {_class(SPECIAL_SQL)} >= 2 AND kinds / n >= 0.35 AND entropy > 4.5 AS leak FROM told)"""
+TYPE_SQL = r"""CASE WHEN regexp_matches(literal, '^[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$') THEN 'jwt' WHEN regexp_matches(literal, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN 'uuid' WHEN regexp_matches(literal, '^[A-Za-z0-9+/]+={0,2}$') AND length(literal) >= 20 THEN 'base64'
+      WHEN regexp_matches(literal, '^[0-9a-fA-F]+$') AND length(literal) >= 32 THEN 'hex' WHEN regexp_matches(literal, '^[A-Za-z0-9_-]{20,}$') THEN 'alphanumeric_high_entropy' WHEN regexp_matches(literal, '^sk-[A-Za-z0-9_-]+$') THEN 'openai_key' WHEN regexp_matches(literal, '^ghp_[A-Za-z0-9_-]+$') THEN 'github_token' WHEN regexp_matches(literal, '^AKIA[A-Z0-9]{16}$') THEN 'aws_access_key' ELSE 'unknown' END"""
+Q(
+    "rl_entropy_scan",
+    f"""WITH {CODE_LINES}, said AS (SELECT repo_id, path, line_no, unnest(regexp_extract_all(line, '{LITERAL_SQL}', 1)) AS literal FROM lines), literals AS (SELECT DISTINCT literal FROM said), {LEAK_SQL}
+    SELECT repo_id, path, line_no, literal, entropy, {TYPE_SQL} AS type FROM said JOIN judged USING (literal) WHERE leak""",
+)(lambda d: rules.entropy_scan(_code_lines(d), ["repo_id", "path"]))
 CC = "len(regexp_extract_all(content, '(?i)\\b(?:if|else\\s+if|for\\b|while\\b|catch\\b|switch|case)\\b|&&|\\|\\||\\?')) + 1"
 Q(
     "ag_complexity_snapshot",
