@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from risklake.operators import similarity
 from risklake.plans import corpus, insights
 from risklake.plans.domain import Domain
@@ -33,7 +35,9 @@ def test_patterns_are_matched_on_all_files(spark, tmp_path):
     assert sorted(r["id"] for r in insights._pattern_sigs(d).collect()) == [-1, 1, 1000000]
 
 
-def test_no_pair_above_the_threshold_is_missed(spark):
+@pytest.mark.parametrize("block", [5, 2048])
+def test_no_pair_above_the_threshold_is_missed(spark, block):
+    """Bands that many signatures share are cut into blocks of five, or not at all."""
     rng = random.Random(4)
     base = [rng.randrange(10**6) for _ in range(64)]
     rows = [(0, base)]
@@ -42,6 +46,6 @@ def test_no_pair_above_the_threshold_is_missed(spark):
         for at in rng.sample(range(64), rng.randrange(1, 26)):
             own[at] = rng.randrange(10**6)
         rows.append((k, own))
-    got = {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(spark.createDataFrame(rows, "id long, signature array<long>"), 0.7).collect() if r["similarity"] < 1}
+    got = {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(spark.createDataFrame(rows, "id long, signature array<long>"), 0.7, block).collect() if r["similarity"] < 1}
     near = {frozenset((a, b)) for a, x in rows for b, y in rows if a < b and x != y and sum(p == q for p, q in zip(x, y, strict=True)) >= 0.7 * 64}
     assert got == near and len(near) > 100
