@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,16 +129,15 @@ def debate(findings: DataFrame) -> DataFrame:
 
 
 def ds_udaf():
-    """The same fold as a grouped-aggregate pandas UDF: an array of v, n, u and the number of reports, from rows of one group in any order."""
-    from pyspark.sql.functions import pandas_udf
+    """The same fold as a grouped-aggregate Arrow UDF: an array of v, n, u and the number of reports, from rows of one group in any order."""
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf("array<double>")
-    def fold(seq: pd.Series, v: pd.Series, n: pd.Series, u: pd.Series, r: pd.Series) -> list[float]:
-        order = seq.to_numpy().argsort(kind="stable")
-        rows = zip(*(c.to_numpy()[order].tolist() for c in (v, n, r)), strict=True)
+    @arrow_udf("array<double>")
+    def fold(seq: pa.Array, v: pa.Array, n: pa.Array, u: pa.Array, r: pa.Array) -> pa.Scalar:
+        rows = sorted(zip(*(c.to_pylist() for c in (seq, v, n, r)), strict=True))
         r4 = lambda x: math.floor(round(x, 9) * 10_000 + 0.5) / 10_000
         state = None
-        for v1, n1, r1 in rows:
+        for _, v1, n1, r1 in rows:
             b = (v1 * r1, n1 * r1, max(0.02, 1 - (v1 + n1) * r1))
             if state is None:
                 state = b
@@ -148,6 +147,6 @@ def ds_udaf():
                 state = (0.0, 0.0, 1.0)
                 continue
             state = (r4((state[0] * b[0] + state[0] * b[2] + state[2] * b[0]) / left), r4((state[1] * b[1] + state[1] * b[2] + state[2] * b[1]) / left), r4(state[2] * b[2] / left))
-        return [*map(float, state), float(len(seq))]
+        return pa.scalar([*map(float, state), float(len(rows))], pa.list_(pa.float64()))
 
     return fold

@@ -301,7 +301,9 @@ Q(
 def _udaf(d: Domain):
     fold = fusion.ds_udaf()
     one = fusion.evidence_mass(d.issues).select("scan_id", (F.col("k1") * 10_000_000_000 + F.col("k2") * 100_000 + F.col("k3")).alias("seq"), F.element_at("masses", 1).alias("m"))
-    folded = one.groupBy("scan_id").agg(fold("seq", "m.v", "m.n", "m.u", "m.r").alias("f"))
+    # A number of partitions of its own: small rows would else be put into one task, where Python folds them one group after the other.
+    spread = one.repartition(int(d.spark.conf.get("spark.sql.shuffle.partitions")), "scan_id")
+    folded = spread.groupBy("scan_id").agg(fold("seq", "m.v", "m.n", "m.u", "m.r").alias("f"))
     return folded.select("scan_id", F.get("f", F.lit(3)).cast("int").alias("reports"), *[fn.half_up(F.round(F.get("f", F.lit(k)), 9), 4).alias(c) for k, c in enumerate("vnu")])
 
 
