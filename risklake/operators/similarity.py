@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,41 @@ def signatures(docs: DataFrame, tokens: Column) -> DataFrame:
     return hashed.groupBy("id").agg(*each).select("id", F.array(*(f"_{i}" for i in range(PERMUTATIONS))).alias("signature"))
 
 
+def _sketch(word: int) -> Column:
+    """The lowest four bits of 16 of a signature's places, in a long."""
+    bits = [F.shiftleft(F.get("signature", F.lit(16 * word + k)).bitwiseAND(F.lit(15).cast("long")), 4 * k) for k in range(16)]
+    return reduce(Column.bitwiseOR, bits)
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """Places of two sketch words that differ."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111_1111_1111_1111)))
+
+
 def clone_pairs(sigs: DataFrame, threshold: float = 0.7, block: int = BLOCK) -> DataFrame:
     """Pairs of distinct signatures with at least `threshold` equal places. A pair may differ in as many places as the rest, so one
     of that many bands and one more is equal in both: the fewest and widest bands that miss no pair. Equal signatures
     are one node: they pair through their first id, not with each other. A band with more than `block` signatures is cut into
-    blocks by a hash of the id, and each two blocks meet under a key of their own, so no task has all of a band's pairs."""
+    blocks by a hash of the id, and each two blocks meet under a key of their own, so no task has all of a band's pairs. Four bits of
+    every place travel with a band: equal places have equal bits, so pairs with too many unlike ones are no candidates."""
     sigs = cut(sigs)
     distinct = sigs.groupBy("signature").agg(F.min("id").alias("id"))
     n = int(round(PERMUTATIONS * (1 - threshold), 6)) + 1
     ends = [PERMUTATIONS * k // n for k in range(n + 1)]
     keys = [F.xxhash64(F.slice("signature", a + 1, b - a)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    bands = distinct.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
-    keyed = bands.select("id", F.xxhash64("band", "key").alias("key"))
+    words = [f"_s{k}" for k in range(PERMUTATIONS // 16)]
+    bands = distinct.select("id", *[_sketch(k).alias(w) for k, w in enumerate(words)], F.posexplode(F.array(*keys)).alias("band", "key"))
+    keyed = bands.select("id", *words, F.xxhash64("band", "key").alias("key"))
     shared = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).alias("_blocks"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     dealt = keyed.join(shared, "key").withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = cut(dealt.select("id", F.xxhash64("key", F.least("_own", "_with"), F.greatest("_own", "_with")).alias("key"), "_own", (F.col("_own") == F.col("_with")).alias("_inner")))
-    others = dealt.select(F.col("id").alias("other"), "key", F.col("_own").alias("_other"))
-    met = dealt.join(others, "key").filter((F.col("id") < F.col("other")) & (F.col("_inner") | (F.col("_own") != F.col("_other")))).select("id", "other").distinct()
+    dealt = cut(dealt.select("id", F.xxhash64("key", F.least("_own", "_with"), F.greatest("_own", "_with")).alias("key"), "_own", (F.col("_own") == F.col("_with")).alias("_inner"), *words))
+    others = dealt.select(F.col("id").alias("other"), "key", F.col("_own").alias("_other"), *[F.col(w).alias(f"_o{w}") for w in words])
+    unlike = reduce(Column.__add__, (_unlike(F.col(w), F.col(f"_o{w}")) for w in words))
+    near = (F.col("id") < F.col("other")) & (F.col("_inner") | (F.col("_own") != F.col("_other"))) & (unlike < n)
+    met = dealt.join(others, "key").filter(near).select("id", "other").distinct()
     joined = met.join(distinct.withColumnRenamed("signature", "_a"), "id").join(distinct.select(F.col("id").alias("other"), F.col("signature").alias("_b")), "other")
     same = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
     near = joined.select("id", "other", (same / PERMUTATIONS).alias("similarity")).filter(F.col("similarity") >= threshold)
