@@ -133,9 +133,9 @@ class Pair:
         """Parts of the text, each to be read with a space before it."""
         if not self.second.cuts:
             return [text]
-        if not re.search(r"(?:\s |^ )", text):
-            return text.split(" ")
-        return [p[1:] for p in re.split(r"(?<=\S)(?= )", " " + text)]
+        parts = [p[1:] for p in re.split(r"(?<=\S)(?= )", " " + text)] if re.search(r"\s |^ ", text) else text.split(" ")
+        # The second tokenizer gives an empty text no space: a last one stays with what is before it.
+        return [*parts[:-2], parts[-2] + " "] if len(parts) > 1 and not parts[-1] else parts
 
     def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text the ids of both tokenizers, packed as 32-bit integers."""
