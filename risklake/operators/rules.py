@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklake.functions.scalars import char_classes, char_entropy, diversity, half_up, redact, secret_type, snippet
+from risklake.operators.ruleindex import Slots, matches
 
 #: Secret patterns: name, pattern, severity; fixed.
 SECRETS = (
@@ -106,7 +108,7 @@ PACK = (
     Rule("R-REDIRECT", "auth", "medium", (r"\.redirect\s*\(\s*req\.",), (), (), ("CWE-601",)),
     Rule("R-ADMIN", "auth", "high", (r"\.(get|post|use)\s*\(\s*[\"'`]/(admin|debug)\b",), (r"requireAuth",), (), ("CWE-306",)),
     Rule("R-HASH", "crypto", "high", (r"createHash\s*\(\s*[\"'](md5|sha1)[\"']", r"\b(md5|sha1)\s*\("), (), (), ("CWE-328",)),
-    Rule("R-CIPHER", "crypto", "high", (r"createCipher\s*\(", r"\b(DES|RC4)\b"), (), (), ("CWE-327",)),
+    Rule("R-CIPHER", "crypto", "high", (r"createCipher\s*\(", r"(?-i:\b(DES|RC4)\b)"), (), (), ("CWE-327",)),
     Rule("R-RANDOM", "crypto", "medium", (r"Math\.random\s*\(\)",), (r"color|jitter",), (), ("CWE-338",)),
     Rule("R-TLS", "config", "critical", (r"rejectUnauthorized\s*:\s*false",), (), (), ("CWE-295",)),
     Rule("R-CORS", "config", "high", (r"origin\s*:\s*[\"'`]\*",), (), (), ("CWE-942",)),
@@ -117,7 +119,7 @@ PACK = (
     Rule("R-SWALLOW", "reliability", "medium", (r"catch\s*\(\w*\)\s*\{\s*\}",), (), (), ("CWE-390",)),
     Rule("R-TODO", "quality", "low", (r"//\s*(TODO|FIXME|HACK)\b",), (), (), ()),
 )
-#: A catalogue is compiled to one expression per rule in every task's code.
+#: A catalogue's literals go to every task.
 MAX_RULES = 10_000
 
 
@@ -131,6 +133,41 @@ def load_rules(catalog: DataFrame, pack: str | None = None) -> tuple[Rule, ...]:
     return tuple(Rule(r["id"], r["category"], r["severity"], *(tuple(r[c] or ()) for c in ("patterns", "exclude", "context", "cwe"))) for r in rows)
 
 
+@dataclass(frozen=True)
+class Family:
+    """Rules that are one expression over two lists of words: {0} and {1} stand for a word of each, and the second is the literal."""
+
+    name: str
+    category: str
+    severity: str
+    pattern: str
+    first: tuple[str, ...]
+    second: tuple[str, ...]
+    cwe: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+
+    def rules(self) -> list[Rule]:
+        return [Rule(f"{self.name}-{a}-{b}", self.category, self.severity, (self.pattern.format(re.escape(a), re.escape(b)),), self.exclude, (), self.cwe) for a in self.first for b in self.second]
+
+
+FAMILIES = (
+    Family("flow", "injection", "high", r"\b{0}\s*\([^)]*\b{1}", tuple("eval exec spawn execute query raw fetch open load parse render compile include import send write append redirect resolve log info warn error assign merge set setItem setTimeout call apply".split()),
+           tuple("req.body req.query req.params req.headers req.cookies location.hash location.search document.cookie document.referrer window.name process.argv user.password user.token user.email event.data ctx.request input.value params.id session.id searchParams".split()), ("CWE-20",), (r"sanitize|escape",)),
+    Family("setting", "config", "medium", r"\b{0}\s*[:=]\s*[\"'`]?{1}\b", tuple("origin secure httpOnly sameSite verify strict debug trace ssl tls csrf auth cors cache password secret token key role mode level verbose insecure rejectUnauthorized checkServerIdentity trustProxy hsts csp".split()),
+           tuple("false none null undefined disabled 0 changeme admin root test default localhost unsafe-inline".split()), ("CWE-16",)),
+    Family("markup", "exposure", "low", r"<{0}\b[^>]*\s{1}\s*=", tuple("a form img script iframe input button div span link meta html body video audio object embed svg table select textarea base area source".split()),
+           tuple("onclick onload onerror onsubmit onfocus onmouseover onchange onkeydown style target href src srcdoc action formaction lang charset class autocomplete integrity".split()), ("CWE-79",)),
+    Family("module", "dependency", "medium", r"\b{0}\s*\(?\s*[\"'`]{1}[\"'`]", ("from", "require", "import", "load"),
+           tuple(f"{a}{b}" for a in "node-serialize serialize-javascript js-yaml request jade marked ejs vm2 xml2js lodash moment crypto-js jsonwebtoken md5 sha1 des rc4 bcrypt passport multer axios express helmet cors dotenv sequelize mongoose redis socket.io puppeteer".split() for b in ("", "/lib", "-old", "-legacy", "-fork")), ("CWE-1104",)),
+)
+
+
+def family_catalog(spark, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
+    """The families' rules as a table, as load_rules reads it."""
+    rows = [(f.name, r.id, r.category, r.severity, list(r.cwe), list(r.patterns), list(r.exclude), list(r.context)) for f in families for r in f.rules()]
+    return spark.createDataFrame(rows, "pack string, id string, category string, severity string, cwe array<string>, patterns array<string>, exclude array<string>, context array<string>")
+
+
 #: Domain packs: what a repository's files should have, by domain and check.
 DOMAINS = {
     "headers": {"csp": r"Content-Security-Policy", "cors": r"(?i)cors\(|Access-Control-Allow-Origin", "hsts": r"(?i)https|Strict-Transport-Security"},
@@ -183,21 +220,23 @@ def project_checks(files: DataFrame, present: dict[str, str]) -> DataFrame:
 
 
 def pack_scan(lines: DataFrame, keys: list[str], rules: tuple[Rule, ...] = PACK, least: float = 0.0, most: int = 20, reach: int = 30) -> DataFrame:
-    """All rules of a pack in one pass over the lines. Context comes from one window over each file's lines; per rule and file
-    at most `most` findings, the first ones. Confidence: 0.95 for a direct match, +0.05 if critical, -0.05 if it is long."""
-    near = Window.partitionBy(*keys).orderBy("line_no").rangeBetween(-reach, reach - 1)
-    scanned, hits = lines, []
-    for k, rule in enumerate(rules):
-        met = F.col("line").rlike(rule.regex)
-        if rule.exclude:
-            met &= ~F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in rule.exclude))
-        if rule.context:
-            scanned = scanned.withColumn(f"_near{k}", F.max(F.col("line").rlike("(?i)" + "|".join(rule.context))).over(near))
-            met &= F.col(f"_near{k}")
-        long = F.length(F.regexp_extract("line", rule.regex, 0)) > 30
-        confidence = half_up(F.least(F.lit(1.0), F.round(0.95 + (0.05 if rule.severity == "critical" else 0.0) - F.when(long, 0.05).otherwise(0.0), 6)), 2)
-        hits.append(F.when(met, F.struct(F.lit(rule.id).alias("rule"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), confidence.alias("confidence"), F.array(*map(F.lit, rule.cwe)).cast("array<string>").alias("cwe"))))
-    found = scanned.select(*keys, "line_no", F.explode(F.array_compact(F.array(*hits))).alias("x")).select(*keys, "line_no", "x.*").filter(F.col("confidence") >= least)
+    """All rules of a pack in one pass over the lines, through an index of the literals that they need. A rule with context wants a line near
+    by that matches it. Per rule and file at most `most` findings, the first ones. Confidence: 0.95 for a direct match, +0.05 if
+    critical, -0.05 if it is long."""
+    nears = [k for k, rule in enumerate(rules) if rule.context]
+    slots = Slots.of([r.patterns for r in rules] + [rules[k].context for k in nears])
+    about = [(k, r.id, r.category, r.severity, list(r.cwe), "(?i)" + "|".join(f"(?:{p})" for p in r.exclude) if r.exclude else None, bool(r.context)) for k, r in enumerate(rules)]
+    about = lines.sparkSession.createDataFrame(about, "_rule int, rule string, category string, severity string, cwe array<string>, _exclude string, _wants boolean")
+    met = matches(lines.select(*keys, "line_no", "line"), slots)
+    other = F.create_map(*[F.lit(x) for n, k in enumerate(nears) for x in (len(rules) + n, k)]) if nears else F.create_map().cast("map<int,int>")
+    met = met.withColumn("_rule", F.coalesce(F.try_element_at(other, F.col("slot")), F.col("slot"))).withColumn("_near", F.col("slot") >= len(rules))
+    met = met.join(F.broadcast(about), "_rule").filter(F.col("_near") | F.col("_exclude").isNull() | ~F.rlike("line", F.col("_exclude")))
+    # Matches of context stand beside those of their rule: a window over both, and not over all lines.
+    seen = F.max("_near").over(Window.partitionBy(*keys, "_rule").orderBy("line_no").rangeBetween(-reach, reach - 1))
+    met = met.withColumn("_seen", seen).filter("NOT _near AND (_seen OR NOT _wants)")
+    long = F.length(F.expr("regexp_extract(line, _regex, 0)")) > 30
+    confidence = half_up(F.least(F.lit(1.0), F.round(0.95 + F.when(F.col("severity") == "critical", 0.05).otherwise(0.0) - F.when(long, 0.05).otherwise(0.0), 6)), 2)
+    found = met.select(*keys, "line_no", "rule", "category", "severity", confidence.alias("confidence"), "cwe").filter(F.col("confidence") >= least)
     rank = F.row_number().over(Window.partitionBy(*keys, "rule").orderBy("line_no"))
     return found.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
 

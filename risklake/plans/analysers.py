@@ -15,6 +15,10 @@ Q = BOOK.add
 LINES = "lines AS (SELECT repo_id, path, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line FROM (SELECT repo_id, path, string_split(content, chr(10)) AS parts FROM d_source))"
 
 
+#: The same over documents and pages as well.
+ALL_LINES = LINES.replace("d_source", "d_all")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -31,6 +35,10 @@ def _lines(d: Domain):
     return code.code_lines(d.source, "repo_id", "path")
 
 
+def _all_lines(d: Domain):
+    return code.code_lines(d.everything, "repo_id", "path")
+
+
 _crypto = {e: " + ".join(f"count(*) FILTER ({met('line', p)})" for _, p, effect in analysers.CRYPTO if effect == e) for e in ("critical", "high", "medium", "modern")}
 Q(
     "ag_crypto_score",
@@ -59,9 +67,9 @@ Q(
 )(lambda d: analysers.memory_ops(_lines(d)))
 Q(
     "ag_resilience_patterns",
-    f"""WITH f AS (SELECT repo_id, {', '.join(f'bool_or({met("content", p)}) AS {n}' for n, p, _ in analysers.RESILIENCE)} FROM d_source GROUP BY repo_id),
+    f"""WITH f AS (SELECT repo_id, {', '.join(f'bool_or({met("content", p)}) AS {n}' for n, p, _ in analysers.RESILIENCE)} FROM d_all GROUP BY repo_id),
     s AS (SELECT repo_id, concat_ws(',', {', '.join(f"CASE WHEN {n} THEN '{n}' END" for n, _, _ in analysers.RESILIENCE)}) AS patterns, CAST(least(100, {' + '.join(f'{n}::INT * {w}' for n, _, w in analysers.RESILIENCE)}) AS BIGINT) AS score FROM f) SELECT *, {band(('resilient', 'moderate', 'fragile', 'brittle'))} AS band FROM s""",
-)(lambda d: analysers.resilience_patterns(d.source))
+)(lambda d: analysers.resilience_patterns(d.everything))
 KINDS = ("n_plus_one", "sync_blocking", "heavy_import", "memory_leak", "dead_code")
 KIND_SQL = "CASE k3 % 40 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(KINDS)) + " ELSE 'other' END"
 
@@ -153,11 +161,11 @@ def condition(name: str, pattern: str) -> str:
 
 
 _secrets = " UNION ALL ".join(f"SELECT repo_id, path, {quoted(n)} AS rule, '{s}' AS severity, min(line_no) AS line_no FROM safe WHERE {condition(n, p)} GROUP BY repo_id, path" for n, p, s in rules.SECRETS)
-Q("rl_secret_scan", f"WITH {LINES}, safe AS (SELECT * FROM lines WHERE NOT {met('line', rules.REFERENCE)} AND NOT {met('line', rules.PLACEHOLDER)}) {_secrets}")(
-    lambda d: rules.secret_scan(_lines(d), ["repo_id", "path"]).select("repo_id", "path", "rule", "severity", "line_no")
+Q("rl_secret_scan", f"WITH {ALL_LINES}, safe AS (SELECT * FROM lines WHERE NOT {met('line', rules.REFERENCE)} AND NOT {met('line', rules.PLACEHOLDER)}) {_secrets}")(
+    lambda d: rules.secret_scan(_all_lines(d), ["repo_id", "path"]).select("repo_id", "path", "rule", "severity", "line_no")
 )
 _patterns = " UNION ALL ".join(f"SELECT repo_id, path, {quoted(n)} AS rule, min(line_no) AS line_no, '{s}' AS severity, '{c}' AS category, {k} AS confidence FROM lines WHERE {condition(n, p)} GROUP BY repo_id, path" for n, p, s, c, k in rules.LINES)
-Q("rl_line_patterns", f"WITH {LINES} {_patterns}")(lambda d: rules.line_patterns(_lines(d), ["repo_id", "path"]))
+Q("rl_line_patterns", f"WITH {ALL_LINES} {_patterns}")(lambda d: rules.line_patterns(_all_lines(d), ["repo_id", "path"]))
 
 
 def _rule_sql(rule: rules.Rule) -> str:
@@ -169,13 +177,36 @@ def _rule_sql(rule: rules.Rule) -> str:
     return f"SELECT repo_id, path, line_no, '{rule.id}' AS rule, '{rule.category}' AS category, '{rule.severity}' AS severity, {confidence} AS confidence, ({met('line', rule.regex)}{no}{near}) AS hit FROM lines"
 
 
-Q("rl_pack_scan", f"WITH {LINES}, h AS ({' UNION ALL '.join(map(_rule_sql, rules.PACK))}) SELECT * EXCLUDE (hit) FROM h WHERE hit")(lambda d: rules.pack_scan(_lines(d), ["repo_id", "path"]).drop("cwe"))
+def _listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(quoted(w) for w in words) + "]"
+
+
+def _family_sql(f: rules.Family) -> str:
+    """A family's rules as the product of its two lists; a line meets those whose words it holds."""
+    escaped = lambda c: f"replace(replace({c}, '.', '\\.'), '-', '\\-')"
+    pattern = quoted("(?i)(?:" + f.pattern.replace("{0}", "<a>").replace("{1}", "<b>") + ")")
+    exclude = "".join(f" AND NOT {met('line', '(?i)' + x)}" for x in f.exclude)
+    return f"""SELECT repo_id, path, line_no, line, '{f.name}-' || a || '-' || b AS rule, '{f.category}' AS category, '{f.severity}' AS severity, replace(replace({pattern}, '<a>', {escaped('a')}), '<b>', {escaped('b')}) AS pattern
+    FROM lines JOIN (SELECT unnest({_listed(f.first)}) AS a) ON contains(lower(line), lower(a)) JOIN (SELECT unnest({_listed(f.second)}) AS b) ON contains(lower(line), lower(b)) WHERE true{exclude}"""
+
+
+def _catalog(d: Domain):
+    """The pack, and the families as they are loaded from a table."""
+    return rules.PACK + rules.load_rules(rules.family_catalog(d.spark))
+
+
+Q(
+    "rl_pack_scan",
+    f"""WITH {ALL_LINES}, h AS ({' UNION ALL '.join(map(_rule_sql, rules.PACK))}), c AS ({' UNION ALL '.join(map(_family_sql, rules.FAMILIES))}),
+    m AS (SELECT repo_id, path, line_no, rule, category, severity, CASE WHEN length(regexp_extract(line, pattern)) > 30 THEN 0.9 ELSE 0.95 END AS confidence FROM c WHERE regexp_matches(line, pattern)),
+    x AS (SELECT * EXCLUDE (hit) FROM h WHERE hit UNION ALL SELECT * FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, rule ORDER BY line_no) AS k FROM x) SELECT * EXCLUDE (k) FROM n WHERE k <= 20""",
+)(lambda d: rules.pack_scan(_all_lines(d), ["repo_id", "path"], _catalog(d)).drop("cwe"))
 _domain_rows = []
 for _d, _checks in rules.DOMAINS.items():
     _missing = ", ".join(f"CASE WHEN NOT bool_or({met('content', p)}) THEN '{c}' END" for c, p in _checks.items())
     _share = " + ".join(f"bool_or({met('content', p)})::INT" for p in _checks.values())
-    _domain_rows.append(f"SELECT repo_id, '{_d}' AS domain, concat_ws(',', {_missing}) AS missing, floor(round(({_share}) / {len(_checks)}, 9) * 10000 + 0.5) / 10000 AS score FROM d_source GROUP BY repo_id")
-Q("rl_domain_packs", " UNION ALL ".join(_domain_rows))(lambda d: rules.domain_packs(d.source))
+    _domain_rows.append(f"SELECT repo_id, '{_d}' AS domain, concat_ws(',', {_missing}) AS missing, floor(round(({_share}) / {len(_checks)}, 9) * 10000 + 0.5) / 10000 AS score FROM d_all GROUP BY repo_id")
+Q("rl_domain_packs", " UNION ALL ".join(_domain_rows))(lambda d: rules.domain_packs(d.everything))
 #: Edges of a repository's graph: type, kind of node led to, pattern with the node's name as its group.
 EDGES = (
     ("imports", "dependency", r'from "(pkg[0-9]+)'),

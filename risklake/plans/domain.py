@@ -129,6 +129,10 @@ VIEWS = {
         FROM (SELECT *, CAST(10 + CAST(floor(value * 7) AS BIGINT) % 80 AS VARCHAR(10)) AS a, CAST(CAST(floor(value * 3) AS BIGINT) % 9 AS VARCHAR(10)) AS b FROM {events})""",
 }
 
+VIEWS["d_all"] = f"""
+        SELECT CAST(repo_id AS VARCHAR(40)) AS repo_id, path, content FROM ({VIEWS['d_files']}) AS f UNION ALL
+        SELECT CAST(repo_id AS VARCHAR(40)), path, content FROM ({VIEWS['d_source']}) AS s"""
+
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels")
 
 
@@ -155,6 +159,8 @@ class Domain:
     files = cached_property(lambda self: self.view("d_files"))
     code = cached_property(lambda self: self.view("d_code"))
     source = cached_property(lambda self: self.view("d_source"))
+    #: Documents, pages and source files.
+    everything = cached_property(lambda self: self.view("d_all"))
     teams = cached_property(lambda self: self.view("d_teams"))
     members = cached_property(lambda self: self.view("d_members"))
     fixes = cached_property(lambda self: self.view("d_fixes"))
