@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklake.functions.scalars import half_up
-from risklake.sources.lineage import cut
+from risklake.sources.lineage import Rounds, cut, stored
 
 #: Walks stop where nothing is new; no graph has a path as long.
 LONGEST = 1 << 60
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
+    """Both ends of each edge come from one scan."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("x")).select("x.*")
+    return ends.groupBy("id").agg((F.count("*") - F.sum("o")).alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
 
 def instability(edges: DataFrame) -> DataFrame:
@@ -25,20 +26,46 @@ def instability(edges: DataFrame) -> DataFrame:
     return d.select("id", F.col("in_degree").alias("fan_in"), F.col("out_degree").alias("fan_out"), "instability", god.alias("god_module"), ((F.col("instability") > 0.8) & (F.col("in_degree") > 5)).alias("unstable"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, types: list[str] | None = None, backward: bool = False) -> DataFrame:
-    """seeds(root, node): nodes in reach of each root with the least depth."""
+#: Roots of one mask.
+LANES = 64
+
+
+def lanes(seeds: DataFrame) -> DataFrame:
+    """seeds(root, ...) -> root, lane, bit: roots in order, 64 to a lane, so that those of one graph share lanes if their ids are near each other."""
+    numbered = seeds.select("root").distinct().orderBy("root").withColumn("_n", F.monotonically_increasing_id())
+    return stored(numbered.select("root", F.floor(F.col("_n") / LANES).alias("lane"), (F.col("_n") % LANES).cast("int").alias("bit")))
+
+
+def masks(edges: DataFrame, seeds: DataFrame, lane: DataFrame, max_depth: int = 10, types: list[str] | None = None, backward: bool = False) -> DataFrame:
+    """seeds(root, node), lane as of lanes() -> lane, node, depth, fresh: the roots, as a mask of their bits, that reach the node first at this depth.
+
+    A round has one row for each lane and node, whatever number of the lane's roots reach it."""
     used = edges if types is None else edges.filter(F.col("type").isin(*types))
     a, b = ("dst", "src") if backward else ("src", "dst")
-    steps = cut(used.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct())
-    seen = cut(seeds.select("root", "node", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(steps, "node").select("root", F.col("_next").alias("node")).distinct()
-        frontier = cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    steps = stored(used.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    start = seeds.select("root", "node").join(lane, "root").groupBy("lane", "node").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("seen"))
+    state, new = rounds.write(start.withColumn("fresh", F.col("seen")), 0)
+    depth = 0
+    while new and depth < max_depth:
+        depth += 1
+        passed = state.filter("fresh <> 0").join(steps, "node").select("lane", F.col("_next").alias("node"), F.lit(0).cast("long").alias("seen"), "fresh")
+        both = state.select("lane", "node", "seen", F.lit(0).cast("long").alias("fresh")).unionByName(passed).groupBy("lane", "node").agg(F.bit_or("seen").alias("_seen"), F.bit_or("fresh").alias("_met"))
+        both = both.select("lane", "node", F.col("_seen").bitwiseOR(F.col("_met")).alias("seen"), F.col("_met").bitwiseAND(F.bitwise_not("_seen")).alias("fresh"))
+        state, new = rounds.write(both, depth, "fresh <> 0")
+    return rounds.all().filter("fresh <> 0").select("lane", "node", F.col("round").alias("depth"), "fresh")
+
+
+def unfolded(found: DataFrame, lane: DataFrame) -> DataFrame:
+    """found(lane, node, depth, fresh) -> root, node, depth: a row for each bit that is set."""
+    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: F.expr("fresh").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0))
+    return found.select("lane", "node", "depth", bits.alias("bit")).join(lane, ["lane", "bit"]).select("root", "node", "depth")
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, types: list[str] | None = None, backward: bool = False) -> DataFrame:
+    """seeds(root, node): nodes in reach of each root with the least depth."""
+    lane = lanes(seeds)
+    return unfolded(masks(edges, seeds, lane, max_depth, types, backward), lane)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -78,59 +105,94 @@ def scc(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, each named by its largest node.
 
     A round colours every node with the largest node that reaches it; the nodes that reach their colour back are that
-    colour's component. They leave the graph, and the rest goes round again."""
-    left = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    out = None
-    while True:
-        while True:  # nodes without a way in or out are in no component
+    colour's component. They leave the graph, and the rest goes round again. Only nodes whose colour has changed pass it on."""
+    spark = edges.sparkSession
+    left, n = Rounds(spark).write(edges.select("src", "dst").filter("src <> dst").distinct(), 0)
+    kind, out = dict(edges.dtypes)["src"], None
+    while n:
+        trims, before, k = Rounds(spark), None, 0
+        while n and n != before:  # nodes without a way in or out are in no component
             inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            before, left = left.count(), cut(inner.select("src", "dst"))
-            after = left.count()
-            if after == before or not after:
-                break
-        if not after:
+            before, (left, n), k = n, trims.write(inner.select("src", "dst"), k), k + 1
+        if not n:
             break
-        colour = cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
-        total = None
-        while True:
-            passed = left.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
-            colour = cut(colour.unionByName(passed).groupBy("node").agg(F.max("colour").alias("colour")))
-            now = colour.agg(F.sum("colour")).first()[0]
-            if now == total:
-                break
-            total = now
+        colours, k = Rounds(spark), 0
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour, moved = colours.write(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), 0)
+        while moved:
+            k += 1
+            passed = colour.filter("moved").join(left.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), "colour", F.lit(None).cast(kind).alias("old"))
+            both = colour.select("node", "colour", F.col("colour").alias("old")).unionByName(passed).groupBy("node").agg(F.max("colour").alias("colour"), F.max("old").alias("old"))
+            colour, moved = colours.write(both.select("node", "colour", (F.col("colour") > F.col("old")).alias("moved")), k, "moved")
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b")
         tops = colour.filter("node = colour").select(F.col("colour").alias("root"), "node")
-        reached = bfs(same.select("src", "dst"), tops, max_depth=LONGEST, backward=True).select(F.col("root").alias("component"), "node")
-        found = cut(reached.join(reached.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"), "component").select("component", "node", "size"))
+        reached = stored(bfs(same.select("src", "dst"), tops, max_depth=LONGEST, backward=True).select(F.col("root").alias("component"), "node"))
+        found = reached.join(reached.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"), "component").select("component", "node", "size")
         out = found if out is None else out.unionByName(found)
         gone = reached.select("node").distinct()
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return out if out is not None else edges.sparkSession.createDataFrame([], "component long, node long, size long")
-
-
-def cycles(edges: DataFrame, most: int = 3) -> DataFrame:
-    """Distinct cycles of up to `most` nodes by their members; a cycle starts at its smallest node, so each is walked once."""
-    pairs = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    walks = pairs.filter("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
-    closing = pairs.select(F.col("src").alias("last"), F.col("dst").alias("first"))
-    out = walks.join(closing, ["last", "first"]).select("path")
-    for _ in range(most - 2):
-        grown = walks.join(pairs.withColumnRenamed("src", "last"), "last").filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))
-        walks = cut(grown.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")))
-        out = out.unionByName(walks.join(closing, ["last", "first"]).select("path"))
-    members = out.select(F.array_join(F.array_sort("path"), "-").alias("members"), F.size("path").alias("length")).distinct()
-    return members.withColumn("severity", F.when(F.col("length") == 2, "high").when(F.col("length") == 3, "medium").otherwise("low"))
-
-
-def hubs(edges: DataFrame, first: int = 50, k: int = 10) -> DataFrame:
-    """How many of the first nodes reach each node; hubs are reached by 3 or have a degree of 5, the top ones."""
+        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        left, n = Rounds(spark).write(rest, 0)
+    return out if out is not None else spark.createDataFrame([], f"component {kind}, node {kind}, size long")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """members (sorted), length, severity: every elementary cycle of two nodes or more, of any length, once for each set of members.
+
+    Cycles lie within components. One is walked from its smallest node, through larger nodes only, and no walk enters a node from which
+    there is no way back to its start through such nodes: those are found first, by a backward search from every start at once."""
+    spark = edges.sparkSession
+    part = stored(scc(edges).select("component", "node"))
+    pairs = edges.select("src", "dst").filter("src <> dst").distinct()
+    inner = pairs.join(part.select(F.col("node").alias("src"), "component"), "src").join(part.select(F.col("node").alias("dst"), F.col("component").alias("_other")), "dst")
+    inner = stored(inner.filter("component = _other").select("src", "dst"))
+    backs = Rounds(spark)
+    back, new = backs.write(inner.filter("src > dst").select(F.col("dst").alias("first"), F.col("src").alias("node")), 0)
+    k = 0
+    while new:
+        k += 1
+        grown = back.join(inner.select(F.col("src").alias("_prev"), F.col("dst").alias("node")), "node").filter("_prev > first").select("first", F.col("_prev").alias("node")).distinct()
+        back, new = backs.write(grown.join(backs.all().select("first", "node"), ["first", "node"], "left_anti"), k)
+    back = backs.all().select("first", F.col("node").alias("dst"))
+    steps = stored(inner.join(back, "dst").select("first", F.col("src").alias("last"), "dst"))
+    closing = inner.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.lit(True).alias("closes"))
+    start = inner.filter("dst > src").select(F.col("src").alias("first"), "dst").join(back, ["first", "dst"], "left_semi").select("first", F.col("dst").alias("last"), F.array("first", "dst").alias("path"))
+    rounds, k = Rounds(spark), 0
+    closed = lambda walks: walks.join(closing, ["last", "first"], "left").select("first", "last", "path", F.coalesce("closes", F.lit(False)).alias("closes"))
+    walks, new = rounds.write(closed(start), 0)
+    while new:
+        k += 1
+        grown = walks.join(steps, ["first", "last"]).filter(~F.array_contains("path", F.col("dst"))).select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
+        walks, new = rounds.write(closed(grown), k)
+    found = rounds.all().filter("closes").select(F.array_sort("path").alias("members")).distinct()
+    length = F.size("members")
+    return found.select("members", length.alias("length"), F.when(length >= 4, "high").when(length == 3, "medium").otherwise("low").alias("severity"))
+
+
+def cycle_report(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """found: cycles() with graph; nodes(graph): per cycle also its graph's affected files and risk, by their share and the number of cycles."""
+    files = found.select("graph", F.explode("members").alias("node")).distinct().groupBy("graph").agg(F.count("*").alias("affected"))
+    many = found.groupBy("graph").agg(F.count("*").alias("_cycles"))
+    total = nodes.groupBy("graph").agg(F.count("*").alias("_files"))
+    risk = F.least(F.lit(100), half_up(F.round(100 * F.col("affected") / F.col("_files") + 5 * F.col("_cycles"), 9)).cast("long"))
+    summed = files.join(many, "graph").join(total, "graph").select("graph", "affected", risk.alias("risk"))
+    return found.join(summed, "graph")
+
+
+def hubs(edges: DataFrame, graph: Column, first: int = 50, k: int = 10) -> DataFrame:
+    """graph: the graph that a node belongs to. How many of its first nodes reach each node; hubs are reached by 3 or have a degree of
+    5, the top ones of each graph."""
     pairs = edges.select("src", "dst").distinct()
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    roots = nodes.orderBy("node").limit(first).select(F.col("node").alias("root"), "node")
-    reached = bfs(pairs, roots, max_depth=LONGEST).filter("root <> node").groupBy("node").agg(F.count("*").alias("reach_count"))
-    joined = degree(pairs).withColumnRenamed("id", "node").join(reached, "node", "left").na.fill(0, ["reach_count"])
-    return joined.filter("reach_count >= 3 OR degree >= 5").orderBy(F.col("reach_count").desc(), F.col("degree").desc(), "node").limit(k).select("node", "reach_count", "degree")
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("graph", graph)
+    place = F.row_number().over(Window.partitionBy("graph").orderBy("node"))
+    roots = nodes.withColumn("_place", place).filter(F.col("_place") <= first).select(F.col("node").alias("root"), "node")
+    lane = lanes(roots)
+    own = roots.join(lane, "root").select("lane", "node", F.expr("shiftleft(1L, bit)").alias("_own"))
+    found = masks(pairs, roots, lane, max_depth=LONGEST).join(own, ["lane", "node"], "left")
+    others = F.bit_count(F.col("fresh").bitwiseAND(F.bitwise_not(F.coalesce("_own", F.lit(0).cast("long")))))
+    reached = found.groupBy("node").agg(F.sum(others).alias("reach_count"))
+    joined = degree(pairs).select(F.col("id").alias("node"), "degree").withColumn("graph", graph).join(reached, "node", "left").na.fill(0, ["reach_count"])
+    best = F.row_number().over(Window.partitionBy("graph").orderBy(F.desc("reach_count"), F.desc("degree"), "node"))
+    return joined.filter("reach_count >= 3 OR degree >= 5").withColumn("_place", best).filter(F.col("_place") <= k).select("graph", "node", "reach_count", "degree")
 
 
 def resilience(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,20 +216,48 @@ def degree_entropy(edges: DataFrame) -> DataFrame:
     return s.select("n", half_up(F.round(F.when(F.col("n") > 1, entropy / F.log2("n")).otherwise(F.lit(0.0)), 9), 4).alias("entropy"))
 
 
-def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_nodes: int = 20, least: float = 0.3) -> DataFrame:
-    """edges(src, dst, confidence): simple paths from sources to sinks whose product of confidences stays at `least` or more; pruned at every hop."""
-    steps = cut(edges.select("src", "dst", "confidence").filter(F.col("confidence") >= least))
-    walks = sources.select(F.col("node").alias("start"), F.col("node").alias("src"), F.array("node").alias("path"), F.lit(1.0).alias("p"))
-    out = None
-    for _ in range(max_nodes - 1):
-        grown = walks.join(steps, "src").withColumn("p", F.col("p") * F.col("confidence")).filter((F.col("p") >= least) & ~F.array_contains("path", F.col("dst")))
-        grown = cut(grown.select("start", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"), "p"))
-        if grown.isEmpty():
-            break
-        hit = grown.join(sinks.select(F.col("node").alias("src")), "src", "left_semi").select("start", F.col("src").alias("sink"), F.array_join("path", "-").alias("path"), half_up(F.round(F.col("p") * 0.95, 9), 4).alias("confidence"))
-        out = hit if out is None else out.unionByName(hit)
-        walks = grown
-    return out if out is not None else edges.sparkSession.createDataFrame([], "start long, sink long, path string, confidence double")
+def best_to_sinks(edges: DataFrame, sinks: DataFrame, least: float) -> DataFrame:
+    """edges(src, dst, confidence) -> node, best: the largest product of confidences from the node to any sink, if it is `least` or more."""
+    rounds = Rounds(edges.sparkSession)
+    best, new = rounds.write(sinks.select("node", F.lit(1.0).alias("best"), F.lit(True).alias("moved")).distinct(), 0)
+    k = 0
+    while new:
+        k += 1
+        passed = best.filter("moved").join(edges.select(F.col("src").alias("_prev"), F.col("dst").alias("node"), "confidence"), "node")
+        passed = passed.select(F.col("_prev").alias("node"), (F.col("best") * F.col("confidence")).alias("best"), F.lit(None).cast("double").alias("old")).filter(F.col("best") >= least - CLOSE)
+        both = best.select("node", "best", F.col("best").alias("old")).unionByName(passed).groupBy("node").agg(F.max("best").alias("best"), F.max("old").alias("old"))
+        best, new = rounds.write(both.select("node", "best", (F.col("old").isNull() | (F.col("best") > F.col("old"))).alias("moved")), k, "moved")
+    return best.select("node", "best")
+
+
+#: Products of the same factors differ by less, whatever their order.
+CLOSE = 1e-9
+
+
+def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, cleaners: DataFrame, max_nodes: int = 20, least: float = 0.3) -> DataFrame:
+    """edges(src, dst, confidence): simple paths from sources to sinks whose product of confidences stays at `least` or more.
+
+    The state of a walk is its node and whether it is sanitised: a node of it, or one that such a node leads to, is in cleaners. A backward pass
+    first finds the best product from each node to any sink; a walk enters a node only if its own product times that is enough."""
+    spark = edges.sparkSession
+    used = stored(edges.select("src", "dst", "confidence").filter(F.col("confidence") >= least))
+    best = stored(best_to_sinks(used, sinks, least))
+    clean = cleaners.select("node", F.lit(True).alias("clean")).distinct()
+    led = edges.select(F.col("src").alias("_at"), F.col("dst").alias("node")).join(clean, "node").select(F.col("_at").alias("node"), "clean")
+    clean = stored(clean.unionByName(led).distinct())
+    goal = sinks.select(F.col("node").alias("dst"), F.lit(True).alias("hit")).distinct()
+    flagged = lambda df, at: df.join(clean.withColumnRenamed("node", at), at, "left")
+    steps = flagged(used.join(best.withColumnRenamed("node", "dst"), "dst").join(goal, "dst", "left"), "dst").select("src", "dst", "confidence", "best", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("clean", F.lit(False)).alias("clean"))
+    steps = stored(steps)
+    start = flagged(sources.select(F.col("node").alias("src")), "src").select(F.col("src").alias("start"), "src", F.array("src").alias("path"), F.lit(1.0).alias("p"), F.coalesce("clean", F.lit(False)).alias("sanitised"), F.lit(False).alias("hit"))
+    rounds, k = Rounds(spark), 0
+    walks, new = rounds.write(start, 0)
+    while new and k < max_nodes - 1:
+        k += 1
+        grown = walks.drop("hit").join(steps, "src").withColumn("_p", F.col("p") * F.col("confidence"))
+        grown = grown.filter((F.col("_p") >= least) & (F.col("_p") * F.col("best") >= least - CLOSE) & ~F.array_contains("path", F.col("dst")))
+        walks, new = rounds.write(grown.select("start", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"), F.col("_p").alias("p"), (F.col("sanitised") | F.col("clean")).alias("sanitised"), "hit"), k)
+    return rounds.all().filter("hit").select("start", F.col("src").alias("sink"), F.array_join("path", "-").alias("path"), half_up(F.round(F.col("p") * 0.95, 9), 4).alias("confidence"), "sanitised")
 
 
 def dep_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,9 +268,13 @@ def dep_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def path_cost(entries: DataFrame, nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
-    """Per entry point: nodes in reach and the sum of their costs."""
+    """Per entry point: nodes in reach, the sum of their costs, and what running its direct calls side by side would save: their sum less
+    the largest of them."""
     reach = bfs(edges, entries.select(F.col("id").alias("root"), F.col("id").alias("node")), max_depth=LONGEST, types=types)
-    return reach.join(nodes, reach["node"] == nodes["id"]).groupBy("root").agg(F.count("*").alias("reached"), F.sum("cost").alias("cost"))
+    total = reach.join(nodes, reach["node"] == nodes["id"]).groupBy("root").agg(F.count("*").alias("reached"), F.sum("cost").alias("cost"))
+    calls = edges.filter("type = 'calls'").select(F.col("src").alias("root"), F.col("dst").alias("id")).distinct().join(entries.select(F.col("id").alias("root")).distinct(), "root", "left_semi")
+    saved = calls.join(nodes.select("id", "cost"), "id").groupBy("root").agg((F.sum("cost") - F.max("cost")).alias("parallelisable"))
+    return total.join(saved, "root", "left").select("root", "reached", "cost", F.coalesce("parallelisable", F.lit(0)).cast("long").alias("parallelisable"))
 
 
 def branch_depth(branches: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
@@ -244,16 +338,29 @@ def response_property(states: DataFrame, events: DataFrame, p: str, q: str) -> D
     return out.select(F.col("key").alias("model"), "violating", (F.col("states") - F.col("violating")).alias("verified"), (F.col("violating") == 0).alias("holds"))
 
 
-def provenance(edges: DataFrame, sinks: DataFrame, score: DataFrame, max_hops: int = 15) -> DataFrame:
-    """Walks back from each sink, at every hop to the predecessor with the highest score (the smallest id on ties) not yet visited."""
-    steps = cut(edges.select("src", "dst").distinct().join(score.select(F.col("id").alias("src"), F.col("score")), "src"))
-    walks = cut(sinks.select(F.col("id").alias("sink"), F.col("id").alias("at"), F.array("id").alias("path")))
-    out = walks
-    for _ in range(max_hops):
+#: Classes of data by priority; fixed.
+DATA_CLASSES = ("pci", "phi", "credentials", "biometric", "pii", "financial", "consent", "session", "location", "personal")
+
+
+def provenance(edges: DataFrame, sinks: DataFrame, nodes: DataFrame, max_hops: int = 15) -> DataFrame:
+    """edges(src, dst, confidence), nodes(id, data_class, points): walks back from each sink, at every hop to the predecessor not yet visited
+    with the highest score (the smallest id on ties): 3, 2 or 1 by the edge's confidence, 2 for a class, and the node's points.
+
+    A walk carries the classes that it has met and the sum of its edges' confidences; one that meets no class gives no row."""
+    steps = edges.select("src", "dst", "confidence").join(nodes.select(F.col("id").alias("src"), "data_class", "points"), "src")
+    score = F.when(F.col("confidence") > 0.9, 3).when(F.col("confidence") > 0.7, 2).otherwise(1) + F.when(F.col("data_class").isNotNull(), 2).otherwise(0) + F.col("points")
+    steps = stored(steps.select("src", "dst", "confidence", "data_class", score.alias("score")).groupBy("src", "dst").agg(F.max_by(F.struct("confidence", "data_class", "score"), F.struct("score", "confidence")).alias("x")).select("src", "dst", "x.*"))
+    rounds, k = Rounds(edges.sparkSession), 0
+    bit = F.coalesce(F.create_map(*[F.lit(x) for n, c in enumerate(DATA_CLASSES) for x in (c, 1 << n)])[F.col("data_class")], F.lit(0))
+    walks, new = rounds.write(sinks.select(F.col("id").alias("sink"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0).alias("classes"), F.lit(0.0).alias("total")), 0)
+    while new and k < max_hops:
+        k += 1
         options = walks.join(steps, walks["at"] == steps["dst"]).filter(~F.array_contains("path", F.col("src")))
-        best = options.groupBy("sink", "path").agg(F.min_by("src", F.struct(-F.col("score"), "src")).alias("at"))
-        walks = cut(best.select("sink", "at", F.concat("path", F.array("at")).alias("path")))
-        if walks.isEmpty():
-            break
-        out = cut(out.join(walks.select("sink"), "sink", "left_anti").unionByName(walks))
-    return out.select("sink", F.array_join(F.reverse("path"), "-").alias("path"), (F.size("path") - 1).alias("hops"))
+        one = F.struct("src", F.concat("path", F.array("src")).alias("path"), F.col("classes").bitwiseOR(bit).alias("classes"), F.round(F.col("total") + F.col("confidence"), 6).alias("total"))
+        best = options.groupBy("sink").agg(F.min_by(one, F.struct(-F.col("score"), "src")).alias("x"))
+        walks, new = rounds.write(best.select("sink", F.col("x.src").alias("at"), "x.path", "x.classes", "x.total"), k)
+    last = rounds.all().groupBy("sink").agg(F.max_by(F.struct("path", "classes", "total"), "round").alias("x")).select("sink", "x.*").filter("classes <> 0")
+    hops = F.size("path") - 1
+    primary = F.coalesce(*[F.when(F.col("classes").bitwiseAND(F.lit(1 << n)) != 0, F.lit(c)) for n, c in enumerate(DATA_CLASSES)])
+    confidence = F.greatest(F.lit(0.1), F.least(F.lit(0.99), 0.7 + F.least(F.lit(0.2), 0.05 * F.bit_count("classes")) + 0.1 * F.coalesce(F.col("total") / F.when(hops > 0, hops), F.lit(0.5))))
+    return last.select("sink", F.array_join(F.reverse("path"), "-").alias("path"), hops.alias("hops"), primary.alias("data_class"), half_up(F.round(confidence, 9), 2).alias("confidence"))

@@ -261,6 +261,11 @@ def entropy_scan(lines: DataFrame, keys: list[str]) -> DataFrame:
     return literals.filter(is_leak(F.col("literal"))).select(*keys, "line_no", "literal", char_entropy(F.col("literal")).alias("entropy"), secret_type(F.col("literal")).alias("type"))
 
 
+def entropy_report(leaks: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaks by type: how many, and their mean entropy."""
+    return leaks.groupBy(*keys, "type").agg(F.count("*").alias("n"), half_up(F.round(F.avg("entropy"), 9), 4).alias("mean"))
+
+
 def complexity_snapshot(files: DataFrame) -> DataFrame:
     """Per file: branches, lines, band, and whether it is a god module or large."""
     cc = F.regexp_count("content", F.lit(r"(?i)\b(?:if|else\s+if|for\b|while\b|catch\b|switch|case)\b|&&|\|\||\?")) + 1

@@ -121,11 +121,19 @@ LEAK_SQL = f"""chars AS (SELECT literal, unnest(string_split(literal, '')) AS ch
       AND {_class('[A-Z]')} + {_class('[a-z]')} + {_class('[0-9]')} + {_class(SPECIAL_SQL)} >= 2 AND kinds / n >= 0.35 AND entropy > 4.5 AS leak FROM told)"""
 TYPE_SQL = r"""CASE WHEN regexp_matches(literal, '^[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$') THEN 'jwt' WHEN regexp_matches(literal, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN 'uuid' WHEN regexp_matches(literal, '^[A-Za-z0-9+/]+={0,2}$') AND length(literal) >= 20 THEN 'base64'
       WHEN regexp_matches(literal, '^[0-9a-fA-F]+$') AND length(literal) >= 32 THEN 'hex' WHEN regexp_matches(literal, '^[A-Za-z0-9_-]{20,}$') THEN 'alphanumeric_high_entropy' WHEN regexp_matches(literal, '^sk-[A-Za-z0-9_-]+$') THEN 'openai_key' WHEN regexp_matches(literal, '^ghp_[A-Za-z0-9_-]+$') THEN 'github_token' WHEN regexp_matches(literal, '^AKIA[A-Z0-9]{16}$') THEN 'aws_access_key' ELSE 'unknown' END"""
-Q(
-    "rl_entropy_scan",
-    f"""WITH {CODE_LINES}, said AS (SELECT repo_id, path, line_no, unnest(regexp_extract_all(line, '{LITERAL_SQL}', 1)) AS literal FROM lines), literals AS (SELECT DISTINCT literal FROM said), {LEAK_SQL}
-    SELECT repo_id, path, line_no, literal, entropy, {TYPE_SQL} AS type FROM said JOIN judged USING (literal) WHERE leak""",
-)(lambda d: rules.entropy_scan(_code_lines(d), ["repo_id", "path"]))
+#: Documents, pages, source files and code.
+TEXT_LINES = "lines AS (SELECT repo_id, path, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line FROM (SELECT repo_id, path, string_split(content, chr(10)) AS parts FROM (SELECT * FROM d_all UNION ALL SELECT CAST(repo_id AS VARCHAR(40)), path, content FROM d_code)))"
+
+
+def _leaks(d: Domain):
+    texts = d.everything.unionByName(d.code.withColumn("repo_id", F.col("repo_id").cast("string")))
+    return rules.entropy_scan(code.code_lines(texts, "repo_id", "path"), ["repo_id", "path"])
+
+
+LEAKS_SQL = f"""WITH {TEXT_LINES}, said AS (SELECT repo_id, path, line_no, unnest(regexp_extract_all(line, '{LITERAL_SQL}', 1)) AS literal FROM lines), literals AS (SELECT DISTINCT literal FROM said), {LEAK_SQL},
+    leaks AS (SELECT repo_id, path, line_no, literal, entropy, {TYPE_SQL} AS type FROM said JOIN judged USING (literal) WHERE leak)"""
+Q("rl_entropy_scan", f"{LEAKS_SQL} SELECT * FROM leaks")(_leaks)
+Q("rl_entropy_report", f"{LEAKS_SQL} SELECT repo_id, type, count(*) AS n, floor(round(avg(entropy), 9) * 10000 + 0.5) / 10000 AS mean FROM leaks GROUP BY ALL")(lambda d: rules.entropy_report(_leaks(d), ["repo_id"]))
 CC = "len(regexp_extract_all(content, '(?i)\\b(?:if|else\\s+if|for\\b|while\\b|catch\\b|switch|case)\\b|&&|\\|\\||\\?')) + 1"
 Q(
     "ag_complexity_snapshot",

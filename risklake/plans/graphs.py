@@ -54,15 +54,19 @@ Q(
 )(lambda d: graph.scc(d.edges))
 Q(
     "gr_cycles",
-    """WITH s AS (SELECT DISTINCT src, dst FROM d_edges WHERE src <> dst), m AS (SELECT DISTINCT least(a.src, a.dst) || '-' || greatest(a.src, a.dst) AS members, 2 AS length FROM s a JOIN s b ON a.dst = b.src AND b.dst = a.src
-      UNION SELECT DISTINCT array_to_string(list_sort([a.src, b.src, c.src]), '-'), 3 FROM s a JOIN s b ON a.dst = b.src JOIN s c ON b.dst = c.src AND c.dst = a.src WHERE a.src <> b.src AND b.src <> c.src AND a.src <> c.src)
-    SELECT members, length, CASE length WHEN 2 THEN 'high' ELSE 'medium' END AS severity FROM m""",
-)(lambda d: graph.cycles(d.edges, 3))
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE src <> dst AND type = 'imports'), r AS (SELECT src AS first, dst AS node, [src, dst] AS path FROM s WHERE dst > src UNION ALL SELECT first, dst, list_append(path, dst) FROM r JOIN s ON node = src WHERE dst > first AND NOT list_contains(path, dst)),
+    m AS (SELECT DISTINCT first // 1000 AS graph, list_sort(path) AS members FROM r JOIN s ON node = src AND dst = first), f AS (SELECT graph, count(DISTINCT u) AS affected FROM (SELECT graph, unnest(members) AS u FROM m) GROUP BY graph), c AS (SELECT graph, count(*) AS cycles FROM m GROUP BY graph), n AS (SELECT id // 1000 AS graph, count(*) AS files FROM d_nodes GROUP BY ALL)
+    SELECT graph, array_to_string(members, '-') AS members, len(members) AS length, CASE WHEN len(members) >= 4 THEN 'high' WHEN len(members) = 3 THEN 'medium' ELSE 'low' END AS severity, affected, CAST(least(100, floor(round(100 * affected / files + 5 * cycles, 9) + 0.5)) AS BIGINT) AS risk
+    FROM m JOIN f USING (graph) JOIN c USING (graph) JOIN n USING (graph)""",
+)(
+    lambda d: graph.cycle_report(graph.cycles(d.edges.filter("type = 'imports'")).withColumn("graph", F.floor(F.get("members", F.lit(0)) / 1000)), d.nodes.withColumn("graph", F.floor(F.col("id") / 1000))).withColumn("members", F.array_join("members", "-"))
+)
 Q(
     "gr_hubs",
-    f"""WITH RECURSIVE {PAIRS}, {DEGREE}, n AS (SELECT id FROM deg ORDER BY id LIMIT 50), r AS (SELECT id AS root, id AS node FROM n UNION SELECT root, dst FROM r JOIN p ON node = src), c AS (SELECT node, count(*) AS reach_count FROM r WHERE root <> node GROUP BY node)
-    SELECT id AS node, coalesce(reach_count, 0) AS reach_count, degree FROM deg LEFT JOIN c ON id = node WHERE coalesce(reach_count, 0) >= 3 OR degree >= 5 ORDER BY reach_count DESC NULLS LAST, degree DESC, id LIMIT 10""",
-)(lambda d: graph.hubs(d.edges))
+    f"""WITH RECURSIVE {PAIRS}, {DEGREE}, n AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS k FROM deg) WHERE k <= 50), r AS (SELECT id AS root, id AS node FROM n UNION SELECT root, dst FROM r JOIN p ON node = src), c AS (SELECT node, count(*) AS reach_count FROM r WHERE root <> node GROUP BY node),
+    h AS (SELECT id // 1000 AS graph, id AS node, coalesce(reach_count, 0) AS reach_count, degree FROM deg LEFT JOIN c ON id = node WHERE coalesce(reach_count, 0) >= 3 OR degree >= 5)
+    SELECT graph, node, reach_count, degree FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY reach_count DESC, degree DESC, node) AS k FROM h) WHERE k <= 10""",
+)(lambda d: graph.hubs(d.edges, F.floor(F.col("node") / 1000)))
 Q(
     "gr_resilience",
     f"""WITH {PAIRS}, {DEGREE}, n AS (SELECT count(*) AS nodes, count(*) FILTER (degree IS NULL) AS isolated, count(*) FILTER (degree >= 5) AS hubs FROM (SELECT id AS i FROM d_nodes) LEFT JOIN deg ON i = id),
@@ -82,10 +86,14 @@ def _weighed(d: Domain):
 
 Q(
     "gr_taint_paths",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst, round(0.5 + (src + dst) % 5 / 10, 1) AS c FROM d_edges WHERE src <> dst), r AS (SELECT n AS start, n AS node, [n] AS path, 1.0::DOUBLE AS p FROM (SELECT id AS n FROM d_nodes WHERE id % 10 = 0)
+    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst, round(0.5 + (src + dst) % 5 / 10, 1) AS c FROM d_edges WHERE src <> dst), k AS (SELECT id AS clean FROM d_nodes WHERE id % 10 = 3 UNION SELECT src FROM s WHERE dst % 10 = 3), r AS (SELECT n AS start, n AS node, [n] AS path, 1.0::DOUBLE AS p FROM (SELECT id AS n FROM d_nodes WHERE id % 10 = 0)
       UNION ALL SELECT start, dst, list_append(path, dst), p * c FROM r JOIN s ON node = src WHERE p * c >= 0.3 AND NOT list_contains(path, dst) AND len(path) < 20)
-    SELECT start, node AS sink, array_to_string(path, '-') AS path, floor(round(p * 0.95, 9) * 10000 + 0.5) / 10000 AS confidence FROM r WHERE node % 10 = 5 AND len(path) > 1""",
-)(lambda d: graph.taint_paths(_weighed(d), d.nodes.filter("id % 10 = 0").select(F.col("id").alias("node")), d.nodes.filter("id % 10 = 5").select(F.col("id").alias("node"))))
+    SELECT start, node AS sink, array_to_string(path, '-') AS path, floor(round(p * 0.95, 9) * 10000 + 0.5) / 10000 AS confidence, list_has_any(path, (SELECT list(clean) FROM k)) AS sanitised FROM r WHERE node % 10 = 5 AND len(path) > 1""",
+)(
+    lambda d: graph.taint_paths(
+        _weighed(d), d.nodes.filter("id % 10 = 0").select(F.col("id").alias("node")), d.nodes.filter("id % 10 = 5").select(F.col("id").alias("node")), d.nodes.filter("id % 10 = 3").select(F.col("id").alias("node"))
+    )
+)
 Q(
     "gr_implicit_flow",
     """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'imports'), r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT id AS n FROM d_nodes WHERE id % 1000 IN (5, 15, 25)) UNION SELECT root, src, depth + 1 FROM r JOIN s ON node = dst WHERE depth < 10)
@@ -101,7 +109,8 @@ for _name, _roots_of, _types in (("gr_path_cost", (0, 3, 6), ("calls",)), ("gr_b
     Q(
         _name,
         f"""WITH RECURSIVE {NODES}, s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type IN ({_t})), r AS (SELECT n AS root, n AS node FROM (SELECT id AS n FROM d_nodes WHERE id % 1000 IN ({', '.join(map(str, _roots_of))})) UNION SELECT root, dst FROM r JOIN s ON node = src)
-        SELECT CAST(root AS BIGINT) AS root, count(*) AS reached, CAST(sum(cost) AS BIGINT) AS cost FROM r JOIN nodes ON node = id GROUP BY root""",
+        , k AS (SELECT src, sum(cost) - max(cost) AS saved FROM (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'calls') JOIN nodes ON id = dst GROUP BY src)
+        SELECT CAST(root AS BIGINT) AS root, count(*) AS reached, CAST(sum(cost) AS BIGINT) AS cost, CAST(coalesce(max(saved), 0) AS BIGINT) AS parallelisable FROM r JOIN nodes ON node = id LEFT JOIN k ON k.src = root GROUP BY root""",
     )(lambda d, roots=_roots_of, types=_types: graph.path_cost(_at(d, *roots), d.nodes, d.edges, list(types)))
 Q(
     "gr_branch_depth",
@@ -150,12 +159,27 @@ Q(
     v AS (SELECT DISTINCT r.model, r.src FROM r JOIN bad ON bad.model = r.model AND bad.state = r.dst)
     SELECT s.model, count(v.src) AS violating, count(*) - count(v.src) AS verified, count(v.src) = 0 AS holds FROM st s LEFT JOIN v ON s.model = v.model AND s.state = v.src GROUP BY s.model""",
 )(lambda d: graph.response_property(*_models(d), "1", "9"))
+_CLASS = f"CASE WHEN id % 3 = 0 THEN ({graph.DATA_CLASSES!r})[1 + id * 7 % 10] END".replace("(('", "(['").replace("'))", "'])")
+
+
+def _traced(d: Domain):
+    """Edges with confidences, and nodes with the class of every third and points by number."""
+    edges = d.edges.filter("type IN ('data_flow', 'imports') AND src <> dst").select("src", "dst").distinct().withColumn("confidence", F.round(0.5 + (F.col("src") + F.col("dst")) % 6 / 10, 1))
+    names = F.array(*map(F.lit, graph.DATA_CLASSES))
+    nodes = d.nodes.select("id", F.when(F.col("id") % 3 == 0, F.get(names, (F.col("id") * 7 % 10).cast("int"))).alias("data_class"), F.when(F.col("id") % 5 == 0, 3).when(F.col("id") % 5 == 1, -1).otherwise(0).alias("points"))
+    return edges, nodes
+
+
 Q(
     "gr_provenance",
-    """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'data_flow'), w AS (SELECT id AS sink, id AS here, [id] AS path, 0 AS hops FROM d_nodes WHERE id % 7 = 0
-      UNION ALL SELECT sink, src, list_append(path, src), hops + 1 FROM (SELECT sink, path, hops, src, row_number() OVER (PARTITION BY sink ORDER BY src * 13 % 7 DESC, src) AS k FROM w JOIN s ON here = dst WHERE hops < 15 AND NOT list_contains(path, src)) WHERE k = 1)
-    SELECT sink, array_to_string(list_reverse(path), '-') AS path, hops FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY hops DESC) AS k FROM w) WHERE k = 1""",
-)(lambda d: graph.provenance(d.edges.filter("type = 'data_flow'"), d.nodes.filter("id % 7 = 0").select("id"), d.nodes.select("id", (F.col("id") * 13 % 7).alias("score"))))
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst, round(0.5 + (src + dst) % 6 / 10, 1)::DOUBLE AS c FROM d_edges WHERE type IN ('data_flow', 'imports') AND src <> dst), n AS (SELECT id, {_CLASS} AS class, CASE id % 5 WHEN 0 THEN 3 WHEN 1 THEN -1 ELSE 0 END AS points FROM d_nodes),
+    s AS (SELECT src, dst, c, class, CASE WHEN c > 0.9 THEN 3 WHEN c > 0.7 THEN 2 ELSE 1 END + CASE WHEN class IS NULL THEN 0 ELSE 2 END + points AS score FROM e JOIN n ON id = src),
+    w AS (SELECT id AS sink, id AS here, [id] AS path, 0 AS hops, []::VARCHAR[] AS classes, 0.0::DOUBLE AS total FROM d_nodes WHERE id % 7 = 0
+      UNION ALL SELECT sink, src, list_append(path, src), hops + 1, list_append(classes, class), total + c FROM (SELECT w.*, s.*, row_number() OVER (PARTITION BY sink ORDER BY score DESC, src) AS k FROM w JOIN s ON here = dst WHERE hops < 15 AND NOT list_contains(path, src)) WHERE k = 1),
+    l AS (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY hops DESC) AS k FROM w), x AS (SELECT *, list_filter(classes, lambda c: c IS NOT NULL) AS met FROM l WHERE k = 1)
+    SELECT sink, array_to_string(list_reverse(path), '-') AS path, hops, list_filter({list(graph.DATA_CLASSES)}, lambda c: list_contains(met, c))[1] AS data_class,
+      floor(round(greatest(0.1, least(0.99, 0.7::DOUBLE + least(0.2::DOUBLE, 0.05::DOUBLE * len(list_distinct(met))) + 0.1::DOUBLE * total / hops)), 9) * 100 + 0.5) / 100 AS confidence FROM x WHERE len(met) > 0""",
+)(lambda d: graph.provenance(_traced(d)[0], d.nodes.filter("id % 7 = 0").select("id"), _traced(d)[1]))
 
 # Evidence
 R4 = "floor(round({0}, 9) * 10000 + 0.5) / 10000"
