@@ -1,24 +1,32 @@
 """Line deduplication by pairwise patience alignment.
 
 1. Exact copies of a text are settled first, by its hash: the first document (smallest doc_id) keeps it, all lines of the others go.
-2. Lines with a word, and runs of `min_block` of them, are hashed to keys. For each key a grouped aggregate finds its first
-   document, the first document that has it only once, and the number of documents.
-3. A later document is paired with the first document that has a key only once, so the number of pairs follows the input
-   however many documents share a key; and whatever block a later document shares with any earlier one, each of its runs has a
-   first holder that has the whole run. A pair overlaps if they share a rare line (in at most `rare_docs` documents) or a run.
-4. Each pair is aligned with patience diff over its keys: those unique in both are anchors, the longest increasing sequence of
-   anchors is kept, and each grows up and down over equal neighbours.
-5. Aligned blocks of `min_block` lines, or of `min_chars` characters, are deleted from the later document. A line's first
-   document never loses that line.
-6. Lines that the earlier document repeats are no anchors, but they fill: where shared lines are left beside a block, both
-   documents are compared line by line from the block on.
+2. Lines with a word, and runs of `min_block` of them, are hashed to keys. For each key a grouped aggregate finds its holder, the first
+   document that has it, and the places of the key there.
+3. A later document is paired with the holder of each of its keys. A key leads to one holder however many documents share it, so the
+   number of pairs follows the input and no threshold of rarity is needed; and whatever block a later document shares with any earlier
+   one, each of its runs has a holder that has the whole run.
+4. Copies of a key in a document are numbered. The first copy is aligned with the holder's first, the second with its second, and so on;
+   where the holder has no more, the later document's other copies start again with the holder's first, in an alignment of their own.
+5. Each pair is aligned with patience diff over its numbered keys, which are unique on both sides: the longest increasing sequence of
+   these anchors is kept, and each grows up and down over equal neighbours.
+   Runs of copies that are left are aligned anew, or go with a block that reaches into them.
+6. Aligned blocks of `min_block` lines, or of `min_chars` characters, are deleted from the later document; a line that has as many
+   characters is such a block by itself, in whatever order it stands. A line's holder never loses
+   that line to a document after it.
+7. Copies that are numbered otherwise on both sides fill the blocks: where shared lines are left beside a block, both documents are
+   compared line by line from the block on.
 
 Skew. A frequent key's rows are reduced before they are shuffled (partial aggregates), and the join that brings each
-key its documents is one that Spark splits where a key is skewed. One later document's keys are held at a time.
+key its holder is one that Spark splits where a key is skewed. Of the holder's places a row gets as many as it has itself. One later
+document's keys are held at a time.
 
 Cases. A null or empty text has no lines with words and is never changed. Lines without a word are never compared nor
-deleted on their own. Documents are told apart by doc_id and text; rows that repeat whole are one document and get the
-same result; a null doc_id comes first. An empty table gives no rows. Lines, runs and texts are compared by their 64-bit hashes.
+deleted on their own. A block that stands several times in the earlier or in the later document goes from the later one wherever it
+stands; a document's own repeats stay if no earlier document has them. Blocks in another order than the earlier document's are not all
+aligned: the longest increasing sequence is. Documents are told apart by a 64-bit hash of doc_id and text; rows that repeat whole are one
+document and get the same result; a null doc_id comes first. An empty table gives no rows. Lines, runs and texts are compared
+by hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -36,46 +44,45 @@ from pyspark.sql import types as T
 from risklake.llm.common import settle, settle_as_table, table
 from risklake.llm.wordhash import mix
 
-RARE_DOCS = 50
 MIN_BLOCK = 2
 MIN_CHARS = 80
-#: Lines that a task turns to keys at a time, and an odd number to chain the hashes of a run's lines.
+#: Lines that a task turns to keys at a time, and odd numbers to chain the hashes of a run's lines.
 GROUP_LINES = 200_000
-CHAIN = np.uint64(0x9E3779B97F4A7C15)
+CHAINS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F))
 
 
 def said_lines() -> Column:
-    """Array of the text's lines with a word: place (from 0), line (hash), chars."""
-    placed = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct(k.alias("place"), F.xxhash64(line).alias("line"), F.length(line).alias("chars"), line.rlike(r"[^\x20\x09-\x0D]").alias("said")))
-    return F.transform(F.filter(placed, lambda x: x["said"]), lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["chars"].alias("chars")))
+    """Array of the text's lines with a word: place (from 0), line and check (hashes), chars."""
+    placed = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct(k.alias("place"), line.alias("line"), line.rlike(r"[^\x20\x09-\x0D]").alias("said")))
+    hashed = lambda x: F.struct(x["place"].alias("place"), F.xxhash64(x["line"]).alias("line"), F.xxhash64(F.lit(1), x["line"]).alias("check"), F.length(x["line"]).alias("chars"))
+    return F.transform(F.filter(placed, lambda x: x["said"]), hashed)
 
 
 def _keys(min_block: int, names: list[str]):
-    """Rows doc_id, dkey, weight, lines -> a row per line (kind 0) and per run of min_block lines (kind 1): its key, how often its
-    document has it (times) and, at its first line, rank, place and chars. A document's shares of a key add up to its weight."""
+    """Rows doc_id, dkey, lines -> a row per distinct line (kind 0) and run of min_block lines (kind 1): its key and check, and rank, place and
+    chars of the first line at each of its places."""
 
     def group(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         flat = batch.column("lines").flatten()
-        hashes = pc.struct_field(flat, "line").to_numpy(zero_copy_only=False).view(np.uint64)
+        hashes = [pc.struct_field(flat, c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("line", "check")]
         place, chars = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(np.int32) for c in ("place", "chars"))
         owner = np.repeat(np.arange(len(sizes)), sizes)
         rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        weight = batch.column("weight").to_numpy(zero_copy_only=False)
         for kind, width in enumerate([1, min_block] if min_block > 1 else [1]):
             at = np.flatnonzero(rank + width <= sizes[owner])
             if not len(at):
                 continue
-            key = hashes[at]
+            keys = [h[at] for h in hashes]
             for k in range(1, width):
-                key = mix(key * CHAIN + hashes[at + k])
-            order = np.lexsort((key, owner[at]))
+                keys = [mix(key * chain + h[at + k]) for key, chain, h in zip(keys, CHAINS, hashes, strict=True)]
+            order = np.lexsort((keys[1], keys[0], owner[at]))
+            at, keys = at[order], [key[order] for key in keys]
             new = np.ones(len(at), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (owner[at][order][1:] != owner[at][order][:-1])
-            times = np.empty(len(at), np.int32)
-            times[order] = np.diff([*np.flatnonzero(new), len(at)])[np.cumsum(new) - 1]
-            rows = pa.array(owner[at])
-            made = [pa.array(key.view(np.int64)), pa.array(np.full(len(at), kind, np.int8)), batch.column("doc_id").take(rows), batch.column("dkey").take(rows)]
-            made += [pa.array(weight[owner[at]] / times), pa.array(times), pa.array(rank[at].astype(np.int32)), pa.array(place[at]), pa.array(chars[at])]
+            new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (owner[at][1:] != owner[at][:-1])
+            first = np.flatnonzero(new)
+            rows, offsets = pa.array(owner[at[first]]), pa.array(np.append(first, len(at)), pa.int32())
+            listed = [pa.ListArray.from_arrays(offsets, pa.array(v[at].astype(np.int32))) for v in (rank, place, chars)]
+            made = [pa.array(keys[0][first].view(np.int64)), pa.array(keys[1][first].view(np.int64)), pa.array(np.full(len(first), kind, np.int8)), batch.column("doc_id").take(rows), batch.column("dkey").take(rows), *listed]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,68 +159,97 @@ GONE = T.StructType(
         T.StructField("x", T.IntegerType()),
         T.StructField("step", T.IntegerType()),
         T.StructField("lines", T.ArrayType(T.LongType())),
+        T.StructField("checks", T.ArrayType(T.LongType())),
         T.StructField("places", T.ArrayType(T.IntegerType())),
     ]
 )
 
 
-def _align(min_block: int, min_chars: int, rare_docs: int):
+def _align(min_block: int, min_chars: int):
     """Rows sorted by later -> GONE. Without first: places of the lines to delete. With first: lines left beside a block, from it
     away, with their places; they go as far as they equal those of first from rank x on, in direction step."""
 
-    def document(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-        order = np.lexsort((rows["kind"], rows["rank"]))
-        kind, rank = rows["kind"][order], rows["rank"][order]
-        once = np.ones(len(order), bool)
-        once[1:] = (kind[1:] != kind[:-1]) | (rank[1:] != rank[:-1])
-        rows = {c: v[order][once] for c, v in rows.items()}
-        single = rows["kind"] == 0
-        rank, line, place, chars, docs = (rows[c][single] for c in ("rank", "key", "place", "chars", "docs"))
-        gone = np.zeros(len(rank), bool)
-        meets = np.flatnonzero(rows["met"])
-        meets = meets[np.argsort(rows["first"][meets], kind="stable")]
-        first = rows["first"][meets]
-        cuts = [*np.flatnonzero(np.diff(first, prepend=first[:1] - 1)).tolist(), len(meets)] if len(meets) else [0]
+    def document(keys: dict[str, np.ndarray], own: list[np.ndarray], theirs: list[np.ndarray]) -> Iterator[tuple]:
+        """keys: a row per key; own: rank, place and chars of all its places, one after another, with their number; theirs: the holder's."""
+        (n_own, rank, place, chars), (n_theirs, x) = own, theirs
+        row = np.repeat(np.arange(len(n_own)), n_own)
+        copy = np.arange(len(row)) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+        single = np.flatnonzero(keys["kind"][row] == 0)
+        single = single[np.argsort(rank[single], kind="stable")]
+        line_rank, line, check, line_place, line_chars = rank[single], keys["key"][row][single], keys["check"][row][single], place[single], chars[single]
+        gone = np.zeros(len(single), bool)
+        turn, nth = np.divmod(copy, np.maximum(n_theirs[row], 1))
+        at = x[np.minimum((np.cumsum(n_theirs) - n_theirs)[row] + nth, len(x) - 1)]
+        # A key for each copy, unique on both sides.
+        label = mix(keys["key"][row].view(np.uint64) ^ mix(copy.astype(np.uint64) + keys["kind"][row].astype(np.uint64) * np.uint64(1 << 40)))
+        size = np.where(keys["kind"][row] == 0, 1, min_block)
+        order = np.lexsort((turn, keys["first"][row]))
+        first, turn = keys["first"][row][order], turn[order]
+        cuts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (turn[1:] != turn[:-1])))
         kept = []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            own = meets[i:j]
-            size = np.where(rows["kind"][own] == 0, 1, min_block)
-            blocks = aligned_blocks(rows["key"][own], rows["x"][own], rows["rank"][own], size) if len(own) > 1 else [(int(rows["x"][own[0]]), int(rows["rank"][own[0]]), int(size[0]))]
-            rare = (docs[np.searchsorted(rank, rows["rank"][own])] <= rare_docs).any()
-            overlap = rare or any(n >= min_block for _, _, n in blocks)
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            part = order[i:j]
+            blocks = aligned_blocks(label[part], at[part], rank[part], size[part]) if len(part) > 1 else [(int(at[part[0]]), int(rank[part[0]]), int(size[part[0]]))]
             for _, q, n in blocks:
-                at = int(np.searchsorted(rank, q))
-                if overlap and (n >= min_block or chars[at : at + n].sum() >= min_chars):
-                    gone[at : at + n] = True
+                k = int(np.searchsorted(line_rank, q))
+                if n >= min_block or line_chars[k : k + n].sum() >= min_chars:
+                    gone[k : k + n] = True
             kept.append((int(first[i]), blocks))
-        yield None, 0, 0, line[:0], place[gone]
+        # A long line is a block of its own wherever it stands. Runs that are left around copies: those that an aligned block reaches into go with it, the others are aligned anew.
+        runs = np.flatnonzero(keys["kind"][row] == 1)
+        index = np.searchsorted(line_rank, rank[runs][:, None] + np.arange(min_block)[None, :])
+        copied = ((n_own > 1) | (keys["held"] > 1))[row][single]
+        gone |= line_chars >= min_chars
+        while len(runs):
+            touched = gone[index].any(1)
+            gone[index[touched]] = True
+            runs, index = runs[~touched], index[~touched]
+            if touched.any():
+                continue
+            again = copied[index].any(1)
+            runs, index = runs[again], index[again]
+            for one in np.unique(keys["first"][row[runs]]).tolist():
+                part = runs[keys["first"][row[runs]] == one]
+                blocks = aligned_blocks(label[part], at[part], rank[part], size[part])
+                for _, q, n in blocks:
+                    k = int(np.searchsorted(line_rank, q))
+                    gone[k : k + n] = True
+                kept.append((one, blocks))
+        yield None, 0, 0, line[:0], check[:0], line_place[gone]
         if gone.all():
             return
         for one, blocks in kept:
             for k, (p, q, n) in enumerate(blocks):
                 if n < min_block:
                     continue
-                at = int(np.searchsorted(rank, q))
-                up, down = at, at + n
-                while down < len(rank) and not gone[down] and rank[down] == q + down - at and (k + 1 == len(blocks) or p + down - at < blocks[k + 1][0]):
+                start = int(np.searchsorted(line_rank, q))
+                up, down = start, start + n
+                while down < len(line_rank) and not gone[down] and line_rank[down] == q + down - start and (k + 1 == len(blocks) or p + down - start < blocks[k + 1][0]):
                     down += 1
-                while up > 0 and not gone[up - 1] and rank[up - 1] == q + up - 1 - at and p + up - 1 - at >= (blocks[k - 1][0] + blocks[k - 1][2] if k else 0):
+                while up > 0 and not gone[up - 1] and line_rank[up - 1] == q + up - 1 - start and p + up - 1 - start >= (blocks[k - 1][0] + blocks[k - 1][2] if k else 0):
                     up -= 1
-                if down > at + n:
-                    yield one, p + n, 1, line[at + n : down], place[at + n : down]
-                if up < at:
-                    yield one, p - 1, -1, line[up:at][::-1], place[up:at][::-1]
+                if down > start + n:
+                    yield one, p + n, 1, line[start + n : down], check[start + n : down], line_place[start + n : down]
+                if up < start:
+                    yield one, p - 1, -1, line[up:start][::-1], check[up:start][::-1], line_place[up:start][::-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def work(rows: pa.Table) -> pa.RecordBatch:
-            met = rows.column("first").is_valid().to_numpy()
-            columns = {c: rows.column(c).fill_null(0).to_numpy() for c in rows.column_names} | {"met": met}
-            later = columns.pop("later")
-            cuts = [*np.flatnonzero(np.diff(later, prepend=later[:1] - 1)).tolist(), rows.num_rows]
-            made = [(later[i], *found) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for found in document({c: v[i:j] for c, v in columns.items()})]
-            return pa.RecordBatch.from_arrays([pa.array([row[k] for row in made], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())])], names=GONE.names)
+            keys = {c: rows.column(c).to_numpy() for c in ("later", "first", "kind", "key", "check", "held")}
+            listed = {c: rows.column(c).combine_chunks() for c in ("rank", "place", "chars", "x")}
+            sizes = {c: pc.list_value_length(listed[c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "x")}
+            flat = {c: v.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c, v in listed.items()}
+            ends = {c: np.append(0, np.cumsum(n)) for c, n in sizes.items()}
+            cuts = [*np.flatnonzero(np.diff(keys["later"], prepend=keys["later"][:1] - 1)).tolist(), rows.num_rows]
+            made = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                o, t = slice(*ends["rank"][[i, j]]), slice(*ends["x"][[i, j]])
+                own, theirs = [sizes["rank"][i:j], *(flat[c][o] for c in ("rank", "place", "chars"))], [sizes["x"][i:j], flat["x"][t]]
+                made += [(keys["later"][i], *found) for found in document({c: v[i:j] for c, v in keys.items()}, own, theirs)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([row[k] for row in made], kind) for k, kind in enumerate(kinds)], names=GONE.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -232,35 +268,33 @@ def _align(min_block: int, min_chars: int, rare_docs: int):
     return run
 
 
-def deletions(docs: DataFrame, min_block: int = MIN_BLOCK, min_chars: int = MIN_CHARS, rare_docs: int = RARE_DOCS) -> DataFrame:
+def deletions(docs: DataFrame, min_block: int = MIN_BLOCK, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs(doc_id, text) -> dkey, places (of the lines to delete; null for an exact copy, whose lines go all)."""
-    keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), F.xxhash64("text").alias("tkey"), "text")
-    once = settle(keyed.groupBy("tkey", "doc_id", "dkey").agg(F.count("*").alias("times")))
-    kept = once.groupBy("tkey").agg(F.min(F.struct("doc_id", "dkey", "times")).alias("keeper"), F.count("*").alias("docs"))
-    # Repeated rows of a keeper and its copies count as one document each.
-    kept = settle(kept.select(F.col("keeper.dkey").alias("dkey"), (F.col("docs") / F.col("keeper.times")).alias("weight")))
+    keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), F.xxhash64("text").alias("tkey"), F.xxhash64(F.lit(1), "text").alias("tcheck"), "text")
+    once = settle(keyed.select("tkey", "tcheck", "doc_id", "dkey").distinct())
+    kept = settle(once.groupBy("tkey", "tcheck").agg(F.min(F.struct("doc_id", "dkey")).alias("keeper")).select(F.col("keeper.dkey").alias("dkey")))
     texts = keyed.select("doc_id", "dkey", said_lines().alias("lines")).filter(F.size("lines") > 0)
-    texts = settle_as_table(texts.join(kept.hint("shuffle_hash"), "dkey").select("doc_id", "dkey", "weight", "lines"), "lines")
+    # Rows that repeat whole are one document.
+    texts = texts.join(kept.hint("shuffle_hash"), "dkey").select("doc_id", "dkey", "lines")
+    texts = settle_as_table(texts.dropDuplicates(["dkey"]), "lines")
 
-    names = ["key", "kind", "doc_id", "dkey", "share", "times", "rank", "place", "chars"]
-    types = [T.LongType(), T.ByteType(), docs.schema["doc_id"].dataType, T.LongType(), T.DoubleType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.IntegerType()]
+    names = ["key", "check", "kind", "doc_id", "dkey", "rank", "place", "chars"]
+    types = [T.LongType(), T.LongType(), T.ByteType(), docs.schema["doc_id"].dataType, T.LongType(), *[T.ArrayType(T.IntegerType())] * 3]
     rows = texts.mapInArrow(_keys(min_block, names), T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
-    sole = F.min(F.when(F.col("times") == 1, F.struct("doc_id", "dkey", "rank")))
-    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "dkey")).alias("holder"), sole.alias("sole"), F.round(F.sum("share")).cast("long").alias("docs"), (F.min("dkey") != F.max("dkey")).alias("met"))
+    shared = rows.groupBy("key", "check").agg(F.min(F.struct("doc_id", "dkey", "rank")).alias("holder"), (F.min("dkey") != F.max("dkey")).alias("met"))
     # A table of its own, so that the join's shuffles feed nothing but the join and Spark can split a frequent key.
     shared = settle(shared.filter("met").drop("met"))
-    me = F.struct("doc_id", "dkey")
-    earlier = F.struct(F.col("sole.doc_id").alias("doc_id"), F.col("sole.dkey").alias("dkey")) < me
-    met = rows.select("key", "kind", "doc_id", "dkey", "rank", "place", "chars").join(shared, "key").filter(F.col("holder") < me)
-    met = met.withColumn("first", F.when(F.col("sole").isNotNull() & earlier, F.col("sole.dkey"))).filter(F.col("first").isNotNull() | (F.col("kind") == 0))
-    pairs = met.select(F.col("dkey").alias("later"), "first", F.col("sole.rank").alias("x"), "kind", "rank", "key", "place", "chars", "docs").repartition("later").sortWithinPartitions("later")
-    found = settle_as_table(pairs.mapInArrow(_align(min_block, min_chars, rare_docs), GONE), "blocks")
+    met = rows.join(shared, ["key", "check"]).filter(F.col("holder.dkey") != F.col("dkey"))
+    theirs = F.slice("holder.rank", F.lit(1), F.size("rank"))
+    pairs = met.select(F.col("dkey").alias("later"), F.col("holder.dkey").alias("first"), theirs.alias("x"), F.size("holder.rank").alias("held"), "kind", "rank", "key", "check", "place", "chars").repartition("later").sortWithinPartitions("later")
+    found = settle_as_table(pairs.mapInArrow(_align(min_block, min_chars), GONE), "blocks")
 
     gone = found.filter(F.col("first").isNull() & (F.size("places") > 0)).select("later", "places")
     beside = found.filter(F.col("first").isNotNull())
     if not beside.isEmpty():
-        theirs = texts.select(F.col("dkey").alias("first"), F.col("lines.line").alias("_theirs"))
-        same = F.transform("lines", lambda line, k: F.get("_theirs", F.col("x") + F.col("step") * k).eqNullSafe(line))
+        theirs = texts.select(F.col("dkey").alias("first"), F.col("lines.line").alias("_lines"), F.col("lines.check").alias("_checks"))
+        place = lambda k: F.col("x") + F.col("step") * k
+        same = F.transform("lines", lambda line, k: F.get("_lines", place(k)).eqNullSafe(line) & F.get("_checks", place(k)).eqNullSafe(F.get("checks", k)))
         until = F.array_position(same, False).cast("int")
         fills = beside.join(theirs, "first").select("later", "places", F.when(until == 0, F.size("places")).otherwise(until - 1).alias("n"))
         gone = gone.unionByName(fills.filter("n > 0").select("later", F.slice("places", 1, F.col("n")).alias("places")))
