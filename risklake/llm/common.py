@@ -40,9 +40,20 @@ def settle(df: DataFrame) -> DataFrame:
 
 def settle_as_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage through compressed Parquet in the shared folder: for rows that carry whole texts."""
+    return settle_at(df, name)[0]
+
+
+def settle_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """settle_as_table(), and the folder that it made."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of settle_at() that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

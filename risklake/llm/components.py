@@ -1,7 +1,10 @@
 """Connected components of an edge table, by alternating star contractions on checkpointed tables.
 
 Each round is a few grouped minima and joins; nothing but counts reaches the driver, and no node's neighbours are ever
-collected. Rounds grow with the logarithm of the longest path."""
+collected. Rounds grow with the logarithm of the longest path.
+
+Cases. An edge with a null end, or from a node to itself, links nothing. Repeated edges, in either direction, count once. An
+empty edge table gives no rows; nodes without an edge to another are left to the caller. Other columns are ignored."""
 
 from __future__ import annotations
 

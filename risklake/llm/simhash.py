@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklake.llm.common import settle, table
+from risklake.llm.common import row_key, settle, table
 from risklake.llm.components import components
 
 SHINGLE = 4
@@ -256,12 +256,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: the one whose doc_id is the group's smallest stays."""
+    """docs without all but one document of each group: the one whose doc_id is the group's smallest stays. Of several rows with that doc_id,
+    the smallest text hash stays, and of those with the same text the row with the smallest 128-bit hash over all columns: the same row however
+    the table is dealt out."""
     found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash").distinct()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*row_key(docs)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     same = keyed["doc_id"].eqNullSafe(stay["doc_id"]) & (keyed["text_hash"] == stay["text_hash"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc.*")
+    return keyed.join(stay, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("doc", "key").alias("doc")).select("doc.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,11 @@ def test_deduplicate_keeps_one_of_each_group(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.deduplicate(empty(spark)).count() == 0
+
+
+def test_the_same_row_stays_however_the_table_is_dealt_out(spark):
+    said = "some words that all six rows of this document say alike and nothing else at all"
+    rows = [(1, said, "en", f"s{k}", k) for k in range(6)] + [(1, said, "en", "s3", 3), (2, said + " more", "en", "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {tuple(map(tuple, simhash.deduplicate(docs.orderBy(*order).repartition(n)).filter("doc_id = 1").collect())) for n, order in ((1, ["source"]), (5, ["n_chars"]), (3, ["lang"]), (2, ["doc_id"]))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
