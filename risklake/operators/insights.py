@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklake.functions.scalars import bom_ref, clamp, half_up, normalize_path, purl, route_regex
+from risklake.sources.lineage import stored
 
 #: Ordered keyword rules: OWASP id, keywords, base score; fixed. The first that hits counts.
 OWASP = (
@@ -207,27 +210,64 @@ def pattern_match(sigs: DataFrame, references: DataFrame) -> DataFrame:
     return scored.select("id", half_up(F.col("bad"), 4).alias("bad"), half_up(F.col("clean"), 4).alias("clean"), F.when((F.col("bad") >= 0.7) & (gap > 0), "vulnerable").when(gap < 0, "clean").otherwise("unknown").alias("verdict"))
 
 
+FINDINGS = "rule string, category string, path string, line_no int, severity string"
+
+
 class RuleRegistry:
-    """Rules as functions of the lines' DataFrame, by id and category. A rule that fails to build becomes one info finding."""
+    """Rules by id and category. A rule that fails, when it is built or while it runs, becomes one info finding and takes no other with it.
+
+    A rule is a function of the lines' DataFrame, or of one Arrow batch of lines that says which of them are findings. Rules of the first kind
+    are each written to the shared folder by a job of their own, so that an error in a task is that rule's; those of the second kind run in
+    one pass over the lines, and an error is caught in the task and comes out as a row."""
 
     def __init__(self):
         self._rules: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {}
+        self._masks: dict[str, tuple[str, str, Callable[[pa.RecordBatch], pa.Array]]] = {}
 
     def register(self, rule_id: str, category: str, rule: Callable[[DataFrame], DataFrame]) -> None:
+        """rule(lines) -> path, line_no, severity."""
         self._rules[rule_id] = (category, rule)
 
+    def register_mask(self, rule_id: str, category: str, severity: str, rule: Callable[[pa.RecordBatch], pa.Array]) -> None:
+        """rule(batch of path, line_no, line) -> a boolean for each line."""
+        self._masks[rule_id] = (category, severity, rule)
+
     def run(self, lines: DataFrame, ids: list[str] | None = None, category: str | None = None) -> DataFrame:
-        schema = "rule string, category string, path string, line_no int, severity string"
+        spark = lines.sparkSession
+        asked = lambda rules: {k: r for k, r in rules.items() if (ids is None or k in ids) and (category is None or r[0] == category)}
         parts = []
-        for rule_id, (kind, rule) in self._rules.items():
-            if (ids is not None and rule_id not in ids) or (category is not None and kind != category):
-                continue
+        for rule_id, (kind, rule) in asked(self._rules).items():
             try:
-                found = rule(lines).select(F.lit(rule_id).alias("rule"), F.lit(kind).alias("category"), "path", F.col("line_no").cast("int").alias("line_no"), "severity")
-            except Exception:  # a broken rule must not take the others with it
-                found = lines.sparkSession.createDataFrame([(rule_id, kind, None, None, "info")], schema)
+                found = stored(rule(lines).select(F.lit(rule_id).alias("rule"), F.lit(kind).alias("category"), F.col("path").cast("string").alias("path"), F.col("line_no").cast("int").alias("line_no"), F.col("severity").cast("string").alias("severity")))
+            except Exception:  # whatever it is that breaks one rule
+                found = spark.createDataFrame([(rule_id, kind, None, None, "info")], FINDINGS)
             parts.append(found)
-        return reduce(DataFrame.unionByName, parts) if parts else lines.sparkSession.createDataFrame([], schema)
+        if masks := asked(self._masks):
+            cells = lines.select(F.col("path").cast("string").alias("path"), F.col("line_no").cast("int").alias("line_no"), "line")
+            found = stored(cells.mapInArrow(_masked(masks), f"{FINDINGS}, failed boolean"))
+            failed = found.filter("failed").select("rule", "category").distinct()
+            parts.append(found.filter("NOT failed").join(failed.select("rule"), "rule", "left_anti").select("rule", "category", "path", "line_no", "severity"))
+            parts.append(failed.select("rule", "category", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit("info").alias("severity")))
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FINDINGS)
+
+
+def _masked(rules: dict[str, tuple[str, str, Callable[[pa.RecordBatch], pa.Array]]]):
+    """Each rule over each batch; a rule that raises, or says something else than a boolean for each line, gives a row that says so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rule_id, (category, severity, rule) in rules.items():
+                try:
+                    said = rule(batch)
+                    mask = pc.fill_null((said if isinstance(said, pa.Array) else pa.array(said)).cast(pa.bool_()), False)
+                    hits, failed = batch.filter(mask), False
+                except Exception:
+                    hits, failed = batch.slice(0, 1), True
+                n = hits.num_rows
+                made = [pa.array([rule_id] * n, pa.string()), pa.array([category] * n, pa.string()), hits.column("path"), hits.column("line_no"), pa.array([severity] * n, pa.string()), pa.array([failed] * n, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(made, names=["rule", "category", "path", "line_no", "severity", "failed"])
+
+    return run
 
 
 def group_entropy(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -174,24 +174,38 @@ def orphan_routes(routes: DataFrame, calls: DataFrame) -> DataFrame:
 
 #: Routes under these are internal and never orphans.
 INTERNAL_ROUTES = ("/health", "/metrics", "/internal", "/admin", "/:id")
+GRAM = 3
+
+
+def _grams(path: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(path) - size + 1), lambda at: F.substring(path, at, size)))
+
+
+def within(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """parts(path), wholes(path) -> part, whole: each whole that contains the part.
+
+    Wholes are filed under their runs of GRAM characters, as many as they are long; a part is looked up by the one of its own that fewest wholes
+    have, and what is found is compared. Parts shorter than that are looked up whole among runs of their length."""
+    parts = parts.select(F.col("path").alias("part")).filter(F.length("part") > 0).distinct().withColumn("size", F.least(F.length("part"), F.lit(GRAM)))
+    sizes = F.explode(F.filter(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: n <= F.length("whole"))).alias("size")
+    filed = wholes.select(F.col("path").alias("whole")).distinct().select("whole", sizes).join(F.broadcast(parts.select("size").distinct()), "size")
+    filed = filed.select("size", "whole", F.explode(_grams(F.col("whole"), F.col("size"))).alias("gram"))
+    rare = parts.select("part", "size", F.explode(_grams(F.col("part"), F.col("size"))).alias("gram")).join(filed.groupBy("size", "gram").agg(F.count("*").alias("n")), ["size", "gram"], "left")
+    # A part with a gram that no whole has is in none.
+    rare = rare.groupBy("part", "size").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0).cast("long")), "gram")).alias("gram"))
+    return rare.join(filed, ["size", "gram"]).filter(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
 def orphan_routes_links(routes: DataFrame, links: DataFrame) -> DataFrame:
     """routes(path, ...) whose path no link(path) contains and that contains no link itself; internal routes and paths of one
-    character are left out, empty and null paths meet nothing. All pieces of the paths of one side go by an equi-join to the
-    whole paths of the other, so the work grows with the square of a path's length and never with the number of pairs."""
-    said = lambda df: df.select("path").filter(F.length("path") > 0).distinct()
-    place = F.sequence(F.lit(1), F.length("path"))
-    heads = F.transform(place, lambda a: F.transform(F.sequence(a, F.length("path")), lambda b: F.substring(F.col("path"), a, b - a + 1)))
-    pieces = lambda df: df.select("path", F.explode(F.array_distinct(F.flatten(heads))).alias("piece"))
+    character are left out, empty and null paths meet nothing."""
     internal = F.lit(False)
     for prefix in INTERNAL_ROUTES:
         internal |= F.col("path").startswith(prefix)
     asked = routes.filter((F.length("path") > 1) & ~internal)
-    every, linked = said(asked), said(links)
-    within = pieces(linked).select(F.col("piece").alias("path")).distinct()
-    around = pieces(every).join(linked.withColumnRenamed("path", "piece"), "piece", "left_semi").select("path").distinct()
-    return asked.join(within, "path", "left_anti").join(around, "path", "left_anti").select(*routes.columns)
+    paths = asked.select("path").distinct()
+    met = within(paths, links).select(F.col("part").alias("path")).unionByName(within(links, paths).select(F.col("whole").alias("path")))
+    return asked.join(met.distinct(), "path", "left_anti").select(*routes.columns)
 
 
 def unused_deps(deps: DataFrame, imports: DataFrame, build_tools: str) -> DataFrame:

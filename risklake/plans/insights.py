@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from risklake.functions import scalars as fn
@@ -218,13 +219,24 @@ def _registry(d: Domain):
     registry = insights.RuleRegistry()
     registry.register("eval", "injection", lambda lines: lines.filter(F.col("line").rlike(r"^if .*\beval\(")).withColumn("severity", F.lit("critical")))
     registry.register("password", "secrets", lambda lines: lines.filter(F.col("line").contains("password")).withColumn("severity", F.lit("high")))
-    registry.register("broken", "injection", lambda lines: lines.select("no_such_column"))
-    return registry.run(_code_lines(d), ids=["eval", "password", "broken"])
+    registry.register("unbuilt", "injection", lambda lines: lines.select("no_such_column"))
+    registry.register("broken", "injection", lambda lines: lines.withColumn("severity", F.raise_error(F.concat(F.lit("at "), "path")).cast("string")))
+    return registry.run(_code_lines(d))
 
 
-REGISTRY_SQL = f"""WITH {CODE_LINES} SELECT 'eval' AS rule, 'injection' AS category, path, line_no, 'critical' AS severity FROM lines WHERE regexp_matches(line, '^if .*\\beval\\(') UNION ALL SELECT 'password', 'secrets', path, line_no, 'high' FROM lines WHERE contains(line, 'password') UNION ALL SELECT 'broken', 'injection', NULL, NULL, 'info'"""
-for _name in ("rl_registry", "udf_rule_registry"):
-    Q(_name, REGISTRY_SQL)(_registry)
+def _mask_registry(d: Domain):
+    registry = insights.RuleRegistry()
+    registry.register_mask("eval", "injection", "critical", lambda lines: pc.match_substring_regex(lines.column("line"), r"^if .*\beval\("))
+    registry.register_mask("password", "secrets", "high", lambda lines: pc.match_substring(lines.column("line"), "password"))
+    registry.register_mask("unbuilt", "injection", "high", lambda lines: lines.column("no_such_column"))
+    registry.register_mask("broken", "injection", "high", lambda lines: [len(x) // (len(x) - len(x)) > 0 for x in lines.column("line").to_pylist()])
+    return registry.run(_code_lines(d))
+
+
+REGISTRY_SQL = f"""WITH {CODE_LINES} SELECT 'eval' AS rule, 'injection' AS category, path, line_no, 'critical' AS severity FROM lines WHERE regexp_matches(line, '^if .*\\beval\\(') UNION ALL SELECT 'password', 'secrets', path, line_no, 'high' FROM lines WHERE contains(line, 'password')
+    UNION ALL SELECT unnest(['unbuilt', 'broken']), 'injection', NULL, NULL, 'info'"""
+Q("rl_registry", REGISTRY_SQL)(_registry)
+Q("udf_rule_registry", REGISTRY_SQL)(_mask_registry)
 Q(
     "udaf_shannon",
     "WITH c AS (SELECT agent_name, title, count(*) AS n FROM d_issues GROUP BY ALL), p AS (SELECT agent_name, n / sum(n) OVER (PARTITION BY agent_name) AS p FROM c) SELECT agent_name, floor(round(-sum(p * log2(p)), 9) * 10000 + 0.5) / 10000 AS entropy FROM p GROUP BY agent_name",
