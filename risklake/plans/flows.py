@@ -26,21 +26,38 @@ def _replayed(stream, mode: str):
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else c for c, kind in out.dtypes])
 
 
-Q("st_progress_latest", "SELECT scan_id, last(route ORDER BY ts, event_id) AS phase, max(ts) AS seen, count(*) AS events FROM d_traffic GROUP BY scan_id")(lambda d: _replayed(st.progress_latest(_traffic(d)), "complete"))
+def _newest(rows, key: str, by: str):
+    """What update mode has written last of each key: the row that counts the most."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), by).alias("x")).select(key, "x.*").select(*rows.columns)
+
+
+Q("st_progress_latest", "SELECT scan_id, last(route ORDER BY ts, event_id) AS phase, max(ts) AS seen, count(*) AS events FROM d_traffic GROUP BY scan_id")(
+    lambda d: _newest(_replayed(st.progress_latest(_traffic(d)), "update"), "scan_id", "events")
+)
 Q("st_owner_feed", "SELECT event_id, ts, scan_id, name AS subscriber, route FROM d_traffic JOIN d_users ON scan_id = id")(
     lambda d: _replayed(st.owner_feed(_traffic(d), d.users.select(F.col("id").alias("scan_id"), F.col("name").alias("subscriber"))), "append")
 )
-Q("st_rate_windows", "SELECT scan_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM d_traffic GROUP BY ALL HAVING count(*) > 3")(lambda d: _replayed(st.rate_violations(_traffic(d), 3, "12 hours"), "complete"))
-Q("st_lifecycle_counts", "SELECT route, count(*) AS n FROM d_traffic GROUP BY route")(lambda d: _replayed(st.lifecycle(_traffic(d)), "complete"))
+#: The four limits at the pace of the events table: name, route (none: every one), minutes, most.
+LIMITS = (("global", None, 720, 3), ("auth", "click", 1440, 2), ("scans", "view", 2880, 2), ("otp", "error", 600, 1))
+_limits = ", ".join(f"('{n}', {'NULL' if r is None else repr(r)}, {m}, {k})" for n, r, m, k in LIMITS)
+Q(
+    "st_rate_windows",
+    f"""WITH RECURSIVE l(name, route, minutes, most) AS (VALUES {_limits}), done AS (SELECT max(ts) - INTERVAL 10 MINUTE AS until FROM d_traffic),
+    e AS (SELECT name, minutes, most, scan_id, ts, count(*) AS n FROM d_traffic t JOIN l ON l.route IS NULL OR l.route = t.route GROUP BY ALL),
+    w AS (SELECT a.name, a.most, a.scan_id, a.ts AS start, a.ts + to_minutes(CAST(a.minutes AS BIGINT)) AS upto, min(b.ts) AS next FROM e a LEFT JOIN e b ON b.name = a.name AND b.scan_id = a.scan_id AND b.ts >= a.ts + to_minutes(CAST(a.minutes AS BIGINT)) GROUP BY ALL),
+    f AS (SELECT name, scan_id, min(ts) AS start FROM e GROUP BY ALL), r AS (SELECT w.* FROM f JOIN w USING (name, scan_id, start) UNION ALL SELECT w.* FROM r JOIN w ON w.name = r.name AND w.scan_id = r.scan_id AND w.start = r.next)
+    SELECT r.name AS "limit", r.scan_id, r.start, CAST(sum(e.n) AS BIGINT) AS n FROM r JOIN e ON e.name = r.name AND e.scan_id = r.scan_id AND e.ts >= r.start AND e.ts < r.upto, done WHERE r.upto <= until GROUP BY r.name, r.scan_id, r.start, r.most HAVING sum(e.n) > r.most""",
+)(lambda d: _replayed(st.rate_violations(_traffic(d), d.spark.createDataFrame(list(LIMITS), "limit string, route string, minutes int, most int")), "append"))
+Q("st_lifecycle_counts", "SELECT route, count(*) AS n FROM d_traffic GROUP BY route")(lambda d: _newest(_replayed(st.lifecycle(_traffic(d)), "update"), "route", "n"))
 Q(
     "st_session_gap",
     """WITH x AS (SELECT scan_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY scan_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM d_traffic), y AS (SELECT *, sum(new) OVER (PARTITION BY scan_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
-    SELECT scan_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM y GROUP BY scan_id, k""",
-)(lambda d: _replayed(st.sessions(_traffic(d)), "complete"))
+    SELECT scan_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM y GROUP BY scan_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM d_traffic)""",
+)(lambda d: _replayed(st.sessions(_traffic(d)), "append"))
 Q(
     "st_sliding_errors",
-    """WITH b AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOUR AS start, status_code FROM d_traffic, (SELECT unnest(range(3)) AS k)) SELECT start, count(*) AS n, floor(avg((status_code >= 500)::INT) * 10000 + 0.5) / 10000 AS error_rate FROM b GROUP BY start""",
-)(lambda d: _replayed(st.sliding_errors(_traffic(d)), "complete"))
+    """WITH b AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOUR AS start, status_code FROM d_traffic, (SELECT unnest(range(3)) AS k)) SELECT start, count(*) AS n, floor(avg((status_code >= 500)::INT) * 10000 + 0.5) / 10000 AS error_rate FROM b GROUP BY start HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM d_traffic)""",
+)(lambda d: _replayed(st.sliding_errors(_traffic(d)), "append"))
 Q(
     "st_traffic_health",
     """WITH x AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY route) AS seen FROM d_traffic)

@@ -55,10 +55,84 @@ def owner_feed(stream: DataFrame, owners: DataFrame) -> DataFrame:
     return stream.join(owners, "scan_id").select("event_id", "ts", "scan_id", "subscriber", "route")
 
 
-def rate_violations(stream: DataFrame, limit: int, window: str, late: str = "10 minutes") -> DataFrame:
-    """Keys with more than `limit` events in a tumbling window; windows are aligned to the clock."""
-    counted = stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "scan_id").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") > limit).select("scan_id", F.col("w.start").alias("start"), "n")
+#: Request limits: name, minutes of a window, most requests in it; fixed.
+LIMITS = (("global", 15, 200), ("auth", 15, 20), ("scans", 60, 30), ("otp", 10, 5))
+
+
+class FirstHit(StatefulProcessor):
+    """Windows that open at a key's first event and last `width`; those with more than `most` events come out when they close.
+
+    Events wait in state until the watermark has passed them, so that they are counted in order of time whatever order they come in; a
+    timer is set to the first that waits, or to the end of the open window. A key whose window has closed and that has nothing waiting
+    has no state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start long, n long, width long, most long")
+        self.waiting = handle.getListState("waiting", "at long")
+
+    def _wake(self, at: int) -> None:
+        """A timer at a time in microseconds, the only one of the key."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            times = [int(t.value // 1000) for t in batch["ts"]]
+            self.waiting.appendList([(t,) for t in times])
+            first = min([*times, first] if first is not None else times)
+            width, most = int(batch["width"].iloc[0]), int(batch["most"].iloc[0])
+        waiting = min(t[0] for t in self.waiting.get())
+        if not self.open.exists():
+            self.open.update((-1, 0, width, most))
+        start, _, width, _ = self.open.get()
+        self._wake(min(waiting, start + width) if start >= 0 else waiting)
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        times = sorted(t[0] for t in self.waiting.get()) if self.waiting.exists() else []
+        start, n, width, most = self.open.get()
+        closed = []
+        for at in [t for t in times if t <= passed]:
+            if start >= 0 and at < start + width:
+                n += 1
+                continue
+            if start >= 0 and n > most:
+                closed.append((start, n))
+            start, n = at, 1
+        later = [t for t in times if t > passed]
+        if start >= 0 and start + width <= passed:
+            if n > most:
+                closed.append((start, n))
+            start, n = -1, 0
+        if later:
+            self.waiting.put([(t,) for t in later])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if later or start >= 0:
+            self.open.update((start, n, width, most))
+            self._wake(min([*later[:1], *([start + width] if start >= 0 else [])]))
+        else:
+            self.open.clear()
+        yield self._rows(key, closed)
+
+    @staticmethod
+    def _rows(key, closed: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"limit": pd.Series([key[0]] * len(closed), dtype=object), "scan_id": pd.Series([int(key[1])] * len(closed), dtype="int64"), "start": pd.to_datetime([s for s, _ in closed], unit="us"), "n": pd.Series([n for _, n in closed], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_violations(stream: DataFrame, limits: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """limits(limit, route or null for every route, minutes, most): a small table. Keys with more events of a limit's route in a window than
+    it allows; windows open at a key's first event, come out once, and leave no state."""
+    asked = F.broadcast(limits.select("limit", F.col("route").alias("_route"), (F.col("minutes").cast("long") * 60_000_000).alias("width"), F.col("most").cast("long").alias("most")))
+    met = stream.withWatermark("ts", late).join(asked, F.col("_route").isNull() | (F.col("_route") == F.col("route"))).select("limit", "scan_id", "ts", "width", "most")
+    return met.groupBy("limit", "scan_id").transformWithStateInPandas(statefulProcessor=FirstHit(), outputStructType="limit string, scan_id long, start timestamp, n long", outputMode="append", timeMode="eventTime")
 
 
 def lifecycle(stream: DataFrame) -> DataFrame:

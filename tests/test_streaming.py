@@ -33,3 +33,42 @@ def test_replay_of_nothing(spark, tmp_path):
     source = stream(spark, str(tmp_path / "in"), 0)
     assert st.replay(source.select("route", "n"), "append").count() == 0
     assert st.replay(st.lifecycle(source), "complete").count() == 0
+
+
+def first_hits(events, limits, until):
+    """events(key, minute, route), limits(name, route, minutes, most): windows from a key's first event on that close by `until`."""
+    out = []
+    for name, route, minutes, most in limits:
+        for key in {k for k, *_ in events}:
+            times, start, n = sorted(t for k, t, r in events if k == key and route in (None, r)), None, 0
+            for t in [*times, 10**9]:
+                if start is not None and t >= start + minutes:
+                    if n > most and start + minutes <= until:
+                        out.append((name, key, start, n))
+                    start = None
+                if start is None:
+                    start, n = t, 0
+                n += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("per_batch", [1, 3, 50])
+def test_windows_open_at_the_first_hit_in_whatever_order_events_come(spark, tmp_path, per_batch):
+    import random
+
+    rng = random.Random(6)
+    events = [(k, rng.randrange(0, 400), rng.choice(["login", "scan"])) for k in (1, 2, 3) for _ in range(60)]
+    events.sort(key=lambda e: e[1] + rng.randrange(0, 25))
+    schema = "scan_id long, minute long, route string"
+    for k in range(0, len(events), 40):
+        part = spark.createDataFrame(events[k : k + 40], schema)
+        part.select("scan_id", F.timestamp_seconds(F.col("minute") * 60).alias("ts"), "route").coalesce(1).write.parquet(str(tmp_path / f"in/{k:04d}"))
+    limits = [("global", None, 30, 4), ("auth", "login", 60, 3)]
+    source = spark.readStream.schema("scan_id long, ts timestamp, route string").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = st.replay(st.rate_violations(source, spark.createDataFrame(limits, "limit string, route string, minutes int, most int"), "60 minutes"), "append")
+    got = sorted((r["limit"], r["scan_id"], int(r["start"].timestamp()) // 60, r["n"]) for r in out.collect())
+    assert got == first_hits(events, limits, max(t for _, t, _ in events) - 60) and got
+
+
+def test_the_four_limits():
+    assert st.LIMITS == (("global", 15, 200), ("auth", 15, 20), ("scans", 60, 30), ("otp", 10, 5))
