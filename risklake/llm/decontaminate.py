@@ -29,6 +29,8 @@ from risklake.llm.wordhash import Words, alphanumeric_table, text_groups, window
 
 WINDOW = 10
 PART_BYTES = 4_000_000
+#: Text that a task scans at a time: some fifty times as much memory.
+SCAN_BYTES = 1_000_000
 FILTER_BITS = 22
 #: All parts together; beyond it the windows are joined.
 BROADCAST_BYTES = 64_000_000
@@ -52,7 +54,7 @@ class Index:
                 n = min(window, b - a)
                 for at, h in enumerate(window_hashes(hashes[a:b], n).tolist() if n else ()):
                     found[n][h].append((first + k, words.joined(a + at, a + at + n)))
-        self.lengths = {}
+        self.lengths, self.near = {}, {}
         for n, by_hash in found.items():
             keys = np.array(sorted(by_hash), np.uint64)
             self.lengths[int(n)] = (keys, [by_hash[h] for h in keys.tolist()])
@@ -65,9 +67,11 @@ class Index:
             rolled = window_hashes(hashes, n)
             if not len(rolled):
                 continue
-            near = np.zeros(1 << FILTER_BITS, bool)
-            near[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            places = np.flatnonzero(near[(rolled >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            if n not in self.near:
+                # Made where it is used, once for all texts of a task's process.
+                self.near[n] = np.zeros(1 << FILTER_BITS, bool)
+                self.near[n][(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            places = np.flatnonzero(self.near[n][(rolled >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             places = places[owner[places] == owner[places + n - 1]]
             found = np.minimum(np.searchsorted(keys, rolled[places]), len(keys) - 1)
             same = keys[found] == rolled[places]
@@ -116,7 +120,7 @@ def _scan(docs: DataFrame, part) -> tuple[DataFrame, list[str]]:
             n_words = np.zeros(batch.num_rows, np.int64)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[list] = [[] for _ in range(batch.num_rows)]
-            for first, last, words in text_groups(batch.column(batch.schema.get_field_index("text")), tokens):
+            for first, last, words in text_groups(batch.column(batch.schema.get_field_index("text")), tokens, SCAN_BYTES):
                 n_words[first:last] = np.diff(words.docs)
                 starts, sizes, named = index.hits(words)
                 docs_hit = np.searchsorted(words.docs, starts, side="right") - 1

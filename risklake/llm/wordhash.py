@@ -123,8 +123,8 @@ def window_hashes(hashes: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarr
     return mix((total[n:] - total[:last]) * down[:last] + np.uint64(n))
 
 
-def text_groups(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, Words]]:
-    """Slices of a batch's texts of about GROUP_BYTES, as first row, last row + 1 and their Words; nulls are empty."""
+def text_groups(texts: pa.Array, table: np.ndarray, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """Slices of a batch's texts of about group_bytes, as first row, last row + 1 and their Words; nulls are empty."""
     if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
         texts = pc.fill_null(texts, b"")
     else:
@@ -137,6 +137,6 @@ def text_groups(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int,
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, side="right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + group_bytes, side="right")) - 1)
         yield at, upto, Words(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at], table)
         at = upto
