@@ -182,13 +182,31 @@ def boundary_match(calls: DataFrame, routes: DataFrame, least: int = 30) -> Data
     return best.groupBy("call_id").agg(F.min_by(F.struct("route_id", "score"), F.struct(-F.col("score"), "route_id")).alias("x")).select("call_id", "x.*")
 
 
-def genome(files: DataFrame, edges_entropy: DataFrame) -> DataFrame:
-    """Mean complexity per repository and the mutation rate with the graph's entropy; decay class."""
+#: Phrases of boilerplate; fixed.
+BOILERPLATE = ("const handle = async", "if (!res.ok) throw", "export default function Page", "className=\"flex flex-col", "try { await db", "return NextResponse.json", "const [isLoading, setIsLoading]")
+
+
+def topology(degrees: DataFrame) -> DataFrame:
+    """degrees(out_degree) -> topology: 16 hex digits over how many nodes have each number of dependencies, so that neither order nor ids count
+    and what is gathered is a row per distinct number."""
+    counted = degrees.groupBy("out_degree").agg(F.count("*").alias("n"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("out_degree", "n"))), lambda x: F.concat_ws(":", x["out_degree"].cast("string"), x["n"].cast("string"))), "|")
+    return counted.agg(F.substring(F.sha2(F.coalesce(said, F.lit("")), 256), 1, 16).alias("topology"))
+
+
+def genome(files: DataFrame, edges_entropy: DataFrame, shape: DataFrame, phrases: tuple[str, ...] = BOILERPLATE) -> DataFrame:
+    """Per repository: mean complexity, the share of boilerplate (phrases for every 50 characters, times 10), the mutation rate of both and the graph's
+    entropy, decay class and days left. entropy and shape are of one row."""
     cc = F.regexp_count("content", F.lit(r"if|for|while|switch|catch|&&|\|\||\?")) + 1
-    per = files.groupBy("repo_id").agg(F.avg(cc).alias("_mean"))
-    rate = F.least(F.lit(1.0), F.col("_mean") / 15) * 0.35 + F.col("entropy") * 0.45
-    out = per.crossJoin(F.broadcast(edges_entropy.select("entropy"))).withColumn("_rate", F.round(rate, 9))
-    return out.select("repo_id", half_up(F.round("_mean", 9), 2).alias("mean_complexity"), half_up(F.col("_rate"), 4).alias("mutation"), F.when(F.col("_rate") > 0.75, "critical_decay").when(F.col("_rate") > 0.45, "degrading").otherwise("stable").alias("decay"))
+    length = F.length("content")
+    hits = sum(((length - F.length(F.replace("content", F.lit(p), F.lit("")))) / len(p) for p in phrases), F.lit(0.0))
+    per = files.groupBy("repo_id").agg(F.avg(cc).alias("_mean"), F.sum(hits).alias("_hits"), F.sum(length).alias("_chars"))
+    share = F.coalesce(F.least(F.lit(1.0), 10 * F.col("_hits") / F.when(F.col("_chars") > 0, F.col("_chars") / 50)), F.lit(0.0))
+    rate = F.round(F.least(F.lit(1.0), F.col("_mean") / 15) * 0.35 + F.col("entropy") * 0.45 + share * 0.2, 9)
+    out = per.crossJoin(F.broadcast(edges_entropy.select("entropy"))).crossJoin(F.broadcast(shape)).withColumn("_share", share).withColumn("_rate", rate)
+    left = F.when(F.col("_rate") > 0.75, F.greatest(F.lit(7), F.floor(30 * (1 - F.col("_rate"))))).when(F.col("_rate") > 0.45, F.greatest(F.lit(30), F.floor(180 * (1 - F.col("_rate"))))).otherwise(365)
+    decay = F.when(F.col("_rate") > 0.75, "critical_decay").when(F.col("_rate") > 0.45, "degrading").otherwise("stable")
+    return out.select("repo_id", half_up(F.round("_mean", 9), 2).alias("mean_complexity"), half_up(F.round("_share", 9), 4).alias("boilerplate"), half_up(F.col("_rate"), 4).alias("mutation"), decay.alias("decay"), left.cast("long").alias("days_left"), "topology")
 
 
 def pair_features(nodes: DataFrame, most: int = 128) -> DataFrame:

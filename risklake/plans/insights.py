@@ -148,12 +148,16 @@ Q(
     f"""WITH x AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS p, (ln(o_totalprice / 200000.0::DOUBLE) + (0.05 + 0.4 * 0.4 / 2) * 0.25) / (0.4 * sqrt(0.25)) AS d1 FROM orders), y AS (SELECT *, d1 - 0.4 * sqrt(0.25) AS d2 FROM x)
     SELECT id, round(p * ({_ncdf('d1')}) - 200000 * exp(-0.05 * 0.25::DOUBLE) * ({_ncdf('d2')}), 3) AS value FROM y""",
 )(lambda d: d.table("orders").select(F.col("o_orderkey").alias("id"), F.round(fn.option_value(F.col("o_totalprice").cast("double"), F.lit(200000.0), 0.25, 0.05, 0.4), 3).alias("value")))
+PHRASES = (*insights.BOILERPLATE, "const h = createHash", "return fallback;")
+_hits = " + ".join(f"(length(content) - length(replace(content, '{p}', ''))) / {len(p)}" for p in PHRASES)
 Q(
     "gr_genome",
     f"""WITH {PAIRS}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM p UNION ALL SELECT dst FROM p) GROUP BY id), t AS (SELECT degree / sum(degree) OVER () AS q FROM deg), h AS (SELECT floor(round(-sum(q * log2(q)) / log2(count(*)), 9) * 10000 + 0.5) / 10000 AS e FROM t),
-    m AS (SELECT repo_id, avg(len(regexp_extract_all(content, 'if|for|while|switch|catch|&&|\\|\\||\\?')) + 1) AS a FROM d_files GROUP BY repo_id), r AS (SELECT repo_id, a, round(least(1.0, a / 15) * 0.35 + e * 0.45, 9) AS x FROM m, h)
-    SELECT repo_id, floor(round(a, 9) * 100 + 0.5) / 100 AS mean_complexity, floor(x * 10000 + 0.5) / 10000 AS mutation, CASE WHEN x > 0.75 THEN 'critical_decay' WHEN x > 0.45 THEN 'degrading' ELSE 'stable' END AS decay FROM r""",
-)(lambda d: insights.genome(d.files, graph.degree_entropy(d.edges)))
+    o AS (SELECT k, count(*) AS n FROM (SELECT id, count(src) AS k FROM (SELECT id FROM deg) LEFT JOIN p ON src = id GROUP BY id) GROUP BY k), s AS (SELECT sha256(string_agg(k || ':' || n, '|' ORDER BY k))[1:16] AS topology FROM o),
+    m AS (SELECT repo_id, avg(len(regexp_extract_all(content, 'if|for|while|switch|catch|&&|\\|\\||\\?')) + 1) AS a, coalesce(least(1.0::DOUBLE, 10 * sum({_hits}) / nullif(sum(length(content)) / 50, 0)), 0) AS b FROM d_all GROUP BY repo_id), r AS (SELECT repo_id, a, b, topology, round(least(1.0, a / 15) * 0.35 + e * 0.45 + b * 0.2, 9) AS x FROM m, h, s)
+    SELECT repo_id, floor(round(a, 9) * 100 + 0.5) / 100 AS mean_complexity, floor(round(b, 9) * 10000 + 0.5) / 10000 AS boilerplate, floor(x * 10000 + 0.5) / 10000 AS mutation, CASE WHEN x > 0.75 THEN 'critical_decay' WHEN x > 0.45 THEN 'degrading' ELSE 'stable' END AS decay,
+      CAST(CASE WHEN x > 0.75 THEN greatest(7, floor(30 * (1 - x))) WHEN x > 0.45 THEN greatest(30, floor(180 * (1 - x))) ELSE 365 END AS BIGINT) AS days_left, topology FROM r""",
+)(lambda d: insights.genome(d.everything, graph.degree_entropy(d.edges), insights.topology(graph.degree(d.edges.select("src", "dst").distinct())), PHRASES))
 
 
 def _reach(d: Domain, types: list[str]):

@@ -50,3 +50,13 @@ def test_containment_by_rare_grams_equals_all_pairs(spark):
 def test_index_rows_follow_the_length_of_a_path(spark):
     frame = spark.createDataFrame([("/" + "abcdefghij" * 40,)], "path string")
     assert frame.select(F.explode(joins._grams(F.col("path"), F.lit(3)))).count() <= 401
+
+
+def test_genome_counts_phrases_and_the_topology_is_of_degrees_alone(spark):
+    files = spark.createDataFrame([("a", "if (x) " + "try { await db " * 2 + "y" * 300), ("a", None), ("b", ""), ("c", "plain" * 20)], "repo_id string, content string")
+    entropy = spark.createDataFrame([(0.5,)], "entropy double")
+    degrees = lambda rows: insights.topology(spark.createDataFrame([(k,) for k in rows], "out_degree long"))
+    got = {r["repo_id"]: r for r in insights.genome(files, entropy, degrees([1, 2, 2])).collect()}
+    assert got["a"]["boilerplate"] == 1.0 and got["b"]["boilerplate"] == got["c"]["boilerplate"] == 0.0 and got["a"]["decay"] == "degrading" and got["c"]["days_left"] == 365
+    one = lambda df: df.first()["topology"]
+    assert one(degrees([2, 1, 2])) == one(degrees([1, 2, 2])) != one(degrees([1, 1, 2])) and len(one(degrees([]))) == 16
