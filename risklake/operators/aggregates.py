@@ -189,15 +189,22 @@ def compliance_scores(findings: DataFrame) -> DataFrame:
     return scored.withColumn("overall", half_up(F.round(sum((F.col(f.lower()) for f in FACTOR), F.lit(0.0)) / len(FACTOR), 6), 2))
 
 
-def package_rollup(matches: DataFrame) -> DataFrame:
-    """Per repository and package: advisories, worst score, highest fixed version (as versions order)."""
+def package_rollup(matches: DataFrame, deps: DataFrame) -> DataFrame:
+    """Per repository and package: advisories, worst score, highest fixed version (as versions order); and of the repository: packages, vulnerable
+    ones by severity, and the advisory with the highest score (the smallest name on ties)."""
     worst = F.max("cvss")
-    return matches.groupBy("repo_id", "name").agg(
+    severity = lambda x: F.when(x >= 9, "critical").when(x >= 7, "high").when(x >= 4, "medium").otherwise("low")
+    rows = matches.groupBy("repo_id", "name").agg(
         F.concat_ws(",", F.array_sort(F.collect_set("cve"))).alias("cves"),
         worst.alias("max_cvss"),
-        F.when(worst >= 9, "critical").when(worst >= 7, "high").when(worst >= 4, "medium").otherwise("low").alias("worst"),
+        severity(worst).alias("worst"),
         F.max_by("fixed", semver(F.col("fixed"))).alias("fix_version"),
+        F.min(F.struct((-F.col("cvss")).alias("less"), "cve")).alias("_top"),
     )
+    total = deps.groupBy("repo_id").agg(F.count_distinct("name").alias("packages"))
+    repo = rows.groupBy("repo_id").agg(F.count("*").alias("vulnerable"), *[F.count_if(F.col("worst") == k).alias(k) for k in ("critical", "high", "medium")], F.min("_top").alias("_top"))
+    repo = repo.join(total, "repo_id").select("repo_id", "packages", "vulnerable", "critical", "high", "medium", F.col("_top.cve").alias("top_cve"))
+    return rows.drop("_top").join(repo, "repo_id")
 
 
 def decay(age_days: Column, deprecated: Column) -> Column:
@@ -205,10 +212,21 @@ def decay(age_days: Column, deprecated: Column) -> Column:
 
 
 def dep_health(packages: DataFrame) -> DataFrame:
-    """packages(repo_id, age_days, deprecated, maintainers): mean decay, freshness and maintainer risk."""
-    scored = packages.withColumn("decay", decay(F.col("age_days"), F.col("deprecated")))
-    means = scored.groupBy("repo_id").agg(F.avg("decay").alias("_decay"), F.avg(F.when(F.col("maintainers") <= 1, 1.0).otherwise(0.0)).alias("_risk"), F.count("*").alias("packages"))
-    return means.select("repo_id", "packages", half_up(F.col("_decay"), 4).alias("mean_decay"), half_up((1 - F.col("_decay")) * 100).alias("freshness"), half_up(F.col("_risk") * 100).alias("maintainer_risk"))
+    """packages(repo_id, age_days, deprecated, maintainers, vulnerabilities, reachable): by repository mean decay, age and maintainers, packages by
+    severity, freshness, maintainer and supply chain risk, and the overall score."""
+    d, v = F.col("decay"), F.col("vulnerabilities")
+    level = F.when((v >= 3) & (d > 0.7) & F.col("reachable"), "critical").when((v >= 2) & (d > 0.5), "high").when((v >= 1) | (d > 0.6), "medium").when(d > 0.3, "low").otherwise("none")
+    scored = packages.withColumn("decay", decay(F.col("age_days"), F.col("deprecated"))).withColumn("severity", level)
+    counts = {"_deprecated": F.col("deprecated"), "_stale": F.col("age_days") > 365, "_vulnerable": v > 0, "_few": F.col("maintainers") <= 1} | {k: F.col("severity") == k for k in ("critical", "high", "medium", "low")}
+    n = scored.groupBy("repo_id").agg(F.count("*").alias("packages"), F.avg("decay").alias("_decay"), F.avg("age_days").alias("_age"), F.avg("maintainers").alias("_hands"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    whole = lambda x: half_up(F.round(x, 9))
+    freshness = F.greatest(F.lit(0), 100 - whole(50 * F.col("_stale") / F.col("packages")) - 15 * F.col("_deprecated"))
+    n = n.withColumn("freshness", freshness.cast("long")).withColumn("maintainer_risk", whole(30 * F.col("_few") / F.col("packages")).cast("long"))
+    lost = 15 * F.col("critical") + 8 * F.col("high") + 3 * F.col("_stale") + 5 * F.col("_deprecated") + 4 * F.col("_vulnerable")
+    score = F.greatest(F.lit(0), F.least(F.lit(100), whole(F.greatest(F.lit(0), 100 - lost) - 0.3 * F.col("maintainer_risk"))))
+    risk = F.when((F.col("critical") >= 2) | (F.col("high") >= 4), "high").when((F.col("critical") >= 1) | (F.col("high") >= 2), "medium").otherwise("low")
+    means = [half_up(F.round("_decay", 9), 4).alias("mean_decay"), whole(F.col("_age")).cast("long").alias("mean_age"), half_up(F.round("_hands", 9), 1).alias("mean_maintainers")]
+    return n.select("repo_id", "packages", *means, "critical", "high", "medium", "low", "freshness", "maintainer_risk", risk.alias("supply_chain_risk"), score.cast("long").alias("score"))
 
 
 def dep_decay_score(packages: DataFrame) -> DataFrame:
@@ -224,13 +242,22 @@ def maintenance(packages: DataFrame) -> DataFrame:
     return packages.select("repo_id", "name", "seq", half_up(F.round(clamp(score, 0.0, 1.0), 6), 2).alias("maintenance"))
 
 
-def funnel(issue_routes: DataFrame, stages: DataFrame) -> DataFrame:
-    """stages(stage, weight): routes, issues, drop and revenue at risk of every stage, those without issues too."""
+def funnel(issue_routes: DataFrame, stages: DataFrame, checkout: str = "checkout", retention: str = "retention") -> DataFrame:
+    """stages(stage, weight): routes, issues, drop and revenue at risk of every stage, those without issues too; and beside each the scores of the
+    whole funnel, of checkout and retention, and their mix of .3, .5 and .2."""
     weight = F.create_map(*[F.lit(x) for pair in WEIGHT.items() for x in pair])[F.col("severity")]
     met = issue_routes.groupBy("stage").agg(F.count_distinct("route").alias("routes"), F.count("*").alias("issues"), F.sum(weight).alias("_weight"))
     joined = stages.join(met, "stage", "left").na.fill(0, ["routes", "issues", "_weight"])
     drop = F.least(F.round(F.col("_weight") * 10, 6), F.lit(100.0))
-    return joined.select("stage", "routes", "issues", half_up(drop).alias("drop_percent"), half_up(F.round(VISITS * F.col("weight") * drop / 100 * VISITOR_VALUE, 6)).alias("revenue_at_risk"))
+    issues = lambda stage: F.coalesce(F.sum(F.when(F.col("stage") == stage, F.col("issues"))), F.lit(0))
+    scores = joined.agg(
+        F.greatest(F.lit(0), half_up(F.round(100 - F.sum(F.least(15 * F.col("issues") * F.col("weight"), F.lit(40.0))), 6))).cast("long").alias("funnel_health"),
+        (100 - F.least(20 * issues(checkout), F.lit(60))).cast("long").alias("checkout_score"),
+        (100 - F.least(10 * issues(retention), F.lit(40))).cast("long").alias("retention_score"),
+    )
+    scores = scores.withColumn("business_score", half_up(F.round(0.5 * F.col("checkout_score") + 0.3 * F.col("funnel_health") + 0.2 * F.col("retention_score"), 6)).cast("long"))
+    rows = joined.select("stage", "routes", "issues", half_up(drop).alias("drop_percent"), half_up(F.round(VISITS * F.col("weight") * drop / 100 * VISITOR_VALUE, 6)).alias("revenue_at_risk"))
+    return rows.crossJoin(F.broadcast(scores))
 
 
 def revenue_at_risk(issue_routes: DataFrame, stages: DataFrame) -> DataFrame:

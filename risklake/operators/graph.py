@@ -18,6 +18,13 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg((F.count("*") - F.sum("o")).alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
 
+def degree_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every node's degrees, whether it is isolated, and the graph's mean degree, 2E / N."""
+    d = nodes.select("id").join(degree(edges), "id", "left").na.fill(0)
+    mean = d.agg(half_up(F.round(F.sum("degree") / F.count("*"), 9), 4).alias("mean_degree"))
+    return d.crossJoin(F.broadcast(mean)).select("id", "in_degree", "out_degree", "degree", (F.col("degree") == 0).alias("isolated"), "mean_degree")
+
+
 def instability(edges: DataFrame) -> DataFrame:
     """Fan-in and fan-out over distinct neighbours, instability, and the two smells."""
     pairs = edges.select("src", "dst").distinct()
@@ -195,6 +202,16 @@ def hubs(edges: DataFrame, graph: Column, first: int = 50, k: int = 10) -> DataF
     return joined.filter("reach_count >= 3 OR degree >= 5").withColumn("_place", best).filter(F.col("_place") <= k).select("graph", "node", "reach_count", "degree")
 
 
+def reach_coverage(edges: DataFrame, sources: DataFrame, is_sink: Column, is_sanitiser: Column, graph: Column, max_depth: int = 10) -> DataFrame:
+    """sources(root, node); the conditions are over node, the graph over root. Per graph: pairs of a source and a sink that it reaches, those
+    whose source reaches a sanitiser too, and the scores of coverage and integrity."""
+    reached = bfs(edges, sources, max_depth).groupBy("root").agg(F.count_if(is_sink).alias("sinks"), F.max(is_sanitiser).alias("washed"))
+    total = reached.groupBy(graph.alias("graph")).agg(F.sum("sinks").alias("boundaries"), F.sum(F.when(F.col("washed"), F.col("sinks")).otherwise(0)).alias("sanitised"))
+    percent = lambda x: F.when(F.col("boundaries") > 0, half_up(F.round(100 * x / F.col("boundaries"), 9))).otherwise(100).cast("long")
+    raw = total.select("*", percent(F.col("sanitised")).alias("coverage"), percent(F.col("boundaries") - (F.col("boundaries") - F.col("sanitised"))).alias("integrity"))
+    return raw.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("integrity") - 5 * (F.col("boundaries") - F.col("sanitised")))).cast("long"))
+
+
 def resilience(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """100 less isolated nodes, edges with an end of degree 1, and hubs by degree."""
     pairs = edges.select("src", "dst").distinct()

@@ -201,7 +201,7 @@ def genome(files: DataFrame, edges_entropy: DataFrame, shape: DataFrame, phrases
     length = F.length("content")
     hits = sum(((length - F.length(F.replace("content", F.lit(p), F.lit("")))) / len(p) for p in phrases), F.lit(0.0))
     per = files.groupBy("repo_id").agg(F.avg(cc).alias("_mean"), F.sum(hits).alias("_hits"), F.sum(length).alias("_chars"))
-    share = F.coalesce(F.least(F.lit(1.0), 10 * F.col("_hits") / F.when(F.col("_chars") > 0, F.col("_chars") / 50)), F.lit(0.0))
+    share = F.when(F.col("_chars") > 0, F.least(F.lit(1.0), 500 * F.col("_hits") / F.col("_chars"))).otherwise(0.0)
     rate = F.round(F.least(F.lit(1.0), F.col("_mean") / 15) * 0.35 + F.col("entropy") * 0.45 + share * 0.2, 9)
     out = per.crossJoin(F.broadcast(edges_entropy.select("entropy"))).crossJoin(F.broadcast(shape)).withColumn("_share", share).withColumn("_rate", rate)
     left = F.when(F.col("_rate") > 0.75, F.greatest(F.lit(7), F.floor(30 * (1 - F.col("_rate"))))).when(F.col("_rate") > 0.45, F.greatest(F.lit(30), F.floor(180 * (1 - F.col("_rate"))))).otherwise(365)

@@ -39,8 +39,17 @@ def app_overview(scans: DataFrame, newest: int = 50, history: int = 10) -> DataF
     )
 
 
+def critical_packages(packages: DataFrame, most: int = 3) -> DataFrame:
+    """packages(scan_id, name) of critical severity -> scan_id, n, packages: how many, and the first names, comma-joined."""
+    named = packages.groupBy("scan_id", "name").agg(F.count("*").alias("_n"))
+    first = F.row_number().over(Window.partitionBy("scan_id").orderBy("name"))
+    placed = named.withColumn("_place", first)
+    return placed.groupBy("scan_id").agg(F.sum("_n").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("_place") <= most, F.col("name"))))).alias("packages"))
+
+
 def pulse(scans: DataFrame, critical: DataFrame, drop_at: int = 5) -> DataFrame:
-    """critical(scan_id, n): each user's last two completed scans; an alert if the score dropped or the latest has critical packages."""
+    """critical(scan_id, n, packages): each user's last two completed scans; an alert if the score dropped or the latest has critical packages, of
+    which `packages` names the first three."""
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     two = _done(scans).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
     pair = two.groupBy("user_id").agg(*[F.max(F.when(F.col("_n") == n, F.col(c))).alias(f"_{c}{n}") for n in (1, 2) for c in ("id", "score")])
@@ -48,7 +57,7 @@ def pulse(scans: DataFrame, critical: DataFrame, drop_at: int = 5) -> DataFrame:
     drop = F.greatest(F.lit(0), F.coalesce(F.col("_score2") - F.col("_score1"), F.lit(0)))
     n = F.coalesce("n", F.lit(0))
     reason = F.concat_ws("; ", F.when(drop >= drop_at, F.concat(F.lit("score dropped by "), drop.cast("string"))), F.when(n > 0, F.concat(n.cast("string"), F.lit(" critical packages"))))
-    return joined.select("user_id", F.col("_id1").alias("scan_id"), drop.alias("drop"), ((drop >= drop_at) | (n > 0)).alias("alert"), reason.alias("reason"))
+    return joined.select("user_id", F.col("_id1").alias("scan_id"), drop.alias("drop"), ((drop >= drop_at) | (n > 0)).alias("alert"), reason.alias("reason"), "packages")
 
 
 def _percentile(below: Column, others: Column) -> Column:

@@ -119,8 +119,10 @@ Q(
     f"""WITH {ADV}, p AS (SELECT *, {SEMVER.format('version_spec')} AS v FROM d_deps), m AS (SELECT repo_id, name, cve, cvss, fixed FROM p JOIN adv ON lower(name) = lower(package) WHERE CASE cve
       WHEN 'ADV-1' THEN v < [1, 2, 3] WHEN 'ADV-2' THEN v <= [3, 5, 2] WHEN 'ADV-3' THEN v >= [1, 0, 0] AND v < [2, 0, 0] WHEN 'ADV-4' THEN v < [4, 0, 0] ELSE v < [0, 5, 0] END)
     SELECT repo_id, name, string_agg(DISTINCT cve, ',' ORDER BY cve) AS cves, max(cvss) AS max_cvss, CASE WHEN max(cvss) >= 9 THEN 'critical' WHEN max(cvss) >= 7 THEN 'high' WHEN max(cvss) >= 4 THEN 'medium' ELSE 'low' END AS worst,
-      last(fixed ORDER BY {SEMVER.format('fixed')}) AS fix_version FROM m GROUP BY ALL""",
-)(lambda d: ag.package_rollup(joins.cve_match(d.deps, advisories(d))))
+      last(fixed ORDER BY {SEMVER.format('fixed')}) AS fix_version FROM m GROUP BY ALL""".replace("SELECT repo_id, name, string_agg", ", w AS (SELECT repo_id, name, string_agg")
+    + """), n AS (SELECT repo_id, count(DISTINCT name) AS packages FROM d_deps GROUP BY repo_id), t AS (SELECT repo_id, first(cve ORDER BY cvss DESC, cve) AS top_cve FROM m GROUP BY repo_id),
+    r AS (SELECT repo_id, count(*) AS vulnerable, count(*) FILTER (worst = 'critical') AS critical, count(*) FILTER (worst = 'high') AS high, count(*) FILTER (worst = 'medium') AS medium FROM w GROUP BY repo_id) SELECT * FROM w JOIN n USING (repo_id) JOIN t USING (repo_id) JOIN r USING (repo_id)""",
+)(lambda d: ag.package_rollup(joins.cve_match(d.deps, advisories(d)), d.deps))
 PACKAGES = """packages AS (SELECT repo_id, name, seq, CAST(seq * 7 % 1000 AS INT) AS age_days, seq % 17 = 0 AS deprecated, CAST(seq % 6 AS INT) AS maintainers, seq % 9 = 0 AS vulnerable, CASE WHEN seq % 8 > 0 THEN 'MIT' END AS license FROM d_deps)"""
 
 
@@ -139,9 +141,14 @@ def _packages(d: Domain):
 
 Q(
     "ag_dep_health",
-    f"""WITH {PACKAGES}, x AS (SELECT *, CASE WHEN deprecated THEN 1.0::DOUBLE WHEN age_days > 730 THEN 0.9 WHEN age_days > 365 THEN 0.7 WHEN age_days > 180 THEN 0.4 WHEN age_days > 90 THEN 0.2 ELSE 0 END AS decay FROM packages)
-    SELECT repo_id, count(*) AS packages, floor(avg(decay) * 10000 + 0.5) / 10000 AS mean_decay, CAST(floor((1 - avg(decay)) * 100 + 0.5) AS BIGINT) AS freshness, CAST(floor(avg(CASE WHEN maintainers <= 1 THEN 1.0::DOUBLE ELSE 0 END) * 100 + 0.5) AS BIGINT) AS maintainer_risk FROM x GROUP BY repo_id""",
-)(lambda d: ag.dep_health(_packages(d)))
+    f"""WITH {PACKAGES}, x AS (SELECT *, CASE WHEN deprecated THEN 1.0::DOUBLE WHEN age_days > 730 THEN 0.9 WHEN age_days > 365 THEN 0.7 WHEN age_days > 180 THEN 0.4 WHEN age_days > 90 THEN 0.2 ELSE 0 END AS decay, CASE WHEN vulnerable THEN 1 + seq % 4 ELSE 0 END AS v FROM packages),
+    y AS (SELECT *, CASE WHEN v >= 3 AND decay > 0.7 AND seq % 2 = 0 THEN 'critical' WHEN v >= 2 AND decay > 0.5 THEN 'high' WHEN v >= 1 OR decay > 0.6 THEN 'medium' WHEN decay > 0.3 THEN 'low' END AS severity FROM x),
+    n AS (SELECT repo_id, count(*) AS packages, floor(round(avg(decay), 9) * 10000 + 0.5) / 10000 AS mean_decay, CAST(floor(round(avg(age_days), 9) + 0.5) AS BIGINT) AS mean_age, floor(round(avg(maintainers), 9) * 10 + 0.5) / 10 AS mean_maintainers, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
+      count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (deprecated) AS dead, count(*) FILTER (age_days > 365) AS stale, count(*) FILTER (v > 0) AS hit, count(*) FILTER (maintainers <= 1) AS few FROM y GROUP BY repo_id),
+    m AS (SELECT *, CAST(greatest(0, 100 - floor(round(50 * stale / packages, 9) + 0.5) - 15 * dead) AS BIGINT) AS freshness, CAST(floor(round(30 * few / packages, 9) + 0.5) AS BIGINT) AS maintainer_risk FROM n)
+    SELECT repo_id, packages, mean_decay, mean_age, mean_maintainers, critical, high, medium, low, freshness, maintainer_risk, CASE WHEN critical >= 2 OR high >= 4 THEN 'high' WHEN critical >= 1 OR high >= 2 THEN 'medium' ELSE 'low' END AS supply_chain_risk,
+      CAST(greatest(0, least(100, floor(round(greatest(0, 100 - (15 * critical + 8 * high + 3 * stale + 5 * dead + 4 * hit)) - 0.3::DOUBLE * maintainer_risk, 9) + 0.5))) AS BIGINT) AS score FROM m""",
+)(lambda d: ag.dep_health(_packages(d).withColumn("vulnerabilities", F.when(F.col("vulnerable"), 1 + F.col("seq") % 4).otherwise(0)).withColumn("reachable", F.col("seq") % 2 == 0)))
 Q(
     "ag_dep_decay_score",
     f"""WITH {PACKAGES} SELECT repo_id, CAST(floor(round(least(greatest(100 - 40 * avg(deprecated::INT) - 25 * avg((age_days > 365)::INT) - 20 * avg(vulnerable::INT) + least(2 * avg(maintainers), 15), 0), 100), 6) + 0.5) AS BIGINT) AS score FROM packages GROUP BY repo_id""",
@@ -169,7 +176,8 @@ STAGE_SQL = f"stages AS (SELECT stage, weight::DOUBLE AS weight FROM (VALUES {_v
 Q(
     "ag_funnel",
     f"""WITH {ROUTES}, {STAGE_SQL}, m AS (SELECT stage, count(DISTINCT route) AS routes, count(*) AS issues, sum({WEIGHTS}) AS w FROM ir GROUP BY stage), j AS (SELECT s.stage, weight, coalesce(routes, 0) AS routes, coalesce(issues, 0) AS issues, least(round(coalesce(w, 0) * 10, 6), 100) AS dropped FROM stages s LEFT JOIN m ON s.stage = m.stage)
-    SELECT stage, routes, issues, CAST(floor(dropped + 0.5) AS BIGINT) AS drop_percent, CAST(floor(round(10000 * weight * dropped / 100 * 50, 6) + 0.5) AS BIGINT) AS revenue_at_risk FROM j""",
+    , f AS (SELECT CAST(greatest(0, floor(round(100 - sum(least(15 * issues * weight, 40)), 6) + 0.5)) AS BIGINT) AS funnel_health, CAST(100 - least(20 * coalesce(sum(issues) FILTER (stage = 'checkout'), 0), 60) AS BIGINT) AS checkout_score, CAST(100 - least(10 * coalesce(sum(issues) FILTER (stage = 'retention'), 0), 40) AS BIGINT) AS retention_score FROM j)
+    SELECT stage, routes, issues, CAST(floor(dropped + 0.5) AS BIGINT) AS drop_percent, CAST(floor(round(10000 * weight * dropped / 100 * 50, 6) + 0.5) AS BIGINT) AS revenue_at_risk, f.*, CAST(floor(round(0.5::DOUBLE * checkout_score + 0.3::DOUBLE * funnel_health + 0.2::DOUBLE * retention_score, 6) + 0.5) AS BIGINT) AS business_score FROM j, f""",
 )(lambda d: ag.funnel(_issue_routes(d), _stages(d)))
 Q(
     "ag_revenue_at_risk",
@@ -241,9 +249,9 @@ Q(
 Q(
     "wn_pulse",
     f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS n FROM d_scans WHERE {DONE}), p AS (SELECT user_id, max(id) FILTER (n = 1) AS i, max(score) FILTER (n = 1) AS a, max(score) FILTER (n = 2) AS b FROM o WHERE n <= 2 GROUP BY user_id),
-    c AS (SELECT scan_id, count(*) AS n FROM d_issues WHERE severity = 'critical' GROUP BY scan_id), x AS (SELECT user_id, i, greatest(0, coalesce(b - a, 0)) AS d, coalesce(n, 0) AS n FROM p LEFT JOIN c ON i = scan_id)
-    SELECT user_id, i AS scan_id, d AS "drop", d >= 5 OR n > 0 AS alert, concat_ws('; ', CASE WHEN d >= 5 THEN 'score dropped by ' || d END, CASE WHEN n > 0 THEN n || ' critical packages' END) AS reason FROM x""",
-)(lambda d: wn.pulse(d.scans, d.issues.filter("severity = 'critical'").groupBy("scan_id").agg(F.count("*").alias("n"))))
+    c AS (SELECT scan_id, CAST(sum(m) AS BIGINT) AS n, coalesce(string_agg(title, ',' ORDER BY title) FILTER (k <= 3), '') AS packages FROM (SELECT scan_id, title, count(*) AS m, row_number() OVER (PARTITION BY scan_id ORDER BY title) AS k FROM d_issues WHERE severity = 'critical' GROUP BY scan_id, title) GROUP BY scan_id), x AS (SELECT user_id, i, greatest(0, coalesce(b - a, 0)) AS d, coalesce(n, 0) AS n, packages FROM p LEFT JOIN c ON i = scan_id)
+    SELECT user_id, i AS scan_id, d AS "drop", d >= 5 OR n > 0 AS alert, concat_ws('; ', CASE WHEN d >= 5 THEN 'score dropped by ' || d END, CASE WHEN n > 0 THEN n || ' critical packages' END) AS reason, packages FROM x""",
+)(lambda d: wn.pulse(d.scans, wn.critical_packages(d.issues.filter("severity = 'critical'").select("scan_id", F.col("title").alias("name")))))
 Q(
     "wn_score_percentile",
     """WITH s AS (SELECT id, score FROM d_scans WHERE status = 'completed' AND score IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY score) - 1 AS b, count(*) OVER () - 1 AS o FROM s)

@@ -25,7 +25,11 @@ def _roots(d: Domain, *places: int):
     return _at(d, *places).select(F.col("id").alias("root"), F.col("id").alias("node"))
 
 
-Q("gr_degree", f"WITH {PAIRS}, {DEGREE} SELECT id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, degree FROM deg")(lambda d: graph.degree(d.edges.select("src", "dst").distinct()))
+Q(
+    "gr_degree",
+    f"""WITH {PAIRS}, {DEGREE}, n AS (SELECT n.id, CAST(coalesce(in_degree, 0) AS BIGINT) AS in_degree, CAST(coalesce(out_degree, 0) AS BIGINT) AS out_degree, coalesce(degree, 0) AS degree FROM (SELECT id FROM d_nodes) n LEFT JOIN deg ON deg.id = n.id)
+    SELECT *, degree = 0 AS isolated, (SELECT floor(round(sum(degree) / count(*), 9) * 10000 + 0.5) / 10000 FROM n) AS mean_degree FROM n""",
+)(lambda d: graph.degree_report(d.nodes, d.edges.select("src", "dst").distinct()))
 Q(
     "gr_fan_instability",
     f"""WITH {PAIRS}, {DEGREE}, x AS (SELECT id, CAST(in_degree AS BIGINT) AS fan_in, CAST(out_degree AS BIGINT) AS fan_out, floor(round(out_degree / degree, 9) * 10000 + 0.5) / 10000 AS instability FROM deg)

@@ -154,7 +154,7 @@ Q(
     "gr_genome",
     f"""WITH {PAIRS}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM p UNION ALL SELECT dst FROM p) GROUP BY id), t AS (SELECT degree / sum(degree) OVER () AS q FROM deg), h AS (SELECT floor(round(-sum(q * log2(q)) / log2(count(*)), 9) * 10000 + 0.5) / 10000 AS e FROM t),
     o AS (SELECT k, count(*) AS n FROM (SELECT id, count(src) AS k FROM (SELECT id FROM deg) LEFT JOIN p ON src = id GROUP BY id) GROUP BY k), s AS (SELECT sha256(string_agg(k || ':' || n, '|' ORDER BY k))[1:16] AS topology FROM o),
-    m AS (SELECT repo_id, avg(len(regexp_extract_all(content, 'if|for|while|switch|catch|&&|\\|\\||\\?')) + 1) AS a, coalesce(least(1.0::DOUBLE, 10 * sum({_hits}) / nullif(sum(length(content)) / 50, 0)), 0) AS b FROM d_all GROUP BY repo_id), r AS (SELECT repo_id, a, b, topology, round(least(1.0, a / 15) * 0.35 + e * 0.45 + b * 0.2, 9) AS x FROM m, h, s)
+    m AS (SELECT repo_id, avg(len(regexp_extract_all(content, 'if|for|while|switch|catch|&&|\\|\\||\\?')) + 1) AS a, CASE WHEN sum(length(content)) > 0 THEN least(1.0::DOUBLE, 500 * sum({_hits}) / sum(length(content))) ELSE 0 END AS b FROM d_all GROUP BY repo_id), r AS (SELECT repo_id, a, b, topology, round(least(1.0, a / 15) * 0.35 + e * 0.45 + b * 0.2, 9) AS x FROM m, h, s)
     SELECT repo_id, floor(round(a, 9) * 100 + 0.5) / 100 AS mean_complexity, floor(round(b, 9) * 10000 + 0.5) / 10000 AS boilerplate, floor(x * 10000 + 0.5) / 10000 AS mutation, CASE WHEN x > 0.75 THEN 'critical_decay' WHEN x > 0.45 THEN 'degrading' ELSE 'stable' END AS decay,
       CAST(CASE WHEN x > 0.75 THEN greatest(7, floor(30 * (1 - x))) WHEN x > 0.45 THEN greatest(30, floor(180 * (1 - x))) ELSE 365 END AS BIGINT) AS days_left, topology FROM r""",
 )(lambda d: insights.genome(d.everything, graph.degree_entropy(d.edges), insights.topology(graph.degree(d.edges.select("src", "dst").distinct())), PHRASES))
@@ -172,8 +172,15 @@ Q(
 )(lambda d: _reach(d, ["calls", "data_flow"]).filter("node % 5 < 4").groupBy("root").agg(F.count_distinct(F.col("node") % 5).alias("kinds")).filter("kinds >= 3"))
 Q(
     "gr_reach_coverage",
-    f"""WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), {REACH} SELECT CAST(root AS BIGINT) AS source, count(DISTINCT node) FILTER (node % 10 = 5) AS sinks, count(DISTINCT node) FILTER (node % 20 = 5) AS sanitized FROM r GROUP BY root""",
-)(lambda d: _reach(d, ["calls", "data_flow", "imports"]).groupBy(F.col("root").alias("source")).agg(F.count_if(F.col("node") % 10 == 5).alias("sinks"), F.count_if(F.col("node") % 20 == 5).alias("sanitized")))
+    f"""WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges), {REACH}, x AS (SELECT root, count(DISTINCT node) FILTER (node % 10 = 5) AS sinks, bool_or(node % 10 = 3) AS washed FROM r GROUP BY root),
+    g AS (SELECT root // 1000 AS graph, CAST(sum(sinks) AS BIGINT) AS boundaries, CAST(coalesce(sum(sinks) FILTER (washed), 0) AS BIGINT) AS sanitised FROM x GROUP BY ALL)
+    SELECT CAST(graph AS BIGINT) AS graph, boundaries, sanitised, CAST(CASE WHEN boundaries > 0 THEN floor(round(100 * sanitised / boundaries, 9) + 0.5) ELSE 100 END AS BIGINT) AS coverage, CAST(CASE WHEN boundaries > 0 THEN floor(round((1 - (boundaries - sanitised) / boundaries) * 100, 9) + 0.5) ELSE 100 END AS BIGINT) AS integrity,
+      CAST(greatest(0, least(100, CASE WHEN boundaries > 0 THEN floor(round((1 - (boundaries - sanitised) / boundaries) * 100, 9) + 0.5) ELSE 100 END - 5 * (boundaries - sanitised))) AS BIGINT) AS score FROM g""",
+)(
+    lambda d: graph.reach_coverage(
+        d.edges, d.nodes.filter("id % 1000 % 15 = 0").select(F.col("id").alias("root"), F.col("id").alias("node")), F.col("node") % 10 == 5, F.col("node") % 10 == 3, F.floor(F.col("root") / 1000)
+    )
+)
 Q("gr_complexity_score", f"WITH {NODES} SELECT id, CAST(least(100, floor((0.4 * cost + 0.4 * (id % 13) + 0.2 * (id % 5)) * 5 + 0.5)) AS BIGINT) AS score FROM nodes")(
     lambda d: d.nodes.select("id", F.least(F.lit(100), fn.half_up(F.round((0.4 * F.col("cost") + 0.4 * (F.col("id") % 13) + 0.2 * (F.col("id") % 5)) * 5, 6))).cast("long").alias("score"))
 )
