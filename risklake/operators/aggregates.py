@@ -281,12 +281,18 @@ def reliability(ops: DataFrame) -> DataFrame:
     return ops.groupBy("service").agg(half_up(F.round(0.6 * guarded + 0.4 * heard, 6), 1).alias("score"))
 
 
-def debt(findings: DataFrame) -> DataFrame:
-    """findings(repo, level error / warn / info): capped penalties and minutes to fix."""
+def debt(findings: DataFrame, top: int = 5) -> DataFrame:
+    """findings(repo, level error / warn / info, category, path): capped penalties, minutes to fix, findings by category and the files that have most."""
     n = {k: F.count_if(F.col("level") == k) for k in ("error", "warn", "info")}
     lost = F.least(n["error"] * 15, F.lit(40)) + F.least(n["warn"] * 6, F.lit(35)) + F.least(n["info"] * 2, F.lit(15))
     minutes = n["error"] * 20 + n["warn"] * 10 + n["info"] * 5
-    return findings.groupBy("repo").agg(F.count("*").alias("findings"), (100 - lost).alias("score"), minutes.alias("minutes"))
+    total = findings.groupBy("repo").agg(F.count("*").alias("findings"), F.greatest(F.lit(0), 100 - lost).alias("score"), minutes.alias("minutes"))
+    said = lambda order: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(order)), lambda x: F.concat_ws(":", x["name"], x["n"].cast("string"))))
+    kinds = findings.groupBy("repo", F.col("category").alias("name")).agg(F.count("*").alias("n")).groupBy("repo").agg(said(F.struct("name", "n")).alias("categories"))
+    files = findings.filter(F.col("path").isNotNull()).groupBy("repo", F.col("path").alias("name")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "name"))
+    files = files.withColumn("place", place).filter(F.col("place") <= top).groupBy("repo").agg(said(F.struct("place", "name", "n")).alias("top_files"))
+    return total.join(kinds, "repo", "left").join(files, "repo", "left")
 
 
 def type_confidence(metrics: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from risklake.functions.scalars import bom_ref, clamp, half_up, normalize_path, purl, route_regex
+from risklake.functions.scalars import bom_ref, clamp, cyclomatic, half_up, normalize_path, purl, route_regex
 from risklake.sources.lineage import stored
 
 #: Ordered keyword rules: OWASP id, keywords, base score; fixed. The first that hits counts.
@@ -136,6 +136,14 @@ def cognitive(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.withColumn("_score", branch * (1 + depth)).groupBy(*keys).agg(F.sum("_score").alias("cognitive"))
 
 
+def node_complexity(files: DataFrame, lines: DataFrame, imports: DataFrame, keys: list[str]) -> DataFrame:
+    """files(keys, content), their lines and imports(keys, target): .4 of branches, .4 of nested branches, .2 of what is imported, times 5, at most 100."""
+    measured = files.select(*keys, cyclomatic(F.col("content")).alias("cyclomatic")).join(cognitive(lines, keys), keys, "left")
+    measured = measured.join(imports.groupBy(*keys).agg(F.count_distinct("target").alias("dependencies")), keys, "left").na.fill(0)
+    total = 0.4 * F.col("cyclomatic") + 0.4 * F.col("cognitive") + 0.2 * F.col("dependencies")
+    return measured.withColumn("score", F.least(F.lit(100), half_up(F.round(total * 5, 6))).cast("long"))
+
+
 def sbom(deps: DataFrame, licenses: DataFrame) -> DataFrame:
     """Component rows with package URL, reference and license."""
     joined = deps.join(licenses, deps["name"] == licenses["package"], "left")

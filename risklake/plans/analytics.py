@@ -202,8 +202,10 @@ Q(
 Q(
     "ag_debt_score",
     """WITH f AS (SELECT scan_id AS repo, count(*) FILTER (severity IN ('critical', 'high')) AS e, count(*) FILTER (severity = 'medium') AS w, count(*) FILTER (severity = 'low') AS i, count(*) AS findings FROM d_issues GROUP BY scan_id)
-    SELECT repo, findings, 100 - least(e * 15, 40) - least(w * 6, 35) - least(i * 2, 15) AS score, e * 20 + w * 10 + i * 5 AS minutes FROM f""",
-)(lambda d: ag.debt(d.issues.select(F.col("scan_id").alias("repo"), F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warn").otherwise("info").alias("level"))))
+    , c AS (SELECT repo, string_agg(category || ':' || n, ',' ORDER BY category) AS categories FROM (SELECT scan_id AS repo, category, count(*) AS n FROM d_issues GROUP BY ALL) GROUP BY repo),
+    p AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, file_path) AS k FROM (SELECT scan_id AS repo, file_path, count(*) AS n FROM d_issues GROUP BY ALL)), t AS (SELECT repo, string_agg(file_path || ':' || n, ',' ORDER BY k) AS top_files FROM p WHERE k <= 5 GROUP BY repo)
+    SELECT repo, findings, greatest(0, 100 - least(e * 15, 40) - least(w * 6, 35) - least(i * 2, 15)) AS score, e * 20 + w * 10 + i * 5 AS minutes, categories, top_files FROM f JOIN c USING (repo) JOIN t USING (repo)""",
+)(lambda d: ag.debt(d.issues.select(F.col("scan_id").alias("repo"), F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warn").otherwise("info").alias("level"), "category", F.col("file_path").alias("path"))))
 Q(
     "ag_type_confidence",
     """SELECT id AS repo, floor(round(least(greatest((0.5 + 0.5 * (id % 90) / 100) * (1 / (1 + 0.05::DOUBLE * (id % 7))) * (1 / (1 + 0.02::DOUBLE * (id % 31))) * (1 / (1 + 0.01::DOUBLE * (id % 53))), 0.10), 0.99), 9) * 10000 + 0.5) / 10000 AS confidence FROM d_scans""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from risklake.functions import scalars as fn
 from risklake.operators import aggregates, fusion, graph, insights, rules, similarity
 from risklake.plans.book import Book
-from risklake.plans.corpus import CALLS, CODE_LINES, LEAK_SQL, LINES, LITERAL_SQL, ROUTES, SAME, SIGNED, _code_lines, _lines
+from risklake.plans.corpus import CALLS, CODE_LINES, IMPORTS, LEAK_SQL, LINES, LITERAL_SQL, ROUTES, SAME, SIGNED, _code_lines, _lines
 from risklake.plans.domain import Domain
 from risklake.plans.graphs import GROUP_FOLD, NODES, PAIRS
 from risklake.plans.relational import COUNTS, ISSUE_ORDER, LICENSES, _values, licenses
@@ -181,9 +181,13 @@ Q(
         d.edges, d.nodes.filter("id % 1000 % 15 = 0").select(F.col("id").alias("root"), F.col("id").alias("node")), F.col("node") % 10 == 5, F.col("node") % 10 == 3, F.floor(F.col("root") / 1000)
     )
 )
-Q("gr_complexity_score", f"WITH {NODES} SELECT id, CAST(least(100, floor((0.4 * cost + 0.4 * (id % 13) + 0.2 * (id % 5)) * 5 + 0.5)) AS BIGINT) AS score FROM nodes")(
-    lambda d: d.nodes.select("id", F.least(F.lit(100), fn.half_up(F.round((0.4 * F.col("cost") + 0.4 * (F.col("id") % 13) + 0.2 * (F.col("id") % 5)) * 5, 6))).cast("long").alias("score"))
-)
+Q(
+    "gr_complexity_score",
+    f"""WITH {CODE_LINES}, {IMPORTS}, x AS (SELECT repo_id, path, {BR} AS b, greatest(coalesce(sum(len(regexp_extract_all(line, '\\{{')) - len(regexp_extract_all(line, '\\}}'))) OVER (PARTITION BY repo_id, path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS d FROM lines),
+    c AS (SELECT repo_id, path, CAST(sum(b * (1 + d)) AS BIGINT) AS cognitive FROM x GROUP BY ALL), i AS (SELECT repo_id, path, count(DISTINCT target) AS dependencies FROM imports GROUP BY ALL),
+    m AS (SELECT repo_id, path, CAST(len(regexp_extract_all(content, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\||\\?')) + 1 AS INT) AS cyclomatic, coalesce(cognitive, 0) AS cognitive, coalesce(dependencies, 0) AS dependencies FROM d_code LEFT JOIN c USING (repo_id, path) LEFT JOIN i USING (repo_id, path))
+    SELECT *, CAST(least(100, floor(round((0.4::DOUBLE * cyclomatic + 0.4::DOUBLE * cognitive + 0.2::DOUBLE * dependencies) * 5, 6) + 0.5)) AS BIGINT) AS score FROM m""",
+)(lambda d: insights.node_complexity(d.code, _code_lines(d), code.imports(d.code), ["repo_id", "path"]))
 Q(
     "gr_async_chains",
     """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM d_edges WHERE type = 'calls' AND src % 2 = 0 AND dst % 2 = 0 AND src <> dst), r AS (SELECT n AS root, n AS node, 0 AS depth FROM (SELECT id AS n FROM d_nodes WHERE id % 2 = 0) UNION SELECT root, dst, depth + 1 FROM r JOIN s ON node = src WHERE depth < 6)
