@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from risklake.sources.lineage import cut
 
@@ -16,12 +22,39 @@ PRIME = 4_294_967_311
 BLOCK = 2048
 
 
+#: Token hashes that a task keeps.
+KEPT_TOKENS = 1_000_000
+
+
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows id, tokens (distinct, at least one) -> id, signature."""
+    kept: dict[str, int] = {}
+    for batch in batches:
+        lists = batch.column("tokens")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(sizes):
+            continue
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(kept) > KEPT_TOKENS:
+            kept.clear()
+        for w in words:
+            if w not in kept:
+                kept[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big")
+        hashes = np.fromiter((kept[w] for w in words), np.int64, len(words))
+        # Each permutation is worked out once for each distinct token of the batch.
+        at, starts = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+        made = np.empty((len(sizes), PERMUTATIONS), np.int64)
+        for i in range(PERMUTATIONS):
+            made[:, i] = np.minimum.reduceat(((hashes * (i * 12345 + 67890) + (i * 54321 + 9876)) % PRIME)[at], starts)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * PERMUTATIONS, pa.int32()), pa.array(made.ravel()))], names=["id", "signature"])
+
+
 def signatures(docs: DataFrame, tokens: Column) -> DataFrame:
-    """docs(id, ...) -> id, signature: the smallest value of each permutation over the distinct tokens' hashes; documents without
-    tokens have none. Factors stay below 2 ** 53, so BIGINT arithmetic is exact. Minima combine before the shuffle."""
-    hashed = docs.select("id", F.explode(F.array_distinct(tokens)).alias("token")).select("id", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long").alias("h"))
-    each = [F.min((F.col("h") * (i * 12345 + 67890) + (i * 54321 + 9876)) % PRIME).alias(f"_{i}") for i in range(PERMUTATIONS)]
-    return hashed.groupBy("id").agg(*each).select("id", F.array(*(f"_{i}" for i in range(PERMUTATIONS))).alias("signature"))
+    """docs(id, ...), a row per document -> id, signature: the smallest value of each permutation over the distinct tokens' hashes; documents
+    without tokens have none. Factors stay below 2 ** 53. No row leaves its task: the minima come from each row's own tokens."""
+    listed = docs.select("id", F.array_distinct(tokens).alias("tokens")).filter(F.size("tokens") > 0)
+    return listed.mapInArrow(_minima, T.StructType([docs.schema["id"], T.StructField("signature", T.ArrayType(T.LongType()))]))
 
 
 def _sketch(word: int) -> Column:
