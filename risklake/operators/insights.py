@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklake.functions.scalars import bom_ref, clamp, cyclomatic, half_up, normalize_path, purl, route_regex
+from risklake.operators.aggregates import VISITOR_VALUE, VISITS
 from risklake.sources.lineage import stored
 
 #: Ordered keyword rules: OWASP id, keywords, base score; fixed. The first that hits counts.
@@ -217,15 +218,43 @@ def genome(files: DataFrame, edges_entropy: DataFrame, shape: DataFrame, phrases
     return out.select("repo_id", half_up(F.round("_mean", 9), 2).alias("mean_complexity"), half_up(F.round("_share", 9), 4).alias("boilerplate"), half_up(F.col("_rate"), 4).alias("mutation"), decay.alias("decay"), left.cast("long").alias("days_left"), "topology")
 
 
-def pair_features(nodes: DataFrame, most: int = 128) -> DataFrame:
-    """nodes(repo, id, type, degree, line): mean and largest similarity of a repository's first nodes' pairs; the bound on nodes is the operator's."""
+def pair_features(nodes: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:
+    """nodes(repo, id, type, line, bundle, complexity), edges(src, dst): eight features of every ordered pair of a repository's first nodes, each from
+    0 to 1, and by repository their mean, maximum, share of near zeros and mean product of two features. The bound on nodes is the operator's."""
     rank = F.row_number().over(Window.partitionBy("repo").orderBy("id"))
-    top = nodes.withColumn("_k", rank).filter(F.col("_k") <= most)
-    other = top.select("repo", *[F.col(c).alias(f"_{c}2") for c in ("id", "type", "degree", "line")])
-    pairs = top.join(other, "repo").filter(F.col("id") < F.col("_id2"))
-    near = lambda a, b: 1 / (1 + F.abs(F.col(a) - F.col(b)))
-    similarity = (F.when(F.col("type") == F.col("_type2"), 1.0).otherwise(0.0) + near("degree", "_degree2") + near("line", "_line2")) / 3
-    return pairs.groupBy("repo").agg(F.count("*").alias("pairs"), half_up(F.round(F.avg(similarity), 9), 4).alias("mean"), half_up(F.round(F.max(similarity), 9), 4).alias("max"))
+    ends = edges.select("src", "dst").distinct().select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    top = nodes.withColumn("_k", rank).filter(F.col("_k") <= most).drop("_k").join(ends, "id", "left").na.fill(0, ["degree"])
+    whole = Window.partitionBy("repo")
+    top = top.select("*", *[F.greatest(F.max(c).over(whole), F.lit(1)).alias(f"most_{c}") for c in ("degree", "line", "complexity")])
+    other = top.select("repo", *[F.col(c).alias(f"{c}2") for c in ("id", "type", "degree", "line", "bundle", "complexity")])
+    low, high = F.least("id", "id2"), F.greatest("id", "id2")
+    linked = edges.select(F.least("src", "dst").alias("_low"), F.greatest("src", "dst").alias("_high")).distinct().withColumn("_edge", F.lit(1.0))
+    pairs = top.join(other, "repo").withColumn("_low", low).withColumn("_high", high).join(linked, ["_low", "_high"], "left").withColumn("edge", F.coalesce("_edge", F.lit(0.0)))
+    gap = lambda c: F.abs(F.col(c) - F.col(f"{c}2"))
+    yes = lambda c: F.when(c, 1.0).otherwise(0.0)
+    features = [
+        yes(F.col("type") == F.col("type2")),
+        1 - F.least(F.lit(1.0), gap("line") / 1000),
+        F.col("edge"),
+        yes((F.col("edge") == 1) & (F.col("degree") > 2) & (F.col("degree2") > 2)),
+        1 - gap("degree") / F.col("most_degree"),
+        1 - gap("line") / F.col("most_line"),
+        1 - gap("bundle") / F.greatest(F.col("bundle") + F.col("bundle2"), F.lit(1)),
+        1 - gap("complexity") / F.col("most_complexity"),
+    ]
+    made = pairs.select("repo", *[f.alias(f"f{k}") for k, f in enumerate(features)])
+    f = [F.col(f"f{k}") for k in range(len(features))]
+    both = [(a, b) for k, a in enumerate(f) for b in f[k + 1 :]]
+    n = F.count("*")
+    sums = made.groupBy("repo").agg(
+        n.alias("pairs"),
+        (F.sum(reduce(lambda a, b: a + b, f)) / (n * len(f))).alias("_mean"),
+        F.max(F.greatest(*f)).alias("_max"),
+        (F.sum(reduce(lambda a, b: a + b, [F.when(x < 0.01, 1).otherwise(0) for x in f])) / (n * len(f))).alias("_sparse"),
+        (F.sum(reduce(lambda a, b: a + b, [a * b for a, b in both])) / (n * len(both))).alias("_both"),
+    )
+    said = lambda c: half_up(F.round(c, 9), 4)
+    return sums.select("repo", "pairs", said("_mean").alias("mean"), said("_max").alias("max"), said("_sparse").alias("sparsity"), said("_both").alias("co_activation"))
 
 
 def pattern_match(sigs: DataFrame, references: DataFrame) -> DataFrame:
@@ -313,6 +342,19 @@ def reality_penalty(rows: DataFrame) -> DataFrame:
     return rows.select("repo", half_up(F.round(clamp(100 - lost, 0.0, 100.0), 6)).alias("score"))
 
 
+#: Share of conversions that an issue of a route costs, by severity; fixed.
+DROP = {"critical": 1.0, "high": 0.5, "medium": 0.15, "low": 0.03}
+
+
+def issue_routes(issues: DataFrame, routes: DataFrame) -> DataFrame:
+    """routes(file_path, route, stage, weight): issues by the route of their file, stage and severity, how many of them are findings (a drop above 0 %
+    and more than 100 of revenue), and the revenue that all of them put at risk."""
+    severity = F.create_map(*[F.lit(x) for pair in DROP.items() for x in pair])[F.col("severity")]
+    met = issues.select("file_path", "severity").join(routes, "file_path").withColumn("_w", F.col("weight") * severity)
+    drop, impact = half_up(F.round(F.col("_w") * 100, 6)), half_up(F.round(VISITS * F.col("_w") * VISITOR_VALUE, 6)).cast("long")
+    return met.groupBy("route", "stage", "severity").agg(F.count("*").alias("n"), F.count_if((drop > 0) & (impact > 100)).alias("findings"), F.sum(impact).alias("revenue_impact"))
+
+
 def unused_components(files: DataFrame, imports: DataFrame, folder: str) -> DataFrame:
     """Files of a component folder whose base name no import of their repository mentions."""
     base = lambda c: F.regexp_extract(c, r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)

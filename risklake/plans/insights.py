@@ -50,11 +50,25 @@ Q(
         code.routes(d.code).select(F.concat_ws(":", F.col("repo_id").cast("string"), "path").alias("route_id"), "repo_id", "method", "path"),
     )
 )
-Q("jn_issue_routes", "SELECT route, severity, count(*) AS n FROM d_issues JOIN (SELECT 'src/f' || i || '.ts' AS f, '/r' || i % 7 AS route FROM (SELECT unnest(range(40)) AS i)) ON file_path = f GROUP BY ALL")(
-    lambda d: d.issues.join(d.spark.range(40).select(F.concat(F.lit("src/f"), F.col("id").cast("string"), F.lit(".ts")).alias("file_path"), F.concat(F.lit("/r"), (F.col("id") % 7).cast("string")).alias("route")), "file_path")
-    .groupBy("route", "severity")
-    .agg(F.count("*").alias("n"))
-)
+#: Stages of routes by number: name and weight of a conversion.
+STAGE_OF = (("Acquisition", 0.05), ("Activation", 0.25), ("Revenue", 0.6), ("Retention", 0.15), ("Referral", 0.1))
+_stage = lambda what: f"CASE i % 5 {' '.join(f'WHEN {k} THEN {what(x)}' for k, x in enumerate(STAGE_OF))} END"
+
+
+def _file_routes(d: Domain):
+    """The files that issues name, each with its route, stage and weight."""
+    number = F.regexp_extract("file_path", r"([0-9]+)", 1).cast("int")
+    files = d.issues.select("file_path").distinct().withColumn("i", number)
+    return files.select("file_path", F.concat(F.lit("/r"), (F.col("i") % 7).cast("string")).alias("route"), F.get(F.array(*[F.lit(n) for n, _ in STAGE_OF]), F.col("i") % 5).alias("stage"), F.get(F.array(*[F.lit(w) for _, w in STAGE_OF]), F.col("i") % 5).alias("weight"))
+
+
+Q(
+    "jn_issue_routes",
+    f"""WITH f AS (SELECT DISTINCT file_path, CAST(regexp_extract(file_path, '([0-9]+)', 1) AS INT) AS i FROM d_issues), r AS (SELECT file_path, '/r' || i % 7 AS route, {_stage(lambda x: f"'{x[0]}'")} AS stage, {_stage(lambda x: f'{x[1]}::DOUBLE')} AS weight FROM f),
+    x AS (SELECT route, stage, severity, weight * CASE severity WHEN 'critical' THEN 1.0::DOUBLE WHEN 'high' THEN 0.5 WHEN 'medium' THEN 0.15 ELSE 0.03 END AS w FROM d_issues JOIN r USING (file_path)),
+    y AS (SELECT route, stage, severity, CAST(floor(round(w * 100, 6) + 0.5) AS BIGINT) AS drop_percent, CAST(floor(round(10000 * w * 50, 6) + 0.5) AS BIGINT) AS impact FROM x)
+    SELECT route, stage, severity, count(*) AS n, count(*) FILTER (drop_percent > 0 AND impact > 100) AS findings, CAST(sum(impact) AS BIGINT) AS revenue_impact FROM y GROUP BY ALL""",
+)(lambda d: insights.issue_routes(d.issues, _file_routes(d)))
 Q("jn_fingerprint_patterns", "SELECT p_partkey AS id, s_suppkey AS pattern, p_retailprice AS match_score FROM part JOIN supplier ON p_size = s_nationkey ORDER BY 3 DESC")(
     lambda d: d.table("part").join(d.table("supplier"), F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("id"), F.col("s_suppkey").alias("pattern"), F.col("p_retailprice").alias("match_score")).orderBy(F.col("match_score").desc())
 )
@@ -222,12 +236,24 @@ Q(
         d.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 1).alias("depth_a"), F.col("p_retailprice").alias("nodes_a")).join(d.table("part").select((F.col("p_partkey") - 1).alias("id"), F.col("p_partkey").alias("other"), (F.col("p_size") + 1).alias("depth_b"), F.col("p_retailprice").alias("nodes_b")), "id")
     )
 )
+def _featured(d: Domain):
+    return d.nodes.select(F.floor(F.col("id") / 1000).alias("repo"), "id", (F.col("id") % 4).alias("type"), (F.col("id") % 1000 * 25).alias("line"), F.col("cost").alias("bundle"), (F.col("id") * 7 % 13 + 1).alias("complexity"))
+
+
+_fs = [
+    "(a.type = b.type)::INT::DOUBLE", "1 - least(1.0::DOUBLE, abs(a.line - b.line) / 1000)", "(e.lo IS NOT NULL)::INT::DOUBLE", "(e.lo IS NOT NULL AND a.degree > 2 AND b.degree > 2)::INT::DOUBLE",
+    "1 - abs(a.degree - b.degree) / a.md", "1 - abs(a.line - b.line) / a.ml", "1 - abs(a.bundle - b.bundle) / greatest(a.bundle + b.bundle, 1)", "1 - abs(a.complexity - b.complexity) / a.mc",
+]
+_r4 = lambda x: f"floor(round({x}, 9) * 10000 + 0.5) / 10000"
+_twos = " + ".join(f"f{i} * f{j}" for i in range(8) for j in range(i + 1, 8))
 Q(
     "sm_pair_features",
-    """WITH n AS (SELECT CAST(p_size AS INT) AS repo, p_partkey AS id, p_type AS type, p_partkey % 7 AS degree, p_partkey % 50 AS line, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part),
-    x AS (SELECT a.repo, ((a.type = b.type)::INT + 1 / (1 + abs(a.degree - b.degree)) + 1 / (1 + abs(a.line - b.line))) / 3 AS s FROM n a JOIN n b ON a.repo = b.repo AND a.id < b.id WHERE a.k <= 128 AND b.k <= 128)
-    SELECT repo, count(*) AS pairs, floor(round(avg(s), 9) * 10000 + 0.5) / 10000 AS mean, floor(round(max(s), 9) * 10000 + 0.5) / 10000 AS max FROM x GROUP BY repo""",
-)(lambda d: insights.pair_features(d.table("part").select(F.col("p_size").alias("repo"), F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), (F.col("p_partkey") % 7).alias("degree"), (F.col("p_partkey") % 50).alias("line"))))
+    f"""WITH {PAIRS}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM p UNION ALL SELECT dst FROM p WHERE src <> dst) GROUP BY id), k AS (SELECT id // 1000 AS repo, id, id % 4 AS type, id % 1000 * 25 AS line, cost AS bundle, id * 7 % 13 + 1 AS complexity, row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS k FROM d_nodes),
+    n AS (SELECT k.*, coalesce(degree, 0) AS degree FROM k LEFT JOIN deg USING (id) WHERE k <= 128), m AS (SELECT *, greatest(1, max(degree) OVER w) AS md, greatest(1, max(line) OVER w) AS ml, greatest(1, max(complexity) OVER w) AS mc FROM n WINDOW w AS (PARTITION BY repo)),
+    e AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM p), x AS (SELECT a.repo, {', '.join(f'{f} AS f{k}' for k, f in enumerate(_fs))} FROM m a JOIN m b ON a.repo = b.repo LEFT JOIN e ON e.lo = least(a.id, b.id) AND e.hi = greatest(a.id, b.id))
+    SELECT CAST(repo AS BIGINT) AS repo, count(*) AS pairs, {_r4('sum(' + ' + '.join(f'f{k}' for k in range(8)) + ') / (count(*) * 8)')} AS mean, {_r4('max(greatest(' + ', '.join(f'f{k}' for k in range(8)) + '))')} AS max,
+      {_r4('sum(' + ' + '.join(f'(f{k} < 0.01)::INT' for k in range(8)) + ') / (count(*) * 8)')} AS sparsity, {_r4(f'sum({_twos}) / (count(*) * 28)')} AS co_activation FROM x GROUP BY repo""",
+)(lambda d: insights.pair_features(_featured(d), d.edges))
 
 
 def _registry(d: Domain):
