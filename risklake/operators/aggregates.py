@@ -242,13 +242,23 @@ def maintenance(packages: DataFrame) -> DataFrame:
     return packages.select("repo_id", "name", "seq", half_up(F.round(clamp(score, 0.0, 1.0), 6), 2).alias("maintenance"))
 
 
+#: Share of conversions that an issue of a route costs, by severity; fixed.
+DROP = {"critical": 1.0, "high": 0.5, "medium": 0.15, "low": 0.03}
+
+
+def route_impact(issue_routes: DataFrame) -> DataFrame:
+    """issue_routes(severity, weight, ...) -> with drop (percent of conversions), impact (revenue a month) and finding, whether they are worth one."""
+    lost = F.col("weight") * F.create_map(*[F.lit(x) for pair in DROP.items() for x in pair])[F.col("severity")]
+    made = issue_routes.withColumn("drop", half_up(F.round(lost * 100, 6)).cast("long")).withColumn("impact", half_up(F.round(VISITS * lost * VISITOR_VALUE, 6)).cast("long"))
+    return made.withColumn("finding", (F.col("drop") > 0) & (F.col("impact") > 100))
+
+
 def funnel(issue_routes: DataFrame, stages: DataFrame, checkout: str = "checkout", retention: str = "retention") -> DataFrame:
     """stages(stage, weight): routes, issues, drop and revenue at risk of every stage, those without issues too; and beside each the scores of the
     whole funnel, of checkout and retention, and their mix of .3, .5 and .2."""
-    weight = F.create_map(*[F.lit(x) for pair in WEIGHT.items() for x in pair])[F.col("severity")]
-    met = issue_routes.groupBy("stage").agg(F.count_distinct("route").alias("routes"), F.count("*").alias("issues"), F.sum(weight).alias("_weight"))
-    joined = stages.join(met, "stage", "left").na.fill(0, ["routes", "issues", "_weight"])
-    drop = F.least(F.round(F.col("_weight") * 10, 6), F.lit(100.0))
+    met = route_impact(issue_routes.join(F.broadcast(stages), "stage"))
+    met = met.groupBy("stage").agg(F.count_distinct("route").alias("routes"), F.count("*").alias("issues"), F.sum(F.when(F.col("finding"), F.col("drop"))).alias("_drop"), F.sum(F.when(F.col("finding"), F.col("impact"))).alias("_impact"))
+    joined = stages.join(met, "stage", "left").na.fill(0, ["routes", "issues", "_drop", "_impact"])
     issues = lambda stage: F.coalesce(F.sum(F.when(F.col("stage") == stage, F.col("issues"))), F.lit(0))
     scores = joined.agg(
         F.greatest(F.lit(0), half_up(F.round(100 - F.sum(F.least(15 * F.col("issues") * F.col("weight"), F.lit(40.0))), 6))).cast("long").alias("funnel_health"),
@@ -256,15 +266,12 @@ def funnel(issue_routes: DataFrame, stages: DataFrame, checkout: str = "checkout
         (100 - F.least(10 * issues(retention), F.lit(40))).cast("long").alias("retention_score"),
     )
     scores = scores.withColumn("business_score", half_up(F.round(0.5 * F.col("checkout_score") + 0.3 * F.col("funnel_health") + 0.2 * F.col("retention_score"), 6)).cast("long"))
-    rows = joined.select("stage", "routes", "issues", half_up(drop).alias("drop_percent"), half_up(F.round(VISITS * F.col("weight") * drop / 100 * VISITOR_VALUE, 6)).alias("revenue_at_risk"))
-    return rows.crossJoin(F.broadcast(scores))
+    return joined.select("stage", "routes", "issues", F.least("_drop", F.lit(100)).cast("long").alias("drop_percent"), F.col("_impact").alias("revenue_at_risk")).crossJoin(F.broadcast(scores))
 
 
 def revenue_at_risk(issue_routes: DataFrame, stages: DataFrame) -> DataFrame:
-    weight = F.create_map(*[F.lit(x) for pair in WEIGHT.items() for x in pair])[F.col("severity")]
-    joined = issue_routes.join(F.broadcast(stages), "stage")
-    impact = half_up(F.round(VISITS * F.col("weight") * weight * VISITOR_VALUE, 6))
-    return joined.withColumn("impact", impact).filter((half_up(F.round(weight * 100, 6)) > 0) & (F.col("impact") > 100)).select("route", "stage", "severity", "impact")
+    """A row per issue of a route that is worth a finding."""
+    return route_impact(issue_routes.join(F.broadcast(stages), "stage")).filter("finding").select("route", "stage", "severity", "impact")
 
 
 def obs_coverage(ops: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklake.functions.scalars import bom_ref, clamp, cyclomatic, half_up, normalize_path, purl, route_regex
-from risklake.operators.aggregates import VISITOR_VALUE, VISITS
+from risklake.operators.aggregates import route_impact
 from risklake.sources.lineage import stored
 
 #: Ordered keyword rules: OWASP id, keywords, base score; fixed. The first that hits counts.
@@ -342,17 +342,11 @@ def reality_penalty(rows: DataFrame) -> DataFrame:
     return rows.select("repo", half_up(F.round(clamp(100 - lost, 0.0, 100.0), 6)).alias("score"))
 
 
-#: Share of conversions that an issue of a route costs, by severity; fixed.
-DROP = {"critical": 1.0, "high": 0.5, "medium": 0.15, "low": 0.03}
-
-
 def issue_routes(issues: DataFrame, routes: DataFrame) -> DataFrame:
     """routes(file_path, route, stage, weight): issues by the route of their file, stage and severity, how many of them are findings (a drop above 0 %
     and more than 100 of revenue), and the revenue that all of them put at risk."""
-    severity = F.create_map(*[F.lit(x) for pair in DROP.items() for x in pair])[F.col("severity")]
-    met = issues.select("file_path", "severity").join(routes, "file_path").withColumn("_w", F.col("weight") * severity)
-    drop, impact = half_up(F.round(F.col("_w") * 100, 6)), half_up(F.round(VISITS * F.col("_w") * VISITOR_VALUE, 6)).cast("long")
-    return met.groupBy("route", "stage", "severity").agg(F.count("*").alias("n"), F.count_if((drop > 0) & (impact > 100)).alias("findings"), F.sum(impact).alias("revenue_impact"))
+    met = route_impact(issues.select("file_path", "severity").join(routes, "file_path"))
+    return met.groupBy("route", "stage", "severity").agg(F.count("*").alias("n"), F.count_if("finding").alias("findings"), F.sum("impact").alias("revenue_impact"))
 
 
 def unused_components(files: DataFrame, imports: DataFrame, folder: str) -> DataFrame:

@@ -173,16 +173,15 @@ def _issue_routes(d: Domain):
 
 
 STAGE_SQL = f"stages AS (SELECT stage, weight::DOUBLE AS weight FROM (VALUES {_values(STAGES)}) v(stage, weight))"
+_LOST = "weight * CASE severity WHEN 'critical' THEN 1.0::DOUBLE WHEN 'high' THEN 0.5 WHEN 'medium' THEN 0.15 ELSE 0.03 END"
+IMPACTS = f"im AS (SELECT *, dropped > 0 AND impact > 100 AS finding FROM (SELECT route, ir.stage, severity, CAST(floor(round({_LOST} * 100, 6) + 0.5) AS BIGINT) AS dropped, CAST(floor(round(10000 * {_LOST} * 50, 6) + 0.5) AS BIGINT) AS impact FROM ir JOIN stages ON ir.stage = stages.stage))"
 Q(
     "ag_funnel",
-    f"""WITH {ROUTES}, {STAGE_SQL}, m AS (SELECT stage, count(DISTINCT route) AS routes, count(*) AS issues, sum({WEIGHTS}) AS w FROM ir GROUP BY stage), j AS (SELECT s.stage, weight, coalesce(routes, 0) AS routes, coalesce(issues, 0) AS issues, least(round(coalesce(w, 0) * 10, 6), 100) AS dropped FROM stages s LEFT JOIN m ON s.stage = m.stage)
-    , f AS (SELECT CAST(greatest(0, floor(round(100 - sum(least(15 * issues * weight, 40)), 6) + 0.5)) AS BIGINT) AS funnel_health, CAST(100 - least(20 * coalesce(sum(issues) FILTER (stage = 'checkout'), 0), 60) AS BIGINT) AS checkout_score, CAST(100 - least(10 * coalesce(sum(issues) FILTER (stage = 'retention'), 0), 40) AS BIGINT) AS retention_score FROM j)
-    SELECT stage, routes, issues, CAST(floor(dropped + 0.5) AS BIGINT) AS drop_percent, CAST(floor(round(10000 * weight * dropped / 100 * 50, 6) + 0.5) AS BIGINT) AS revenue_at_risk, f.*, CAST(floor(round(0.5::DOUBLE * checkout_score + 0.3::DOUBLE * funnel_health + 0.2::DOUBLE * retention_score, 6) + 0.5) AS BIGINT) AS business_score FROM j, f""",
+    f"""WITH {ROUTES}, {STAGE_SQL}, {IMPACTS}, m AS (SELECT stage, count(DISTINCT route) AS routes, count(*) AS issues, sum(dropped) FILTER (finding) AS d, sum(impact) FILTER (finding) AS i FROM im GROUP BY stage), j AS (SELECT s.stage, weight, coalesce(routes, 0) AS routes, coalesce(issues, 0) AS issues, coalesce(d, 0) AS d, coalesce(i, 0) AS i FROM stages s LEFT JOIN m ON s.stage = m.stage),
+    f AS (SELECT CAST(greatest(0, floor(round(100 - sum(least(15 * issues * weight, 40)), 6) + 0.5)) AS BIGINT) AS funnel_health, CAST(100 - least(20 * coalesce(sum(issues) FILTER (stage = 'checkout'), 0), 60) AS BIGINT) AS checkout_score, CAST(100 - least(10 * coalesce(sum(issues) FILTER (stage = 'retention'), 0), 40) AS BIGINT) AS retention_score FROM j)
+    SELECT stage, routes, issues, CAST(least(100, d) AS BIGINT) AS drop_percent, CAST(i AS BIGINT) AS revenue_at_risk, f.*, CAST(floor(round(0.5::DOUBLE * checkout_score + 0.3::DOUBLE * funnel_health + 0.2::DOUBLE * retention_score, 6) + 0.5) AS BIGINT) AS business_score FROM j, f""",
 )(lambda d: ag.funnel(_issue_routes(d), _stages(d)))
-Q(
-    "ag_revenue_at_risk",
-    f"""WITH {ROUTES}, {STAGE_SQL} SELECT route, ir.stage, severity, CAST(floor(round(10000 * weight * {WEIGHTS} * 50, 6) + 0.5) AS BIGINT) AS impact FROM ir JOIN stages ON ir.stage = stages.stage""",
-)(lambda d: ag.revenue_at_risk(_issue_routes(d), _stages(d)))
+Q("ag_revenue_at_risk", f"WITH {ROUTES}, {STAGE_SQL}, {IMPACTS} SELECT route, stage, severity, impact FROM im WHERE finding")(lambda d: ag.revenue_at_risk(_issue_routes(d), _stages(d)))
 
 
 def _ops(d: Domain):
