@@ -149,6 +149,102 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
+#: Bodies of short public licences, whole: label, text, key phrases.
+BODIES = (
+    Template(
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("permission is hereby granted free of charge", "to deal in the software without restriction"),
+    ),
+    Template(
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+        notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
+        OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        ("with or without fee is hereby granted",),
+    ),
+    Template(
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use
+        of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+        this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked
+        as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+        ("permission is granted to anyone to use this software for any purpose",),
+    ),
+    Template(
+        "bsl-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+        license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+        third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the
+        above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the
+        Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+        ("any person or organization obtaining a copy",),
+    ),
+    Template(
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of
+        source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+        WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+        either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+        author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+        this software under copyright law.""",
+        ("free and unencumbered software",),
+    ),
+)
+#: Identifier of the short form, label, and the title under which a licence's text begins, if it has one of its own; fixed.
+SHORT = (
+    ("MIT", "mit", None), ("Apache-2.0", "apache-2.0", "Apache License Version 2.0, January 2004"), ("ISC", "isc", None), ("Zlib", "zlib", None), ("BSL-1.0", "bsl-1.0", "Boost Software License Version 1.0"),
+    ("BSD-2-Clause", "bsd", None), ("BSD-3-Clause", "bsd", None), ("Unlicense", "unlicense", None), ("MPL-2.0", "mpl-2.0", "Mozilla Public License Version 2.0"), ("EPL-2.0", "epl-2.0", "Eclipse Public License v 2.0"),
+    ("GPL-2.0", "gpl-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "gpl-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "lgpl", "GNU Lesser General Public License Version 2.1, February 1999"), ("LGPL-3.0", "lgpl", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "agpl-3.0", "GNU Affero General Public License Version 3, 19 November 2007"), ("CC0-1.0", "cc0-1.0", None), ("CC-BY-4.0", "cc-by-4.0", None), ("CC-BY-SA-4.0", "cc-by-sa-4.0", None), ("CC-BY-NC-4.0", "cc-by-nc-4.0", None),
+)
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall("[0-9a-z]+", text.lower()))
+
+
+def short_forms() -> tuple[Template, ...]:
+    """A template for each identifier's line and for each title; all of their words are mandatory."""
+    lines = [(label, f"SPDX-License-Identifier: {name}") for name, label, _ in SHORT] + [(label, title) for _, label, title in SHORT if title]
+    return tuple(Template(label, text, (_plain(text),)) for label, text in lines)
+
+
+TEMPLATES = (*TEMPLATES, *BODIES, *short_forms())
+
+
+def load_templates(rows: DataFrame) -> tuple[Template, ...]:
+    """Templates from rows (label, text, keys), as Parquet or JSON hold them; more words than MAX_TEMPLATE_WORDS in all are refused, as is a template
+    without a key phrase."""
+    found = [Template(r["label"], r["text"], tuple(r["keys"] or ())) for r in rows.select("label", "text", "keys").orderBy("label", "text").limit(MAX_TEMPLATE_WORDS + 1).toLocalIterator()]
+    if sum(len(template_words(t.text)) for t in found) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+    if bad := [t.label for t in found if not any(map(_plain, t.keys))]:
+        raise ValueError(f"templates without a key phrase: {bad}")
+    return tuple(Template(t.label, t.text, tuple(_plain(k) for k in t.keys)) for t in found)
+
 
 def template_words(text: str) -> list[bytes]:
     """Words as documents have them, of a template in ASCII."""
@@ -241,7 +337,8 @@ class Matcher:
             self.rare.append(order[: int(np.searchsorted(missed, 1 - MIN_SCORE + 1e-6, side="right")) + 1])
         self.base = Index([(label, phrase) for phrase, label in BASE], 10)
         keys = sorted({k for t in lexicon.templates for k in t.keys})
-        self.keys = Index([(k, k) for k in keys], 10)
+        # A phrase is one window, however long.
+        self.keys = Index([(k, k) for k in keys], max((len(k.split()) for k in keys), default=1))
 
     def document(self, places: np.ndarray, numbers: np.ndarray, keys: list[tuple[int, int, str]], words: Words, first: int, last: int) -> list[tuple[str, float]]:
         """Labels and scores of one document, its words first to last - 1, from its template words' places and its key phrases' places."""

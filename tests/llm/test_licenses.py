@@ -92,7 +92,7 @@ def test_labels_match_brute_force(spark, seed):
     rows = []
     for k in range(60):
         words = [rng.choice("plain words of the license and more text version 2 0 software under".split()) for _ in range(rng.randrange(0, 40))]
-        for _ in range(rng.randrange(0, 3)):
+        for _ in range(rng.randrange(0, 5)):
             notice = licenses.template_words(rng.choice(licenses.TEMPLATES).text)
             notice = [rng.choice(["x", w.decode()]) if rng.random() < 0.3 else w.decode() for w in notice]
             words += notice[rng.randrange(0, 4) : len(notice) - rng.randrange(0, 4)] + ["then"] * rng.randrange(0, 3)
@@ -119,3 +119,40 @@ def test_a_decoy_does_not_hide_a_notice(spark):
 
 def test_empty(spark):
     assert licenses.scan(empty(spark)).count() == 0
+
+
+def reflowed(rng, text, cut):
+    """The text in other lines and behind comment marks, without the last cut of its words."""
+    words = text.split()
+    words = words[: len(words) - int(cut * len(words))]
+    lines, at = [], 0
+    while at < len(words):
+        n = rng.randrange(4, 14)
+        lines.append(rng.choice(["# ", " * ", "// ", ""]) + " ".join(words[at : at + n]))
+        at += n
+    return "\n".join(lines)
+
+
+def test_recall_on_cut_and_reflowed_bodies_titles_and_short_lines(spark):
+    rng = random.Random(11)
+    rows = [(t.label, reflowed(rng, t.text, cut)) for t in licenses.BODIES for cut in (0, 0.1, 0.2, 0.3) for _ in range(3)]
+    rows += [(t.label, f"/* {t.text} */\ncode follows here") for t in licenses.short_forms() for _ in range(2)]
+    rows += [("", f"plain words number {k} of a text that names no licence") for k in range(300)]
+    docs = spark.createDataFrame([(k, f"own words {k} before\n{text}\nand after", label) for k, (label, text) in enumerate(rows)], "doc_id long, text string, label string").repartition(4)
+    got = licenses.scan(docs).collect()
+    named = [r for r in got if r["label"]]
+    assert sum(r["label"] in r["labels"].split(",") for r in named) >= 0.9 * len(named)
+    families = {"mit", "apache", "gpl", "cc-by"}
+    strange = [(r["label"], r["labels"]) for r in got if not set(filter(None, r["labels"].split(","))) <= {r["label"], *families}]
+    assert not strange and all(r["labels"] == "" for r in got if not r["label"])
+
+
+def test_templates_are_loaded_from_a_table(spark, tmp_path):
+    rows = [("house", "all rights to this house text stay with its owner", ["House-Text"])]
+    schema = "label string, text string, keys array<string>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "templates"))
+    loaded = licenses.load_templates(spark.read.parquet(str(tmp_path / "templates")))
+    docs = spark.createDataFrame([(1, "Note: all rights to this house-text stay with its owner."), (2, "rights stay with the owner"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs, loaded).collect()} == {1: "house", 2: "", 3: ""}
+    with pytest.raises(ValueError, match="key phrase"):
+        licenses.load_templates(spark.createDataFrame([("none", "some words", None)], schema))
