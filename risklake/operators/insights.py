@@ -258,11 +258,19 @@ def pair_features(nodes: DataFrame, edges: DataFrame, most: int = 128) -> DataFr
 
 
 def pattern_match(sigs: DataFrame, references: DataFrame) -> DataFrame:
-    """sigs(id, signature), references(name, bad, reference): best similarity to bad and to clean references, and the verdict. References are a constant list."""
-    near = F.aggregate(F.zip_with("signature", "reference", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / F.size("signature")
-    scored = sigs.crossJoin(F.broadcast(references)).groupBy("id").agg(F.max(F.when(F.col("bad"), near)).alias("bad"), F.max(F.when(~F.col("bad"), near)).alias("clean"))
-    gap = F.coalesce("bad", F.lit(0.0)) - F.coalesce("clean", F.lit(0.0))
-    return scored.select("id", half_up(F.col("bad"), 4).alias("bad"), half_up(F.col("clean"), 4).alias("clean"), F.when((F.col("bad") >= 0.7) & (gap > 0), "vulnerable").when(gap < 0, "clean").otherwise("unknown").alias("verdict"))
+    """sigs(id, signature, source, sink, sanitiser), references(pattern, vulnerable, clean or null: signatures; a constant list): per file and pattern the
+    similarity to the vulnerable reference, what it is above that to the clean one, whether a source and a sink stand in the file, verdict and
+    probability. An equal signature counts as the same shape."""
+    near = lambda c: F.aggregate(F.zip_with("signature", c, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / F.size("signature")
+    met = sigs.crossJoin(F.broadcast(references)).withColumn("_s", near("vulnerable")).withColumn("_d", F.col("_s") - F.when(F.col("clean").isNotNull(), near("clean")).otherwise(0.0))
+    s, d, tainted, clean = F.col("_s"), F.col("_d"), F.col("source") & F.col("sink"), F.col("sanitiser")
+    open_ = tainted & ~clean
+    yes = lambda c, x: F.when(c, x).otherwise(0.0)
+    d = F.when(F.col("clean").isNotNull(), d).otherwise(s)
+    chance = clamp(yes(s == 1, 0.35) + 0.25 * s + yes(tainted, 0.2) + yes(open_, 0.1) + 0.1 * F.greatest(d, F.lit(0.0)) - yes(clean, 0.15), 0.0, 1.0)
+    verdict = F.when((s == 1) & open_, "match").when((s > 0.5) & open_, "zero-day").when((d < -0.15) | (tainted & clean), "looks-clean").otherwise("insufficient-evidence")
+    four = lambda c: half_up(F.round(c, 9), 4)
+    return met.select("id", "pattern", four(s).alias("similarity"), four(d).alias("differential"), tainted.alias("tainted"), verdict.alias("verdict"), four(chance).alias("probability"))
 
 
 FINDINGS = "rule string, category string, path string, line_no int, severity string"

@@ -6,9 +6,9 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from risklake.functions import scalars as fn
-from risklake.operators import aggregates, fusion, graph, insights, rules, similarity
+from risklake.operators import aggregates, fusion, graph, insights, rules
 from risklake.plans.book import Book
-from risklake.plans.corpus import CALLS, CODE_LINES, IMPORTS, LEAK_SQL, LINES, LITERAL_SQL, ROUTES, SAME, SIGNED, _code_lines, _lines
+from risklake.plans.corpus import CALLS, CODE_LINES, IMPORTS, LEAK_SQL, LINES, LITERAL_SQL, ROUTES, SAME, SIGNED, _code_lines, _lines, _signatures
 from risklake.plans.domain import Domain
 from risklake.plans.graphs import GROUP_FOLD, NODES, PAIRS
 from risklake.plans.relational import COUNTS, ISSUE_ORDER, LICENSES, _values, licenses
@@ -211,22 +211,26 @@ Q(
 )
 
 
-def _pattern_sigs(d: Domain):
-    tokens = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return similarity.signatures(d.files.select(F.col("file_id").alias("id"), "content"), tokens)
+#: What shows a source, a sink and a sanitiser in a file, and the files that patterns are made of: vulnerable, clean.
+TAINT = (("source", "(?i)user|track|password"), ("sink", "(?i)html|query|eval"), ("sanitiser", "(?i)sanit|licen"))
+PATTERNS = ((3, 10), (4, None))
 
 
 def _matched(d: Domain):
-    sigs = _pattern_sigs(d)
-    refs = sigs.filter("id IN (3, 4, 10)").select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), (F.col("id") < 10).alias("bad"), F.col("signature").alias("reference"))
-    return insights.pattern_match(sigs, refs)
+    sigs = _signatures(d.files)
+    signature = lambda k: sigs.filter(F.col("id") == k).select("signature") if k is not None else d.spark.createDataFrame([(None,)], "signature array<long>")
+    references = [signature(bad).select(F.lit(f"p{bad}").alias("pattern"), F.col("signature").alias("vulnerable")).crossJoin(signature(clean).select(F.col("signature").alias("clean"))) for bad, clean in PATTERNS]
+    flags = d.files.select(F.col("file_id").alias("id"), *[F.col("content").rlike(p).alias(n) for n, p in TAINT])
+    return insights.pattern_match(sigs.join(flags, "id"), references[0].unionByName(references[1]))
 
 
-_near = lambda k: f"CASE WHEN b.id = {k} THEN {SAME} END"
+_taint = ", ".join(f"regexp_matches(content, '{p}') AS {n}" for n, p in TAINT)
+_pattern = lambda bad, clean: f"SELECT a.id, 'p{bad}' AS pattern, {SAME} AS s, " + (f"{SAME} - {SAME.replace('b.', 'c.')} AS d FROM sigs a, sigs b, sigs c WHERE b.id = {bad} AND c.id = {clean}" if clean else f"{SAME} AS d FROM sigs a, sigs b WHERE b.id = {bad}")
 Q(
     "sm_pattern_match",
-    f"""WITH {SIGNED}, near AS (SELECT a.id, greatest(max({_near(3)}), max({_near(4)})) AS bad, max({_near(10)}) AS clean FROM sigs a, sigs b WHERE b.id IN (3, 4, 10) GROUP BY a.id)
-    SELECT id, floor(bad * 10000 + 0.5) / 10000 AS bad, floor(clean * 10000 + 0.5) / 10000 AS clean, CASE WHEN bad >= 0.7 AND coalesce(bad, 0) > coalesce(clean, 0) THEN 'vulnerable' WHEN coalesce(bad, 0) < coalesce(clean, 0) THEN 'clean' ELSE 'unknown' END AS verdict FROM near""",
+    f"""WITH {SIGNED}, t AS (SELECT file_id AS id, {_taint} FROM d_files), m AS ({' UNION ALL '.join(_pattern(*p) for p in PATTERNS)}), x AS (SELECT m.*, source AND sink AS tainted, sanitiser FROM m JOIN t USING (id))
+    SELECT id, pattern, floor(round(s, 9) * 10000 + 0.5) / 10000 AS similarity, floor(round(d, 9) * 10000 + 0.5) / 10000 AS differential, tainted, CASE WHEN s = 1 AND tainted AND NOT sanitiser THEN 'match' WHEN s > 0.5 AND tainted AND NOT sanitiser THEN 'zero-day' WHEN d < -0.15 OR (tainted AND sanitiser) THEN 'looks-clean' ELSE 'insufficient-evidence' END AS verdict,
+      floor(round(least(1.0::DOUBLE, greatest(0, (s = 1)::INT * 0.35::DOUBLE + 0.25::DOUBLE * s + tainted::INT * 0.2::DOUBLE + (tainted AND NOT sanitiser)::INT * 0.1::DOUBLE + 0.1::DOUBLE * greatest(d, 0) - sanitiser::INT * 0.15::DOUBLE)), 9) * 10000 + 0.5) / 10000 AS probability FROM x""",
 )(_matched)
 Q(
     "sm_depth_node_ratio",
