@@ -72,3 +72,50 @@ def test_windows_open_at_the_first_hit_in_whatever_order_events_come(spark, tmp_
 
 def test_the_four_limits():
     assert st.LIMITS == (("global", 15, 200), ("auth", 15, 20), ("scans", 60, 30), ("otp", 10, 5))
+
+
+def minutes(at):
+    return int(at.timestamp()) // 60
+
+
+@pytest.mark.parametrize("shape", ["file", "folder"])
+def test_bursts_still_open_at_the_end_are_there(spark, tmp_path, shape):
+    """The last burst of scan 1 and that of scan 2 are open when the events end; 30 minutes part bursts; events without a time or a scan count."""
+    import duckdb
+
+    from risklake import registry
+
+    events = [(1, 0), (1, 29), (1, 59), (1, 400), (2, 390), (2, 419), (None, 5), (3, None), (3, None), (3, 100)]
+    db, to = duckdb.connect(), tmp_path / "events.parquet"
+    db.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    db.executemany("INSERT INTO e VALUES (?, TIMESTAMP '2024-01-01' + to_minutes(?), ?, 'view', 1.0, '{}')", [(i, m, k) for i, (k, m) in enumerate(events)])
+    if shape == "folder":
+        to.mkdir()
+    for part in range(2 if shape == "folder" else 1):
+        db.execute(f"COPY (SELECT * FROM e {f'WHERE event_id % 2 = {part}' if shape == 'folder' else ''}) TO '{to / f'part-{part}.parquet' if shape == 'folder' else to}' (FORMAT parquet)")
+    db.execute("CREATE VIEW events AS SELECT * FROM e")
+    sql = registry.oracle_sql()["st_session_gap"]
+    expected = sorted(map(str, db.execute(f'SELECT scan_id, start, "end", events FROM ({sql})').fetchall()))
+    rows = registry.queries()["st_session_gap"](spark, str(tmp_path)).select("scan_id", "start", "end", "events").collect()
+    assert sorted(str(tuple(r)) for r in rows) == expected
+    first = minutes(min(r["start"] for r in rows if r["start"]))
+    got = sorted((repr(r["scan_id"]), minutes(r["start"]) - first, minutes(r["end"]) - first, r["events"]) for r in rows if r["start"])
+    assert got == [("1", 0, 59, 2), ("1", 59, 89, 1), ("1", 400, 430, 1), ("2", 390, 449, 2), ("3", 100, 130, 1), ("None", 5, 35, 1)]
+    assert sum(r["events"] for r in rows) == len(events)
+
+
+@pytest.mark.parametrize("per_batch", [1, 3])
+def test_bursts_over_many_batches_come_once(spark, tmp_path, per_batch):
+    for k, part in enumerate([[(1, 0), (2, 10)], [(1, 20), (2, 100)], [(1, 45), (2, 125)], [(1, 300)], [(1, 320), (2, 330)]]):
+        spark.createDataFrame(part, "scan_id long, minute long").select("scan_id", F.timestamp_seconds(F.col("minute") * 60).alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema("scan_id long, ts timestamp").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = sorted((r["scan_id"], minutes(r["start"]), minutes(r["end"]), r["events"]) for r in st.replay_sessions(source).collect())
+    assert got == [(1, 0, 75, 3), (1, 300, 350, 2), (2, 10, 40, 1), (2, 100, 155, 2), (2, 330, 360, 1)]
+
+
+def test_bursts_of_nothing(spark, tmp_path):
+    stream(spark, str(tmp_path / "in"), 0)
+    (tmp_path / "none").mkdir()
+    for folder in ("in", "none"):
+        source = spark.readStream.schema("ts timestamp, scan_id long").parquet(str(tmp_path / folder))
+        assert st.replay_sessions(source).collect() == []
