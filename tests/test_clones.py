@@ -49,3 +49,14 @@ def test_no_pair_above_the_threshold_is_missed(spark, block):
     got = {frozenset((r["id"], r["other"])) for r in similarity.clone_pairs(spark.createDataFrame(rows, "id long, signature array<long>"), 0.7, block).collect() if r["similarity"] < 1}
     near = {frozenset((a, b)) for a, x in rows for b, y in rows if a < b and x != y and sum(p == q for p, q in zip(x, y, strict=True)) >= 0.7 * 64}
     assert got == near and len(near) > 100
+
+
+def test_files_are_signed_once_for_all_patterns(spark):
+    """Once for all files and once for the few that the patterns are made of; before, each pattern signed all of them again."""
+    plan = insights._matched(Domain(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Join Cross") == 1
+
+
+def test_a_pattern_without_its_file_has_no_rows(spark, tmp_path):
+    d = stored(spark, tmp_path, [(3, "words of a pattern", "a"), (4, "words of another one", "b")], [(0, "words of a page")])
+    assert {r["pattern"] for r in insights._matched(d).collect()} == {"p4"}
