@@ -61,3 +61,11 @@ def test_catalogue_of_families_is_loaded_from_its_table(spark, tmp_path):
     rules.family_catalog(spark).write.parquet(str(tmp_path / "rules"))
     loaded = rules.load_rules(spark.read.parquet(str(tmp_path / "rules")), "module")
     assert len(loaded) == len(rules.FAMILIES[3].rules()) and loaded[0].cwe == ("CWE-1104",)
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    """As in the rules' SQL; before, an accented letter was part of the word beside it."""
+    rule = rules.Rule("cipher", "c", "high", (r"(?-i:\b(DES|RC4)\b)", r"x\\board"), (r"\bsafe\b",))
+    texts = ["DESÈ", "ÀDES", "DES", "DESK", "un des", "DES éSAFEé", "DES unsafe", r"x\board"]
+    table = spark.createDataFrame([("a", n, line) for n, line in enumerate(texts)], "path string, line_no int, line string")
+    assert sorted(r.line_no for r in rules.pack_scan(table, ["path"], (rule,)).collect()) == [0, 1, 2, 6, 7]
