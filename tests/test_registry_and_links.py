@@ -6,6 +6,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from risklake import registry as risklake_registry
 from risklake.operators import insights, joins
 
 LINES = [("a.ts", 1, "eval(x)"), ("a.ts", 2, "fine"), ("b.ts", 1, "eval(y)"), ("b.ts", 2, None)]
@@ -60,3 +61,10 @@ def test_genome_counts_phrases_and_the_topology_is_of_degrees_alone(spark):
     assert got["a"]["boilerplate"] == 1.0 and got["b"]["boilerplate"] == got["c"]["boilerplate"] == 0.0 and got["a"]["decay"] == "degrading" and got["c"]["days_left"] == 365
     one = lambda df: df.first()["topology"]
     assert one(degrees([2, 1, 2])) == one(degrees([1, 2, 2])) != one(degrees([1, 1, 2])) and len(one(degrees([]))) == 16
+
+
+def test_files_are_not_sent_through_the_driver(spark):
+    """Before, the paths of all files were broadcast, since Spark took them for few bytes."""
+    df = risklake_registry.queries()["gr_module_edges"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
