@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from risklake.operators import graph
@@ -115,3 +116,45 @@ def test_parallelisable_cost(spark):
     edges = edges_of(spark, [(1, 2), (1, 3), (3, 4)], "calls")
     got = sorted(map(tuple, graph.path_cost(spark.createDataFrame([(1,), (3,), (4,)], "id long"), nodes, edges, ["calls"]).collect()))
     assert got == [(1, 4, 17, 4), (3, 2, 5, 0), (4, 1, 1, 0)]
+
+
+@pytest.mark.parametrize("most", [1000, 12])
+def test_small_graphs_in_tasks_and_large_ones_by_rounds_give_the_same(spark, most):
+    """Graphs of up to 40 edges, with repeats and loops; at 12 edges, most of them go by rounds."""
+    rng = random.Random(5)
+    pairs = []
+    for g in range(30):
+        n = rng.randrange(1, 15)
+        pairs += [(g * 1000 + rng.randrange(n), g * 1000 + rng.randrange(n)) for _ in range(rng.randrange(1, 40))]
+    reach = {}
+    for g in range(30):
+        own = {p for p in pairs if p[0] // 1000 == g}
+        found = set(own)
+        while True:
+            more = found | {(a, d) for a, b in found for c, d in own if b == c}
+            if more == found:
+                break
+            found = more
+        reach[g] = found
+    edges = edges_of(spark, pairs)
+    number = F.floor(F.col("src") / 1000)
+    keyed = edges.select(number.alias("key"), "src", "dst")
+    assert sorted((r.key, r.src, r.dst) for r in graph.closure(keyed, most).collect()) == sorted((g, *p) for g, ps in reach.items() for p in ps)
+    mutual = {}
+    for ps in reach.values():
+        for a, b in ps:
+            if (b, a) in ps and a != b:
+                mutual.setdefault(a, {a}).add(b)
+    assert sorted((r.component, r.node, r["size"]) for r in graph.scc_by_graph(edges, number, most).collect()) == sorted((max(x), a, len(x)) for a, x in mutual.items())
+    goals = [(g, g * 1000 + 3) for g in range(0, 30, 2)]
+    led = graph.reaching(keyed.withColumnRenamed("key", "graph"), spark.createDataFrame(goals, "graph long, node long"), most)
+    assert sorted((r.graph, r.node) for r in led.collect()) == sorted({(g, a) for g, goal in goals for a, b in reach[g] if b == goal} | set(goals))
+    by = F.floor(F.col("node") / 1000)
+    top = lambda k: sorted(tuple(r) for r in graph.hubs(edges, by, 3, 4, k).collect())
+    assert top(most) == top(0) and len(top(0)) > 30
+
+
+def test_names_of_states_may_be_strings(spark):
+    rows = spark.createDataFrame([("m", "a", "b"), ("m", "b", "c"), ("n", "b", "a")], "key string, src string, dst string")
+    for most in (1000, 0):
+        assert sorted((r.key, r.src, r.dst) for r in graph.closure(rows, most).collect()) == [("m", "a", "b"), ("m", "a", "c"), ("m", "b", "c"), ("n", "b", "a")]
