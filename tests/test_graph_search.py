@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from risklake.operators import graph
+from risklake import registry
+from risklake.operators import graph, insights
 
 
 def edges_of(spark, pairs, kind="imports"):
@@ -158,3 +159,31 @@ def test_names_of_states_may_be_strings(spark):
     rows = spark.createDataFrame([("m", "a", "b"), ("m", "b", "c"), ("n", "b", "a")], "key string, src string, dst string")
     for most in (1000, 0):
         assert sorted((r.key, r.src, r.dst) for r in graph.closure(rows, most).collect()) == [("m", "a", "b"), ("m", "a", "c"), ("m", "b", "c"), ("n", "b", "a")]
+
+
+def test_matches_come_in_order_and_the_sort_is_of_one_side(spark):
+    """Before, all matches were sorted."""
+    scored = spark.createDataFrame([(k, k % 3, float(k * 37 % 50)) for k in range(200)], "id long, _key long, match_score double").repartition(5)
+    patterns = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "pattern long, _key long")
+    got = insights.ranked_pairs(scored, patterns)
+    rows = [tuple(r) for r in got.select("id", "pattern", "match_score").collect()]
+    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+    assert sorted(rows) == sorted((k, p, float(k * 37 % 50)) for k in range(200) for p, key in ((1, 0), (2, 0), (3, 1)) if k % 3 == key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Sort ")
+    full = registry.queries()["jn_fingerprint_patterns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert full.index("Join Inner") < full.index("Sort ")
+
+
+def test_pair_features_in_tasks_and_by_joins_give_the_same(spark):
+    rng = random.Random(8)
+    nodes = [(g, g * 1000 + k, rng.randrange(4), k * 25, rng.randrange(20), rng.randrange(13)) for g in range(12) for k in range(rng.randrange(1, 12))]
+    pairs = [(g * 1000 + rng.randrange(12), g * 1000 + rng.randrange(12)) for g in range(12) for _ in range(rng.randrange(0, 30))]
+    made = spark.createDataFrame(nodes, "repo long, id long, type long, line long, bundle long, complexity long")
+    edges, repo = edges_of(spark, pairs), F.floor(F.col("src") / 1000)
+    want = sorted(tuple(r) for r in insights.pair_features(made, edges, 8).collect())
+    for rows in (1000, 12):
+        assert sorted(tuple(r) for r in insights.pair_features_by_repo(made, edges, repo, 8, rows).collect()) == want
+    # No pairs are joined; before, each was joined with the edges.
+    plan = insights.pair_features_by_repo(made, edges, repo)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
